@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_codec
+from . import packing, piece_codec, token_codec
 from ._common import read_table
 
 
@@ -21,12 +21,17 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.read_tokens(blocks)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": op2_token_output,
+    "op3_sentencepiece": op3_sentencepiece,
     "op7_packing": op7_packing,
 }
 
