@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 DOC_SPLIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+PLAIN_PART = re.compile(r" ?[^\s\0]+|\n")  # what may stand beside others on a line
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,30 +63,66 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep_space, self.limit, self.seen = keep_space, limit, {}
+        self.keep_space, self.limit, self.seen, self.rare = keep_space, limit, {}, set()
 
     def parts(self, text: str) -> list[str]:
-        if len(text) < 200_000_000 and ODD_SPACE.search(text):
-            return [text]  # white space to Python alone
         if self.keep_space:
-            return DOC_SPLIT.findall(text)
+            if "\0" in text:
+                return [""]
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return text.replace("\n", " ").split(" ")
 
+    def rare_parts(self, text: str) -> list[str]:
+        """The parts of a text with runs of white space, or white space of other kinds."""
+        return [text] if ODD_SPACE.search(text) or "\0" in text else DOC_SPLIT.findall(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.parts(t) for t in texts]
-        fresh = set(itertools.chain.from_iterable(parts)).difference(self.seen)
+        if self.keep_space:
+            every = set(itertools.chain.from_iterable(parts))
+            self.rare.update(p for p in every.difference(self.seen) if not PLAIN_PART.fullmatch(p))
+            if not self.rare.isdisjoint(every):
+                parts = [p if self.rare.isdisjoint(p) else self.rare_parts(t) for p, t in zip(parts, texts)]
+        every = set(itertools.chain.from_iterable(parts))
+        fresh = every.difference(self.seen)
         if len(self.seen) + len(fresh) > self.limit and self.seen:
-            self.seen = {}
-            fresh = set(itertools.chain.from_iterable(parts))
+            self.seen, self.rare, fresh = {}, {p for p in self.rare if p in every}, every
         if fresh:
-            fresh = list(fresh)
-            for word, got in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-                self.seen[word] = np.array(got.ids, "<u4").tobytes()
+            self.learn(fresh)
         get = self.seen.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 
+    def learn(self, words) -> None:
+        """Encodes plain words many to a line, which costs less than one by one; offsets tell them apart."""
+        spaced, bare, alone = [], [], []
+        for word in words:
+            if not PLAIN_PART.fullmatch(word):
+                self.rare.add(word)
+            (alone if len(word) > 100 or word == "\n" or word in self.rare else spaced if word[0] == " " else bare).append(word)
+        for group, gap in ((spaced, 0), (bare, 1)):
+            for i in range(0, len(group), 256):
+                self.learn_line(group[i : i + 256], gap)
+        for word, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else []):
+            self.seen[word] = np.array(got.ids, "<u4").tobytes()
+
+    def learn_line(self, words: list[str], gap: int) -> None:
+        got = self.tokenizer.encode(("\n" * gap).join(words), add_special_tokens=False)
+        ids, at = np.array(got.ids, "<u4"), np.array([o[0] for o in got.offsets], np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes + gap) - sizes - gap
+        of = np.searchsorted(starts, at, "right") - 1
+        if gap and self.keep_space:
+            own = at < starts[of] + sizes[of]  # without the gaps' own ids
+            ids, of = ids[own], of[own]
+        ends = np.searchsorted(of, np.arange(len(words)), "right").tolist()
+        data, begin = ids.tobytes(), 0
+        for word, end in zip(words, ends):
+            self.seen[word] = data[4 * begin : 4 * end]
+            begin = end
+
+
 _caches: dict = {}
 
 
