@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, licenses, packing, piece_codec, quality, token_codec
+from . import fingerprints, hamming, language, licenses, packing, piece_codec, quality, token_codec
 from ._common import read_table
 
 
@@ -50,6 +50,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return hamming.top_k(rows, rows.filter("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_output": op2_token_output,
@@ -58,6 +63,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
+    "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_topk": """
+        WITH codes AS (
+            SELECT vec_id, string_agg(CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END, '' ORDER BY i)::BIT AS code
+            FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+            GROUP BY vec_id),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, bit_count(xor(q.code, c.code))::INT AS distance
+            FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, rank::INT AS rank, neighbor_id, distance
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+        WHERE rank <= 10""",
+}
