@@ -5,40 +5,18 @@ from __future__ import annotations
 import itertools
 import os
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize, shared_dir  # noqa: F401
+
 DOC_SPLIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 PLAIN_PART = re.compile(r" ?[^\s\0]+|\n")  # what may stand beside others on a line
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "shoalwork-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back, which cuts the lineage.
-
-    The committed files survive the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

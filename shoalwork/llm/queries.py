@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, hamming, language, licenses, packing, piece_codec, quality, token_codec
+from . import bagminhash, fingerprints, hamming, language, licenses, packing, piece_codec, quality, token_codec
 from ._common import read_table
 
 
@@ -50,6 +50,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     return hamming.top_k(rows, rows.filter("vec_id % 50 = 0"))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_topk": op10_topk,
 }
 
