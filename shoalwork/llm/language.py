@@ -14,8 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ._common import doc_texts
+from pyspark.sql import types as T
 
 SAMPLE_ROWS = 4000  # labelled rows that the models are fitted on, at most
 SIZE = 2048  # hashed n-grams
@@ -165,24 +164,28 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int =
     return Languages(x, [g[0] for g in got])
 
 
-def predict(docs: DataFrame, model: Languages) -> DataFrame:
-    """doc_id, lang_pred and score of every row; `und` and 0 where the text is null or has no letter.
+def predict(docs: DataFrame, model: Languages, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns named, lang_pred and lang_score of every row; `und` and 0 where the text is null or
+    has no letter.
 
     With no language learnt every text is `und`. A row that repeats another gets the same result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = list(columns)
+    rows = docs.select(*names, F.col("text").alias("_text"))
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def label(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in it:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(len(names)).to_pylist()
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             for a in range(0, len(texts), 512):
-                got = [(i, x) for i in range(a, min(a + 512, len(texts))) if own.names and (x := features(texts[i])) is not None]
+                got = [(i, x) for i in range(a, min(a + 512, len(texts))) if own.names and texts[i] and (x := features(texts[i])) is not None]
                 if got:
-                    names, values = own.predict(np.stack([g[1] for g in got]))
-                    for (i, _), name, value in zip(got, names, values):
+                    found, values = own.predict(np.stack([g[1] for g in got]))
+                    for (i, _), name, value in zip(got, found, values):
                         langs[i], scores[i] = name, value
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "lang_score"])
 
-    return doc_texts(docs).mapInArrow(label, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(label, schema)

@@ -179,17 +179,29 @@ class PieceCodec:
         normal = self.model.normalize(text)
         if not self.units:
             return np.array([i for part in self.stream(normal) for i in part], "<u4").tobytes()
-        known = self.known
-        units = UNIT.findall(normal)
+        known, parts = self.known, normal.split(SPACE)
+        if parts[0] or "" in parts[1:]:  # runs of spaces, or none at the start
+            return self.encode_units(normal)
+        del parts[0]
         try:
-            return b"".join(map(known.__getitem__, units))
+            return b"".join(map(known.__getitem__, parts))
         except KeyError:
             pass
         if len(known) > self.remembered:
             known.clear()
-        for unit in set(units).difference(known):
-            known[unit] = struct.pack(f"<{len(got := [i for part in self.stream(unit) for i in part])}I", *got)
-        return b"".join(map(known.__getitem__, units))
+        for part in set(parts).difference(known):
+            known[part] = self.pack_ids(SPACE + part)
+        return b"".join(map(known.__getitem__, parts))
+
+    def pack_ids(self, unit: str) -> bytes:
+        if self.kind == BPE and unit in self.whole:
+            return struct.pack("<I", self.ids[unit])
+        ids = [i for part in self.stream(unit) for i in part]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_units(self, normal: str) -> bytes:
+        """Unit by unit, each of which begins with any number of spaces."""
+        return b"".join(map(self.pack_ids, UNIT.findall(normal)))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces joined, bytes put together, the leading space that encoding adds taken off."""

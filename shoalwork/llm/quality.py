@@ -163,11 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     return fit_rules(got[np.lexsort(got.T)][:, 1:], got[np.lexsort(got.T)][:, 0], NAMES)
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, any further columns named, and score (0 to 1; higher: label 1 likelier) of every row.
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Every row of docs, and score (0 to 1; higher: label 1 likelier), which replaces a column of that name.
 
     Null texts count as empty; empty texts are scored like any other.
     """
-    rows = doc_texts(docs, *keep).select("*", *(c.alias(f"_{n}") for n, c in statistics(F.col("text")).items()))
-    named = Model(model.bias, tuple(Rule(tuple((f"_{n}", b, c) for n, b, c in r.tests), r.weight) for r in model.rules))
-    return rows.select("doc_id", *keep, compile_rules(named).alias("score"))
+    stats = statistics(F.coalesce("text", F.lit("")))
+    named = Model(model.bias, tuple(Rule(tuple((f"_quality_{n}", b, c) for n, b, c in r.tests), r.weight) for r in model.rules))
+    rows = docs.select("*", *(c.alias(f"_quality_{n}") for n, c in stats.items()))
+    return rows.withColumn("score", compile_rules(named)).drop(*(f"_quality_{n}" for n in stats))

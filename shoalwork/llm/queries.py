@@ -37,7 +37,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rows = language.predict(docs, language.train(docs))
-    return rows.select("doc_id", (language.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", (language.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
