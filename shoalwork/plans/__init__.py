@@ -1 +1 @@
-
+"""Queries over the operators, with their SQL."""
