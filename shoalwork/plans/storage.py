@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -26,4 +27,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote, and lets go of shuffle files that nothing refers to any more.
+
+    For tables that no later plan reads; Spark drops shuffle files when the driver collects its garbage.
+    """
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table._table_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
