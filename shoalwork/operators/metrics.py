@@ -122,7 +122,7 @@ def autocorrelation(df: DataFrame, keys: list[str], value: str, lags: int, month
 def ljung_box(acf: DataFrame, keys: list[str]) -> DataFrame:
     """The Ljung-Box statistic over the lags of an autocorrelation table; degrees of freedom: lags with pairs."""
     n = F.col("n").cast("double")
-    return acf.filter("acf is not null").groupBy(*keys).agg(F.sum(n * (n + 2) * F.col("acf") * F.col("acf") / (n - F.col("lag"))).alias("q"), F.count("*").alias("df"))
+    return acf.filter("acf is not null").groupBy(*keys).agg(F.sum(F.try_divide(n * (n + 2) * F.col("acf") * F.col("acf"), n - F.col("lag"))).alias("q"), F.count("*").alias("df"))
 
 
 def cross_correlation(df: DataFrame, keys: list[str], driver: str, response: str, lags: int, least: int = 8, month: str = "month") -> DataFrame:

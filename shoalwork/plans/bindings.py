@@ -6,10 +6,10 @@ codes of two classifiers; observations: events by user and day; series: the pane
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LEAST_LINES = 20  # a cell-month needs so many lines to be valid; the rest are gaps
+LEAST_FRACTION = 0.4  # a cell-month is valid with so much of its cell's largest number of lines; the rest are gaps
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,8 @@ def full_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid cell-months."""
-    return full_panel(spark, sf_dir).filter(F.col("n_pixels") >= LEAST_LINES)
+    fraction = F.col("n_pixels") / F.max("n_pixels").over(Window.partitionBy("cell"))
+    return full_panel(spark, sf_dir).withColumn("_f", fraction).filter(F.col("_f") >= LEAST_FRACTION).drop("_f")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ FULL = LINES + """, full_panel AS (
             CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS rain
         FROM lines GROUP BY cell, month))"""
 
-PANEL = FULL + f""", panel AS (SELECT *, CAST(year(month) * 12 + month(month) - 1 AS INT) AS mi FROM full_panel WHERE n_pixels >= {LEAST_LINES})"""
+PANEL = FULL + f""", panel AS (SELECT *, CAST(year(month) * 12 + month(month) - 1 AS INT) AS mi FROM full_panel QUALIFY n_pixels / max(n_pixels) OVER (PARTITION BY cell) >= {LEAST_FRACTION})"""
 
 PIXELS = LINES + """, pixels AS (
     SELECT CASE WHEN substr(o_orderpriority, 1, 1) <= '2' THEN 'S2' ELSE 'S1' END AS sensor, month, day, cell, l_orderkey AS pixel, l_linenumber AS layer,

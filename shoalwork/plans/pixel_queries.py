@@ -191,7 +191,7 @@ def acf_calendar(spark, sf):
     return rounded(metrics.autocorrelation(b.panel(spark, sf), ["cell"], "cover", 6), acf=6)
 
 
-@query(f"WITH {ACF} SELECT cell, round(sum(n::DOUBLE * (n + 2) * (s / ss) ** 2 / (n - lag)), 5) AS q, count(*) AS df FROM acf JOIN t USING (cell) WHERE ss > 0 GROUP BY 1")
+@query(f"WITH {ACF} SELECT cell, round(sum(n::DOUBLE * (n + 2) * (s / ss) ** 2 / nullif(n - lag, 0)), 5) AS q, count(*) AS df FROM acf JOIN t USING (cell) WHERE ss > 0 GROUP BY 1")
 def ljung_box(spark, sf):
     return rounded(metrics.ljung_box(metrics.autocorrelation(b.panel(spark, sf), ["cell"], "cover", 6), ["cell"]), q=5)
 

@@ -328,7 +328,7 @@ def response_transforms(spark, sf):
 
 
 @query("""SELECT c_custkey, lower(regexp_replace(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug,
-    CASE WHEN floor(c_acctbal) < 1024 THEN printf('%.1f B', floor(c_acctbal)) ELSE printf('%.1f KB', floor(c_acctbal) / 1024) END AS size, (c_mktsegment IS NULL OR lower(trim(c_mktsegment)) IN ('', 'nan', 'none', 'null', 'nat')) AS blank FROM customer WHERE c_acctbal >= 0""")
+    CASE WHEN floor(c_acctbal) < 1024 THEN printf('%.1f B', floor(c_acctbal)) ELSE printf('%.1f KB', floor(floor(c_acctbal) / 102.4 + 0.5) / 10) END AS size, (c_mktsegment IS NULL OR lower(trim(c_mktsegment)) IN ('', 'nan', 'none', 'null', 'nat')) AS blank FROM customer WHERE c_acctbal >= 0""")
 def text_helpers(spark, sf):
     c = b.table(spark, sf, "customer").filter("c_acctbal >= 0")
     return c.select("c_custkey", fn.slug(F.concat("c_name", F.lit(" / "), "c_mktsegment")).alias("slug"), fn.byte_text(F.floor("c_acctbal")).alias("size"), fn.is_blank(F.col("c_mktsegment")).alias("blank"))
