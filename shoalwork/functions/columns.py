@@ -221,6 +221,16 @@ def geodesic_band_ha(lat_low: Column, lat_high: Column, width_degrees: float) ->
     return (q(lat_high) - q(lat_low)) * (b * b / 2 * math.radians(width_degrees) / 10_000)
 
 
+def solar_zenith_cosine(when: Column, lat: Column, lon: Column) -> Column:
+    """Cosine of the sun's zenith angle by Fourier series of the day of the year."""
+    hour = F.hour(when) + F.minute(when) / 60.0
+    g = 2 * math.pi / 365 * (F.dayofyear(when) - 1 + (hour - 12) / 24)
+    eq = 229.18 * (0.000075 + 0.001868 * F.cos(g) - 0.032077 * F.sin(g) - 0.014615 * F.cos(2 * g) - 0.040849 * F.sin(2 * g))
+    decl = 0.006918 - 0.399912 * F.cos(g) + 0.070257 * F.sin(g) - 0.006758 * F.cos(2 * g) + 0.000907 * F.sin(2 * g) - 0.002697 * F.cos(3 * g) + 0.00148 * F.sin(3 * g)
+    angle = F.radians((hour * 60 + eq + 4 * lon) / 4 - 180)
+    return F.sin(F.radians(lat)) * F.sin(decl) + F.cos(F.radians(lat)) * F.cos(decl) * F.cos(angle)
+
+
 # --- aggregates -----------------------------------------------------------
 
 def safe_corr(x: str, y: str) -> Column:
