@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ._common import batches, doc_texts, materialize
+from ._common import batches, doc_texts, materialize, release
 
 WORDS, BANDS, ROWS = 5, 30, 5
 SLOTS = BANDS * ROWS
 WORD = re.compile(r"\w+")
 TABLE_BITS = 16
 STEP = np.uint64(0x9E3779B97F4A7C15)
-SIGNED = "doc_id long, node long, bands array<long>, s0 long, s1 long, s2 long, size int, elements binary"
+SIGNED = "doc_id long, node long, bands array<long>, s0 long, s1 long, s2 long, size int, elements array<int>"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,25 +42,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Hashes of words; starts afresh at a million."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_words = _Words()
-
-
 def shingle_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes and their counts; a text of fewer words than a shingle has is one shingle."""
     words = WORD.findall(text.lower())
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(h) < WORDS:
         h = np.concatenate((h, np.full(WORDS - len(h), len(h), np.uint64)))
     n = len(h) - WORDS + 1
@@ -106,7 +93,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
         held = counts > low
         if not held.any():
             break
-        seed.append(mix(shingles[held] + np.uint64(k) * STEP))
+        seed.append(mix(shingles[held] + np.uint64(k * int(STEP) % 2**64)))
         doc.append(docs[held])
         weight.append(counts[held])
         rate.append(np.full(held.sum(), max(low, 1), np.float64))
@@ -118,7 +105,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
     x, most, number = np.zeros(len(seed)), np.full(len(bags), np.inf), 0
     while len(seed):
         number += 1
-        r = mix(seed + np.uint64(number) * STEP)
+        r = mix(seed + np.uint64(number * int(STEP) % 2**64))
         i = (r >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         part = ((r >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32
         x = x + (table[i] + (table[i + 1] - table[i]) * part) / rate
@@ -164,7 +151,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 sets = [elements(*bag) for bag in bags]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([k if f else [] for k, f in zip(keys, full)], pa.list_(pa.int64())),
-                     *(pa.array(bits[:, j]) for j in range(3)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                     *(pa.array(bits[:, j]) for j in range(3)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))],
                     names=["doc_id", "node", "bands", "s0", "s1", "s2", "size", "elements"])
 
     return doc_texts(docs).select("doc_id", F.xxhash64("text").alias("node"), "text").mapInArrow(work, SIGNED)
@@ -179,20 +166,10 @@ def _may_reach(a: str, b: str, threshold: float) -> Column:
     return (F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b)) & (differing <= most)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap by the threshold."""
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both >= threshold * (len(x) + len(y) - both) - 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("_y")), "b")
-    return full.select("a", "b", "_x", "_y").mapInArrow(count, "a long, b long")
+def _overlaps(x: Column, y: Column, threshold: float) -> Column:
+    """Whether two multisets, as sets of occurrences, overlap by the threshold."""
+    both = F.size(F.array_intersect(x, y))
+    return both >= F.lit(threshold) * (F.size(x) + F.size(y) - both) - 1e-9
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -202,6 +179,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     only when equal; null texts count as empty. Rows that repeat a doc_id each get a row. Similarity is that of the
     multisets of five-word shingles (words: runs of letters, digits and underscores, lower-cased).
     """
+    spark = docs.sparkSession
     signed = materialize(sign(docs), "signed")
     texts = materialize(
         signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in ("s0", "s1", "s2", "size"))),
@@ -209,32 +187,40 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
     light = texts.select("node", "s0", "s1", "s2", "size")
     buckets = texts.select("node", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_other"), F.count("*").alias("n")).filter("n > 1")
+    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     shared = materialize(buckets.join(hubs.select("key", "hub", "n"), "key"), "buckets")  # buckets with company
+    release(spark)
 
     def possible(pairs: DataFrame) -> DataFrame:
         near = pairs.join(light.alias("x"), F.col("a") == F.col("x.node")).join(light.alias("y"), F.col("b") == F.col("y.node"))
         return near.filter(_may_reach("x", "y", threshold)).select("a", "b")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        firsts = texts.select("node", F.col("first_doc").alias("doc_id")).join(nodes, "node", "left_semi")
-        return materialize(signed.select("node", "doc_id", "elements").join(firsts, ["node", "doc_id"], "left_semi").groupBy("node").agg(F.first("elements").alias("elements")), "sets")
+    def with_sets(nodes: DataFrame) -> DataFrame:
+        """node, size, bit sketch and elements of the nodes, from each text's first document."""
+        firsts = texts.select("node", F.col("first_doc").alias("doc_id"), "s0", "s1", "s2", "size").join(nodes, "node", "left_semi")
+        return signed.select("node", "doc_id", "elements").join(firsts, ["node", "doc_id"]).groupBy("node").agg(*(F.first(c).alias(c) for c in ("s0", "s1", "s2", "size", "elements")))
 
     stars = materialize(possible(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "stars")
-    links = materialize(verify(stars, sets_of(stars), threshold), "links")
+    sets = materialize(with_sets(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()).select("node", "elements"), "sets")
+    full = stars.join(sets.withColumnsRenamed({"node": "a", "elements": "_x"}), "a").join(sets.withColumnsRenamed({"node": "b", "elements": "_y"}), "b")
+    links = materialize(full.filter(_overlaps(F.col("_x"), F.col("_y"), threshold)).select("a", "b"), "links")
     found = materialize(connected_components(links), "components")
+    release(spark, sets, stars)
     placed = shared.filter("n > 2").join(found, "node", "left").select("key", "hub", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
-    rest = materialize(placed.filter("node <> hub").join(mixed, "key", "left_semi").join(light, "node"), "mixed")
-    x, y = rest.alias("x"), rest.alias("y")
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_reach("x", "y", threshold))
+    rest = materialize(placed.filter("node <> hub").join(mixed, "key", "left_semi"), "mixed")
+    rest = rest.join(materialize(with_sets(rest.select("node").distinct()), "sets"), "node")
+    x, y = rest.alias("x"), rest.alias("y")  # what links is told in the join itself, so it puts out links alone
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_reach("x", "y", threshold) & _overlaps(F.col("x.elements"), F.col("y.elements"), threshold))
     more = materialize(crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "crossing")
     if not more.isEmpty():
-        links = materialize(links.unionByName(verify(more, sets_of(more), threshold)).distinct(), "links")
+        links = materialize(links.unionByName(more).distinct(), "links")
         found = materialize(connected_components(links), "components")
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     classed = texts.select("node", "first_doc").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
     classed = materialize(classed.join(least, "component").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    return signed.select("doc_id", "node").join(classed, "node").select("doc_id", "class_id", "n_links")
+    out = materialize(signed.select("doc_id", "node").join(classed, "node").select("doc_id", "class_id", "n_links"), "near-duplicates")
+    release(spark, signed, texts, shared, classed)
+    return out
