@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-WORD = 63  # bits of a code kept in one long
+WORD = 32  # bits of a code kept in one long; segments lie within one
 
 
 def sign_words(vector: Column, dims: int) -> list[Column]:
-    """The signs of a vector as longs of 63 bits: 1 for values over 0; others, null and NaN are 0."""
+    """The signs of a vector as longs of 32 bits: 1 for values over 0; others, null and NaN are 0."""
     out = []
     for at in range(0, dims, WORD):
         bits = [F.when((F.get(vector, i) > 0) & ~F.isnan(F.get(vector, i)), F.lit(1 << (i - at)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(at, min(at + WORD, dims))]
@@ -105,7 +105,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         )
         d = distance("q", "c", words)
         met = (  # what is nearer was met before; what is farther than the kth can't come in
-            probes.join(by_segment, (probes.segment == by_segment.segment) & (probes.value == by_segment.value) & (d > before) & (d <= F.col("kth")))
+            probes.hint("merge").join(by_segment, (probes.segment == by_segment.segment) & (probes.value == by_segment.value) & (d > before) & (d <= F.col("kth")))
             .select("query_id", d.alias("distance"), F.explode("ids").alias("neighbor_id"))
             .filter("query_id <> neighbor_id")
         )
