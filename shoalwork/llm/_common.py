@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize, shared_dir  # noqa: F401
+from ..plans.storage import materialize, release, shared_dir  # noqa: F401
 
 DOC_SPLIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -21,8 +21,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with its session sending texts to Python workers so many rows at a time, not the 10,000 of the default.
+
+    Simplified tracebacks are turned off, as plans that ask for them and plans that do not would each keep workers of their own.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), with no other column that could clash."""
+    docs = small_batches(docs)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
@@ -35,7 +48,7 @@ class WordCache:
     most `limit` words and starts afresh beyond that.
     """
 
-    def __init__(self, path: str, keep_space: bool, limit: int = 700_000):
+    def __init__(self, path: str, keep_space: bool, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -111,7 +124,7 @@ def word_cache(path: str, keep_space: bool) -> WordCache:
     return _caches[path, keep_space]
 
 
-def batches(rows: list[str], most: int = 4_000_000):
+def batches(rows: list[str], most: int = 2_000_000):
     """Index ranges of texts of about `most` characters together, so that memory stays bounded."""
     begin, size = 0, 0
     for i, text in enumerate(rows):

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import small_batches
+
 SAMPLE_ROWS = 4000  # labelled rows that the models are fitted on, at most
 SIZE = 2048  # hashed n-grams
 SEGMENT = 1 << 20  # characters counted at a time
@@ -150,7 +152,7 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int =
 
     Rows without a letter are passed over. Only feature vectors and langs reach the driver.
     """
-    known = docs.filter("text is not null and lang is not null and doc_id is not null").filter(fold(F.col("doc_id"), folds) != held_out)
+    known = small_batches(docs).filter("text is not null and lang is not null and doc_id is not null").filter(fold(F.col("doc_id"), folds) != held_out)
     few = known.select("doc_id", F.xxhash64("text").alias("_row")).orderBy(F.xxhash64("doc_id"), "doc_id", "_row").limit(sample_rows)
     rows = known.select("doc_id", F.xxhash64("text").alias("_row"), "text", "lang").join(F.broadcast(few), ["doc_id", "_row"], "left_semi").select("lang", "text")
 
@@ -172,7 +174,7 @@ def predict(docs: DataFrame, model: Languages, columns: tuple[str, ...] = ("doc_
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(columns)
-    rows = docs.select(*names, F.col("text").alias("_text"))
+    rows = small_batches(docs).select(*names, F.col("text").alias("_text"))
     schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def label(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
