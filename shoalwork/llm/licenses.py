@@ -131,8 +131,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
         "doc_id", "_row",
         (count_spaces(F.col("spaced")) - 1).alias("n_words"),
         sum(counts[1:], counts[0]).alias("n_base"),
-        F.least(*firsts).alias("first_word"),
-        F.greatest(*lasts).alias("last_word"),
+        F.array_min(F.array(*firsts)).alias("first_word"),
+        F.array_max(F.array(*lasts)).alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("base"),
     )
     matched = match_blocks(spaced, index).groupBy("doc_id", "_row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
