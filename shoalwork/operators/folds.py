@@ -25,7 +25,7 @@ def square_blocks(x_km: Column, y_km: Column, size: float = 10.0) -> Column:
 def numbered_blocks(df: DataFrame, block: str, folds: int = 5) -> DataFrame:
     """Folds 1 to `folds` dealt to blocks in sorted order."""
     ids = df.select(block).distinct().withColumn("fold", (F.pmod(F.row_number().over(Window.orderBy(block)) - 1, F.lit(folds)) + 1).cast("int"))
-    return df.join(F.broadcast(ids), block)
+    return df.join(ids, block)
 
 
 def last_periods(df: DataFrame, period: str, folds: int = 4) -> DataFrame:
@@ -50,7 +50,7 @@ def held_out_blocks(df: DataFrame, block: str, fraction: float = 0.2) -> DataFra
     order = Window.orderBy(F.md5(F.col(block).cast("string")), block).rowsBetween(Window.unboundedPreceding, -1)
     total = sizes.agg(F.sum("count").alias("_n"))
     chosen = sizes.withColumn("_before", F.coalesce(F.sum("count").over(order), F.lit(0))).join(F.broadcast(total)).withColumn("held_out", F.col("_before") < F.col("_n") * fraction)
-    return df.join(F.broadcast(chosen.select(block, "held_out")), block)
+    return df.join(chosen.select(block, "held_out"), block)
 
 
 def steadiest(results: DataFrame, model: str, mean: str, std: str, order: list[str], tolerance: float = 1.0) -> DataFrame:

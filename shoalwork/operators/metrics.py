@@ -192,7 +192,8 @@ def residual_correlation(df: DataFrame, cell: str, observed: str, predicted: str
 def variance_parts(df: DataFrame, value: str, region: str, month: str = "month") -> DataFrame:
     """Sums of squares between months, between regions, of their interaction, and in total."""
     x = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("x"), F.col(region).alias("r"), F.col(month).alias("m"))
-    x = x.withColumn("xm", F.avg("x").over(Window.partitionBy("m"))).withColumn("xr", F.avg("x").over(Window.partitionBy("r"))).join(F.broadcast(x.agg(F.avg("x").alias("g"))))
+    by = lambda k, out: x.groupBy(k).agg(F.avg("x").alias(out))
+    x = x.join(by("m", "xm"), "m").join(by("r", "xr"), "r").join(F.broadcast(x.agg(F.avg("x").alias("g"))))
     sq = lambda e: F.sum(F.pow(e, 2))
     return x.agg(F.count("*").alias("n"), sq(F.col("x") - F.col("g")).alias("ss_total"), sq(F.col("xm") - F.col("g")).alias("ss_month"), sq(F.col("xr") - F.col("g")).alias("ss_region"), sq(F.col("x") - F.col("xm")).alias("ss_within_month"), sq(F.col("x") - F.col("xm") - F.col("xr") + F.col("g")).alias("ss_interaction"))
 

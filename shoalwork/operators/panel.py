@@ -62,10 +62,10 @@ def regional_series(df: DataFrame, regions: DataFrame, cell: str, part: str, who
 
     regions has cell, region. A region's area is the sum of its cells' largest areas.
     """
-    rows = df.join(F.broadcast(regions), cell)
+    rows = df.join(regions, cell)
     most = rows.groupBy("region", cell).agg(F.max(whole).alias("_a")).groupBy("region").agg(F.sum("_a").alias("region_area"))
     size = regions.groupBy("region").agg(F.count("*").alias("region_cells"))
-    out = monthly_series(rows.withColumnRenamed(cell, "cell"), ["region", month], part, whole, drivers).join(F.broadcast(most.join(size, "region")), "region")
+    out = monthly_series(rows.withColumnRenamed(cell, "cell"), ["region", month], part, whole, drivers).join(most.join(size, "region"), "region")
     out = out.withColumn("cell_fraction", ratio(F.col("n_cells"), F.col("region_cells"))).withColumn("area_fraction", ratio(F.col(whole), F.col("region_area")))
     ok = (F.col("cell_fraction") >= least_cells) & (F.col("area_fraction") >= least_area)
     return out.withColumn("passes", ok).withColumns({c: F.when(ok, F.col(c)) for c in ["cover", *drivers]})
@@ -88,7 +88,7 @@ def climatology(train: DataFrame, target: DataFrame, value: str, cell: str = "ce
     def mean(keys: list[str], name: str) -> DataFrame:
         return t.groupBy(*keys).agg(F.avg(value).alias(name), F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n")
     out = target.withColumn("_m", F.month(month))
-    out = out.join(mean([cell, "_m"], "_c2"), [cell, "_m"], "left").join(F.broadcast(mean([cell], "_c1")), cell, "left").join(F.broadcast(mean(["_m"], "_c0")), "_m", "left")
+    out = out.join(mean([cell, "_m"], "_c2"), [cell, "_m"], "left").join(mean([cell], "_c1"), cell, "left").join(F.broadcast(mean(["_m"], "_c0")), "_m", "left")
     out = out.join(F.broadcast(t.agg(F.avg(value).alias("_all"))))
     level = F.when(F.col("_c2").isNotNull(), "cell-month").when(F.col("_c1").isNotNull(), "cell").when(F.col("_c0").isNotNull(), "month").otherwise("all")
     return out.withColumn("climatology", F.coalesce("_c2", "_c1", "_c0", "_all")).withColumn("climatology_level", level).drop("_m", "_c2", "_c1", "_c0", "_all")
@@ -96,9 +96,11 @@ def climatology(train: DataFrame, target: DataFrame, value: str, cell: str = "ce
 
 def two_way_demean(df: DataFrame, value: str, by: list[str], out: str = "demeaned") -> DataFrame:
     """The value without its means by the first and by the second key, plus the overall mean."""
-    means = [F.avg(value).over(Window.partitionBy(k)) for k in by]
     total = df.agg(F.avg(value).alias("_grand"))
-    return df.join(F.broadcast(total)).withColumn(out, F.col(value) - means[0] - means[1] + F.col("_grand")).drop("_grand")
+    rows = df.join(F.broadcast(total))
+    for i, k in enumerate(by):  # means by partial aggregation and join, so a key with few values does not gather rows in few tasks
+        rows = rows.join(df.groupBy(k).agg(F.avg(value).alias(f"_mean{i}")), k)
+    return rows.withColumn(out, F.col(value) - F.col("_mean0") - F.col("_mean1") + F.col("_grand")).select(*df.columns, out)
 
 
 def zscore(df: DataFrame, columns: list[str]) -> DataFrame:

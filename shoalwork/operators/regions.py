@@ -90,7 +90,7 @@ def build_regions(cells: DataFrame, label: str, features: list[str], area: str,
     borders = [(r.a, r.b) for r in adjacency(p, "patch").collect()]
     into = merge_small([{"id": r.patch, **{k: float(r[k]) if k != "n_cells" else r[k] for k in ("n_cells", "area", *features)}} for r in table], borders, features, least_cells, least_area)
     names = cells.sparkSession.createDataFrame([(int(a), int(b)) for a, b in into.items()] or [(0, 0)], "patch long, part long")
-    out = p.withColumn("patch", F.col("patch").cast("long")).join(F.broadcast(names), "patch")
+    out = p.withColumn("patch", F.col("patch").cast("long")).join(names, "patch")
     size = out.groupBy("part").agg(F.count("*").alias("_n"))
     order = size.withColumn("region", F.format_string("R%02d", F.row_number().over(Window.orderBy(F.desc("_n"), "part")))).select("part", "region")
-    return out.join(F.broadcast(order), "part").select("cell", label, "region")
+    return out.join(order, "part").select("cell", label, "region")

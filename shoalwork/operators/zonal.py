@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .calendar import calendar_lag
 
 ROOK = [(0, 1), (1, 0), (0, -1), (-1, 0)]
 QUEEN = ROOK + [(1, 1), (1, -1), (-1, 1), (-1, -1)]
@@ -86,5 +85,3 @@ def moran(values: DataFrame, edges: DataFrame, value: str, cell: str = "cell") -
     pairs = edges.join(d, edges[cell] == d["_k"]).withColumnRenamed("_d", "_a").drop("_k").join(d, F.col("neighbor") == F.col("_k")).agg(F.sum(F.col("_a") * F.col("_d")).alias("_x"), F.count("*").alias("n_edges"))
     return pairs.join(F.broadcast(total)).select("n", "n_edges", (F.col("n") / F.col("n_edges") * F.try_divide(F.col("_x"), F.nullif("_ss", F.lit(0.0)))).alias("moran"))
 
-
-__all__ = ["adjacency", "calendar_lag", "drop_small_patches", "focal_median", "grid", "moran", "neighbour_lag", "neighbours", "outline", "patch_table", "patches"]
