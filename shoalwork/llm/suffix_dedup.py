@@ -20,18 +20,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, release, small_batches
 
 BUFFER, SEGMENT, POSITION_BITS = 1 << 16, 1 << 19, 20
-ANCHORS = "did long, h long, anchor long, context long, lo int, n int"
-WINDOWS = "did long, h long, w long, p int"
-RESULT = "did long, h long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
+PASSES = 3  # the names of single windows are counted part by part, which bounds the disk that shuffles take
+RUN_BITS = 16  # a run of windows is one long: its first window, and in so many bits how many more there are
+ANCHORS = "uid long, anchor long, context long, run long"
+WINDOWS = "uid long, w long, p int"
+RESULT = "uid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
 _BYTE_NAMES = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 _A, _B, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(32)
 
@@ -112,52 +115,57 @@ def buffers(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, list[
         yield np.frombuffer(b"".join(held), np.uint8), index, np.cumsum([0, *map(len, held[:-1])]), np.zeros(len(held), np.int64)
 
 
+def uid() -> Column:
+    """A 64-bit hash of doc_id and text; nulls count like the least long and the empty text."""
+    return F.xxhash64(F.coalesce("doc_id", F.lit(-(2**63))).cast("long"), F.coalesce("text", F.lit("")))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows by doc_id (null: the least long) and a hash of the text, with the text as bytes."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("did"), F.xxhash64(text).alias("h"), text.cast("binary").alias("bytes"))
+    return small_batches(docs).select(uid().alias("uid"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
 
 
 def _find_anchors(docs: DataFrame, length: int) -> DataFrame:
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            did, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for data, index, starts, shift in buffers(batch.column(2).to_pylist(), length):
+            uids = batch.column(0).to_numpy(zero_copy_only=False)
+            for data, index, starts, shift in buffers(batch.column(1).to_pylist(), length):
                 found = anchors_of(data, np.append(starts[1:], len(data)), length)
                 if found:
                     anchor, context, lo, n = found
                     k = np.searchsorted(starts, lo, "right") - 1
-                    row = np.array(index)[k]
-                    arrays = (did[row], h[row], anchor, context, (lo - starts[k] + shift[k]).astype(np.int32), n.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["did", "h", "anchor", "context", "lo", "n"])
+                    arrays = (uids[np.array(index)[k]], anchor, context, (lo - starts[k] + shift[k]) << RUN_BITS | n)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["uid", "anchor", "context", "run"])
 
     return _keyed(docs).filter(F.octet_length("bytes") >= length).mapInArrow(work, ANCHORS)
 
 
+def bounds(runs: list[int] | None) -> list[tuple[int, int]]:
+    """First and last window of each run."""
+    return [(r >> RUN_BITS, (r >> RUN_BITS) + (r & ((1 << RUN_BITS) - 1))) for r in runs or ()]
+
+
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """Names at full depth of the windows of `runs` (first, further) of each row."""
+    """Names at full depth of the windows of the runs `edges` of each row."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            did, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for i, (text, runs) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                runs = sorted({(r["lo"], r["n"]) for r in runs})
+            uids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, (text, runs) in enumerate(zip(batch.column(1), batch.column(2).to_pylist())):
+                data, runs = np.frombuffer(text.as_buffer(), np.uint8), sorted(set(bounds(runs)))
                 places, found, begin = [], [], 0
                 while begin < len(runs):  # runs that lie close together share their names
-                    end, stop = begin + 1, runs[begin][0] + runs[begin][1]
-                    while end < len(runs) and runs[end][0] < stop + 4 * length and runs[end][0] - runs[begin][0] < SEGMENT:
-                        stop = max(stop, runs[end][0] + runs[end][1])
+                    end, (base, stop) = begin + 1, runs[begin]
+                    while end < len(runs) and runs[end][0] < stop + 4 * length and runs[end][0] - base < SEGMENT:
+                        stop = max(stop, runs[end][1])
                         end += 1
-                    base = runs[begin][0]
                     _, full, _ = names(data[base : stop + length], length)
-                    p = np.unique(np.concatenate([np.arange(a, a + n + 1) for a, n in runs[begin:end]]))
+                    p = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in runs[begin:end]]))
                     places.append(p)
                     found.append(full[p - base])
                     begin = end
                 if places:
                     p = np.concatenate(places)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), did[i])), pa.array(np.full(len(p), h[i])), pa.array(np.concatenate(found).view(np.int64)), pa.array(p.astype(np.int32))], names=["did", "h", "w", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), uids[i])), pa.array(np.concatenate(found).view(np.int64)), pa.array(p.astype(np.int32))], names=["uid", "w", "p"])
 
     return rows.mapInArrow(work, WINDOWS)
 
@@ -177,19 +185,18 @@ def _remove(rows: DataFrame, length: int, keep: bool) -> DataFrame:
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = []
-            for did, h, text, runs, single in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                every = [(r["lo"], r["lo"] + r["n"]) for r in runs or ()] + [(p, p) for p in single or ()]
-                spans, data, sha, parts, at = covered(every, length), text.as_buffer(), hashlib.sha256(), [], 0
-                view = memoryview(data)
+            for key, text, runs, single in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                spans = covered(bounds(runs) + [(p, p) for p in single or ()], length)
+                view, sha, parts, at = memoryview(text.as_buffer()), hashlib.sha256(), [], 0
                 for a, b in [*spans, (len(view), len(view))]:
                     sha.update(view[at:a])
                     if keep:
                         parts.append(view[at:a])
                     at = b
-                rows.append((did, h, sum(b - a for a, b in spans), len(spans), sha.hexdigest(), [{"start": a, "end": b} for a, b in spans], b"".join(parts) if keep else None))
+                rows.append((key, sum(b - a for a, b in spans), len(spans), sha.hexdigest(), [{"start": a, "end": b} for a, b in spans], b"".join(parts) if keep else None))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["did", "h", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["uid", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     return rows.mapInArrow(work, RESULT)
 
@@ -197,58 +204,65 @@ def _remove(rows: DataFrame, length: int, keep: bool) -> DataFrame:
 def repeats(docs: DataFrame, length: int = 200, keep: bool = False) -> DataFrame:
     """The stretches of every text that lie in a string of `length` bytes that also starts anywhere else.
 
-    Returns one row for each text with such bytes: did (doc_id; null: the least long), h (xxhash64 of the
-    text), n_removed, n_spans, kept_sha256 of the remaining bytes, spans (start, end) and, if asked for,
-    kept (the remaining bytes). Matches lie within one document; overlapping ones in the same document
-    count, and so do rows that repeat another. Null texts count as empty. Rows alike in doc_id and text
-    give rows alike.
+    Returns one row for each text with such bytes: uid (hash of doc_id and text), n_removed, n_spans, kept_sha256 of
+    the remaining bytes, spans (start, end) and, if asked for, kept (the remaining bytes). Matches lie within one
+    document; overlapping ones in the same document count, and so do rows that repeat another. Null
+    texts count as empty. Rows alike in doc_id and text give rows alike.
     """
-    found = materialize(_find_anchors(docs, length), "anchors")
-    company = found.groupBy("anchor").count().filter("count > 1").select("anchor")
-    found = materialize(found.join(company, "anchor", "left_semi").withColumn("rid", F.xxhash64("did", "h", "lo")), "anchors")
-    contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min("rid").alias("first"))
+    if length >= 1 << RUN_BITS:
+        raise ValueError(f"length must be under {1 << RUN_BITS}")
+    spark = docs.sparkSession
+    every = materialize(_find_anchors(docs, length), "anchors")
+    company = every.groupBy("anchor").count().filter("count > 1").select("anchor")
+    found = materialize(every.join(company, "anchor", "left_semi"), "anchors")
+    release(spark, every)
+    place = F.xxhash64("uid", "run")
+    contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min(place).alias("first"))
     many = contexts.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
     whole = F.col("c") > 1
-    edge = F.col("several") & ((F.col("c") == 1) | (F.col("rid") == F.col("first")))
-    run = F.struct("lo", "n")
+    edge = F.col("several") & ((F.col("c") == 1) | (place == F.col("first")))
     runs = (
         found.join(contexts.join(many, "anchor"), ["anchor", "context"]).filter(whole | edge)
-        .groupBy("did", "h").agg(F.collect_list(F.when(whole, run)).alias("whole"), F.collect_list(F.when(edge, run)).alias("edges"))
+        .groupBy("uid").agg(F.collect_list(F.when(whole, F.col("run"))).alias("whole"), F.collect_list(F.when(edge, F.col("run"))).alias("edges"))
     )
     runs = materialize(runs, "runs")  # a document's own anchors, so no longer than the document
+    release(spark, found)
     texts = _keyed(docs).filter(F.octet_length("bytes") >= length)
-    edges = texts.join(runs.filter(F.size("edges") > 0).select("did", "h", "edges"), ["did", "h"]).select("did", "h", "bytes", "edges")
+    edges = texts.join(runs.filter(F.size("edges") > 0).select("uid", "edges"), "uid").select("uid", "bytes", "edges")
     windows = materialize(_windows(edges, length), "windows")
-    twice = windows.groupBy("w").count().filter("count > 1").select("w")
-    single = windows.join(twice, "w", "left_semi").groupBy("did", "h").agg(F.collect_list("p").alias("single"))
-    places = runs.select("did", "h", "whole").join(single, ["did", "h"], "left").filter((F.size("whole") > 0) | F.col("single").isNotNull())
-    return _remove(texts.join(places, ["did", "h"]).select("did", "h", "bytes", "whole", "single"), length, keep)
+    release(spark)
+    found = []
+    for k in range(PASSES):
+        some = windows.filter(F.pmod("w", F.lit(PASSES)) == k)
+        twice = some.groupBy("w").count().filter("count > 1").select("w")
+        found.append(materialize(some.join(twice, "w", "left_semi").select("uid", "p"), "repeated"))
+        release(spark)
+    single = reduce(DataFrame.unionByName, found).groupBy("uid").agg(F.collect_list("p").alias("single"))
+    release(spark, windows)
+    places = runs.select("uid", "whole").join(single, "uid", "left").filter((F.size("whole") > 0) | F.col("single").isNotNull())
+    return _remove(texts.join(places, "uid").select("uid", "bytes", "whole", "single"), length, keep)
 
 
 def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans."""
     text = F.coalesce("text", F.lit(""))
-    every = docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("did"), F.xxhash64(text).alias("h"),
-        F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_whole"),
-    )
-    found = repeats(docs, length).drop("kept").dropDuplicates(["did", "h"])
+    every = docs.select("doc_id", uid().alias("uid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_whole"))
+    found = repeats(docs, length).drop("kept").dropDuplicates(["uid"])
     none = F.lit(0).cast("long")
-    return every.join(found, ["did", "h"], "left").select(
+    return every.join(found, "uid", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "_whole").alias("kept_sha256"), "spans",
     )
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with the repeated bytes taken out of text; bytes left of a character cut in two go as well."""
-    rows = docs.withColumn("_did", F.coalesce("doc_id", F.lit(-(2**63))).cast("long")).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = repeats(docs, length, keep=True)
 
     def decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts = [v.decode("utf-8", "ignore") for v in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_did", "_h", "_text"])
+            texts = [v.decode("utf-8", "ignore") for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_uid", "_text"])
 
-    new = found.select("did", "h", "kept").mapInArrow(decode, "_did long, _h long, _text string").dropDuplicates(["_did", "_h"])
-    joined = rows.join(new, ["_did", "_h"], "left")
+    new = found.select("uid", "kept").mapInArrow(decode, "_uid long, _text string").dropDuplicates(["_uid"])
+    joined = docs.withColumn("_uid", uid()).join(new, "_uid", "left")
     return joined.select(*(F.coalesce("_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
