@@ -76,7 +76,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _license_sql() -> str:
+    """Phrases place by place, and every block against every template."""
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES)
+    templates = ", ".join(f"({t['words']!r}, '{t['label']}', {t['least']})" for t in licenses.template_index(licenses.TEMPLATES, 0.9, {}))
+    return rf"""
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lo FROM documents),
+        w AS (SELECT doc_id, lo, regexp_extract_all(lo, '{WORDS}') AS w FROM d),
+        p(words, label) AS (VALUES {phrases}), t(words, label, least) AS (VALUES {templates}),
+        places AS (
+            SELECT doc_id, label, unnest(list_filter(generate_series(0, len(w) - len(words)), lambda i: w[i + 1 : i + len(words)] = words)) AS place
+            FROM w JOIN p ON contains(lo, words[1]) AND len(w) >= len(words)),
+        blocks AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lo, '
+|[.!?]+(\s|$)')) AS b FROM d),
+        sets AS (SELECT doc_id, list_distinct(regexp_extract_all(b, '{WORDS}')) AS b FROM blocks),
+        matched AS (
+            SELECT doc_id, label, len(list_intersect(b, words)) / len(words) AS c FROM sets JOIN t ON len(b) >= least AND len(list_intersect(b, words)) >= least),
+        base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY 1),
+        every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM matched) GROUP BY 1),
+        best AS (SELECT doc_id, max(c) AS c FROM matched GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.z AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
+            CAST(CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(best.c, 0.0) END AS DOUBLE) AS score
+        FROM w LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
+    "op4_suffix_dedup": """
+        WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        windows AS (SELECT doc_id, p, md5(substring(x, 2 * p - 1, 400)) AS s FROM (SELECT doc_id, x, unnest(generate_series(1, n - 199)) AS p FROM b)),
+        hits AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY s) > 1),
+        marks AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER w + 200 THEN 0 ELSE 1 END AS m FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+        runs AS (SELECT doc_id, p, sum(m) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marks),
+        spans AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS z FROM runs GROUP BY doc_id, k),
+        edges AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS last FROM spans),
+        pieces AS (
+            SELECT doc_id, before AS place, substring(x, 2 * before - 1, 2 * (a - before)) AS x FROM edges JOIN b USING (doc_id)
+            UNION ALL SELECT doc_id, z, substring(x, 2 * z - 1) FROM edges JOIN b USING (doc_id) WHERE last = 1),
+        kept AS (SELECT doc_id, string_agg(x, '' ORDER BY place) AS x FROM pieces GROUP BY 1),
+        counts AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+        SELECT b.doc_id, b.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, b.x))) AS kept_sha256
+        FROM b LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op9_near_duplicates": """
+        WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS node FROM documents GROUP BY 1),
+        w AS (SELECT node, regexp_extract_all(lower(text), '[\\pL\\pN_]+') AS w FROM t),
+        s AS (SELECT node, unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        c AS (SELECT node, g, count(*) AS c FROM s GROUP BY 1, 2), z AS (SELECT node, sum(c) AS n FROM c GROUP BY 1),
+        o AS (SELECT x.node AS a, y.node AS b, sum(least(x.c, y.c)) AS both_ FROM c x JOIN c y ON x.g = y.g AND x.node <> y.node GROUP BY 1, 2),
+        links AS (SELECT a, b FROM o JOIN z x ON x.node = a JOIN z y ON y.node = b WHERE both_ >= 0.8 * (x.n + y.n - both_)),
+        reach AS (SELECT node AS a, node AS b FROM t UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        classes AS (SELECT a AS node, min(b) AS class_id FROM reach GROUP BY 1), degree AS (SELECT a AS node, count(*) AS n FROM links GROUP BY 1)
+        SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN classes USING (node) LEFT JOIN degree USING (node)""",
     "op10_topk": """
         WITH codes AS (
             SELECT vec_id, string_agg(CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END, '' ORDER BY i)::BIT AS code
