@@ -25,9 +25,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class of near-duplicates."""
-    classes = bagminhash.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keeps the document with the least doc_id of each class of near-duplicates; of equal rows one."""
+    first = bagminhash.near_duplicates(docs).filter("doc_id <=> class_id").select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ WORDS, BANDS, ROWS = 5, 30, 5
 SLOTS = BANDS * ROWS
 WORD = re.compile(r"\w+")
 TABLE_BITS = 16
+NO_ID = 2**63 - 1  # stands for a null doc_id
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SIGNED = "doc_id long, node long, bands array<long>, s0 long, s1 long, s2 long, size int, elements array<int>"
 
@@ -154,7 +155,7 @@ def sign(docs: DataFrame) -> DataFrame:
                      *(pa.array(bits[:, j]) for j in range(3)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))],
                     names=["doc_id", "node", "bands", "s0", "s1", "s2", "size", "elements"])
 
-    return doc_texts(docs).select("doc_id", F.xxhash64("text").alias("node"), "text").mapInArrow(work, SIGNED)
+    return doc_texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text").mapInArrow(work, SIGNED)
 
 
 def _may_reach(a: str, b: str, threshold: float) -> Column:
@@ -176,7 +177,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The class of every row: doc_id, class_id (the least doc_id of its class) and n_links.
 
     n_links counts the verified links of the row's text to other texts. Texts without a word are alike
-    only when equal; null texts count as empty. Rows that repeat a doc_id each get a row. Similarity is that of the
+    only when equal; null texts count as empty. Rows that repeat a doc_id each get a row.
+    A class has a null class_id if none of its rows has a doc_id. Similarity is that of the
     multisets of five-word shingles (words: runs of letters, digits and underscores, lower-cased).
     """
     spark = docs.sparkSession
@@ -221,6 +223,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     classed = texts.select("node", "first_doc").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
     classed = materialize(classed.join(least, "component").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    out = materialize(signed.select("doc_id", "node").join(classed, "node").select("doc_id", "class_id", "n_links"), "near-duplicates")
+    ids = [F.nullif(c, F.lit(NO_ID)).alias(c) for c in ("doc_id", "class_id")]
+    out = materialize(signed.select("doc_id", "node").join(classed, "node").select(*ids, "n_links"), "near-duplicates")
     release(spark, signed, texts, shared, classed)
     return out

@@ -90,14 +90,14 @@ def with_next(docs: DataFrame, add, cells: int = 65_536, rows_each: int = 500) -
     """Pairs each document with the next one in descending doc_id, and the last with the first.
 
     Returns the columns of add(rows of doc_id and text) and, for each column c but doc_id, the next
-    row's as next_c. Rows that share a doc_id follow one another in the order of their texts. The ids' range is cut into
+    row's as next_c. Rows that share a doc_id follow one another in the order of their texts;
+    those without one come last. The ids' range is cut into
     at most `cells` cells, whose counts and largest ids reach the driver; neighbouring cells make up
     buckets, and each bucket gets a copy of the next one's first row, so no task sorts the whole table.
     """
-    rows = doc_texts(docs)
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        low = high = 0
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = (0, 0) if low is None else (low - 1, high)  # a null doc_id stands just below the least
+    rows = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(low)).cast("long"))
     width = -(-(high - low + 1) // cells)
     cell = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long")
     found = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max("doc_id").alias("head")).orderBy("cell").collect()
@@ -119,7 +119,7 @@ def with_next(docs: DataFrame, add, cells: int = 65_536, rows_each: int = 500) -
     order = Window.partitionBy("_bucket").orderBy("_copy", F.desc("doc_id"), "text")
     more = [c for c in dealt.columns if c not in ("doc_id", "_bucket", "_copy")]
     led = dealt.select("*", F.lead(F.struct(*more)).over(order).alias("_next")).filter("_copy = 0")
-    return led.select("doc_id", *more, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in more))
+    return led.select(F.nullif("doc_id", F.lit(low)).alias("doc_id"), *more, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in more))
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:

@@ -73,17 +73,17 @@ def word_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
 
 
 def match_blocks(docs: DataFrame, index: list[dict]) -> DataFrame:
-    """doc_id, _row, label and containment of every block that matches a template.
+    """_row, label and containment of every block that matches a template.
 
-    docs has doc_id, _row, lowered (lower-cased text) and spaced (its words).
+    docs has _row (a key), lowered (lower-cased text) and spaced (its words).
     """
     spark = docs.sparkSession
     first = sorted({w for t in index for w in t["prefix"]})
     known = F.array(*map(F.lit, first))
     blocks = (
         docs.filter(F.arrays_overlap(F.split("spaced", " "), known))
-        .select("doc_id", "_row", F.explode(F.split("lowered", BLOCK_END)).alias("block"))
-        .select("doc_id", "_row", F.array_distinct(F.split(F.trim(spaced_words(F.col("block"))), " ")).alias("tokens"))
+        .select("_row", F.explode(F.split("lowered", BLOCK_END)).alias("block"))
+        .select("_row", F.array_distinct(F.split(F.trim(spaced_words(F.col("block"))), " ")).alias("tokens"))
     )
     hits = blocks.select("*", F.explode(F.array_intersect("tokens", known)).alias("token"))
     prefixes = spark.createDataFrame(
@@ -98,7 +98,7 @@ def match_blocks(docs: DataFrame, index: list[dict]) -> DataFrame:
         .filter(long_enough & enough_left)
         .withColumn("overlap", overlap)
         .filter(F.col("overlap") >= F.col("least"))
-        .select("doc_id", "_row", "label", (F.col("overlap") / F.col("n_template")).alias("containment"))
+        .select("_row", "label", (F.col("overlap") / F.col("n_template")).alias("containment"))
     )
 
 
@@ -113,7 +113,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     """
     words = sorted({w for text, _ in templates for w in text.split()})
     index = template_index(templates, threshold, word_frequencies(docs, words))
-    lowered = doc_texts(docs).select("doc_id", F.xxhash64("text").alias("_row"), lower_ascii(F.col("text")).alias("lowered"))
+    key = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).cast("long"), F.xxhash64("text"))
+    lowered = doc_texts(docs).select("doc_id", key.alias("_row"), lower_ascii(F.col("text")).alias("lowered"))
     spaced = lowered.withColumn("spaced", spaced_words(F.col("lowered")))
 
     def count_spaces(c: Column) -> Column:
@@ -135,9 +136,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
         F.array_max(F.array(*lasts)).alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("base"),
     )
-    matched = match_blocks(spaced, index).groupBy("doc_id", "_row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    matched = match_blocks(spaced, index).groupBy("_row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
-    return base.join(matched, ["doc_id", "_row"], "left").select(
+    return base.join(matched, "_row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),

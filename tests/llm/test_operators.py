@@ -53,6 +53,14 @@ def test_license_base_equals_brute_force(spark):
     assert got[8].labels == "cc-by-nc,gpl" and got[9].labels == "mit" and got[9].base_labels == ""
 
 
+def test_license_edges(edge_docs, empty_docs, spark):
+    rows = licenses.scan(edge_docs).collect()
+    assert len(rows) == edge_docs.count() and all(r.labels == "" and r.score == 0 for r in rows)
+    odd = spark.createDataFrame(rows_of([(None, "Released under the MIT License."), (None, "Licensed under CC BY-NC 4.0."), (1, "Licensed under CC BY-NC 4.0."), (1, "Licensed under CC BY-NC 4.0.")]), SCHEMA)
+    assert sorted((r.doc_id or 0, r.labels) for r in licenses.scan(odd).collect()) == [(0, "cc-by-nc"), (0, "mit"), (1, "cc-by-nc"), (1, "cc-by-nc")]
+    assert licenses.scan(empty_docs).count() == 0
+
+
 def test_license_join_equals_all_pairs(spark):
     """Prefix, length and position filters lose no block that reaches the threshold."""
     r = random.Random(2)
@@ -83,11 +91,11 @@ def test_blocks_shrink_repetitive_ids():
 
 
 def test_token_files(spark, edge_docs):
-    docs = edge_docs.filter("doc_id is not null")
+    docs = edge_docs
     got = token_codec.read_tokens(token_codec.write_tokens(docs, BYTE, block_ids=500)).orderBy("start").collect()
     cache = WordCache(BYTE, True)
     want, start = [], 0
-    for doc, text in sorted(texts_of(docs)):
+    for doc, text in sorted(texts_of(docs), key=lambda t: (t[0] is not None, t)):
         ids = cache.tokenizer.encode(text, add_special_tokens=False).ids + [0]
         want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -309,8 +317,8 @@ def test_fingerprints_equal_brute_force(spark):
 
 
 def test_fingerprint_edges(edge_docs, empty_docs):
-    rows = fingerprints.edited_fingerprints(edge_docs.filter("doc_id is not null")).collect()
-    assert len(rows) == edge_docs.filter("doc_id is not null").count()
+    rows = fingerprints.edited_fingerprints(edge_docs).collect()
+    assert len(rows) == edge_docs.count() and sum(r.doc_id is None for r in rows) == 2
     by = defaultdict(set)
     for r in rows:
         by[r.doc_id].add(r.fingerprint)
@@ -385,9 +393,9 @@ def test_near_duplicate_classes_equal_brute_force(spark):
 
 
 def test_near_duplicate_edges(edge_docs, empty_docs):
-    docs = edge_docs.filter("doc_id is not null")
+    docs = edge_docs
     got = Counter((r.doc_id, r.class_id) for r in bagminhash.near_duplicates(docs).collect())
-    assert sum(got.values()) == docs.count() and got[1, 0] == 2 and got[3, 2] == 1
+    assert sum(got.values()) == docs.count() and got[1, 0] == 2 and got[3, 2] == 1 and got[None, 2] == 1 and got[None, None] == 1
     assert bagminhash.near_duplicates(empty_docs).count() == 0
 
 
