@@ -87,6 +87,12 @@ class PieceCodec:
         self.apart, self.known, self.remembered = {}, {}, remembered
         # no piece continues past a space into another word, so units can be searched one by one
         self.whole = {p for p in self.ids if self.kind != BPE or self.merges(p) == [p]}  # what the merges can make
+        self.ending: dict = {}
+        for piece in self.whole:
+            node = self.ending
+            for char in reversed(piece):
+                node = node.setdefault(char, {})
+            node[""] = piece
         self.units = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
     def merges(self, text: str) -> list[str]:
@@ -142,18 +148,29 @@ class PieceCodec:
             score[end] = best
 
     def grow_bpe(self, chars: str, base: int, at: int, to: int, begin: dict, last: dict) -> None:
-        """The same for merges; last: the piece that ends at a place (None: nothing to merge with)."""
-        whole, apart, longest = self.whole, self.apart, self.longest
+        """The same for merges; last: the piece that ends at a place (None: nothing to merge with).
+
+        Pieces that end at a place are read off a trie of their characters from the end on.
+        """
+        ending, known = self.ending, self.apart.get
         for end in range(at + 1, to + 1):
-            for start in range(max(base, end - longest), end):
-                piece = chars[start:end]
-                if piece in whole:
+            node, start = ending, end
+            begin[end], last[end] = end - 1, None
+            while start > base:
+                start -= 1
+                node = node.get(chars[start])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
                     left = last.get(start)
-                    if left is None or (apart[left, piece] if (left, piece) in apart else self.stays_apart(left, piece)):
+                    if left is None:
+                        apart = True
+                    elif (apart := known((left, piece))) is None:
+                        apart = self.stays_apart(left, piece)
+                    if apart:
                         begin[end], last[end] = start, piece
                         break
-            else:
-                begin[end], last[end] = end - 1, None
 
     def meet(self, begin: dict, done: int, end: int) -> int:
         """The last boundary on the paths from all the places that a later piece may begin at."""
