@@ -72,11 +72,11 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def transform(x: Column, how: str = "logit", eps: float = 1e-4) -> Column:
-    """identity, log (of x + eps) or logit (of x held within eps and 1 - eps)."""
+    """identity, log (of x, at least eps) or logit (of x held within eps and 1 - eps)."""
     if how == "identity":
         return x
     if how == "log":
-        return F.ln(x + F.lit(eps))
+        return F.ln(F.greatest(x, F.lit(eps)))
     if how == "logit":
         held = clip(x, eps, 1 - eps)
         return F.ln(held / (1 - held))
@@ -87,7 +87,7 @@ def inverse_transform(y: Column, how: str = "logit", eps: float = 1e-4) -> Colum
     if how == "identity":
         return y
     if how == "log":
-        return F.exp(y) - F.lit(eps)
+        return F.exp(y)
     if how == "logit":
         return 1 / (1 + F.exp(-y))
     raise ValueError(f"unknown transform {how!r}")

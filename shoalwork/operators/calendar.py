@@ -99,13 +99,14 @@ def seasonal_naive(df: DataFrame, keys: list[str], value: str, month: str = "mon
 def rolling_origins(months: DataFrame, horizon: int = 3, least_training: int = 24, folds: int = 8, month: str = "month") -> DataFrame:
     """Test windows of `horizon` months that end at the series' end: fold, train_to, test_from, test_to, n_train, n_test, used.
 
-    Counted back from the last month; a fold with fewer than least_training months before it, or none in it, is
-    kept in the audit as unused. The months are a calendar's, so this table is small at any scale.
+    Counted back from the last month, as long as a window begins after the first; a fold with fewer than least_training
+    months before it, or none in it, is kept in the audit as unused. The months are a calendar's, so this table is small at any scale.
     """
     mi = months.select(month_index(F.col(month)).alias("mi")).distinct()
-    last = mi.agg(F.max("mi").alias("_last"))
-    plan = last.select(F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold"), "_last").select(
-        "fold", (F.col("_last") - (folds - F.col("fold") + 1) * horizon).alias("train_to"), (F.col("_last") - (folds - F.col("fold") + 1) * horizon + 1).alias("test_from"), (F.col("_last") - (folds - F.col("fold")) * horizon).alias("test_to")
-    )
+    last = mi.agg(F.max("mi").alias("_last"), F.min("mi").alias("_first"))
+    back = (folds - F.col("fold") + 1) * horizon
+    plan = last.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds)))).filter(F.col("_last") - back + 1 > F.col("_first"))
+    left_out = F.greatest(F.lit(0), folds - F.floor((F.col("_last") - F.col("_first")) / horizon)).cast("int")
+    plan = plan.select((F.col("fold") - left_out).alias("fold"), (F.col("_last") - back).alias("train_to"), (F.col("_last") - back + 1).alias("test_from"), (F.col("_last") - back + horizon).alias("test_to"))
     seen = plan.join(mi, F.col("mi") <= F.col("test_to")).groupBy("fold", "train_to", "test_from", "test_to").agg(F.count_if(F.col("mi") <= F.col("train_to")).alias("n_train"), F.count_if(F.col("mi") >= F.col("test_from")).alias("n_test"))
     return seen.withColumn("used", (F.col("n_train") >= least_training) & (F.col("n_test") > 0))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import month_index, ratio, safe_corr
+from ..functions.columns import clip, month_index, ratio, safe_corr
 
 
 # --- confusion ------------------------------------------------------------
@@ -120,9 +120,9 @@ def autocorrelation(df: DataFrame, keys: list[str], value: str, lags: int, month
 
 
 def ljung_box(acf: DataFrame, keys: list[str]) -> DataFrame:
-    """The Ljung-Box statistic over the lags of an autocorrelation table; degrees of freedom: lags with pairs."""
+    """The Ljung-Box statistic over the lags of an autocorrelation table; degrees of freedom: lags with more than two pairs."""
     n = F.col("n").cast("double")
-    return acf.filter("acf is not null").groupBy(*keys).agg(F.sum(F.try_divide(n * (n + 2) * F.col("acf") * F.col("acf"), n - F.col("lag"))).alias("q"), F.count("*").alias("df"))
+    return acf.filter("acf is not null and n_pairs > 2").groupBy(*keys).agg(F.sum(F.try_divide(n * (n + 2) * F.col("acf") * F.col("acf"), n - F.col("lag"))).alias("q"), F.count("*").alias("df"))
 
 
 def cross_correlation(df: DataFrame, keys: list[str], driver: str, response: str, lags: int, least: int = 8, month: str = "month") -> DataFrame:
@@ -154,15 +154,15 @@ def skill(observed: str, predicted: str, reference: str) -> Column:
 
 
 def win_rate(long: DataFrame, block: str, reference: str, model: str = "model", observed: str = "observed", predicted: str = "predicted") -> DataFrame:
-    """Share of blocks in which each model's mean squared error is under the reference model's."""
-    mse = long.groupBy(block, model).agg(F.avg(F.pow(F.col(predicted) - F.col(observed), 2)).alias("mse"))
+    """Share of blocks in which each model's mean squared error is under the reference model's; predictions are held to 0 and 1."""
+    mse = long.groupBy(block, model).agg(F.avg(F.pow(clip(F.col(predicted), 0.0, 1.0) - F.col(observed), 2)).alias("mse"))
     ref = mse.filter(F.col(model) == reference).select(block, F.col("mse").alias("_ref"))
     return mse.filter(F.col(model) != reference).join(ref, block).groupBy(model).agg(F.count("*").alias("n_blocks"), F.avg((F.col("mse") < F.col("_ref")).cast("double")).alias("win_rate"))
 
 
 def monthly_area_error(df: DataFrame, observed: str, predicted: str, area: str, month: str = "month") -> DataFrame:
     """Errors of each month's total area: MAE, RMSE, bias and ratio of totals over months."""
-    m = df.groupBy(month).agg(F.sum(F.col(observed) * F.col(area)).alias("_o"), F.sum(F.col(predicted) * F.col(area)).alias("_p"))
+    m = df.groupBy(month).agg(F.sum(clip(F.col(observed), 0.0, 1.0) * F.col(area)).alias("_o"), F.sum(clip(F.col(predicted), 0.0, 1.0) * F.col(area)).alias("_p"))
     e = F.col("_p") - F.col("_o")
     return m.agg(F.count("*").alias("n_months"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), ratio(F.sum("_p"), F.sum("_o")).alias("total_ratio"))
 
@@ -173,20 +173,33 @@ def change_skill(df: DataFrame, observed: str, predicted: str, before: str) -> D
     return df.agg(F.count(d + p).alias("n"), skill(observed, predicted, before).alias("skill"), F.avg(F.when(d != 0, (F.signum(d) == F.signum(p)).cast("double"))).alias("sign_hits"))
 
 
+def boyce_windows(df: DataFrame, truth: str, score: str, bins: int = 10, window: float = 0.1) -> DataFrame:
+    """Share of presences in every window of scores from 0 to 1 over their share of all rows. Windows are open above, but
+    for one that reaches 1; those without a row have no enrichment."""
+    step = (1 - window) / (bins - 1)
+    plan = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), (F.col("id") * step).alias("low"), (F.col("id") * step + window).alias("high"))
+    rate = df.agg(F.avg(truth).alias("_rate"))
+    s = F.col("_s")
+    inside = (s >= F.col("low")) & ((s < F.col("high")) | ((F.col("high") >= 1 - 1e-12) & (s <= F.col("high") + 1e-12)))
+    got = df.select(F.col(truth).alias("_t"), F.col(score).alias("_s")).join(F.broadcast(plan), inside).groupBy("bin").agg(F.avg("_t").alias("_share"), F.count("*").alias("n"))
+    out = plan.join(got, "bin", "left").join(F.broadcast(rate))
+    return out.select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"), F.when((F.col("_rate") > 0) & (F.col("_rate") < 1), F.col("_share") / F.col("_rate")).alias("enrichment"))
+
+
 def boyce(df: DataFrame, truth: str, score: str, bins: int = 10, window: float = 0.1) -> DataFrame:
-    """Windows of scores with the share of presences over the share of all rows; their rank correlation is the Boyce index."""
-    bounds = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"), F.count("*").alias("_n"), F.sum(truth).alias("_p"))
-    step = (F.col("_hi") - F.col("_lo")) * (1 - window) / (bins - 1)
-    plan = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("low", F.col("_lo") + F.col("bin") * step).withColumn("high", F.col("low") + (F.col("_hi") - F.col("_lo")) * window)
-    aggs = df.select(F.col(truth).alias("_t"), F.col(score).alias("_s")).join(F.broadcast(plan), (F.col("_s") >= F.col("low")) & (F.col("_s") <= F.col("high") + 1e-12))
-    return aggs.groupBy("bin", "low", "high").agg(F.try_divide(F.sum("_t") / F.first("_p"), F.count("*") / F.first("_n")).alias("enrichment"), F.count("*").alias("n"))
-
-
-def residual_correlation(df: DataFrame, cell: str, observed: str, predicted: str, baseline: str, least: int = 6) -> DataFrame:
-    """Mean over cells of the rank correlation of departures from a baseline; cells without one are counted."""
-    d = df.withColumn("_o", F.col(observed) - F.col(baseline)).withColumn("_p", F.col(predicted) - F.col(baseline))
-    per = spearman(d, [cell], "_o", "_p", least)
-    return per.agg(F.avg("spearman").alias("mean_spearman"), F.count("spearman").alias("n_cells"), F.count_if(F.col("n") < least).alias("n_short"), F.count_if((F.col("n") >= least) & F.col("spearman").isNull()).alias("n_constant"))
+    """The Boyce index: rank correlation of window midpoints with enrichment; null under three windows."""
+    w = boyce_windows(df, truth, score, bins, window).withColumn("middle", (F.col("low") + F.col("high")) / 2).withColumn("_all", F.lit(1))
+    return spearman(w, ["_all"], "middle", "enrichment").select("n", F.col("spearman").alias("boyce"))
+
+
+def residual_correlation(df: DataFrame, cell: str, observed: str, predicted: str, baseline: str, least_months: int = 4, least_distinct: int = 3, month: str = "month") -> DataFrame:
+    """Mean over cells of the rank correlation of departures from a baseline; cells without one are counted by reason."""
+    d = df.select(cell, month, (F.col(observed) - F.col(baseline)).alias("_o"), (F.col(predicted) - F.col(baseline)).alias("_p")).dropna(subset=["_o", "_p"])
+    size = d.groupBy(cell).agg(F.countDistinct(month).alias("_m"), F.countDistinct(F.round("_o", 12)).alias("_d"))
+    per = spearman(d, [cell], "_o", "_p").join(size, cell)
+    short, flat = F.col("_m") < least_months, F.col("_d") < least_distinct
+    r = F.when(~short & ~flat, F.col("spearman"))
+    return per.agg(F.avg(r).alias("mean_spearman"), F.count(r).alias("n_scored"), F.count("*").alias("n_cells"), F.count_if(short).alias("n_short"), F.count_if(~short & flat).alias("n_constant"), F.count_if(~short & ~flat & F.col("spearman").isNull()).alias("n_undefined"))
 
 
 def variance_parts(df: DataFrame, value: str, region: str, month: str = "month") -> DataFrame:

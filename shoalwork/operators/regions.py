@@ -16,11 +16,11 @@ def setting_class(river: Column, openness: Column, river_cut: float, shelter_cut
 
 
 def compass_tag(dx: Column, dy: Column, span_x: float, span_y: float, least: float = 0.15) -> Column:
-    """N, S, E, W or two of them where the offset is over a share of the span; C if neither."""
+    """N, S, E, W or two of them where the offset is over a share of the span; central if neither."""
     ns = F.when(dy > least * span_y, "N").when(dy < -least * span_y, "S").otherwise("")
     ew = F.when(dx > least * span_x, "E").when(dx < -least * span_x, "W").otherwise("")
     tag = F.concat(ns, ew)
-    return F.when(tag == "", "C").otherwise(tag)
+    return F.when(tag == "", "central").otherwise(tag)
 
 
 def capture_share(df: DataFrame, value: str, cut: float) -> float:

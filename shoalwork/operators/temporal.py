@@ -78,6 +78,6 @@ def rolling_median(df: DataFrame, keys: list[str], order: str, value: str, width
 
 
 def wet_days(df: DataFrame, keys: list[str], rain: str, wet: float = 1.0, spike: float = 20.0) -> DataFrame:
-    """Monthly totals, largest day, wet days, spikes, and the mean of wet days (0 without one)."""
+    """Monthly totals, largest day, wet days, spikes, and the total by wet day (0 without one)."""
     n = F.count_if(F.col(rain) >= wet)
-    return df.groupBy(*keys).agg(F.sum(rain).alias("total"), F.max(rain).alias("largest_day"), n.alias("wet_days"), F.count_if(F.col(rain) >= spike).alias("spikes"), F.coalesce(F.try_divide(F.sum(F.when(F.col(rain) >= wet, F.col(rain))), F.nullif(n, F.lit(0)).cast("double")), F.lit(0.0)).alias("intensity"))
+    return df.groupBy(*keys).agg(F.sum(rain).alias("total"), F.max(rain).alias("largest_day"), n.alias("wet_days"), F.count_if(F.col(rain) >= spike).alias("spikes"), F.coalesce(F.try_divide(F.sum(rain), F.nullif(n, F.lit(0)).cast("double")), F.lit(0.0)).alias("intensity"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
@@ -90,8 +90,8 @@ def monthly_counts_zero_filled(spark, sf):
     return calendar.monthly_counts(b.table(spark, sf, "events").select("event_type", "ts"), ["event_type"], F.col("ts"))
 
 
-@query(f"""WITH {PANEL}, m AS (SELECT DISTINCT mi FROM panel), l AS (SELECT max(mi) AS last FROM m),
-    plan AS (SELECT f AS fold, last - (8 - f + 1) * 3 AS train_to, last - (8 - f + 1) * 3 + 1 AS test_from, last - (8 - f) * 3 AS test_to FROM l, generate_series(1, 8) t(f))
+@query(f"""WITH {PANEL}, m AS (SELECT DISTINCT mi FROM panel), l AS (SELECT max(mi) AS last, min(mi) AS first FROM m),
+    plan AS (SELECT row_number() OVER (ORDER BY f) AS fold, last - (8 - f + 1) * 3 AS train_to, last - (8 - f + 1) * 3 + 1 AS test_from, last - (8 - f) * 3 AS test_to FROM l, generate_series(1, 8) t(f) WHERE last - (8 - f + 1) * 3 + 1 > first)
     SELECT CAST(fold AS INT) AS fold, CAST(train_to AS INT) AS train_to, CAST(test_from AS INT) AS test_from, CAST(test_to AS INT) AS test_to, count(*) FILTER (WHERE mi <= train_to) AS n_train,
         count(*) FILTER (WHERE mi >= test_from) AS n_test, (count(*) FILTER (WHERE mi <= train_to) >= 24 AND count(*) FILTER (WHERE mi >= test_from) > 0) AS used
     FROM plan JOIN m ON mi <= test_to GROUP BY 1, 2, 3, 4""")
@@ -177,9 +177,9 @@ def sensor_overlap(spark, sf):
 
 CLIMATOLOGY = f"""{PANEL}, cut AS (SELECT min(mi) + CAST(floor(0.7 * (max(mi) - min(mi))) AS INT) AS c FROM panel),
     train AS (SELECT p.*, month(month) AS m FROM panel p, cut WHERE mi <= c), tst AS (SELECT p.*, month(month) AS m FROM panel p, cut WHERE mi > c),
-    k2 AS (SELECT cell, m, avg(cover) AS v FROM train GROUP BY 1, 2 HAVING count(*) >= 2), k1 AS (SELECT cell, avg(cover) AS v FROM train GROUP BY 1 HAVING count(*) >= 2),
-    k0 AS (SELECT m, avg(cover) AS v FROM train GROUP BY 1 HAVING count(*) >= 2), ka AS (SELECT avg(cover) AS v FROM train),
-    clim AS (SELECT t.*, coalesce(k2.v, k1.v, k0.v, ka.v) AS climatology, CASE WHEN k2.v IS NOT NULL THEN 'cell-month' WHEN k1.v IS NOT NULL THEN 'cell' WHEN k0.v IS NOT NULL THEN 'month' ELSE 'all' END AS climatology_level
+    k2 AS (SELECT cell, m, avg(cover) AS v FROM train GROUP BY 1, 2 HAVING count(*) >= 2), k1 AS (SELECT cell, avg(cover) AS v FROM train GROUP BY 1),
+    k0 AS (SELECT m, avg(cover) AS v FROM train GROUP BY 1), ka AS (SELECT avg(cover) AS v FROM train),
+    clim AS (SELECT t.*, coalesce(k2.v, k1.v, k0.v, ka.v) AS climatology, CASE WHEN k2.v IS NOT NULL THEN 'cell_month' WHEN k1.v IS NOT NULL THEN 'cell' WHEN k0.v IS NOT NULL THEN 'month' ELSE 'global' END AS climatology_level
         FROM tst t LEFT JOIN k2 ON k2.cell = t.cell AND k2.m = t.m LEFT JOIN k1 ON k1.cell = t.cell LEFT JOIN k0 ON k0.m = t.m, ka)"""
 
 

@@ -191,7 +191,7 @@ def acf_calendar(spark, sf):
     return rounded(metrics.autocorrelation(b.panel(spark, sf), ["cell"], "cover", 6), acf=6)
 
 
-@query(f"WITH {ACF} SELECT cell, round(sum(n::DOUBLE * (n + 2) * (s / ss) ** 2 / nullif(n - lag, 0)), 5) AS q, count(*) AS df FROM acf JOIN t USING (cell) WHERE ss > 0 GROUP BY 1")
+@query(f"WITH {ACF} SELECT cell, round(sum(n::DOUBLE * (n + 2) * (s / ss) ** 2 / nullif(n - lag, 0)), 5) AS q, count(*) AS df FROM acf JOIN t USING (cell) WHERE ss > 0 AND n_pairs > 2 GROUP BY 1")
 def ljung_box(spark, sf):
     return rounded(metrics.ljung_box(metrics.autocorrelation(b.panel(spark, sf), ["cell"], "cover", 6), ["cell"]), q=5)
 
@@ -240,9 +240,10 @@ def change_skill(spark, sf):
     return rounded(metrics.change_skill(_skill(spark, sf), "observed", "climatology", "persistence"), skill=6, sign_hits=6)
 
 
-@query(f"""WITH {SKILL}, d AS (SELECT cell, observed - climatology AS o, persistence - climatology AS p FROM sk), r AS (SELECT cell, {RANKED.format(k='cell', x='o')} AS a, {RANKED.format(k='cell', x='p')} AS c FROM d),
-    s AS (SELECT cell, count(*) AS n, CASE WHEN count(*) >= 6 AND min(a) < max(a) AND min(c) < max(c) THEN corr(a, c) END AS r FROM r GROUP BY 1)
-    SELECT round(avg(r), 6) AS mean_spearman, count(r) AS n_cells, count(*) FILTER (WHERE n < 6) AS n_short, count(*) FILTER (WHERE n >= 6 AND r IS NULL) AS n_constant FROM s""")
+@query(f"""WITH {SKILL}, d AS (SELECT cell, month, observed - climatology AS o, persistence - climatology AS p FROM sk), r AS (SELECT *, {RANKED.format(k='cell', x='o')} AS a, {RANKED.format(k='cell', x='p')} AS c FROM d),
+    s AS (SELECT cell, count(DISTINCT month) AS m, count(DISTINCT round(o, 12)) AS k, CASE WHEN count(*) >= 3 AND min(a) < max(a) AND min(c) < max(c) THEN corr(a, c) END AS r FROM r GROUP BY 1)
+    SELECT round(avg(r) FILTER (WHERE m >= 4 AND k >= 3), 6) AS mean_spearman, count(r) FILTER (WHERE m >= 4 AND k >= 3) AS n_scored, count(*) AS n_cells, count(*) FILTER (WHERE m < 4) AS n_short,
+        count(*) FILTER (WHERE m >= 4 AND k < 3) AS n_constant, count(*) FILTER (WHERE m >= 4 AND k >= 3 AND r IS NULL) AS n_undefined FROM s""")
 def residual_correlation(spark, sf):
     return rounded(metrics.residual_correlation(_skill(spark, sf), "cell", "observed", "persistence", "climatology"), mean_spearman=6)
 
@@ -306,9 +307,21 @@ def presence_ranking(spark, sf):
     return rounded(metrics.rank_auc(p, ["sensor"], "y", "p"), auc=6, brier=6)
 
 
-@query(f"""WITH {PANEL}, v AS (SELECT (cover >= 0.5)::INT AS t, rain AS s FROM panel), m AS (SELECT min(s) AS lo, max(s) AS hi, count(*) AS n, sum(t) AS p FROM v),
-    w AS (SELECT CAST(i AS INT) AS bin, lo + i * (hi - lo) * 0.9 / 9 AS low, lo + i * (hi - lo) * 0.9 / 9 + (hi - lo) * 0.1 AS high, n AS nn, p AS pp FROM m, generate_series(0, 9) g(i))
-    SELECT bin, round(low, 4) AS low, round(high, 4) AS high, round((sum(t) / any_value(pp)) / (count(*) / any_value(nn)), 6) AS enrichment, count(*) AS n FROM w JOIN v ON s >= low AND s <= high + 1e-12 GROUP BY 1, 2, 3""")
+BOYCE = f"""{PANEL}, v AS (SELECT (cover >= 0.5)::INT AS t, rain / (SELECT max(rain) FROM panel) AS s FROM panel), w AS (SELECT CAST(i AS INT) AS bin, i * 0.1::DOUBLE AS low, i * 0.1::DOUBLE + 0.1 AS high FROM generate_series(0, 9) g(i)),
+    bw AS (SELECT bin, low, high, count(t) AS n, avg(t) / (SELECT avg(t) FROM v) AS enrichment FROM w LEFT JOIN v ON s >= low AND (s < high OR (bin = 9 AND s <= high + 1e-12)) GROUP BY 1, 2, 3)"""
+
+
+def _scores(spark, sf):
+    p = b.panel(spark, sf)
+    return p.join(F.broadcast(p.agg(F.max("rain").alias("_most")))).select((F.col("cover") >= 0.5).cast("int").alias("t"), (F.col("rain") / F.col("_most")).alias("s"))
+
+
+@query(f"WITH {BOYCE} SELECT bin, round(low, 6) AS low, round(high, 6) AS high, n, round(enrichment, 6) AS enrichment FROM bw")
 def boyce_windows(spark, sf):
-    p = b.panel(spark, sf).select((F.col("cover") >= 0.5).cast("int").alias("t"), F.col("rain").alias("s"))
-    return rounded(metrics.boyce(p, "t", "s"), low=4, high=4, enrichment=6)
+    return rounded(metrics.boyce_windows(_scores(spark, sf), "t", "s"), low=6, high=6, enrichment=6)
+
+
+@query(f"""WITH {BOYCE}, k AS (SELECT 1 AS g, * FROM bw WHERE enrichment IS NOT NULL), r AS (SELECT {RANKED.format(k='g', x='low')} AS a, {RANKED.format(k='g', x='enrichment')} AS c FROM k)
+    SELECT count(*) AS n, CASE WHEN count(*) >= 3 AND min(a) < max(a) AND min(c) < max(c) THEN round(corr(a, c), 6) END AS boyce FROM r""")
+def boyce_index(spark, sf):
+    return rounded(metrics.boyce(_scores(spark, sf), "t", "s"), boyce=6)

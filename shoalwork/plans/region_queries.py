@@ -9,7 +9,7 @@ from ..functions import columns as fn
 from ..operators import catalog, folds, metrics, panel, regions, rules, temporal, texture, zonal
 from . import bindings as b
 from .bindings import OBS, PANEL, PIXELS, REGIONS
-from .panel_queries import LATTICE, lattice
+from .panel_queries import lattice
 from .pixel_queries import SKILL, _skill
 from .registry import query, rounded
 
@@ -22,7 +22,7 @@ def setting_classes(spark, sf):
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_acctbal - 5000 AS dx, s_nationkey - 12 AS dy FROM supplier), t AS (SELECT s_suppkey, (CASE WHEN dy > 3.75 THEN 'N' WHEN dy < -3.75 THEN 'S' ELSE '' END) || (CASE WHEN dx > 1500 THEN 'E' WHEN dx < -1500 THEN 'W' ELSE '' END) AS t FROM s)
-    SELECT s_suppkey, CASE WHEN t = '' THEN 'C' ELSE t END AS tag FROM t""")
+    SELECT s_suppkey, CASE WHEN t = '' THEN 'central' ELSE t END AS tag FROM t""")
 def compass_tags(spark, sf):
     return b.table(spark, sf, "supplier").select("s_suppkey", regions.compass_tag(F.col("s_acctbal") - 5000, F.col("s_nationkey") - 12, 10000.0, 25.0).alias("tag"))
 

@@ -6,10 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import calendar, catalog, components, folds, metrics, panel, stats, temporal
+from ..operators import catalog, components, folds, panel, stats, temporal
 from . import bindings as b
 from .bindings import LINES, OBS, PANEL, REGIONS
-from .panel_queries import CLIMATOLOGY, split_panel
 from .registry import query, rounded
 
 DAILY = OBS + ", daily AS (SELECT point, day, avg(value) AS value, count(*) AS n, any_value(point) AS p FROM obs WHERE point IS NOT NULL GROUP BY 1, 2)"
@@ -91,9 +90,9 @@ def antecedent_sum(spark, sf):
 
 
 @query(f"""WITH {DAILY} SELECT point, round(sum(value), 4) AS total, round(max(value), 6) AS largest_day, count(*) FILTER (WHERE value >= 20) AS wet_days, count(*) FILTER (WHERE value >= 80) AS spikes,
-    round(coalesce(sum(CASE WHEN value >= 20 THEN value END) / nullif(count(*) FILTER (WHERE value >= 20), 0), 0), 5) AS intensity FROM daily GROUP BY 1""")
+    round(coalesce(sum(value) / nullif(count(*) FILTER (WHERE value >= 20), 0), 0), 9) AS intensity FROM daily GROUP BY 1""")
 def rain_intensity(spark, sf):
-    return rounded(temporal.wet_days(daily(spark, sf), ["point"], "value", 20.0, 80.0), total=4, largest_day=6, intensity=5)
+    return rounded(temporal.wet_days(daily(spark, sf), ["point"], "value", 20.0, 80.0), total=4, largest_day=6, intensity=9)
 
 
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
@@ -320,7 +319,7 @@ def wind_components(spark, sf):
     return rounded(e.select("event_id", *(c.alias(n) for n, c in got.items())), speed=6, direction=6, along=6, across=6)
 
 
-@query(f"""WITH {PANEL} SELECT cell, month, round(ln(greatest(least(cover, 1 - 1e-4), 1e-4) / (1 - greatest(least(cover, 1 - 1e-4), 1e-4))), 6) AS logit, round(ln(cover + 1e-4), 6) AS log, round(greatest(least(cover, 1 - 1e-4), 1e-4), 6) AS back FROM panel""")
+@query(f"""WITH {PANEL} SELECT cell, month, round(ln(greatest(least(cover, 1 - 1e-4), 1e-4) / (1 - greatest(least(cover, 1 - 1e-4), 1e-4))), 6) AS logit, round(ln(greatest(cover, 1e-4)), 6) AS log, round(greatest(least(cover, 1 - 1e-4), 1e-4), 6) AS back FROM panel""")
 def response_transforms(spark, sf):
     c = F.col("cover")
     out = b.panel(spark, sf).select("cell", "month", fn.transform(c).alias("logit"), fn.transform(c, "log").alias("log"), fn.inverse_transform(fn.transform(c)).alias("back"))
