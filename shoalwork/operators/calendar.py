@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.columns import month_index
 
 
-def densify(df: DataFrame, keys: list[str], month: str = "month", whole: bool = False) -> DataFrame:
-    """A row for every month between each key's first and last (whole: the table's); nulls for gaps."""
-    spans = df.groupBy(*keys).agg(F.min(month).alias("_a"), F.max(month).alias("_b"))
-    if whole:
-        spans = spans.select(*keys).join(F.broadcast(df.agg(F.min(month).alias("_a"), F.max(month).alias("_b"))))
-    grid = spans.select(*keys, F.explode(F.sequence(F.col("_a").cast("date"), F.col("_b").cast("date"), F.expr("interval 1 month"))).alias(month))
-    return grid.join(df, [*keys, month], "left")
+def densify(df: DataFrame, keys: list[str], month: str = "month") -> DataFrame:
+    """A row for every month between each key's first and last; nulls for gaps.
+
+    Every row stands for itself and for the missing months up to the next one, so the table is read once and not
+    joined to a calendar.
+    """
+    after = F.lead(month).over(Window.partitionBy(*keys).orderBy(month))
+    until = F.greatest(F.col(month), F.coalesce(F.add_months(after, -1), F.col(month)))
+    rows = df.withColumn("_until", until).withColumn("_month", F.explode(F.sequence(F.col(month).cast("date"), F.col("_until").cast("date"), F.expr("interval 1 month"))))
+    own = F.col("_month") == F.col(month)
+    return rows.select(*keys, F.col("_month").alias(month), *(F.when(own, F.col(c)).alias(c) for c in df.columns if c not in (*keys, month)))
 
 
 def calendar_lag(df: DataFrame, keys: list[str], columns: list[str], months: int = 1, month: str = "month", suffix: str | None = None) -> DataFrame:

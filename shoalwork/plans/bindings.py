@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 LEAST_FRACTION = 0.4  # a cell-month is valid with so much of its cell's largest number of lines; the rest are gaps
 
 
@@ -42,6 +44,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full_panel(spark, sf_dir).withColumn("_f", fraction).filter(F.col("_f") >= LEAST_FRACTION).drop("_f")
 
 
+def panel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as a table, for queries that read it more than once: lines are scanned and joined one time."""
+    return materialize(panel(spark, sf_dir), "panel")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as pixels: scene (priority as sensor, month), class of the model and of the rule, probability."""
     q = F.col("l_quantity")

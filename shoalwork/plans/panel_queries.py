@@ -113,21 +113,21 @@ def season_terms(spark, sf):
     SELECT month, n_cells, n_eligible, round(cell_fraction, 6) AS cell_fraction, round(area_fraction, 6) AS area_fraction, NOT (cell_fraction < 0.5 OR area_fraction < 0.4) AS kept,
         CASE WHEN cell_fraction < 0.5 AND area_fraction < 0.4 THEN 'few cells; small area' WHEN cell_fraction < 0.5 THEN 'few cells' WHEN area_fraction < 0.4 THEN 'small area' ELSE 'kept' END AS reason FROM a""")
 def coverage_audit(spark, sf):
-    a = panel.coverage_audit(b.panel(spark, sf), "cell", "valid", 0.5, 0.4)
+    a = panel.coverage_audit(b.panel_table(spark, sf), "cell", "valid", 0.5, 0.4)
     return rounded(a.select("month", "n_cells", "n_eligible", "cell_fraction", "area_fraction", "kept", "reason"), cell_fraction=6, area_fraction=6)
 
 
 @query(f"""WITH {PANEL}, m AS (SELECT month, count(DISTINCT cell) / (SELECT count(DISTINCT cell) FROM panel) AS f FROM panel GROUP BY month)
     SELECT p.cell, p.month, round(p.cover, 6) AS cover FROM panel p JOIN m USING (month) WHERE f >= 0.5""")
 def covered_months(spark, sf):
-    p = b.panel(spark, sf)
+    p = b.panel_table(spark, sf)
     return rounded(panel.covered_months(p, panel.coverage_audit(p, "cell", "valid", 0.5)).select("cell", "month", "cover"), cover=6)
 
 
 @query(f"""WITH {PANEL}, t AS (SELECT count(DISTINCT month) AS n_months FROM panel), s AS (SELECT cell, count(DISTINCT month) AS n_seen FROM panel GROUP BY cell)
     SELECT cell, n_seen, n_months, round(n_seen / n_months, 6) AS month_fraction, n_seen / n_months >= 0.5 AS steady FROM s, t""")
 def fixed_cell_set(spark, sf):
-    return rounded(panel.steady_cells(b.panel(spark, sf), "cell", 0.5), month_fraction=6)
+    return rounded(panel.steady_cells(b.panel_table(spark, sf), "cell", 0.5), month_fraction=6)
 
 
 @query(f"""WITH {PANEL} SELECT month, round(sum(target), 2) AS target, round(sum(valid), 2) AS valid, count(DISTINCT cell) AS n_cells, round(sum(target) / sum(valid), 6) AS cover,
@@ -143,7 +143,7 @@ def weighted_driver_mean(spark, sf):
     SELECT region, month, n_cells, round(cell_fraction, 6) AS cell_fraction, round(area_fraction, 6) AS area_fraction, (cell_fraction >= 0.6 AND area_fraction >= 0.4) AS passes,
         CASE WHEN cell_fraction >= 0.6 AND area_fraction >= 0.4 THEN round(cover, 6) END AS cover, CASE WHEN cell_fraction >= 0.6 AND area_fraction >= 0.4 THEN round(driver, 6) END AS driver FROM x""")
 def regional_panel(spark, sf):
-    out = panel.regional_series(b.panel(spark, sf), b.regions(spark, sf), "cell", "target", "valid", ["driver"], 0.6, 0.4)
+    out = panel.regional_series(b.panel_table(spark, sf), b.regions(spark, sf), "cell", "target", "valid", ["driver"], 0.6, 0.4)
     return rounded(out.select("region", "month", "n_cells", "cell_fraction", "area_fraction", "passes", "cover", "driver"), cell_fraction=6, area_fraction=6, cover=6, driver=6)
 
 
@@ -185,7 +185,7 @@ CLIMATOLOGY = f"""{PANEL}, cut AS (SELECT min(mi) + CAST(floor(0.7 * (max(mi) -
 
 def split_panel(spark, sf):
     """Training and later months of the panel, and the test rows with climatology and persistence."""
-    p = b.panel(spark, sf)
+    p = b.panel_table(spark, sf)
     p = p.withColumn("mi", panel.mi())
     cut = F.broadcast(p.agg((F.min("mi") + F.floor(0.7 * (F.max("mi") - F.min("mi")))).alias("_cut")))
     both = p.join(cut)
@@ -200,13 +200,13 @@ def climatology_fallback(spark, sf):
 
 @query(f"""WITH {PANEL} SELECT cell, month, round(cover - avg(cover) OVER (PARTITION BY cell) - avg(cover) OVER (PARTITION BY month) + (SELECT avg(cover) FROM panel), 6) + 0 AS demeaned FROM panel""")
 def two_way_demean(spark, sf):
-    d = panel.two_way_demean(b.panel(spark, sf), "cover", ["cell", "month"])
+    d = panel.two_way_demean(b.panel_table(spark, sf), "cover", ["cell", "month"])
     return d.select("cell", "month", (F.round("demeaned", 6) + 0).alias("demeaned"))
 
 
 @query(f"WITH {PANEL}, s AS (SELECT avg(cover) AS m, stddev_samp(cover) AS sd, avg(rain) AS rm, stddev_samp(rain) AS rsd FROM panel) SELECT cell, month, round((cover - m) / sd, 5) + 0 AS cover_z, round((rain - rm) / rsd, 5) + 0 AS rain_z FROM panel, s")
 def zscores(spark, sf):
-    z = panel.zscore(b.panel(spark, sf).select("cell", "month", "cover", "rain"), ["cover", "rain"])
+    z = panel.zscore(b.panel_table(spark, sf).select("cell", "month", "cover", "rain"), ["cover", "rain"])
     return z.select("cell", "month", *((F.round(c, 5) + 0).alias(c) for c in ("cover_z", "rain_z")))
 
 
@@ -250,7 +250,7 @@ def grid_neighbours(spark, sf):
 @query(f"""WITH {PANEL}, {EDGES}, a AS (SELECT e.cell, p.month, avg(p.cover) AS v FROM edges e JOIN panel p ON p.cell = e.neighbor GROUP BY 1, 2)
     SELECT p.cell, p.month, round(a.v, 6) AS cover_around_lag1 FROM panel p LEFT JOIN a ON a.cell = p.cell AND a.month + INTERVAL 1 MONTH = p.month""")
 def neighbour_lag(spark, sf):
-    out = zonal.neighbour_lag(b.panel(spark, sf), zonal.neighbours(lattice(spark, sf)), "cover")
+    out = zonal.neighbour_lag(b.panel_table(spark, sf), zonal.neighbours(lattice(spark, sf)), "cover")
     return rounded(out.select("cell", "month", "cover_around_lag1"), cover_around_lag1=6)
 
 
@@ -263,7 +263,7 @@ def mask_outline(spark, sf):
 @query(f"""WITH {PANEL}, {EDGES}, m AS (SELECT cell, avg(cover) AS v FROM panel GROUP BY 1), d AS (SELECT cell, v - (SELECT avg(v) FROM m) AS d FROM m)
     SELECT (SELECT count(*) FROM d) AS n, count(*) AS n_edges, round((SELECT count(*) FROM d) / count(*) * sum(x.d * y.d) / (SELECT sum(d * d) FROM d), 6) AS moran FROM edges e JOIN d x ON x.cell = e.cell JOIN d y ON y.cell = e.neighbor""")
 def morans_i(spark, sf):
-    v = b.panel(spark, sf).groupBy("cell").agg(F.avg("cover").alias("v"))
+    v = b.panel_table(spark, sf).groupBy("cell").agg(F.avg("cover").alias("v"))
     return rounded(zonal.moran(v, zonal.neighbours(lattice(spark, sf)), "v"), moran=6)
 
 

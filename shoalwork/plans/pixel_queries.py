@@ -188,18 +188,18 @@ ACF = f"""{PANEL}, d AS (SELECT cell, mi, cover - avg(cover) OVER (PARTITION BY
 
 @query(f"WITH {ACF} SELECT cell, lag, n_pairs, n, round(s / nullif(ss, 0), 6) AS acf FROM acf JOIN t USING (cell)")
 def acf_calendar(spark, sf):
-    return rounded(metrics.autocorrelation(b.panel(spark, sf), ["cell"], "cover", 6), acf=6)
+    return rounded(metrics.autocorrelation(b.panel_table(spark, sf), ["cell"], "cover", 6), acf=6)
 
 
 @query(f"WITH {ACF} SELECT cell, round(sum(n::DOUBLE * (n + 2) * (s / ss) ** 2 / nullif(n - lag, 0)), 5) AS q, count(*) AS df FROM acf JOIN t USING (cell) WHERE ss > 0 AND n_pairs > 2 GROUP BY 1")
 def ljung_box(spark, sf):
-    return rounded(metrics.ljung_box(metrics.autocorrelation(b.panel(spark, sf), ["cell"], "cover", 6), ["cell"]), q=5)
+    return rounded(metrics.ljung_box(metrics.autocorrelation(b.panel_table(spark, sf), ["cell"], "cover", 6), ["cell"]), q=5)
 
 
 @query(f"""WITH {PANEL}, p AS (SELECT x.cell, x.mi - y.mi AS lag, y.rain AS d, x.cover AS r FROM panel x JOIN panel y ON x.cell = y.cell AND x.mi - y.mi BETWEEN 0 AND 4)
     SELECT cell, CAST(lag AS INT) AS lag, count(*) AS n_pairs, CASE WHEN count(*) >= 8 AND min(d) < max(d) AND min(r) < max(r) THEN round(corr(d, r), 6) END AS ccf FROM p GROUP BY 1, 2""")
 def ccf_calendar(spark, sf):
-    return rounded(metrics.cross_correlation(b.panel(spark, sf), ["cell"], "rain", "cover", 4), ccf=6)
+    return rounded(metrics.cross_correlation(b.panel_table(spark, sf), ["cell"], "rain", "cover", 4), ccf=6)
 
 
 SKILL = f"""{CLIMATOLOGY}, sk AS (SELECT c.cell, c.month, c.valid, c.cover AS observed, c.climatology, l.cover AS persistence FROM clim c JOIN panel l ON l.cell = c.cell AND l.mi = c.mi - 1)"""
@@ -251,7 +251,7 @@ def residual_correlation(spark, sf):
 @query(f"""WITH {PANEL}, x AS (SELECT cover AS x, avg(cover) OVER (PARTITION BY month) AS xm, avg(cover) OVER (PARTITION BY cell) AS xr, (SELECT avg(cover) FROM panel) AS g FROM panel)
     SELECT count(*) AS n, round(sum((x - g) ** 2), 5) AS ss_total, round(sum((xm - g) ** 2), 5) AS ss_month, round(sum((xr - g) ** 2), 5) AS ss_region, round(sum((x - xm) ** 2), 5) AS ss_within_month, round(sum((x - xm - xr + g) ** 2), 5) AS ss_interaction FROM x""")
 def variance_decomposition(spark, sf):
-    out = metrics.variance_parts(b.panel(spark, sf), "cover", "cell")
+    out = metrics.variance_parts(b.panel_table(spark, sf), "cover", "cell")
     return rounded(out, **{c: 5 for c in out.columns if c != "n"})
 
 
@@ -281,7 +281,7 @@ def presence_inventory(spark, sf):
 @query(f"""WITH {PANEL}, q AS (SELECT quantile_cont(rain, 1 / 3::DOUBLE) AS a, quantile_cont(rain, 2 / 3::DOUBLE) AS c FROM panel)
     SELECT CAST(1 + (rain > a)::INT + (rain > c)::INT AS INT) AS tertile, count(*) AS n, round(avg(cover), 6) AS mean_cover FROM panel, q GROUP BY 1""")
 def quantile_tertiles(spark, sf):
-    t = metrics.quantile_groups(b.panel(spark, sf), "rain")
+    t = metrics.quantile_groups(b.panel_table(spark, sf), "rain")
     return rounded(t.groupBy("tertile").agg(F.count("*").alias("n"), F.avg("cover").alias("mean_cover")), mean_cover=6)
 
 
@@ -312,7 +312,7 @@ BOYCE = f"""{PANEL}, v AS (SELECT (cover >= 0.5)::INT AS t, rain / (SELECT max(r
 
 
 def _scores(spark, sf):
-    p = b.panel(spark, sf)
+    p = b.panel_table(spark, sf)
     return p.join(F.broadcast(p.agg(F.max("rain").alias("_most")))).select((F.col("cover") >= 0.5).cast("int").alias("t"), (F.col("rain") / F.col("_most")).alias("s"))
 
 

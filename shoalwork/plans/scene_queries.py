@@ -221,7 +221,7 @@ REG = f"{PANEL}, z AS (SELECT cover AS y, rain / 1000 AS x1, driver * 10 AS x2,
 
 
 def regression_rows(spark, sf):
-    return b.panel(spark, sf).filter("driver is not null").select(F.col("cover").alias("y"), (F.col("rain") / 1000).alias("x1"), (F.col("driver") * 10).alias("x2"), "month", "cell", "valid")
+    return b.panel_table(spark, sf).filter("driver is not null").select(F.col("cover").alias("y"), (F.col("rain") / 1000).alias("x1"), (F.col("driver") * 10).alias("x2"), "month", "cell", "valid")
 
 
 @query(f"""WITH {REG} SELECT 'one' AS term, round(regr_intercept(y, x1), 6) AS estimate, round(regr_r2(y, x1), 6) AS r2, count(*) AS n FROM z UNION ALL SELECT 'x1', round(regr_slope(y, x1), 6), round(regr_r2(y, x1), 6), count(*) FROM z""")
@@ -347,7 +347,7 @@ def top_failures(spark, sf):
 @query(f"""WITH {PANEL}, a AS (SELECT DISTINCT month FROM panel WHERE cell < 12), c AS (SELECT DISTINCT month FROM panel WHERE cell >= 12), both_ AS (SELECT * FROM a INTERSECT SELECT * FROM c), only_a AS (SELECT * FROM a EXCEPT SELECT * FROM c)
     SELECT 'common' AS part, count(*) AS n FROM both_ UNION ALL SELECT 'first only', count(*) FROM only_a""")
 def month_sets(spark, sf):
-    p = b.panel(spark, sf)
+    p = b.panel_table(spark, sf)
     a, c = p.filter("cell < 12").select("month").distinct(), p.filter("cell >= 12").select("month").distinct()
     return a.intersect(c).agg(F.lit("common").alias("part"), F.count("*").alias("n")).unionByName(a.exceptAll(c).agg(F.lit("first only").alias("part"), F.count("*").alias("n")))
 
