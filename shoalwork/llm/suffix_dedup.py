@@ -34,7 +34,7 @@ PASSES = 3  # the names of single windows are counted part by part, which bounds
 RUN_BITS = 16  # a run of windows is one long: its first window, and in so many bits how many more there are
 ANCHORS = "uid long, anchor long, context long, run long"
 WINDOWS = "uid long, w long, p int"
-RESULT = "uid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
+RESULT = "uid long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept string"
 _BYTE_NAMES = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 _A, _B, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(32)
 
@@ -193,9 +193,9 @@ def _remove(rows: DataFrame, length: int, keep: bool) -> DataFrame:
                     if keep:
                         parts.append(view[at:a])
                     at = b
-                rows.append((key, sum(b - a for a, b in spans), len(spans), sha.hexdigest(), [{"start": a, "end": b} for a, b in spans], b"".join(parts) if keep else None))
+                rows.append((key, sum(b - a for a, b in spans), len(spans), sha.hexdigest(), [{"start": a, "end": b} for a, b in spans], b"".join(parts).decode("utf-8", "ignore") if keep else None))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["uid", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     return rows.mapInArrow(work, RESULT)
@@ -205,7 +205,8 @@ def repeats(docs: DataFrame, length: int = 200, keep: bool = False) -> DataFrame
     """The stretches of every text that lie in a string of `length` bytes that also starts anywhere else.
 
     Returns one row for each text with such bytes: uid (hash of doc_id and text), n_removed, n_spans, kept_sha256 of
-    the remaining bytes, spans (start, end) and, if asked for, kept (the remaining bytes). Matches lie within one
+    the remaining bytes, spans (start, end) and, if asked for, kept (the text of the remaining bytes; those left
+    of a character cut in two are dropped). Matches lie within one
     document; overlapping ones in the same document count, and so do rows that repeat another. Null
     texts count as empty. Rows alike in doc_id and text give rows alike.
     """
@@ -213,9 +214,9 @@ def repeats(docs: DataFrame, length: int = 200, keep: bool = False) -> DataFrame
         raise ValueError(f"length must be under {1 << RUN_BITS}")
     spark = docs.sparkSession
     every = materialize(_find_anchors(docs, length), "anchors")
-    company = every.groupBy("anchor").count().filter("count > 1").select("anchor")
+    company = materialize(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "company")  # a table, so that Spark can split a hot anchor in the join
     found = materialize(every.join(company, "anchor", "left_semi"), "anchors")
-    release(spark, every)
+    release(spark, every, company)
     place = F.xxhash64("uid", "run")
     contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min(place).alias("first"))
     many = contexts.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
@@ -234,9 +235,10 @@ def repeats(docs: DataFrame, length: int = 200, keep: bool = False) -> DataFrame
     found = []
     for k in range(PASSES):
         some = windows.filter(F.pmod("w", F.lit(PASSES)) == k)
-        twice = some.groupBy("w").count().filter("count > 1").select("w")
-        found.append(materialize(some.join(twice, "w", "left_semi").select("uid", "p"), "repeated"))
+        twice = materialize(some.groupBy("w").count().filter("count > 1").select("w"), "twice")
         release(spark)
+        found.append(materialize(some.join(twice, "w", "left_semi").select("uid", "p"), "repeated"))
+        release(spark, twice)
     single = reduce(DataFrame.unionByName, found).groupBy("uid").agg(F.collect_list("p").alias("single"))
     release(spark, windows)
     places = runs.select("uid", "whole").join(single, "uid", "left").filter((F.size("whole") > 0) | F.col("single").isNotNull())
@@ -256,13 +258,6 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with the repeated bytes taken out of text; bytes left of a character cut in two go as well."""
-    found = repeats(docs, length, keep=True)
-
-    def decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            texts = [v.decode("utf-8", "ignore") for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_uid", "_text"])
-
-    new = found.select("uid", "kept").mapInArrow(decode, "_uid long, _text string").dropDuplicates(["_uid"])
+    new = repeats(docs, length, keep=True).select(F.col("uid").alias("_uid"), F.col("kept").alias("_text")).dropDuplicates(["_uid"])
     joined = docs.withColumn("_uid", uid()).join(new, "_uid", "left")
     return joined.select(*(F.coalesce("_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
