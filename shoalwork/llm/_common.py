@@ -45,16 +45,16 @@ class WordCache:
     Both byte-level and whitespace-dropping pre-tokenizers cut at the boundaries of DOC_SPLIT
     (before an isolated space, around other white space), so the ids of a text are those of its
     parts, joined. `keep_space` says whether a word's leading space belongs to it. The cache holds at
-    most `limit` words and starts afresh beyond that.
+    most `limit` words; beyond that it starts afresh, and keeps the one before to take words from.
     """
 
-    def __init__(self, path: str, keep_space: bool, limit: int = 600_000):
+    def __init__(self, path: str, keep_space: bool, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep_space, self.limit, self.seen, self.rare = keep_space, limit, {}, set()
+        self.keep_space, self.limit, self.seen, self.old, self.rare = keep_space, limit, {}, {}, set()
 
     def parts(self, text: str) -> list[str]:
         if self.keep_space:
@@ -70,20 +70,26 @@ class WordCache:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.parts(t) for t in texts]
+        every = set(itertools.chain.from_iterable(parts))
         if self.keep_space:
-            every = set(itertools.chain.from_iterable(parts))
-            self.rare.update(p for p in every.difference(self.seen) if not PLAIN_PART.fullmatch(p))
+            self.rare.update(p for p in every.difference(self.seen).difference(self.old) if not PLAIN_PART.fullmatch(p))
             if not self.rare.isdisjoint(every):
                 parts = [p if self.rare.isdisjoint(p) else self.rare_parts(t) for p, t in zip(parts, texts)]
-        every = set(itertools.chain.from_iterable(parts))
-        fresh = every.difference(self.seen)
-        if len(self.seen) + len(fresh) > self.limit and self.seen:
-            self.seen, self.rare, fresh = {}, {p for p in self.rare if p in every}, every
-        if fresh:
-            self.learn(fresh)
+                every = set(itertools.chain.from_iterable(parts))
+        self.admit(every)
         get = self.seen.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
+    def admit(self, words: set[str]) -> None:
+        """Sees to it that every word is in `seen`: carried over from `old`, or encoded."""
+        fresh = words.difference(self.seen)
+        if self.seen and len(self.seen) + len(fresh) > self.limit:
+            self.old, self.seen, self.rare, fresh = self.seen, {}, self.rare & words, words
+        for word in fresh.intersection(self.old):
+            self.seen[word] = self.old[word]
+        fresh = fresh.difference(self.seen)
+        if fresh:
+            self.learn(fresh)
 
     def learn(self, words) -> None:
         """Encodes plain words many to a line, which costs less than one by one; offsets tell them apart."""
