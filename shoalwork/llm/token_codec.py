@@ -28,6 +28,7 @@ from ._common import batches, doc_texts, materialize, word_cache
 MAGIC = b"TCB1"
 HEAD = struct.Struct("<4sIIIII")  # magic, documents, ids, lanes, vocabulary, crc32 of the ids
 BLOCK_IDS, MOST_LANES, LEAST_STEPS = 1 << 19, 2048, 256
+NO_ID = -(2**63)  # stands for a null doc_id
 FLAG_BITS, ID_BITS, HASH_BITS = 9, 19, 18
 TOP, BOTTOM = np.uint64(48), np.uint64(1 << 32)
 U16, U32 = np.uint64(16), np.uint64(32)
@@ -168,7 +169,8 @@ def decode_ids(data: bytes, n: int, lanes: int, vocab: int) -> np.ndarray:
         x = np.where(kind == 0, mixer.q2, mixer.q1)
         rest = np.flatnonzero(kind == 2)
         own = size[rest]
-        ids = np.searchsorted(mixer.cum0, (value[rest] - start[rest]) // own, "right") - 1
+        inner = ((value[rest] - start[rest]) / own).astype(np.int64)  # exact: under 2**28 by under 2**9
+        ids = np.searchsorted(mixer.cum0, inner, "right") - 1
         x[rest] = ids
         size <<= ID_BITS
         start[rest] += own * mixer.cum0[ids]
@@ -221,7 +223,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocab: int =
 
     Documents are dealt by ranges of doc_id, so the text is what is shuffled, once. A document lies
     in one block; a block ends with the document that brings it to block_ids. Repeated doc_ids stay
-    side by side in the order of their texts.
+    side by side in the order of their texts. A null doc_id comes first, and is null again when read.
     """
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +246,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocab: int =
         if held:
             yield flush()
 
-    rows = doc_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).cast("long")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(rows.mapInArrow(code, BLOCKS), "tokens")
 
 
@@ -271,4 +273,4 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
     files = files.select("file_no", before.alias("_file"))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file_no").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("_block", inside).join(files, "file_no").select("file_no", "block_no", (F.col("_file") + F.col("_block")).alias("_start"))
-    return rows.join(starts, ["file_no", "block_no"]).select("doc_id", (F.col("_start") + F.col("_in_block")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(starts, ["file_no", "block_no"]).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("_start") + F.col("_in_block")).alias("start"), "n_tokens", "ids_crc32")
