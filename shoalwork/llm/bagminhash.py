@@ -7,9 +7,10 @@ falls to it; two texts agree in a slot with the probability of their weighted Ja
 stop once they pass the largest slot. Bands of slots give candidates, and every candidate's multiset
 overlap is counted out before it links two texts.
 
-Equal texts are one node from the start. In each bucket all nodes are compared with the bucket's least
-node; only where a bucket still holds more than one component afterwards are its nodes of different
-components compared with each other. So groups of copies cost a star, not all pairs, and no link
+Equal texts are one node from the start. All pairs of a bucket are compared, each pair once over all its
+buckets. Those of small buckets are rows. Nodes of a large bucket are dealt into blocks, and two
+blocks at a time are compared by products of matrices, which puts out one row for each node (how many links it has, and
+the least node that it reaches), so rows grow with the nodes of a bucket and not with their pairs. No link
 between different texts is lost but by banding (under 1e-5 for a similarity of 0.8, less above).
 """
 
@@ -31,6 +32,8 @@ WORDS, BANDS, ROWS = 5, 30, 5
 SLOTS = BANDS * ROWS
 WORD = re.compile(r"\w+")
 TABLE_BITS = 16
+LARGE = 32  # nodes of a bucket above which its pairs are not rows
+BLOCK_NODES, BLOCK_ELEMENTS = 1024, 1 << 20  # of a large bucket, in a block, about
 NO_ID = 2**63 - 1  # stands for a null doc_id
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SIGNED = "doc_id long, node long, bands array<long>, s0 long, s1 long, s2 long, size int, elements array<int>"
@@ -173,10 +176,79 @@ def _overlaps(x: Column, y: Column, threshold: float) -> Column:
     return both >= F.lit(threshold) * (F.size(x) + F.size(y) - both) - 1e-9
 
 
+def _common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share. Elements that many sets hold are multiplied out, others paired off."""
+    n = len(sets)
+    of = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = np.zeros((n, n), np.float32)
+    dense = np.flatnonzero(times > 16)
+    place = np.full(len(times), -1)
+    place[dense] = np.arange(len(dense))
+    at = place[column]
+    for low in range(0, len(dense), 2048):
+        here = (at >= low) & (at < low + 2048)
+        x = np.zeros((n, min(2048, len(dense) - low)), np.float32)
+        x[of[here], at[here] - low] = 1
+        both += x @ x.T
+    few = (at < 0) & (times[column] > 1)
+    order = np.lexsort((of[few], column[few]))
+    of, column = of[few][order], column[few][order]
+    for k in range(1, 16):
+        same = np.flatnonzero(column[k:] == column[:-k])
+        if not len(same):
+            break
+        np.add.at(both, (of[same], of[same + k]), 1)
+        np.add.at(both, (of[same + k], of[same]), 1)
+    return both
+
+
+def _links_of_part(table: pa.Table, threshold: float) -> pa.Table:
+    """node, n (its links to nodes of this part of a bucket) and root (the least node it reaches by them).
+
+    A part is one block, or two of which only pairs across count. A pair that shares several large buckets counts in the one of least key.
+    """
+    key, crossed = table["key"][0].as_py(), table["low"][0].as_py() != table["high"][0].as_py()
+    table = table.sort_by("node")
+    nodes, block = table["node"].to_numpy(), table["block"].to_numpy()
+    sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in table["elements"]]
+    size, both = np.array([len(s) for s in sets], np.float64), _common_counts(sets).astype(np.float64)
+    linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+    np.fill_diagonal(linked, False)
+    if crossed:
+        linked &= block[:, None] != block[None, :]
+    before = [[k for k in keys if k < key] for keys in table["large"].to_pylist()]
+    names = {k: i for i, k in enumerate(sorted({k for keys in before for k in keys}))}
+    for low in range(0, len(names), 512):
+        x = np.zeros((len(nodes), min(512, len(names) - low)), np.float32)
+        for i, keys in enumerate(before):
+            for k in keys:
+                if low <= names[k] < low + 512:
+                    x[i, names[k] - low] = 1
+        linked &= x @ x.T == 0
+    root = np.arange(len(nodes))
+    while True:
+        new = np.minimum(root, np.where(linked, root[None, :], len(nodes)).min(1))
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return pa.table({"node": nodes, "n": linked.sum(1).astype(np.int64), "root": nodes[root]})
+
+
+def _compare_large(rows: DataFrame, threshold: float) -> DataFrame:
+    """Compares all nodes of each bucket: rows has key, node, elements and large (the keys of the node's large buckets)."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.size("elements")) / BLOCK_ELEMENTS)).cast("int")
+    dealt = rows.join(rows.groupBy("key").agg(blocks.alias("_blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "node", "elements", "large")
+    return dealt.groupBy("key", "low", "high").applyInArrow(lambda table: _links_of_part(table, threshold), "node long, n long, root long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The class of every row: doc_id, class_id (the least doc_id of its class) and n_links.
 
-    n_links counts the verified links of the row's text to other texts. Texts without a word are alike
+    n_links counts all verified links of the row's text to other texts. Texts without a word are alike
     only when equal; null texts count as empty. Rows that repeat a doc_id each get a row.
     A class has a null class_id if none of its rows has a doc_id. Similarity is that of the
     multisets of five-word shingles (words: runs of letters, digits and underscores, lower-cased).
@@ -202,24 +274,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         firsts = texts.select("node", F.col("first_doc").alias("doc_id"), "s0", "s1", "s2", "size").join(nodes, "node", "left_semi")
         return signed.select("node", "doc_id", "elements").join(firsts, ["node", "doc_id"]).groupBy("node").agg(*(F.first(c).alias(c) for c in ("s0", "s1", "s2", "size", "elements")))
 
-    stars = materialize(possible(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "stars")
-    sets = materialize(with_sets(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()).select("node", "elements"), "sets")
-    full = stars.join(sets.withColumnsRenamed({"node": "a", "elements": "_x"}), "a").join(sets.withColumnsRenamed({"node": "b", "elements": "_y"}), "b")
+    hot = shared.filter(F.col("n") > LARGE)
+    held = hot.groupBy("node").agg(F.collect_list("key").alias("large"))
+    x, y = (shared.filter(F.col("n") <= LARGE).join(held, "node", "left").alias(side) for side in "xy")
+    apart = F.coalesce(F.arrays_overlap("x.large", "y.large"), F.lit(False))  # such pairs are compared in their large bucket
+    small = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & ~apart)
+    pairs = materialize(possible(small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), "pairs")
+    sets = materialize(with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()).select("node", "elements"), "sets")
+    full = pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "_x"}), "a").join(sets.withColumnsRenamed({"node": "b", "elements": "_y"}), "b")
     links = materialize(full.filter(_overlaps(F.col("_x"), F.col("_y"), threshold)).select("a", "b"), "links")
-    found = materialize(connected_components(links), "components")
-    release(spark, sets, stars)
-    placed = shared.filter("n > 2").join(found, "node", "left").select("key", "hub", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
-    rest = materialize(placed.filter("node <> hub").join(mixed, "key", "left_semi"), "mixed")
-    rest = rest.join(materialize(with_sets(rest.select("node").distinct()), "sets"), "node")
-    x, y = rest.alias("x"), rest.alias("y")  # what links is told in the join itself, so it puts out links alone
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_reach("x", "y", threshold) & _overlaps(F.col("x.elements"), F.col("y.elements"), threshold))
-    more = materialize(crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "crossing")
-    if not more.isEmpty():
-        links = materialize(links.unionByName(more).distinct(), "links")
-        found = materialize(connected_components(links), "components")
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    release(spark, sets, pairs)
+    edges, counts = links, links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+    if not hot.isEmpty():
+        sets = materialize(with_sets(held.select("node")).select("node", "elements").join(held, "node"), "sets")
+        parts = materialize(_compare_large(hot.select("key", "node").join(sets, "node"), threshold), "parts")
+        edges = links.unionByName(parts.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        counts = counts.unionByName(parts.select("node", "n"))
+        release(spark, sets)
+    found = materialize(connected_components(edges), "components")
+    degree = counts.groupBy("node").agg(F.sum("n").alias("n_links"))
     classed = texts.select("node", "first_doc").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
     classed = materialize(classed.join(least, "component").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")

@@ -392,6 +392,29 @@ def test_near_duplicate_classes_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("large,block_nodes", [(32, 1024), (4, 5)])
+def test_near_duplicate_links_equal_brute_force(spark, monkeypatch, large, block_nodes):
+    """Groups of a dozen and of forty near-copies; large buckets whole, and dealt into many blocks."""
+    monkeypatch.setattr(bagminhash, "LARGE", large)
+    monkeypatch.setattr(bagminhash, "BLOCK_NODES", block_nodes)
+    r, docs = random.Random(8), near_docs()
+    for g, copies, edits in ((50, 12, 1), (51, 40, 1), (52, 40, 4)):
+        base = prose(g, 200).split()
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(r.randint(1, edits)):
+                words[r.randrange(len(words))] = f"w{r.randrange(9999)}"
+            docs.append((len(docs) + 1000, " ".join(words)))
+    bags = {t or "": bag(t or "") for _, t in docs}
+    links = Counter()
+    for t, x in bags.items():
+        for u, y in bags.items():
+            both = sum((x & y).values())
+            links[t] += t != u and bool(x) and both >= 0.8 * (sum(x.values()) + sum(y.values()) - both) - 1e-9
+    got = {row.doc_id: row.n_links for row in bagminhash.near_duplicates(spark.createDataFrame(rows_of(docs), SCHEMA)).collect()}
+    assert got == {i: links[t or ""] for i, t in docs} and max(got.values()) >= 30
+
+
 def test_near_duplicate_edges(edge_docs, empty_docs):
     docs = edge_docs
     got = Counter((r.doc_id, r.class_id) for r in bagminhash.near_duplicates(docs).collect())
