@@ -1,7 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
 Blocks (the sentences of every line) match a template when they hold at least `threshold` of its
-distinct words. Words are ordered by how many documents of the corpus hold them, rarest first. A
+distinct words. So do windows of consecutive words, whatever lines and stops part them, that are as long as
+the template and as many words more as may be missing. Words are ordered by how many documents of the corpus hold them, rarest first. A
 block can only match if it holds one of a template's first |T| - o + 1 words in that order, where o is
 the least overlap (prefix filter), if it has o words at all (length filter), and if enough words of
 the template remain from the place of its first hit on (positional filter). What passes is counted
@@ -14,6 +15,8 @@ all that reaches the driver is one count per template word. Everything runs in S
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +59,13 @@ def spaced_words(lowered: Column) -> Column:
 
 
 def template_index(templates, threshold: float, frequency: dict[str, int]) -> list[dict]:
-    """Each template's words in global order, least overlap and prefix."""
+    """Each template's words in global order, least overlap, prefix and length of a window."""
     out = []
     for number, (text, label) in enumerate(templates):
         words = sorted(set(text.split()), key=lambda w: (frequency.get(w, 0), w))
         least = max(1, math.ceil(threshold * len(words) - 1e-9))
-        out.append({"template": number, "label": label, "words": words, "least": least, "prefix": words[: len(words) - least + 1]})
+        span = len(text.split()) + len(words) - least
+        out.append({"template": number, "label": label, "words": words, "least": least, "span": span, "prefix": words[: len(words) - least + 1]})
     return out
 
 
@@ -102,6 +106,38 @@ def match_blocks(docs: DataFrame, index: list[dict]) -> DataFrame:
     )
 
 
+def match_windows(docs: DataFrame, index: list[dict]) -> DataFrame:
+    """_row, label and containment of every window of words that matches a template; docs as for match_blocks.
+
+    Words are cut into stretches of twice the longest window, each half over the next, so every window lies
+    whole in one of them; the windows of a stretch are tried where the stretch itself holds words enough.
+    """
+    spark = docs.sparkSession
+    step = max(t["span"] for t in index)
+    known = F.array(*(F.lit(w) for w in sorted({w for t in index for w in t["words"]})))
+    words = F.split(F.trim("spaced"), " ")
+    held = F.array_intersect(F.split("spaced", " "), known)
+
+    def enough(h: Column) -> Column:
+        each = [F.size(F.array_intersect(h, F.array(*map(F.lit, t["words"])))) >= t["least"] for t in index]
+        return reduce(operator.or_, each)
+
+    def cut(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - step, F.lit(1)), F.lit(step)), lambda i: F.slice(w, i, 2 * step))
+
+    # as lambda variables, the words of a text are taken once and not anew for every use
+    stretches = docs.filter(F.exists(F.array(held), enough)).select("_row", F.explode(F.transform(F.array(words), cut)[0]).alias("tokens"))
+    templates = spark.createDataFrame([(t["words"], t["least"], t["span"], t["label"]) for t in index], "words array<string>, least int, span int, label string")
+    last = F.greatest(F.size("tokens") - F.col("span") + 1, F.lit(1))
+    overlaps = F.transform(F.sequence(F.lit(1), last), lambda i: F.size(F.array_intersect(F.slice("tokens", i, F.col("span")), F.col("words"))))
+    return (
+        stretches.join(F.broadcast(templates), F.size(F.array_intersect("tokens", "words")) >= F.col("least"))
+        .withColumn("overlap", F.array_max(overlaps))
+        .filter(F.col("overlap") >= F.col("least"))
+        .select("_row", "label", (F.col("overlap") / F.size("words")).alias("containment"))
+    )
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.9) -> DataFrame:
     """Labels every document with the licenses it names.
 
@@ -136,7 +172,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
         F.array_max(F.array(*lasts)).alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("base"),
     )
-    matched = match_blocks(spaced, index).groupBy("_row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    matched = match_blocks(spaced, index).unionByName(match_windows(spaced, index)).groupBy("_row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return base.join(matched, "_row", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",

@@ -61,6 +61,22 @@ def test_license_edges(edge_docs, empty_docs, spark):
     assert licenses.scan(empty_docs).count() == 0
 
 
+def test_license_notices_as_published(spark):
+    """Wrapped lines, comment signs and abbreviations do not part a notice; words far apart make none."""
+    notices = [
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"),
+        ("gpl", " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or"),
+        ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+        ("apache-2", "# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0"),
+        ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file"),
+    ]
+    filler = prose(5, 300)
+    docs = [n for _, n in notices] + [f"{filler}\n{n}\n{filler}" for _, n in notices] + [" filler\n".join(n.split()) for _, n in notices]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows_of(list(enumerate(docs))), SCHEMA)).collect()}
+    assert [got[i] for i in range(len(docs))] == [label for label, _ in notices] * 2 + [""] * len(notices)
+
+
 def test_license_join_equals_all_pairs(spark):
     """Prefix, length and position filters lose no block that reaches the threshold."""
     r = random.Random(2)
