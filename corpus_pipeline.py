@@ -10,7 +10,8 @@ from shoalwork.llm._common import materialize, read_table
 from shoalwork.llm.queries import tokenizer_path
 
 LEAST_QUALITY = 0.3
-LEAST_LANGUAGE = 0.2  # a score under this is no language that was learnt
+LEAST_LANGUAGE = 0.2  # a score under this is a toss-up among the languages learnt; with two families of two it is never lower
+MOST_UNLIKE = 1.0  # above this a text is in no language that was learnt
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are in a language: with letters, and like one of those learnt."""
-    return language.predict(docs, language.train(docs), tuple(docs.columns)).filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    return language.predict(docs, language.train(docs), tuple(docs.columns)).filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE) & (F.col("lang_unlike") <= MOST_UNLIKE)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ Features are square roots of the shares of hashed letter 1- to 3-grams of the wh
 ends. A softmax regression tells families apart; within a family, one linear support vector machine for each
 pair of languages votes, and a logistic curve over its margins gives the vote's probability. The models
 are fitted on the driver on a bounded sample; features of the sample are counted on the executors.
+
+These scores only say which of the languages learnt is the likeliest. Whether a text is like that language at
+all is told by its mean surprisal under the language's n-gram shares, held against that of the training rows.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from ._common import small_batches
 
 SAMPLE_ROWS = 4000  # labelled rows that the models are fitted on, at most
 SIZE = 2048  # hashed n-grams
+LEAST_ROWS = 20  # training rows of a language under which nothing is said of texts unlike it
 SEGMENT = 1 << 20  # characters counted at a time
 
 # Families of languages; a language not listed is a family of its own.
@@ -43,7 +47,13 @@ def letters() -> np.ndarray:
 
 
 def features(text: str) -> np.ndarray | None:
-    """The feature vector of a text; None if it has no letter. Long texts are counted in segments."""
+    """The feature vector of a text; None if it has no letter."""
+    got = counted(text)
+    return got and got[0]
+
+
+def counted(text: str) -> tuple[np.ndarray, float] | None:
+    """The feature vector of a text and its number of n-grams; None if it has no letter. Long texts are counted in segments."""
     total, any_letter, table = np.zeros(SIZE), False, letters()
     for at in range(0, len(text), SEGMENT):
         part = text[at : at + SEGMENT].lower()
@@ -56,7 +66,7 @@ def features(text: str) -> np.ndarray | None:
         three = (two[:-1] ^ (c[2:] * np.uint32(668265263))) * np.uint32(374761393)
         for grams in (one, two, three):
             total += np.bincount(grams >> np.uint32(21), minlength=SIZE)
-    return np.sqrt(total / total.sum()).astype(np.float32) if any_letter else None
+    return (np.sqrt(total / total.sum()).astype(np.float32), float(total.sum())) if any_letter else None
 
 
 def descend(gradient, w: np.ndarray, rounds: int, step: float) -> np.ndarray:
@@ -71,7 +81,7 @@ def descend(gradient, w: np.ndarray, rounds: int, step: float) -> np.ndarray:
 class Languages:
     """Fitted models; `names` are the languages learnt."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], n: np.ndarray):
         self.names = sorted(set(langs))
         x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64) if len(x) else np.zeros((0, SIZE + 1))
         of = np.array(langs, object)
@@ -85,6 +95,26 @@ class Languages:
                 for b in names[i + 1 :]:
                     rows = (of == a) | (of == b)
                     self.pairs[a, b] = self.machine(x[rows], np.where(of[rows] == a, 1.0, -1.0))
+        self.surprise, self.usual, self.most = np.zeros((len(self.names), SIZE)), np.zeros(len(self.names)), np.full(len(self.names), np.inf)
+        agreed = np.array(self.predict(x[:, :SIZE])[0], object) == of  # labels that the models gainsay are no measure
+        for k, name in enumerate(self.names):
+            rows = (of == name) & agreed
+            if rows.sum() >= LEAST_ROWS:
+                share = x[rows, :SIZE] ** 2
+                self.surprise[k] = -np.log(0.99 * share.mean(0) + 0.01 / SIZE)
+                self.usual[k] = np.median(share @ self.surprise[k])
+                self.most[k] = max(1e-9, (1.25 + 5 / rows.sum() ** 0.5) * self.excess(share, n[rows], np.full(rows.sum(), k)).max())
+        told = np.isfinite(self.most)
+        self.most[told] = self.most[told].max(initial=0)  # few rows of one language say little of its rare texts
+
+    def excess(self, share: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """How far each row's mean surprisal lies above its language's median; short texts may differ more."""
+        return ((share * self.surprise[lang]).sum(1) - self.usual[lang]) / np.sqrt(1 / n + 1 / 1000)
+
+    def unlike(self, x: np.ndarray, n: np.ndarray, found: list[str]) -> np.ndarray:
+        """That excess over 1.25 times (of few rows, more) the largest of any language's training rows: above 1, a text is not in its language."""
+        lang = np.array([self.names.index(name) for name in found], int)
+        return np.maximum(0, self.excess(x.astype(np.float64) ** 2, n, lang) / self.most[lang])
 
     def softmax(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         hot = np.eye(len(self.families))[y]
@@ -158,36 +188,38 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int =
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            got = [(lang, x.tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (x := features(text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], names=["lang", "x"])
+            got = [(lang, c[0].tobytes(), c[1]) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (c := counted(text)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.float64())], names=["lang", "x", "n"])
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in rows.mapInArrow(count, "lang string, x binary").limit(sample_rows).collect())
+    got = sorted((r["lang"], bytes(r["x"]), r["n"]) for r in rows.mapInArrow(count, "lang string, x binary, n double").limit(sample_rows).collect())
     x = np.frombuffer(b"".join(g[1] for g in got), np.float32).reshape(-1, SIZE)
-    return Languages(x, [g[0] for g in got])
+    return Languages(x, [g[0] for g in got], np.array([g[2] for g in got]))
 
 
 def predict(docs: DataFrame, model: Languages, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named, lang_pred and lang_score of every row; `und` and 0 where the text is null or
-    has no letter.
+    """The columns named, lang_pred, lang_score and lang_unlike of every row; `und` and 0 where the text is
+    null or has no letter. lang_unlike is above 1 where the text is less like lang_pred than any training row was.
 
     With no language learnt every text is `und`. A row that repeats another gets the same result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(columns)
     rows = small_batches(docs).select(*names, F.col("text").alias("_text"))
-    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_unlike", T.DoubleType())])
 
     def label(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in it:
             texts = batch.column(len(names)).to_pylist()
-            langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+            langs, scores, unlike = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             for a in range(0, len(texts), 512):
-                got = [(i, x) for i in range(a, min(a + 512, len(texts))) if own.names and texts[i] and (x := features(texts[i])) is not None]
+                got = [(i, *c) for i in range(a, min(a + 512, len(texts))) if own.names and texts[i] and (c := counted(texts[i])) is not None]
                 if got:
-                    found, values = own.predict(np.stack([g[1] for g in got]))
-                    for (i, _), name, value in zip(got, found, values):
-                        langs[i], scores[i] = name, value
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "lang_score"])
+                    x = np.stack([g[1] for g in got])
+                    found, values = own.predict(x)
+                    far = own.unlike(x, np.array([g[2] for g in got]), found)
+                    for (i, _, _), name, value, f in zip(got, found, values, far):
+                        langs[i], scores[i], unlike[i] = name, value, f
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores), pa.array(unlike)], names=[*names, "lang_pred", "lang_score", "lang_unlike"])
 
     return rows.mapInArrow(label, schema)

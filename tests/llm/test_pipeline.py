@@ -67,6 +67,17 @@ def test_language_drops_what_has_none(steps):
     assert not after & {401, 402, 403} and before - after <= {401, 402, 403}
 
 
+def test_language_drops_what_was_not_learnt(spark):
+    """Other scripts, encoded data and random letters go; clean documents, held out of training or not, all stay."""
+    r = random.Random(5)
+    words = {lang: [w for w in prose(k, 400).replace(".", "").split()] for k, lang in enumerate(("en", "de", "es", "fr"))}
+    docs = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randint(20, 150))), lang) for i, lang in enumerate(r.choices(list(words), k=400))]
+    letters = {1000: "αβγδεζηθικλμνξοπρστυφχψω", 1001: "абвгдежзийклмнопрстуфхцчшщыьэюя", 1002: "abcdefghijklmnopqrstuvwxyz", 1003: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    docs += [(i, " ".join("".join(r.choice(a) for _ in range(64 if i == 1003 else r.randint(2, 9))) for _ in range(60)), None) for i, a in letters.items()]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert {x.doc_id for x in corpus_pipeline.language_stage(spark, df, "").collect()} == set(range(400))
+
+
 def test_one_of_each_group_stays(steps):
     kept = {r.doc_id for r in steps[3].collect()}
     assert 7 in kept and not kept & {300, 301, 302, 303, 304, 400} and {r.doc_id for r in steps[2].collect()} - kept == {300, 301, 302, 303, 304, 400}
