@@ -4,8 +4,8 @@ Blocks (the sentences of every line) match a template when they hold at least `t
 distinct words. So do windows of consecutive words, whatever lines and stops part them, that are as long as
 the template and as many words more as may be missing. Words are ordered by how many documents of the corpus hold them, rarest first. A
 block can only match if it holds one of a template's first |T| - o + 1 words in that order, where o is
-the least overlap (prefix filter), if it has o words at all (length filter), and if enough words of
-the template remain from the place of its first hit on (positional filter). What passes is counted
+the least overlap (prefix filter), and if it has o words at all (length filter). That enough words of the
+template remain from the place of its hit on is asked too, but any place in the prefix leaves o. What passes is counted
 out, so no match is lost and none is estimated.
 
 Templates are a fixed list, so they and their words (under a thousand) are all that is broadcast, and
