@@ -10,10 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize, release, shared_dir  # noqa: F401
+from ..plans.storage import delete, materialize, release, shared_dir, table_path  # noqa: F401
 
 DOC_SPLIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+END_MARKS, SEPARATOR = ".,;:!?", "\x01"
 PLAIN_PART = re.compile(r" ?[^\s\0]+|\n")  # what may stand beside others on a line
 
 
@@ -55,6 +56,15 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keep_space, self.limit, self.seen, self.old, self.rare = keep_space, limit, {}, {}, set()
+        self.tokenizer.model._resize_cache(0)  # words come here once
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_ids = max(vocabulary.values(), default=0) + 1
+        own_edge, self.gap_edge = np.zeros(self.n_ids, bool), np.zeros(self.n_ids, bool)
+        own_edge[[i for piece, i in vocabulary.items() if (piece.startswith("Ġ") if keep_space else piece.endswith("</w>"))]] = True
+        self.plain_line = ("" if keep_space else " ", own_edge)
+        self.bare_line = ("\n" if keep_space else f" {SEPARATOR} ", self.gap_edge)
+        self.gap_edge[self.ids(["\n" if keep_space else SEPARATOR])[0]] = True
+        self.marks = {mark: ids.tobytes() for mark, ids in zip(END_MARKS, self.ids(list(END_MARKS)))}
 
     def parts(self, text: str) -> list[str]:
         if self.keep_space:
@@ -71,53 +81,72 @@ class WordCache:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.parts(t) for t in texts]
         every = set(itertools.chain.from_iterable(parts))
+        fresh = every.difference(self.seen)
         if self.keep_space:
-            self.rare.update(p for p in every.difference(self.seen).difference(self.old) if not PLAIN_PART.fullmatch(p))
+            self.rare.update(p for p in fresh if not PLAIN_PART.fullmatch(p))
             if not self.rare.isdisjoint(every):
                 parts = [p if self.rare.isdisjoint(p) else self.rare_parts(t) for p, t in zip(parts, texts)]
                 every = set(itertools.chain.from_iterable(parts))
-        self.admit(every)
+                before, fresh = fresh, every.difference(self.seen)
+                self.rare.update(p for p in fresh.difference(before) if not PLAIN_PART.fullmatch(p))
+        if fresh:
+            self.admit(fresh, every)
         get = self.seen.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
-    def admit(self, words: set[str]) -> None:
-        """Sees to it that every word is in `seen`: carried over from `old`, or encoded."""
-        fresh = words.difference(self.seen)
+    def admit(self, fresh: set[str], every: set[str]) -> None:
+        """Takes the fresh words of `every` into `seen`: carried over from `old`, or encoded."""
         if self.seen and len(self.seen) + len(fresh) > self.limit:
-            self.old, self.seen, self.rare, fresh = self.seen, {}, self.rare & words, words
-        for word in fresh.intersection(self.old):
-            self.seen[word] = self.old[word]
-        fresh = fresh.difference(self.seen)
+            self.old, self.seen, fresh = self.seen, {}, every
+            self.rare.intersection_update(every)  # a word that is not here is looked at afresh when it is met
+        known = [word for word in fresh if word in self.old]
+        self.seen.update(zip(known, map(self.old.__getitem__, known)))
+        fresh = fresh.difference(known)
         if fresh:
             self.learn(fresh)
 
     def learn(self, words) -> None:
-        """Encodes plain words many to a line, which costs less than one by one; offsets tell them apart."""
-        spaced, bare, alone = [], [], []
-        for word in words:
-            if not PLAIN_PART.fullmatch(word):
-                self.rare.add(word)
-            (alone if len(word) > 100 or word == "\n" or word in self.rare else spaced if word[0] == " " else bare).append(word)
-        for group, gap in ((spaced, 0), (bare, 1)):
-            for i in range(0, len(group), 256):
-                self.learn_line(group[i : i + 256], gap)
-        for word, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False) if alone else []):
-            self.seen[word] = np.array(got.ids, "<u4").tobytes()
-
-    def learn_line(self, words: list[str], gap: int) -> None:
-        got = self.tokenizer.encode(("\n" * gap).join(words), add_special_tokens=False)
-        ids, at = np.array(got.ids, "<u4"), np.array([o[0] for o in got.offsets], np.int64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(sizes + gap) - sizes - gap
-        of = np.searchsorted(starts, at, "right") - 1
-        if gap and self.keep_space:
-            own = at < starts[of] + sizes[of]  # without the gaps' own ids
-            ids, of = ids[own], of[own]
-        ends = np.searchsorted(of, np.arange(len(words)), "right").tolist()
-        data, begin = ids.tobytes(), 0
-        for word, end in zip(words, ends):
-            self.seen[word] = data[4 * begin : 4 * end]
-            begin = end
+        """Encodes words many to a line, which costs less than one by one; their first or last ids tell them apart.
+
+        A mark at a word's end, after a letter, is always encoded by itself, so such words share their stem's ids.
+        """
+        marked = [w for w in words if w[-1:] in END_MARKS and w[-2:-1].isalpha() and w not in self.rare]
+        plain, bare, alone = [], [], []
+        for word in {w[:-1] for w in marked}.difference(self.seen).union(words.difference(marked)):
+            if len(word) > 100 or word == "\n" or word in self.rare or not self.keep_space and (SEPARATOR in word or not PLAIN_PART.fullmatch(word)):
+                alone.append(word)
+            else:
+                (plain if (word[0] == " " if self.keep_space else word.isalpha()) else bare).append(word)
+        for group, gap, edge in ((plain, *self.plain_line), (bare, *self.bare_line)):
+            for i in range(0, len(group), 8192):
+                self.learn_lines([group[j : j + 256] for j in range(i, min(i + 8192, len(group)), 256)], gap, edge)
+        self.learn_alone(alone)
+        for word in marked:
+            self.seen[word] = self.seen[word[:-1]] + self.marks[word[-1]]
+
+    def ids(self, lines: list[str]) -> list[np.ndarray]:
+        return [np.array(got.ids, "<u4") for got in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)] if lines else []
+
+    def learn_alone(self, words: list[str]) -> None:
+        for word, ids in zip(words, self.ids(words)):
+            self.seen[word] = ids.tobytes()
+
+    def learn_lines(self, lines: list[list[str]], gap: str, edge: np.ndarray) -> None:
+        """Lines of words with a gap between them. edge: ids that only a word's first or last id, or a gap, can be."""
+        for words, ids in zip(lines, self.ids([gap.join(words) for words in lines])):
+            at = np.flatnonzero(edge[ids])
+            gaps = edge is self.gap_edge
+            if len(at) != len(words) - gaps:  # some word has white space or letters of a kind of its own
+                self.learn_alone(words)
+                continue
+            if gaps:
+                begins, ends = np.concatenate(([0], at + 1)), np.append(at, len(ids))
+            elif self.keep_space:
+                begins, ends = at, np.append(at[1:], len(ids))
+            else:
+                begins, ends = np.concatenate(([0], at[:-1] + 1)), at + 1
+            data = ids.tobytes()
+            self.seen.update(zip(words, [data[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist())]))
 
 
 _caches: dict = {}

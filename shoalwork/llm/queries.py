@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bagminhash, fingerprints, hamming, language, licenses, packing, piece_codec, quality, suffix_dedup, token_codec
-from ._common import read_table
+from ._common import delete, materialize, read_table, table_path
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,8 +22,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = token_codec.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    return token_codec.read_tokens(blocks)
+    path = table_path(spark, "tokens")
+    token_codec.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path)
+    out = materialize(token_codec.read_tokens(spark, path), "token-rows")
+    delete(spark, path)
+    return out
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Token-id output: blocks of ids under an adaptive context-mixing range coder.
 
-A block is coded alone: its model starts afresh, and it carries a crc32 of its ids. Its ids are dealt
+A block is coded alone: its model starts afresh, and checksums cover its bytes and its ids. Its ids are dealt
 into lanes, stretches of the block that are coded side by side so that every step is a few array
-operations; all lanes share one model. Each step predicts an id from the two ids before it (order 2),
-from the one before (order 1) and from counts (order 0). How much of the coding range each order
-gets is learnt for every combination of the orders' confidence; order 0 divides its part among all
-ids of the vocabulary. The coder is a carryless range coder of 64 bits that puts out 16 bits at once.
-
-File format: Parquet, so that any store and Spark's commit protocol serve. Rows in ascending order of
-(file_no, block_no) hold documents in ascending order of doc_id; `block` is the coded block.
+operations; all lanes share one model. Each step mixes three distributions over the vocabulary: that of order 0
+(counts of the ids that the others did not foresee), and those of order 1 and order 2 (the two successors of the last id, or
+of the last two, that were met most, with their counts). The weights of the mixture are learnt for every
+combination of the successors' counts. As the mixture is linear, so are its cumulative sums, and an id is coded by one
+interval of it. The coder is a carryless range coder of 64 bits that puts out 32 bits at once.
+
+File format: Parquet, so that any store and Spark's commit protocol serve. `blocks` has rows in ascending order of
+(file_no, block_no) that hold documents in ascending order of doc_id; `block` is the coded block. `manifest` has
+one row per file: its blocks, documents and ids, and `start`, the ids of all files before it.
 """
 
 from __future__ import annotations
@@ -20,64 +22,131 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import batches, doc_texts, materialize, word_cache
+from ._common import batches, doc_texts, word_cache
 
-MAGIC = b"TCB1"
-HEAD = struct.Struct("<4sIIIII")  # magic, documents, ids, lanes, vocabulary, crc32 of the ids
-BLOCK_IDS, MOST_LANES, LEAST_STEPS = 1 << 19, 2048, 256
+MAGIC = b"TCB2"
+FRAME = struct.Struct("<4sI")  # magic, crc32 of all bytes that follow
+HEAD = struct.Struct("<IIIIQII")  # documents, ids, lanes, vocabulary, ids before it in its file, crc32 of the ids, size of the document table
+BLOCK_IDS, MOST_LANES, LEAST_STEPS = 1 << 21, 8192, 256
 NO_ID = -(2**63)  # stands for a null doc_id
-FLAG_BITS, ID_BITS, HASH_BITS = 9, 19, 18
-TOP, BOTTOM = np.uint64(48), np.uint64(1 << 32)
-U16, U32 = np.uint64(16), np.uint64(32)
-BLOCKS = "file_no int, block_no int, first_doc long, n_docs long, n_tokens long, block binary"
-DOCS = "doc_id long, file_no int, block_no int, _in_block long, n_tokens long, ids_crc32 long"
+ORDER0_BITS, MIX_BITS, HASH_BITS, ID_BITS = 19, 9, 16, 18
+TOTAL = np.uint64(ORDER0_BITS + MIX_BITS)
+BOTTOM, HALF, LOW = np.uint64(1 << 32), np.uint64(32), np.uint64((1 << 32) - 1)
+EARLY = (1, 2, 4, 8, 16)  # steps after which the model is rebuilt, besides every 32nd
+BLOCKS = "file_no int, block_no int, n_docs long, n_tokens long, block binary"
+DOCS = "doc_id long, file_no int, _in_file long, n_tokens long, ids_crc32 long"
+
+
+def _transitions() -> np.ndarray:
+    """New counts of a context's two successors (two bits each, and whether they change places) by
+    old counts and by which of them came: bit 0 the first, bit 1 the second. An unforeseen id replaces the second."""
+    out = np.zeros((16, 4), np.int32)
+    for first in range(4):
+        for second in range(4):
+            for came in range(4):
+                a, b = (min(first + 1, 3), second) if came & 1 else (first, min(second + 1, 3)) if came else (max(first - 1, 0), 1)
+                out[first | second << 2, came] = max(a, b) | min(a, b) << 2 | (b > a) << 4
+    return out.ravel()
+
+
+TRANSITIONS = _transitions()
+
+
+def _credits() -> np.ndarray:
+    """Which part of the mixture gets the credit for an id, by the bits of those that foresaw it: order 2 before order 1 before order 0."""
+    out = np.zeros((16, 5), np.int64)
+    for bits in range(16):
+        out[bits, 1 if bits & 4 else 3 if bits & 8 else 0 if bits & 1 else 2 if bits & 2 else 4] = 1
+    return out
+
+
+CREDITS = _credits()
 
 
 class Mixer:
-    """The model that both directions share; it sees the same ids at the same steps in both."""
-
-    def __init__(self, vocab: int):
-        if not 0 < vocab <= 1 << (ID_BITS - 1):
-            raise ValueError(f"ids must be under {1 << (ID_BITS - 1)}")
-        self.vocab = vocab
-        self.last1, self.sure1 = np.zeros(vocab, np.int64), np.zeros(vocab, np.int64)
-        self.last2, self.sure2 = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+    """The model that both directions share; it sees the same ids at the same steps in both.
+
+    A context is one long: the counts of its two successors, the first and the second. Parts of the mixture
+    are the first successors under order 1 and 2, the second ones, and order 0.
+    """
+
+    def __init__(self, vocab: int, lanes: int, decode: bool):
+        if not 0 < vocab <= 1 << ID_BITS:
+            raise ValueError(f"ids must be under {1 << ID_BITS}")
+        self.vocab, self.decode = vocab, decode
+        self.order1, self.order2 = np.zeros(vocab, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+        self.entries = np.zeros((2, lanes), np.int64)
         self.counts = np.zeros(vocab, np.int64)
-        self.hits = np.tile(np.array([1, 1, 6], np.int64), (32, 1))
-        self.step, self.pending, self.pending_hits = 0, [], np.zeros(96, np.int64)
+        self.credit = np.tile(np.array([[1], [1], [1], [1], [16]], np.int64), (1, 256))
+        self.step, self.unforeseen, self.foreseen = 0, [], []
         self.rebuild()
 
     def rebuild(self) -> None:
-        total = self.counts.sum()
-        room = (1 << ID_BITS) - self.vocab
-        self.size0 = 1 + (self.counts * room // total if total else np.full(self.vocab, room // self.vocab, np.int64))
-        self.cum0 = np.concatenate(([0], np.cumsum(self.size0)))
-        share = self.hits / self.hits.sum(1, keepdims=True)
-        sizes = 1 + np.floor(share * ((1 << FLAG_BITS) - 3)).astype(np.int64)
-        sizes[:, 2] += (1 << FLAG_BITS) - sizes.sum(1)
-        self.flag_size = sizes.ravel()
-        self.flag_cum = (np.cumsum(sizes, 1) - sizes).ravel()
-
-    def predict(self, p1: np.ndarray, p2: np.ndarray) -> None:
-        self.p1 = p1
-        self.slot = (((p1 * 40503) ^ (p2 * 60493)) * 2654435761 >> 13) & ((1 << HASH_BITS) - 1)
-        self.q1, self.q2 = self.last1[p1], self.last2[self.slot]
-        self.c1, self.c2 = self.sure1[p1], self.sure2[self.slot]
-        self.context = ((self.c2 << 3) | (self.c1 << 1) | (self.q1 == self.q2)) * 3
-
-    def learn(self, x: np.ndarray, kind: np.ndarray) -> None:
-        self.last1[self.p1], self.sure1[self.p1] = x, np.where(self.q1 == x, np.minimum(self.c1 + 1, 3), 0)
-        self.last2[self.slot], self.sure2[self.slot] = x, np.where(self.q2 == x, np.minimum(self.c2 + 1, 3), 0)
-        self.pending.append(x[kind == 2])
-        self.pending_hits += np.bincount(self.context + kind, minlength=96)
+        total, room = self.counts.sum(), (1 << ORDER0_BITS) - self.vocab
+        self.size0 = (1 + (self.counts * room // total if total else np.full(self.vocab, room // self.vocab))).astype(np.int32)
+        self.cum0 = np.concatenate(([0], np.cumsum(self.size0))).astype(np.int32)
+        if self.decode:
+            self.inverse = np.repeat(np.arange(self.vocab, dtype=np.int32), self.size0)
+        weight = 1 + self.credit * ((1 << MIX_BITS) - 5) // self.credit.sum(0)
+        weight[4] += (1 << MIX_BITS) - weight.sum(0)
+        self.weights = np.concatenate((weight[:4] << ORDER0_BITS, weight[4:])).astype(np.int32)
+
+    def predict(self, last1: np.ndarray, last2: np.ndarray) -> None:
+        self.last1 = last1
+        self.slot = ((last1 * 40503 ^ last2 * 60493) * 2654435761 >> 13) & ((1 << HASH_BITS) - 1)
+        self.order1.take(last1, out=self.entries[0], mode="clip")
+        self.order2.take(self.slot, out=self.entries[1], mode="clip")
+        halves = self.entries.view(np.int32).reshape(2, -1, 2)
+        self.sure = halves[:, :, 0] & 15
+        self.ids = np.concatenate((halves[:, :, 0] >> 4, halves[:, :, 1]))
+        self.context = (self.sure[1] << 4) | self.sure[0]
+        self.weight = self.weights.take(self.context, axis=1, mode="clip")
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the mixture's cumulative sum stands before each id, and the id's share."""
+        ids, weight = self.ids, self.weight
+        self.hit = ids == x
+        size = weight[4] * self.size0.take(x, mode="clip") + (weight[:4] * self.hit).sum(0, dtype=np.int32)
+        start = weight[4] * self.cum0.take(x, mode="clip") + (weight[:4] * (ids < x)).sum(0, dtype=np.int32)
+        return start.view(np.uint32), size.view(np.uint32)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose intervals the values lie.
+
+        Successors whose intervals end at or before the value are behind it; without their weights the value is one
+        of order 0 alone, unless it lies in the interval of the least successor that is not behind it.
+        """
+        ids, weight = self.ids, self.weight
+        ends = weight[4] * self.cum0.take(ids + 1, mode="clip")
+        for k in range(4):
+            ends += weight[k] * (ids >= ids[k])
+        behind = ends <= value
+        inner = value - (weight[:4] * behind).sum(0, dtype=np.int32)
+        x = self.inverse.take((inner / weight[4]).astype(np.int64), mode="clip")  # exact: under 2**28 by under 2**9
+        return np.minimum(x, np.where(behind, np.int32(self.vocab), ids).min(0))
+
+    def learn(self, x: np.ndarray) -> None:
+        hit = self.hit.view(np.uint8)
+        came = hit[:2] + (hit[2:] << 1)
+        now = TRANSITIONS.take(self.sure * 4 + came, mode="clip")
+        first, second = self.ids[:2], np.where(hit[:2], self.ids[2:], x)
+        lead = np.where(now > 15, second, first)
+        new = np.empty((2, len(x), 2), np.int32)
+        new[:, :, 0] = (lead << 4) | (now & 15)
+        new[:, :, 1] = first + second - lead
+        new = new.view(np.int64)[:, :, 0]
+        self.order1[self.last1], self.order2[self.slot] = new[0], new[1]
+        bits = came[0] + (came[1] << 2)
+        self.unforeseen.append(x[bits == 0])
+        self.foreseen.append(self.context * 16 + bits)
         self.step += 1
-        if self.step % 8 == 0 or self.step in (1, 2, 4):
-            self.counts += np.bincount(np.concatenate(self.pending), minlength=self.vocab) * 32
-            self.hits += self.pending_hits.reshape(32, 3)
-            self.pending, self.pending_hits = [], np.zeros(96, np.int64)
+        if self.step % 32 == 0 or self.step in EARLY:
+            self.counts += np.bincount(np.concatenate(self.unforeseen), minlength=self.vocab) * 32
+            self.credit += (np.bincount(np.concatenate(self.foreseen), minlength=4096).reshape(256, 16) @ CREDITS).T
+            self.unforeseen, self.foreseen = [], []
             self.rebuild()
 
 
@@ -85,64 +154,58 @@ def _lanes(n: int) -> int:
     return min(MOST_LANES, max(1, n // LEAST_STEPS))
 
 
+def _settle(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose range has become short, and the 32 bits that each of them puts out or takes in.
+
+    A short range that lies across a change of those bits is cut at it, so no carry can come.
+    """
+    who = np.flatnonzero(rng < BOTTOM)
+    a, b = low[who], rng[who]
+    b = np.where((a ^ (a + b - np.uint64(1))) >> HALF, -a & LOW, b)
+    low[who], rng[who] = a << HALF, b << HALF
+    return who, a >> HALF
+
+
 def encode_ids(ids: np.ndarray, vocab: int) -> bytes:
-    """Codes ids, all under vocab; lane lengths come first, then each lane's 16-bit words."""
+    """Codes ids, all under vocab; lane lengths come first, then each lane's 32-bit words."""
     n = len(ids)
     if not n:
         return b""
     lanes = _lanes(n)
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    mixer = Mixer(vocab)
+    mixer = Mixer(vocab, lanes, False)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    p1 = p2 = np.zeros(lanes, np.int64)
+    last1 = last2 = np.zeros(lanes, np.int64)
     words, of = [], []
     for x in grid:
-        mixer.predict(p1, p2)
-        kind = np.where(x == mixer.q2, 0, np.where(x == mixer.q1, 1, 2))
-        flag = mixer.context + kind
-        size, start = mixer.flag_size[flag], mixer.flag_cum[flag] << ID_BITS
-        rest = kind == 2
-        start += np.where(rest, size * mixer.cum0[x], 0)
-        size = np.where(rest, size * mixer.size0[x], size << ID_BITS)
-        r = rng >> np.uint64(FLAG_BITS + ID_BITS)
-        low += r * start.astype(np.uint64)
-        rng = r * size.astype(np.uint64)
-        at, a, b = None, low, rng
-        while True:
-            settled = ((a ^ (a + b)) >> TOP) == 0
-            short = ~settled & (b < BOTTOM)
-            if short.any():
-                b = np.where(short, (np.uint64(0) - a) & (BOTTOM - np.uint64(1)), b)
-            out = np.flatnonzero(settled | short)
-            if not len(out):
-                break
-            at = out if at is None else at[out]
-            a, b = a[out], b[out]
-            words.append((a >> TOP).astype(np.uint16))
-            of.append(at.astype(np.uint16))
-            a, b = a << U16, b << U16
-            low[at], rng[at] = a, b
-        mixer.learn(x, kind)
-        p1, p2 = x, p1
-    end = (low + rng - np.uint64(1)) >> U32
-    for shift in (U16, np.uint64(0)):
-        words.append(((end >> shift) & np.uint64(0xFFFF)).astype(np.uint16))
-        of.append(np.arange(lanes, dtype=np.uint16))
+        mixer.predict(last1, last2)
+        start, size = mixer.interval(x)
+        r = rng >> TOTAL
+        low += r * start
+        rng = r * size
+        who, out = _settle(low, rng)
+        words.append(out.astype(np.uint32))
+        of.append(who.astype(np.uint16))
+        mixer.learn(x)
+        last1, last2 = x.astype(np.int64), last1
+    words.append(((low + rng - np.uint64(1)) >> HALF).astype(np.uint32))
+    of.append(np.arange(lanes, dtype=np.uint16))
     words, of = np.concatenate(words), np.concatenate(of)
-    return np.bincount(of, minlength=lanes).astype("<u4").tobytes() + words[np.argsort(of, kind="stable")].astype("<u2").tobytes()
+    lengths = zlib.compress(np.bincount(of, minlength=lanes).astype("<u4").tobytes())
+    return struct.pack("<I", len(lengths)) + lengths + words[np.argsort(of, kind="stable")].astype("<u4").tobytes()
 
 
 def decode_ids(data: bytes, n: int, lanes: int, vocab: int) -> np.ndarray:
     """The n ids that encode_ids coded into data."""
     if not n:
         return np.zeros(0, "<u4")
-    steps = -(-n // lanes)
-    ends = np.cumsum(np.frombuffer(data, "<u4", lanes)).astype(np.int64)
+    steps, size = -(-n // lanes), struct.unpack_from("<I", data)[0]
+    ends = np.cumsum(np.frombuffer(zlib.decompress(data[4 : 4 + size]), "<u4", lanes)).astype(np.int64)
     at = np.concatenate(([0], ends[:-1]))
-    words = np.append(np.frombuffer(data, "<u2", offset=4 * lanes), 0).astype(np.uint64)
+    words = np.append(np.frombuffer(data[4 + size :], "<u4"), 0).astype(np.uint64)
     none = len(words) - 1
 
     def take(who):
@@ -151,88 +214,65 @@ def decode_ids(data: bytes, n: int, lanes: int, vocab: int) -> np.ndarray:
         return words[np.where(pos < ends[who], pos, none)]
 
     every = np.arange(lanes)
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << U16) | take(every)
-    mixer = Mixer(vocab)
+    code = take(every) << HALF
+    code |= take(every)
+    mixer = Mixer(vocab, lanes, True)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    p1 = p2 = np.zeros(lanes, np.int64)
-    grid = np.zeros((steps, lanes), np.int64)
+    last1 = last2 = np.zeros(lanes, np.int64)
+    grid, most = np.zeros((steps, lanes), np.int32), np.uint64((1 << int(TOTAL)) - 1)
     for step in range(steps):
-        mixer.predict(p1, p2)
-        r = rng >> np.uint64(FLAG_BITS + ID_BITS)
-        value = np.minimum((code - low) // r, np.uint64((1 << (FLAG_BITS + ID_BITS)) - 1)).astype(np.int64)
-        part = value >> ID_BITS
-        kind = (part >= mixer.flag_cum[mixer.context + 1]).astype(np.int64) + (part >= mixer.flag_cum[mixer.context + 2])
-        flag = mixer.context + kind
-        size, start = mixer.flag_size[flag], mixer.flag_cum[flag] << ID_BITS
-        x = np.where(kind == 0, mixer.q2, mixer.q1)
-        rest = np.flatnonzero(kind == 2)
-        own = size[rest]
-        inner = ((value[rest] - start[rest]) / own).astype(np.int64)  # exact: under 2**28 by under 2**9
-        ids = np.searchsorted(mixer.cum0, inner, "right") - 1
-        x[rest] = ids
-        size <<= ID_BITS
-        start[rest] += own * mixer.cum0[ids]
-        size[rest] = own * mixer.size0[ids]
-        low += r * start.astype(np.uint64)
-        rng = r * size.astype(np.uint64)
-        who, a, b = None, low, rng
-        while True:
-            settled = ((a ^ (a + b)) >> TOP) == 0
-            short = ~settled & (b < BOTTOM)
-            if short.any():
-                b = np.where(short, (np.uint64(0) - a) & (BOTTOM - np.uint64(1)), b)
-            out = np.flatnonzero(settled | short)
-            if not len(out):
-                break
-            who = out if who is None else who[out]
-            a, b = a[out] << U16, b[out] << U16
-            code[who] = (code[who] << U16) | take(who)
-            low[who], rng[who] = a, b
-        mixer.learn(x, kind)
-        grid[step] = x
-        p1, p2 = x, p1
+        mixer.predict(last1, last2)
+        r = rng >> TOTAL
+        x = grid[step] = mixer.find(np.minimum((code - low) // r, most).astype(np.int32))
+        start, size = mixer.interval(x)
+        low += r * start
+        rng = r * size
+        who, _ = _settle(low, rng)
+        code[who] = (code[who] << HALF) | take(who)
+        mixer.learn(x)
+        last1, last2 = x.astype(np.int64), last1
     return np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
 
 
-def encode_block(docs: list[tuple[int, bytes]], vocab: int) -> bytes:
-    """A block of (doc_id, ids as little-endian unsigned 32-bit integers)."""
+def encode_block(docs: list[tuple[int, bytes]], vocab: int, before: int = 0) -> bytes:
+    """A block of (doc_id, ids as little-endian unsigned 32-bit integers); before: ids that precede it in its file."""
     data = b"".join(d[1] for d in docs)
     ids = np.frombuffer(data, "<u4")
     table = zlib.compress(np.diff(np.array([0, *(d[0] for d in docs)], "<i8")).tobytes() + np.array([len(d[1]) // 4 for d in docs], "<u4").tobytes())
-    return HEAD.pack(MAGIC, len(docs), len(ids), _lanes(len(ids)), vocab, zlib.crc32(data)) + struct.pack("<I", len(table)) + table + encode_ids(ids, vocab)
-
-
-def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, number of ids of each document, and all ids; raises ValueError if the block is damaged."""
-    magic, n_docs, n, lanes, vocab, crc = HEAD.unpack_from(block)
-    if magic != MAGIC:
-        raise ValueError("not a token block")
-    size = struct.unpack_from("<I", block, HEAD.size)[0]
-    at = HEAD.size + 4
-    table = zlib.decompress(block[at : at + size])
-    ids = decode_ids(block[at + size :], n, lanes, vocab)
+    body = HEAD.pack(len(docs), len(ids), _lanes(len(ids)), vocab, before, zlib.crc32(data), len(table)) + table + encode_ids(ids, vocab)
+    return FRAME.pack(MAGIC, zlib.crc32(body)) + body
+
+
+def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """doc_ids, number of ids of each document, all ids, and how many precede them in the file; ValueError if the block is damaged."""
+    body = memoryview(block)[FRAME.size :]
+    if len(block) < FRAME.size + HEAD.size or FRAME.unpack_from(block) != (MAGIC, zlib.crc32(body)):
+        raise ValueError("not a whole token block")
+    n_docs, n, lanes, vocab, before, crc, size = HEAD.unpack_from(body)
+    table = zlib.decompress(body[HEAD.size : HEAD.size + size])
+    ids = decode_ids(body[HEAD.size + size :], n, lanes, vocab)
     if zlib.crc32(ids) != crc:
         raise ValueError("the checksum of a token block does not hold")
-    return np.cumsum(np.frombuffer(table, "<i8", n_docs)), np.frombuffer(table, "<u4", n_docs, 8 * n_docs), ids
+    return np.cumsum(np.frombuffer(table, "<i8", n_docs)), np.frombuffer(table, "<u4", n_docs, 8 * n_docs), ids, before
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocab: int = 50257, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Encodes every text (null: empty), appends end_id, and writes the blocks; returns the files' rows.
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
+    """Encodes every text (null: empty), appends end_id, and writes blocks and manifest to the folder `path`.
 
-    Documents are dealt by ranges of doc_id, so the text is what is shuffled, once. A document lies
-    in one block; a block ends with the document that brings it to block_ids. Repeated doc_ids stay
-    side by side in the order of their texts. A null doc_id comes first, and is null again when read.
+    The folder must not hold tokens already. Documents are dealt by ranges of doc_id (and text hash, so that rows of one doc_id can be parted), so the
+    text is what is shuffled, once. A document lies in one block; a block ends with the document that brings it to
+    block_ids. Repeated doc_ids follow one another in the order of their texts' hashes. A null doc_id comes first, and is
+    null again when read. An empty table gives a manifest without rows.
     """
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end = word_cache(tokenizer, True), np.array([end_id], "<u4").tobytes()
-        file_no, block_no, held, size = TaskContext.get().partitionId(), 0, [], 0
+        vocab = max(cache.n_ids, end_id + 1)
+        file_no, block_no, held, size, before = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def flush():
-            rows = [[file_no], [block_no], [held[0][0]], [len(held)], [size], [encode_block(held, vocab)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["file_no", "block_no", "first_doc", "n_docs", "n_tokens", "block"])
+            rows = [[file_no], [block_no], [len(held)], [size], [encode_block(held, vocab, before)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["file_no", "block_no", "n_docs", "n_tokens", "block"])
 
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -242,35 +282,35 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocab: int =
                     size += len(got) // 4 + 1
                     if size >= block_ids:
                         yield flush()
-                        block_no, held, size = block_no + 1, [], 0
+                        block_no, held, size, before = block_no + 1, [], 0, before + size
         if held:
             yield flush()
 
-    rows = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).cast("long")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(rows.mapInArrow(code, BLOCKS), "tokens")
+    rows = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).cast("long"))
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInArrow(code, BLOCKS).write.mode("errorifexists").parquet(f"{path}/blocks")
+    spark = docs.sparkSession
+    files = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("file_no").agg(F.count("*").alias("n_blocks"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    before = F.sum("n_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))  # a row per file, so one task holds few
+    files.withColumn("start", F.coalesce(before, F.lit(0))).write.parquet(f"{path}/manifest")
 
 
-def read_tokens(blocks: DataFrame) -> DataFrame:
-    """One row per document of the files: doc_id, start, n_tokens, ids_crc32.
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document of the files in `path`: doc_id, start, n_tokens, ids_crc32.
 
-    Every block is decoded and its checksum held against it. start counts the ids of all documents before.
+    Every block is decoded and its checksums held against it (ValueError in the task if one does not hold). start counts the ids of all documents before.
     """
 
     def decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i in range(batch.num_rows):
-                docs, lengths, ids = decode_block(batch.column(2)[i].as_py())
+                docs, lengths, ids, before = decode_block(batch.column(1)[i].as_py())
                 ends = np.cumsum(lengths, dtype=np.int64)
                 starts = ends - lengths
                 crcs = np.array([zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
-                own = [np.full(len(docs), batch.column(k)[i].as_py(), np.int32) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(own[0]), pa.array(own[1]), pa.array(starts), pa.array(lengths.astype(np.int64)), pa.array(crcs)], names=["doc_id", "file_no", "block_no", "_in_block", "n_tokens", "ids_crc32"])
-
-    rows = blocks.select("file_no", "block_no", "block").mapInArrow(decode, DOCS)
-    sizes = blocks.select("file_no", "block_no", "n_tokens")
-    files = sizes.groupBy("file_no").agg(F.sum("n_tokens").alias("_n"))  # one row per file
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = files.select("file_no", before.alias("_file"))
-    inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file_no").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_block", inside).join(files, "file_no").select("file_no", "block_no", (F.col("_file") + F.col("_block")).alias("_start"))
-    return rows.join(starts, ["file_no", "block_no"]).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("_start") + F.col("_in_block")).alias("start"), "n_tokens", "ids_crc32")
+                file_no = np.full(len(docs), batch.column(0)[i].as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(file_no), pa.array(starts + before), pa.array(lengths.astype(np.int64)), pa.array(crcs)], names=["doc_id", "file_no", "_in_file", "n_tokens", "ids_crc32"])
+
+    rows = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("file_no", "block").mapInArrow(decode, DOCS)
+    files = spark.read.parquet(f"{path}/manifest").select("file_no", "start")
+    return rows.join(files, "file_no").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("start") + F.col("_in_file")).alias("start"), "n_tokens", "ids_crc32")

@@ -90,15 +90,45 @@ def test_license_join_equals_all_pairs(spark):
 
 # --- 2 --------------------------------------------------------------------
 
-@pytest.mark.parametrize("n", [1, 2, 255, 257, 3000])
+@pytest.mark.parametrize("n", [1, 2, 255, 257, 3000, 40_000])
 def test_block_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.2, n) % 50257).astype("<u4")
-    block = token_codec.encode_block([(3, ids[: n // 2].tobytes()), (8, ids[n // 2 :].tobytes())], 50257)
-    docs, sizes, back = token_codec.decode_block(block)
-    assert (back == ids).all() and list(docs) == [3, 8] and list(sizes) == [n // 2, n - n // 2]
-    if n > 100:
+    block = token_codec.encode_block([(3, ids[: n // 2].tobytes()), (8, ids[n // 2 :].tobytes())], 50257, 7)
+    docs, sizes, back, before = token_codec.decode_block(block)
+    assert (back == ids).all() and list(docs) == [3, 8] and list(sizes) == [n // 2, n - n // 2] and before == 7
+
+
+def test_any_damage_is_told():
+    ids = np.arange(20, dtype="<u4")
+    block = token_codec.encode_block([(3, ids[:9].tobytes()), (8, ids[9:].tobytes())], 64)
+    for bit in range(8 * len(block)):
+        bad = bytearray(block)
+        bad[bit // 8] ^= 1 << bit % 8
+        with pytest.raises(ValueError):
+            token_codec.decode_block(bytes(bad))
+    for n in range(len(block)):
         with pytest.raises(ValueError):
-            token_codec.decode_block(block[:-9] + bytes([block[-9] ^ 255]) + block[-8:])
+            token_codec.decode_block(block[:n])
+
+
+def test_mixture_is_one_distribution():
+    """The intervals of all ids, one after another, fill the range, and each value is found in its own."""
+    mixer, rng = token_codec.Mixer(6, 3, True), np.random.default_rng(1)
+    last1 = last2 = np.zeros(3, np.int64)
+    for _ in range(40):
+        mixer.predict(last1, last2)
+        end = np.zeros(3, np.int64)
+        for i in range(6):
+            start, size = mixer.interval(np.full(3, i, np.int32))
+            assert (start == end).all() and (size > 0).all()
+            end = end + size
+            for value in (start, start + size - 1):
+                assert (mixer.find(value.astype(np.int32)) == i).all()
+        assert (end <= 1 << int(token_codec.TOTAL)).all()
+        x = rng.integers(0, 6, 3).astype(np.int32)
+        mixer.interval(x)
+        mixer.learn(x)
+        last1, last2 = x.astype(np.int64), last1
 
 
 def test_blocks_shrink_repetitive_ids():
@@ -106,16 +136,35 @@ def test_blocks_shrink_repetitive_ids():
     assert len(token_codec.encode_block([(0, ids.tobytes())], 50257)) < len(ids)
 
 
-def test_token_files(spark, edge_docs):
-    docs = edge_docs
-    got = token_codec.read_tokens(token_codec.write_tokens(docs, BYTE, block_ids=500)).orderBy("start").collect()
+def test_token_files(spark, edge_docs, tmp_path):
+    token_codec.write_tokens(edge_docs, BYTE, str(tmp_path / "t"), block_ids=500)
+    got = token_codec.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
     cache = WordCache(BYTE, True)
     want, start = [], 0
-    for doc, text in sorted(texts_of(docs), key=lambda t: (t[0] is not None, t)):
+    rows = edge_docs.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()
+    for doc, text, _ in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h, r.text)):
         ids = cache.tokenizer.encode(text, add_special_tokens=False).ids + [0]
         want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert [tuple(r) for r in got] == want
+    manifest = spark.read.parquet(str(tmp_path / "t" / "manifest")).collect()
+    assert sum(r.n_tokens for r in manifest) == start and sum(r.n_docs for r in manifest) == len(want)
+
+
+def test_no_tokens(spark, tmp_path):
+    token_codec.write_tokens(spark.createDataFrame([], "doc_id long, text string"), BYTE, str(tmp_path / "t"))
+    assert token_codec.read_tokens(spark, str(tmp_path / "t")).count() == 0
+
+
+@pytest.mark.parametrize("path, keep", [(BYTE, True), (WORD, False)])
+def test_word_cache_equals_the_library(path, keep):
+    """Words come and go from a cache that is far too small; white space and marks of all kinds."""
+    cache, r = WordCache(path, keep, 30), random.Random(8)
+    parts = ["a", "The", "İstanbul", "ing", " ", " ", "\n", "\t", "é", "e\u0301", "日本", "  ", ".", ",", "!?", "'s", "\x01", "\0", "\u00a0", "\x1c", "12", "7", "<|endoftext|>", "\u2028", "ǅ", "Σ"]
+    for _ in range(60):
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(12)]
+        for text, ids in zip(texts, cache.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 # --- 3 --------------------------------------------------------------------
