@@ -7,6 +7,8 @@ sketch of the whole. Those with fewer than k hashes are the whole set, so all es
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,40 +88,48 @@ def to_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def with_next(docs: DataFrame, add, cells: int = 65_536, rows_each: int = 500) -> DataFrame:
+def _ranges(bounds: list[tuple], key: Column) -> tuple[Column, Column]:
+    """How many of the sorted bounds are at most the key, by bisection; and whether the last of those (see _range) is the key."""
+    if not bounds:
+        return F.lit(0), F.lit(False)
+    table = F.from_json(F.lit(json.dumps([dict(zip("nab", bound)) for bound in bounds])), "array<struct<n:int,a:bigint,b:bigint>>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) <= key), at + step).otherwise(at))
+    return found, F.coalesce(F.get(table, F.col("_range") - 1) == key, F.lit(False))
+
+
+def with_next(docs: DataFrame, add, rows_each: int = 500, most: int = 8192) -> DataFrame:
     """Pairs each document with the next one in descending doc_id, and the last with the first.
 
-    Returns the columns of add(rows of doc_id and text) and, for each column c but doc_id, the next
-    row's as next_c. Rows that share a doc_id follow one another in the order of their texts;
-    those without one come last. The ids' range is cut into
-    at most `cells` cells, whose counts and largest ids reach the driver; neighbouring cells make up
-    buckets, and each bucket gets a copy of the next one's first row, so no task sorts the whole table.
+    Returns doc_id, the other columns of add(rows with doc_id and text) and, for each such column c, the next
+    row's as next_c. Rows that share a doc_id follow one another in the order of their texts' hashes;
+    those without one come last. Rows are dealt into at most `most` ranges of (doc_id, text hash), so neither an
+    outlying id nor a repeated one fills a task; rows alike in both stay together. Where the ranges begin is read off
+    a sample of about eight rows for each, which decides on nothing else, and each range gets a copy of the next one's first row.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low - 1, high)  # a null doc_id stands just below the least
-    rows = doc_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(low)).cast("long"))
-    width = -(-(high - low + 1) // cells)
-    cell = F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long")
-    found = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max("doc_id").alias("head")).orderBy("cell").collect()
-    each = max(rows_each, sum(r["n"] for r in found) // 20_000)
-    bucket, size, of, heads = 0, 0, [], {}
-    for r in found:
-        if size >= each:
-            bucket, size = bucket + 1, 0
-        size += r["n"]
-        of.append((r["cell"], bucket))
-        heads[bucket] = r["head"]
-    ahead = [(heads[b - 1] if b else heads[bucket], b) for b in heads]  # the bucket below comes next
-    spark = docs.sparkSession
-    of = F.broadcast(spark.createDataFrame(of, "_cell long, _bucket int"))
-    ahead = F.broadcast(spark.createDataFrame(ahead, "doc_id long, _bucket int"))
-    own = rows.withColumn("_cell", cell).join(of, "_cell").select("doc_id", "text", "_bucket", F.lit(0).alias("_copy"))
-    copies = rows.join(ahead, "doc_id").select("doc_id", "text", "_bucket", F.lit(1).alias("_copy"))
-    dealt = add(own.unionByName(copies).repartition("_bucket").sortWithinPartitions("_bucket", "_copy", F.desc("doc_id"), "text"))
-    order = Window.partitionBy("_bucket").orderBy("_copy", F.desc("doc_id"), "text")
-    more = [c for c in dealt.columns if c not in ("doc_id", "_bucket", "_copy")]
-    led = dealt.select("*", F.lead(F.struct(*more)).over(order).alias("_next")).filter("_copy = 0")
-    return led.select(F.nullif("doc_id", F.lit(low)).alias("doc_id"), *more, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in more))
+    n = docs.count()
+    key = F.struct(F.col("doc_id").isNull().cast("int").alias("n"), F.bitwise_not(F.coalesce("doc_id", F.lit(0)).cast("long")).alias("a"), F.xxhash64("text").alias("b"))
+    rows = doc_texts(docs).withColumn("_key", key)
+    ranges = min(most, n // rows_each + 1)
+    some = F.when(F.col("_chance") < 8 * ranges / max(n, 1), F.col("_key")) if ranges > 1 else F.lit(None)
+    first, some = rows.select("_key", F.rand(7).alias("_chance")).agg(F.min("_key"), F.collect_list(some)).first()
+    if first is None:
+        first = (0, 0, 0)
+    bounds = sorted(set(sorted(map(tuple, some))[8::8]) - {tuple(first)})
+    found, leads = _ranges(bounds, F.col("_key"))
+    opens = F.col("_key") == F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(first, ("int", "long", "long"), "nab")))
+
+    def at(place: Column, copy: int) -> Column:
+        return F.struct(place.alias("place"), F.lit(copy).alias("copy"))
+
+    places = F.array(at(F.col("_range"), 0), F.when(leads, at(F.col("_range") - 1, 1)), F.when(opens, at(F.lit(len(bounds)), 1)))
+    dealt = rows.withColumn("_range", found).withColumn("_at", F.explode(F.filter(places, lambda x: x.isNotNull())))
+    dealt = dealt.select("doc_id", "text", "_key", F.col("_at.place").alias("_range"), F.col("_at.copy").alias("_copy")).repartition("_range")
+    order = ["_copy", "_key", "text"]
+    dealt = add(dealt.sortWithinPartitions("_range", *order))
+    more = [c for c in dealt.columns if c not in ("doc_id", "_key", "_range", "_copy")]
+    led = dealt.select("*", F.lead(F.struct(*more)).over(Window.partitionBy("_range").orderBy(*order)).alias("_next")).filter("_copy = 0")
+    return led.select("doc_id", *more, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in more))
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:

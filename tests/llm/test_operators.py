@@ -381,6 +381,30 @@ def test_fingerprints_equal_brute_force(spark):
             assert abs(value - true) <= (0.12 if len(a | b) > 256 else 1e-9)
 
 
+def test_next_documents(spark):
+    """An outlying id, an id on many texts, ids that are null: each row once, and the next one in order."""
+    docs = [(i, f"t{i}") for i in range(400)] + [(2**60, "far"), (-(2**63), "least")] + [(77, f"u{i}") for i in range(300)] + [(None, f"n{i}") for i in range(60)] + [(5, "same")] * 40
+    rows = spark.createDataFrame(rows_of(docs), SCHEMA)
+    pairs = fingerprints.with_next(rows, lambda x: x, rows_each=20).select("doc_id", "text", "next_text").collect()
+    hashed = rows.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = [(r.doc_id, r.text, order[(k + 1) % len(order)].text) for k, r in enumerate(order)]
+    assert sorted(map(str, map(tuple, pairs))) == sorted(map(str, want))
+
+
+def test_sketch_is_the_least_hashes(spark):
+    """The sketch against all shingle hashes of a text, one by one."""
+    for n in (0, 1, 4, 5, 70, 900):
+        sketch = fingerprints.with_sketch(spark.createDataFrame([(prose(n, n),)], "text string"), "text", "s", 64).first().s
+        words = re.findall(r"[^\W_]+", prose(n, n).lower())
+        runs = [words[i : i + 5] for i in range(len(words) - 4)]
+        if runs:
+            hashes = spark.createDataFrame([(r,) for r in runs], "w array<string>").selectExpr("shiftrightunsigned(xxhash64(" + ", ".join(f"xxhash64(w[{j}])" for j in range(5)) + "), 32) AS h")
+            assert sketch == sorted({r.h for r in hashes.collect()})[:64]
+        else:
+            assert len(sketch) == (1 if words else 0)
+
+
 def test_fingerprint_edges(edge_docs, empty_docs):
     rows = fingerprints.edited_fingerprints(edge_docs).collect()
     assert len(rows) == edge_docs.count() and sum(r.doc_id is None for r in rows) == 2
