@@ -11,6 +11,7 @@ all is told by its mean surprisal under the language's n-gram shares, held again
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,11 +70,20 @@ def counted(text: str) -> tuple[np.ndarray, float] | None:
     return (np.sqrt(total / total.sum()).astype(np.float32), float(total.sum())) if any_letter else None
 
 
+def with_bias(x: np.ndarray) -> np.ndarray:
+    """The rows in single precision with a column of ones at the end; rows that have one already are returned as they are."""
+    if x.shape[1] == SIZE + 1:
+        return x
+    out = np.ones((len(x), SIZE + 1), np.float32)
+    out[:, :SIZE] = x
+    return out
+
+
 def descend(gradient, w: np.ndarray, rounds: int, step: float) -> np.ndarray:
     """Nesterov's method."""
     v, t = w, 1.0
     for _ in range(rounds):
-        new, after = v - step * gradient(v), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        new, after = v - step * gradient(v), (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / after * (new - w), new, after
     return w
 
@@ -83,7 +93,7 @@ class Languages:
 
     def __init__(self, x: np.ndarray, langs: list[str], n: np.ndarray):
         self.names = sorted(set(langs))
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64) if len(x) else np.zeros((0, SIZE + 1))
+        x = with_bias(x)
         of = np.array(langs, object)
         families = [FAMILY_OF.get(lang, lang) for lang in langs]
         self.families = sorted(set(families))
@@ -94,56 +104,59 @@ class Languages:
             for i, a in enumerate(names):
                 for b in names[i + 1 :]:
                     rows = (of == a) | (of == b)
-                    self.pairs[a, b] = self.machine(x[rows], np.where(of[rows] == a, 1.0, -1.0))
+                    self.pairs[a, b] = self.machine(x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32))
         self.surprise, self.usual, self.most = np.zeros((len(self.names), SIZE)), np.zeros(len(self.names)), np.full(len(self.names), np.inf)
-        agreed = np.array(self.predict(x[:, :SIZE])[0], object) == of  # labels that the models gainsay are no measure
+        found = [name for at in range(0, len(x), 256) for name in self.predict(x[at : at + 256])[0]]
+        agreed = np.array(found, object) == of  # labels that the models gainsay are no measure
         for k, name in enumerate(self.names):
             rows = (of == name) & agreed
             if rows.sum() >= LEAST_ROWS:
-                share = x[rows, :SIZE] ** 2
-                self.surprise[k] = -np.log(0.99 * share.mean(0) + 0.01 / SIZE)
-                self.usual[k] = np.median(share @ self.surprise[k])
-                self.most[k] = max(1e-9, (1.25 + 5 / rows.sum() ** 0.5) * self.excess(share, n[rows], np.full(rows.sum(), k)).max())
+                share = x[rows, :SIZE]
+                share *= share
+                self.surprise[k] = -np.log(0.99 * share.mean(0, dtype=np.float64) + 0.01 / SIZE)
+                surprisal = (share @ self.surprise[k].astype(np.float32)).astype(np.float64)
+                self.usual[k] = np.median(surprisal)
+                self.most[k] = max(1e-9, (1.25 + 5 / rows.sum() ** 0.5) * self.excess(surprisal, n[rows], k).max())
         told = np.isfinite(self.most)
         self.most[told] = self.most[told].max(initial=0)  # few rows of one language say little of its rare texts
 
-    def excess(self, share: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    def excess(self, surprisal: np.ndarray, n: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
         """How far each row's mean surprisal lies above its language's median; short texts may differ more."""
-        return ((share * self.surprise[lang]).sum(1) - self.usual[lang]) / np.sqrt(1 / n + 1 / 1000)
+        return (surprisal - self.usual[lang]) / np.sqrt(1 / n + 1 / 1000)
 
     def unlike(self, x: np.ndarray, n: np.ndarray, found: list[str]) -> np.ndarray:
         """That excess over 1.25 times (of few rows, more) the largest of any language's training rows: above 1, a text is not in its language."""
         lang = np.array([self.names.index(name) for name in found], int)
-        return np.maximum(0, self.excess(x.astype(np.float64) ** 2, n, lang) / self.most[lang])
+        return np.maximum(0, self.excess((x.astype(np.float64) ** 2 * self.surprise[lang]).sum(1), n, lang) / self.most[lang])
 
     def softmax(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        hot = np.eye(len(self.families))[y]
+        hot = np.eye(len(self.families), dtype=np.float32)[y]
 
         def gradient(w):
             z = x @ w
             p = np.exp(z - z.max(1, keepdims=True))
-            return x.T @ (p / p.sum(1, keepdims=True) - hot) / len(x) + 1e-5 * w
+            return x.T @ (p / p.sum(1, keepdims=True) - hot) / np.float32(len(x)) + np.float32(1e-5) * w
 
-        return descend(gradient, np.zeros((x.shape[1], len(self.families))), 400, 1.0)
+        return descend(gradient, np.zeros((x.shape[1], len(self.families)), np.float32), 400, 1.0)
 
     @staticmethod
     def machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         """Weights under a squared hinge loss with classes balanced, and the slope of the logistic curve."""
-        each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+        each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
 
         def gradient(w):
             slack = np.maximum(0, 1 - y * (x @ w))
-            return -2 * x.T @ (each * y * slack) + 1e-4 * w
+            return -2 * (x.T @ (each * y * slack)) + np.float32(1e-4) * w
 
-        w = descend(gradient, np.zeros(x.shape[1]), 300, 0.2)
-        margins, slope = y * (x @ w), 1.0
+        w = descend(gradient, np.zeros(x.shape[1], np.float32), 300, 0.2)
+        margins, slope = (y * (x @ w)).astype(np.float64), 1.0
         for _ in range(100):
             slope += 4 * float((each * margins / (1 + np.exp(slope * margins))).sum()) - 0.002 * slope
         return w, slope
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The language and its score (0 to 1) of each row of features."""
-        x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+        x = with_bias(x).astype(np.float64)
         if self.family_weights is None:
             chance = np.ones((len(x), 1))
         else:
@@ -191,9 +204,13 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, sample_rows: int =
             got = [(lang, c[0].tobytes(), c[1]) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (c := counted(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.float64())], names=["lang", "x", "n"])
 
-    got = sorted((r["lang"], bytes(r["x"]), r["n"]) for r in rows.mapInArrow(count, "lang string, x binary, n double").limit(sample_rows).collect())
-    x = np.frombuffer(b"".join(g[1] for g in got), np.float32).reshape(-1, SIZE)
-    return Languages(x, [g[0] for g in got], np.array([g[2] for g in got]))
+    got = rows.mapInArrow(count, "lang string, x binary, n double").limit(sample_rows).collect()
+    got.sort(key=lambda r: (r["lang"], r["x"], r["n"]))
+    x = np.ones((len(got), SIZE + 1), np.float32)
+    langs, n = [r["lang"] for r in got], np.array([r["n"] for r in got])
+    for k in reversed(range(len(got))):  # each row goes as it is copied
+        x[k, :SIZE] = np.frombuffer(got.pop()["x"], np.float32)
+    return Languages(x, langs, n)
 
 
 def predict(docs: DataFrame, model: Languages, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
