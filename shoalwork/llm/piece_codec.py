@@ -28,6 +28,7 @@ from ._common import batches, doc_texts
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+PART, LONG = 1 << 16, 1 << 10  # characters of a part of a text, and of a word that is searched part by part
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 OUT = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
@@ -58,6 +59,10 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceCodec:
     """Encoder and decoder for one model file."""
 
@@ -66,7 +71,7 @@ class PieceCodec:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids, self.scores, self.surface, self.bytes, self.unknown = {}, [], [], {}, 0
-        self.kind = UNIGRAM
+        self.kind, suffix, rules = UNIGRAM, 0, {}
         for number, value in _fields(self.model.serialized_model_proto()):
             if number == 1:
                 piece = dict(_fields(value))
@@ -81,7 +86,12 @@ class PieceCodec:
                 elif kind in (NORMAL, USER):
                     self.ids[text] = at
             elif number == 2:
-                self.kind = dict(_fields(value)).get(3, UNIGRAM)
+                trainer = dict(_fields(value))
+                self.kind, suffix = trainer.get(3, UNIGRAM), trainer.get(24, 0)
+            elif number == 3:
+                rules = dict(_fields(value))
+        # without rules for characters, normalizing is an added space at the start and a mark for every space
+        self.plain, self.dummy = not rules.get(2) and not rules.get(4, 1) and rules.get(5, 1) and not suffix, rules.get(3, 1)
         self.longest = max(map(len, self.ids), default=1)
         self.penalty = min(self.scores, default=0) - 10
         self.apart, self.known, self.remembered = {}, {}, remembered
@@ -118,20 +128,9 @@ class PieceCodec:
 
     def stream(self, chars: str) -> Iterator[list[int]]:
         """Ids of a normalized text, put out as soon as they are final."""
-        longest, grow = self.longest, self.grow_bpe if self.kind == BPE else self.grow_unigram
-        done = 0  # the boundary up to which ids are out
-        begin, state = {}, {}  # where the best piece that ends at a place begins; what the search knows of a place
-        for at in range(0, len(chars), longest):
-            end = min(at + longest, len(chars))
-            grow(chars, done, at, end, begin, state)
-            if end < len(chars) and (to := self.meet(begin, done, end)) > done:
-                yield self.path(chars, begin, done, to)
-                for k in range(done, to):
-                    begin.pop(k, None)
-                    state.pop(k, None)
-                done = to
-        if len(chars) > done:
-            yield self.path(chars, begin, done, len(chars))
+        search = Search(self)
+        yield from search.feed(chars)
+        yield from search.finish()
 
     def grow_unigram(self, chars: str, base: int, at: int, to: int, begin: dict, score: dict) -> None:
         """Carries best paths from place `at` on to `to`; score: of the best path to a place."""
@@ -172,17 +171,6 @@ class PieceCodec:
                         begin[end], last[end] = start, piece
                         break
 
-    def meet(self, begin: dict, done: int, end: int) -> int:
-        """The last boundary on the paths from all the places that a later piece may begin at."""
-        heads = set(range(max(done, end - self.longest + 1), end + 1))
-        while len(heads) > 1:
-            head = max(heads)
-            if head <= done:
-                return done
-            heads.remove(head)
-            heads.add(begin[head])
-        return heads.pop()
-
     def path(self, chars: str, begin: dict, start: int, end: int) -> list[int]:
         out = []
         while end > start:
@@ -191,14 +179,55 @@ class PieceCodec:
             end = begin[end]
         return [i for part in reversed(out) for i in part]
 
+    def normal_parts(self, text: str) -> Iterator[str]:
+        """The normalized text in parts of bounded size; a model with rules of its own for characters has them applied to the whole text."""
+        if not self.plain:
+            yield self.model.normalize(text)
+            return
+        for at in range(0, len(text), PART):
+            part = text[at : at + PART].replace(" ", SPACE)
+            yield part if at or not self.dummy else SPACE + part
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        normal = self.model.normalize(text)
-        if not self.units:
-            return np.array([i for part in self.stream(normal) for i in part], "<u4").tobytes()
+        """Ids of a text as little-endian unsigned 32-bit integers.
+
+        The text streams through in parts. Where no piece goes on past a space, all surviving paths meet before each word, so words are
+        committed there one by one, and those met before are looked up; a word longer than LONG runs through the search itself.
+        """
+        out: list[bytes] = []
+        search, held = None if self.units else Search(self), ""
+        for part in self.normal_parts(text):
+            if not self.units:
+                out += map(pack, search.feed(part))
+                continue
+            if search:  # a long word goes on
+                end = re.match(f"{SPACE}*[^{SPACE}]*" if search.blank else f"[^{SPACE}]*", part).end()
+                out += map(pack, search.feed(part[:end]))
+                if end == len(part):
+                    continue
+                out += map(pack, search.finish())
+                search, part = None, part[end:]
+            held += part
+            cut = len(held[: held.rfind(SPACE) + 1].rstrip(SPACE))  # the last word may go on in the next part
+            if len(part) >= PART // 2:
+                if cut:
+                    out.append(self.words(held[:cut]))
+                    held = held[cut:]
+                if len(held) > LONG:
+                    search = Search(self)
+                    out += map(pack, search.feed(held))
+                    held = ""
+        if search:
+            out += map(pack, search.finish())
+        if held:
+            out.append(self.words(held))
+        return b"".join(out)
+
+    def words(self, normal: str) -> bytes:
+        """Ids of whole words."""
         known, parts = self.known, normal.split(SPACE)
         if parts[0] or "" in parts[1:]:  # runs of spaces, or none at the start
-            return self.encode_units(normal)
+            return b"".join(map(self.pack_ids, UNIT.findall(normal)))
         del parts[0]
         try:
             return b"".join(map(known.__getitem__, parts))
@@ -213,12 +242,7 @@ class PieceCodec:
     def pack_ids(self, unit: str) -> bytes:
         if self.kind == BPE and unit in self.whole:
             return struct.pack("<I", self.ids[unit])
-        ids = [i for part in self.stream(unit) for i in part]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode_units(self, normal: str) -> bytes:
-        """Unit by unit, each of which begins with any number of spaces."""
-        return b"".join(map(self.pack_ids, UNIT.findall(normal)))
+        return b"".join(map(pack, self.stream(unit)))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces joined, bytes put together, the leading space that encoding adds taken off."""
@@ -226,6 +250,49 @@ class PieceCodec:
         return text[1:] if text[:1] == " " else text
 
 
+class Search:
+    """A search that takes a normalized text in parts of any size and puts out ids as soon as they are final.
+
+    It holds the characters since the last commit, and for the places among them where the best piece that ends there begins and
+    what the search knows of the place. After every `longest` characters all places that a later piece may begin at are
+    traced back; where their paths meet, everything before is committed and forgotten.
+    """
+
+    def __init__(self, codec: PieceCodec):
+        self.codec, self.chars, self.at, self.begin, self.state, self.blank = codec, "", 0, {}, {}, True
+        self.grow = codec.grow_bpe if codec.kind == BPE else codec.grow_unigram
+
+    def feed(self, chars: str) -> Iterator[list[int]]:
+        self.blank = self.blank and not chars.strip(SPACE)
+        longest = self.codec.longest
+        for low in range(0, len(chars), longest):
+            self.chars += chars[low : low + longest]
+            end = len(self.chars)
+            self.grow(self.chars, 0, self.at, end, self.begin, self.state)
+            self.at = end
+            if (to := self.meet(end)) > 0:
+                yield self.codec.path(self.chars, self.begin, 0, to)
+                self.chars, self.at = self.chars[to:], end - to
+                self.begin = {k - to: v - to for k, v in self.begin.items() if k > to}
+                self.state = {k - to: v for k, v in self.state.items() if k >= to}
+
+    def finish(self) -> Iterator[list[int]]:
+        if self.chars:
+            yield self.codec.path(self.chars, self.begin, 0, len(self.chars))
+        self.__init__(self.codec)
+
+    def meet(self, end: int) -> int:
+        """The last boundary on the paths from all the places that a later piece may begin at; 0 if there is none."""
+        heads = set(range(max(0, end - self.codec.longest + 1), end + 1))
+        while len(heads) > 1:
+            head = max(heads)
+            heads.remove(head)
+            if head <= 0:
+                return 0
+            heads.add(self.begin[head])
+        return heads.pop()
+
+
 _codecs: dict[str, PieceCodec] = {}
 
 

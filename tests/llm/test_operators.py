@@ -169,6 +169,26 @@ def test_word_cache_equals_the_library(path, keep):
 
 # --- 3 --------------------------------------------------------------------
 
+def test_long_texts_stream_in_parts(monkeypatch):
+    """Texts many parts long, with words and runs of spaces longer than a part; what is held stays small."""
+    own, r, held = piece_codec.PieceCodec(PIECE), random.Random(5), []
+    monkeypatch.setattr(piece_codec, "PART", 50)
+    monkeypatch.setattr(piece_codec, "LONG", 20)
+    feed = piece_codec.Search.feed
+
+    def watched(self, chars):
+        for ids in feed(self, chars):
+            held.append(len(self.chars))
+            yield ids
+
+    monkeypatch.setattr(piece_codec.Search, "feed", watched)
+    alphabet = ["a", "the", "ing" * 20, " ", " " * 70, "\n", "é日", "lorem" * 40, ". ", "x" * 119, "▁"]
+    for _ in range(150):
+        text = "".join(r.choice(alphabet) for _ in range(r.randrange(60)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.model.encode(text), text
+    assert max(held) < 300
+
+
 def test_pieces_equal_the_library():
     own, r = piece_codec.PieceCodec(PIECE), random.Random(4)
     alphabet = ["a", "th", "ing", " ", " ", "\n", "é", "日", "の", "ion", "  ", ".", "\U0001f600", "▁", "\0", "zq"]
