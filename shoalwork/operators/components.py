@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize
+from ..plans.storage import delete, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,11 +33,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null")
     every = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    state, current = None, materialize(edges.filter("a <> b").distinct(), "edges")
+    spark, state, current = edges.sparkSession, None, materialize(edges.filter("a <> b").distinct(), "edges")
     while True:
-        current = materialize(_star(_star(current, True), False), "edges")
+        before, current = current, materialize(_star(_star(current, True), False), "edges")
+        delete(spark, before._table_path)
         after = tuple(current.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
         if after == state:
             break
         state = after
-    return every.join(current.select(F.col("a").alias("node"), F.col("b").alias("_to")), "node", "left").select("node", F.coalesce("_to", "node").alias("component"))
+    found = every.join(current.select(F.col("a").alias("node"), F.col("b").alias("_to")), "node", "left").select("node", F.coalesce("_to", "node").alias("component"))
+    out = materialize(found, "components")
+    delete(spark, current._table_path)
+    return out
