@@ -11,7 +11,9 @@ Equal texts are one node from the start. All pairs of a bucket are compared, eac
 buckets. Those of small buckets are rows. Nodes of a large bucket are dealt into blocks, and two
 blocks at a time are compared by products of matrices, which puts out one row for each node (how many links it has, and
 the least node that it reaches), so rows grow with the nodes of a bucket and not with their pairs. No link
-between different texts is lost but by banding (under 1e-5 for a similarity of 0.8, less above).
+between different texts is lost but by banding (under 1e-5 for a similarity of 0.8, less above) and by the comparison of
+bit sketches that goes before small buckets' counts (six standard deviations, under 1e-8). Overlaps are counted on 32-bit hashes of the occurrences: in
+a text of n words about n^2 / 2^33 of them fall together (one in a text of 90,000 words), which can tip a similarity that lies that close to the threshold.
 """
 
 from __future__ import annotations
@@ -237,32 +239,33 @@ def _links_of_part(table: pa.Table, threshold: float) -> pa.Table:
 
 
 def _compare_large(rows: DataFrame, threshold: float) -> DataFrame:
-    """Compares all nodes of each bucket: rows has key, node, elements and large (the keys of the node's large buckets)."""
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.size("elements")) / BLOCK_ELEMENTS)).cast("int")
-    dealt = rows.join(rows.groupBy("key").agg(blocks.alias("_blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    """Compares all nodes of each bucket: rows has key, blocks (how many the bucket is dealt into), node, elements and large (the keys of the node's large buckets)."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "node", "elements", "large")
+    dealt = dealt.repartition("key", "low", "high")  # else rows dealt by key before would stay together, with all blocks of a bucket in one task
     return dealt.groupBy("key", "low", "high").applyInArrow(lambda table: _links_of_part(table, threshold), "node long, n long, root long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The class of every row: doc_id, class_id (the least doc_id of its class) and n_links.
+    """The class of every row: doc_id, class_id (the least doc_id of its class), n_links, text_hash (64 bits of the text)
+    and leads (whether the text is the one that stands for its class: of those with its least doc_id the one of least hash).
 
     n_links counts all verified links of the row's text to other texts. Texts without a word are alike
     only when equal; null texts count as empty. Rows that repeat a doc_id each get a row.
     A class has a null class_id if none of its rows has a doc_id. Similarity is that of the
     multisets of five-word shingles (words: runs of letters, digits and underscores, lower-cased).
     """
-    spark = docs.sparkSession
+    spark, parts = docs.sparkSession, None
     signed = materialize(sign(docs), "signed")
     texts = materialize(
         signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in ("s0", "s1", "s2", "size"))),
         "texts",
     )
     light = texts.select("node", "s0", "s1", "s2", "size")
-    buckets = texts.select("node", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(buckets.join(hubs.select("key", "hub", "n"), "key"), "buckets")  # buckets with company
+    buckets = texts.select("node", "size", F.explode("bands").alias("key"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("size") / BLOCK_ELEMENTS)).cast("int")
+    company = buckets.groupBy("key").agg(F.count("*").alias("n"), blocks.alias("blocks")).filter("n > 1")
+    shared = materialize(buckets.select("node", "key").join(company, "key"), "buckets")  # buckets with company
     release(spark)
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -287,16 +290,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     edges, counts = links, links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
     if not hot.isEmpty():
         sets = materialize(with_sets(held.select("node")).select("node", "elements").join(held, "node"), "sets")
-        parts = materialize(_compare_large(hot.select("key", "node").join(sets, "node"), threshold), "parts")
+        parts = materialize(_compare_large(hot.select("key", "blocks", "node").join(sets, "node"), threshold), "parts")
         edges = links.unionByName(parts.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         counts = counts.unionByName(parts.select("node", "n"))
         release(spark, sets)
-    found = materialize(connected_components(edges), "components")
+    found = connected_components(edges)
     degree = counts.groupBy("node").agg(F.sum("n").alias("n_links"))
     classed = texts.select("node", "first_doc").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = classed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
-    classed = materialize(classed.join(least, "component").join(degree, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    least = classed.groupBy("component").agg(F.min(F.struct("first_doc", "node")).alias("_least"))
+    leads = ((F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("_lead"))).alias("leads")
+    classed = classed.join(least, "component").join(degree, "node", "left").select("node", F.col("_least.first_doc").alias("class_id"), F.col("_least.node").alias("_lead"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classed = materialize(classed, "classes")
     ids = [F.nullif(c, F.lit(NO_ID)).alias(c) for c in ("doc_id", "class_id")]
-    out = materialize(signed.select("doc_id", "node").join(classed, "node").select(*ids, "n_links"), "near-duplicates")
-    release(spark, signed, texts, shared, classed)
+    out = materialize(signed.select("doc_id", "node").join(classed, "node").select(*ids, "n_links", F.col("node").alias("text_hash"), leads), "near-duplicates")
+    release(spark, signed, texts, shared, links, found, classed, *([parts] if parts else []))
     return out

@@ -58,7 +58,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return bagminhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

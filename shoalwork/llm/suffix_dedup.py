@@ -219,15 +219,14 @@ def repeats(docs: DataFrame, length: int = 200, keep: bool = False) -> DataFrame
     release(spark, every, company)
     place = F.xxhash64("uid", "run")
     contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min(place).alias("first"))
-    many = contexts.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
+    mixed = found.groupBy("anchor").agg(F.min("context").alias("_a"), F.max("context").alias("_z")).filter("_a <> _z")  # anchors of several contexts
+    mixed = materialize(mixed.select("anchor", F.lit(True).alias("several")), "mixed")  # a table again, for the same reason
     whole = F.col("c") > 1
-    edge = F.col("several") & ((F.col("c") == 1) | (place == F.col("first")))
-    runs = (
-        found.join(contexts.join(many, "anchor"), ["anchor", "context"]).filter(whole | edge)
-        .groupBy("uid").agg(F.collect_list(F.when(whole, F.col("run"))).alias("whole"), F.collect_list(F.when(edge, F.col("run"))).alias("edges"))
-    )
-    runs = materialize(runs, "runs")  # a document's own anchors, so no longer than the document
-    release(spark, found)
+    edge = F.coalesce("several", F.lit(False)) & ((F.col("c") == 1) | (place == F.col("first")))
+    told = found.join(contexts.join(mixed, "anchor", "left"), ["anchor", "context"]).filter(whole | edge)
+    runs = told.groupBy("uid").agg(F.collect_set(F.when(whole, F.col("run"))).alias("whole"), F.collect_set(F.when(edge, F.col("run"))).alias("edges"))
+    runs = materialize(runs, "runs")  # a document's own anchors, each once, so no longer than the document
+    release(spark, found, mixed)
     texts = _keyed(docs).filter(F.octet_length("bytes") >= length)
     edges = texts.join(runs.filter(F.size("edges") > 0).select("uid", "edges"), "uid").select("uid", "bytes", "edges")
     windows = materialize(_windows(edges, length), "windows")
@@ -239,7 +238,7 @@ def repeats(docs: DataFrame, length: int = 200, keep: bool = False) -> DataFrame
         release(spark)
         found.append(materialize(some.join(twice, "w", "left_semi").select("uid", "p"), "repeated"))
         release(spark, twice)
-    single = reduce(DataFrame.unionByName, found).groupBy("uid").agg(F.collect_list("p").alias("single"))
+    single = reduce(DataFrame.unionByName, found).groupBy("uid").agg(F.collect_set("p").alias("single"))
     release(spark, windows)
     places = runs.select("uid", "whole").join(single, "uid", "left").filter((F.size("whole") > 0) | F.col("single").isNotNull())
     return _remove(texts.join(places, "uid").select("uid", "bytes", "whole", "single"), length, keep)
