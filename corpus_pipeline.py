@@ -26,9 +26,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class of near-duplicates; of equal rows one."""
-    first = bagminhash.near_duplicates(docs).filter("doc_id <=> class_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Keeps one document of each class of near-duplicates, that of the least doc_id (and text hash, where texts share it); of equal rows one."""
+    first = bagminhash.near_duplicates(docs).filter("leads").select(F.col("doc_id").alias("_first"), F.col("text_hash").alias("_hash")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
