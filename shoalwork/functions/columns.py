@@ -122,17 +122,17 @@ def metric_text(x: Column, digits: int = 4) -> Column:
 
 
 def byte_text(n: Column) -> Column:
-    """A size with its unit."""
-    units, out = ["B", "KB", "MB", "GB", "TB", "PB"], None
-    for i, unit in reversed(list(enumerate(units))):
-        text = F.format_string(f"%.1f {unit}", n.cast("double") / F.lit(float(1024**i)))
-        out = text if out is None else F.when(n < F.lit(1024 ** (i + 1)), text).otherwise(out)
-    return out
+    """A size with its unit, up to TB: whole bytes, two decimals of larger units."""
+    out = F.format_string("%.2f TB", n.cast("double") / float(1024**4))
+    for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
+        text = F.format_string("%.0f B" if i == 0 else f"%.2f {unit}", n.cast("double") / float(1024**i))
+        out = F.when(F.abs(n) < F.lit(float(1024 ** (i + 1))), text).otherwise(out)
+    return F.when(n.isNotNull(), out)
 
 
 def is_blank(text: Column) -> Column:
-    """Null, empty, or a word that stands for nothing."""
-    return text.isNull() | F.lower(F.trim(text)).isin("", "nan", "none", "null", "nat")
+    """Null, or one of the ways an empty cell is written."""
+    return text.isNull() | F.trim(text).isin("", "nan", "None")
 
 
 def slug(text: Column) -> Column:
@@ -221,14 +221,59 @@ def geodesic_band_ha(lat_low: Column, lat_high: Column, width_degrees: float) ->
     return (q(lat_high) - q(lat_low)) * (b * b / 2 * math.radians(width_degrees) / 10_000)
 
 
+# Fourier coefficients of the equation of time (minutes) and of the sun's declination (radians): constant, then cosine and sine of each harmonic of the year.
+EQUATION_OF_TIME = (0.000075, (0.001868, -0.032077), (-0.014615, -0.040849))
+DECLINATION = (0.006918, (-0.399912, 0.070257), (-0.006758, 0.000907), (-0.002697, 0.00148))
+
+
 def solar_zenith_cosine(when: Column, lat: Column, lon: Column) -> Column:
-    """Cosine of the sun's zenith angle by Fourier series of the day of the year."""
+    """Cosine of the sun's zenith angle, held within 0.05 and 1 so that reflectances stay finite at dusk and by night."""
     hour = F.hour(when) + F.minute(when) / 60.0
-    g = 2 * math.pi / 365 * (F.dayofyear(when) - 1 + (hour - 12) / 24)
-    eq = 229.18 * (0.000075 + 0.001868 * F.cos(g) - 0.032077 * F.sin(g) - 0.014615 * F.cos(2 * g) - 0.040849 * F.sin(2 * g))
-    decl = 0.006918 - 0.399912 * F.cos(g) + 0.070257 * F.sin(g) - 0.006758 * F.cos(2 * g) + 0.000907 * F.sin(2 * g) - 0.002697 * F.cos(3 * g) + 0.00148 * F.sin(3 * g)
-    angle = F.radians((hour * 60 + eq + 4 * lon) / 4 - 180)
-    return F.sin(F.radians(lat)) * F.sin(decl) + F.cos(F.radians(lat)) * F.cos(decl) * F.cos(angle)
+    turn = 2 * math.pi / 365 * (F.dayofyear(when) - 1 + (hour - 12) / 24)
+
+    def series(terms) -> Column:
+        return reduce(lambda a, b: a + b, (c * F.cos(k * turn) + s * F.sin(k * turn) for k, (c, s) in enumerate(terms[1:], 1)), F.lit(terms[0]))
+
+    decl = series(DECLINATION)
+    angle = F.radians((hour * 60 + 229.18 * series(EQUATION_OF_TIME) + 4 * lon) / 4 - 180)
+    return clip(F.sin(F.radians(lat)) * F.sin(decl) + F.cos(F.radians(lat)) * F.cos(decl) * F.cos(angle), 0.05, 1.0)
+
+
+# Centres (nm) of the bands that the chlorophyll indices use, and the longest and shortest base line.
+CHLOROPHYLL_BANDS = {"r665": 665.0, "r681": 681.25, "r709": 708.75, "r754": 753.75, "r885": 885.0}
+
+
+def peak_height(peak: Column, at: Column | float, low: Column, low_at: float, high: Column, high_at: float) -> Column:
+    """How far a band stands above the line between two others."""
+    return peak - low - (high - low) * ((at - low_at) / (high_at - low_at))
+
+
+def calibrated(index: Column, coefficients: tuple[float, float, float], bounds: tuple[float, float]) -> Column:
+    """A quadratic of an index, held within bounds."""
+    a, b, c = coefficients
+    return clip(a * index * index + b * index + c, *bounds)
+
+
+def chlorophyll(coefficients: dict[str, tuple[float, float, float]], bounds: tuple[float, float]) -> dict[str, Column]:
+    """chl_mci and chl_mph of columns r665 to r885 (reflectances): the 709 nm peak over its neighbours, and the highest
+    of three peaks over a long base line (the shorter wavelength where peaks tie). coefficients: a quadratic for each."""
+    nm, r = CHLOROPHYLL_BANDS, {b: F.col(b) for b in CHLOROPHYLL_BANDS}
+    top = F.greatest(r["r681"], r["r709"], r["r754"])
+    whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in r.values()))
+    at = F.when(r["r681"] == top, nm["r681"]).when(r["r709"] == top, nm["r709"]).otherwise(nm["r754"])
+    mci = peak_height(r["r709"], nm["r709"], r["r681"], nm["r681"], r["r754"], nm["r754"])
+    mph = peak_height(top, at, r["r665"], nm["r665"], r["r885"], nm["r885"])
+    return {f"chl_{name}": F.when(whole, calibrated(x, coefficients[name], bounds)) for name, x in (("mci", mci), ("mph", mph))}
+
+
+def reflectance(radiance: Column, scale: float, irradiance: float, cosine: Column) -> Column:
+    """Top-of-atmosphere reflectance of a scaled radiance under the sun's zenith cosine."""
+    return radiance * scale * math.pi / irradiance / cosine
+
+
+def valid_fraction(area: Column, cell_size: float) -> Column:
+    """Share of a square cell that was seen, at most 1."""
+    return F.least(area / (cell_size * cell_size), F.lit(1.0))
 
 
 # --- aggregates -----------------------------------------------------------

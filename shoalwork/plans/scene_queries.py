@@ -100,58 +100,6 @@ def date_histogram(spark, sf):
     return b.observations(spark, sf).groupBy("day").agg(F.count("*").alias("n"))
 
 
-FILES = """files AS (SELECT (CASE WHEN o_orderpriority < '3' THEN 'S2' ELSE 'S1' END) || '_' || strftime(o_orderdate, '%Y-%m-%d') || '_' || strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d')
-        || (CASE WHEN o_orderstatus = 'F' THEN '_std90' ELSE '' END) || (CASE WHEN o_custkey % 5 = 0 THEN ' (1)' WHEN o_custkey % 5 = 1 THEN '-0000000000-0000000512' ELSE '' END) || '.tif' AS path, o_totalprice AS size, o_orderkey FROM orders),
-    parsed AS (SELECT *, regexp_extract(path, '^((S1|S2)_(\\d{4}-\\d{2}-\\d{2})_(\\d{4}-\\d{2}-\\d{2})(?:_([a-z0-9]+))?)(?:-(\\d{10})-(\\d{10}))?\\.tif$', ['prefix', 'sensor', 'start_date', 'end_date', 'token', 'row', 'col']) AS m FROM files)"""
-
-
-def files(spark, sf):
-    o = b.table(spark, sf, "orders")
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    path = F.concat(F.when(F.col("o_orderpriority") < "3", "S2").otherwise("S1"), F.lit("_"), day("o_orderdate"), F.lit("_"), day(F.date_add(F.col("o_orderdate").cast("date"), 1)), F.when(F.col("o_orderstatus") == "F", "_std90").otherwise(""),
-                    F.when(F.col("o_custkey") % 5 == 0, " (1)").when(F.col("o_custkey") % 5 == 1, "-0000000000-0000000512").otherwise(""), F.lit(".tif"))
-    return o.select(path.alias("path"), F.col("o_totalprice").alias("size"), "o_orderkey")
-
-
-@query(f"""WITH {FILES} SELECT o_orderkey, nullif(m.prefix, '') AS prefix, nullif(m.sensor, '') AS sensor, CAST(nullif(m.start_date, '') AS DATE) AS start_date, CAST(nullif(m.end_date, '') AS DATE) AS end_date, nullif(m.token, '') AS token, (m.row <> '') AS is_tile FROM parsed""")
-def export_names(spark, sf):
-    return catalog.parse_names(files(spark, sf)).select("o_orderkey", "prefix", "sensor", "start_date", "end_date", "token", "is_tile")
-
-
-@query(f"""WITH {FILES} SELECT CASE WHEN m.prefix = '' THEN 'name not understood' WHEN m.sensor = 'S1' AND m.token = '' THEN 'no temporal bands' WHEN size < 50000 THEN 'too small' ELSE 'accepted' END AS outcome, count(*) AS n FROM parsed GROUP BY 1""")
-def selection_audit(spark, sf):
-    p = catalog.parse_names(files(spark, sf))
-    checks = [(F.col("prefix").isNull(), "name not understood"), ((F.col("sensor") == "S1") & F.col("token").isNull(), "no temporal bands"), (F.col("size") < 50000, "too small")]
-    return catalog.audit(catalog.with_reasons(p, checks), [])
-
-
-@query(f"""WITH {FILES}, r AS (SELECT m.sensor AS sensor, CAST(m.start_date AS DATE) AS start_date, m.prefix AS prefix, o_orderkey, row_number() OVER (PARTITION BY m.sensor, m.start_date ORDER BY (m.token <> '') DESC, m.prefix DESC, o_orderkey) AS k FROM parsed WHERE m.prefix <> '')
-    SELECT sensor, start_date, prefix, o_orderkey FROM r WHERE k = 1""")
-def winner_per_key(spark, sf):
-    p = catalog.parse_names(files(spark, sf)).filter("prefix is not null")
-    w = catalog.winners(p, ["sensor", "start_date"], [F.col("token").isNotNull().desc(), F.desc("prefix"), F.asc("o_orderkey")])
-    return w.select("sensor", "start_date", "prefix", "o_orderkey")
-
-
-@query(f"""WITH {FILES} SELECT m.sensor AS sensor, m.prefix AS prefix, string_agg(path, ';' ORDER BY path) AS paths, count(*) AS n_files FROM parsed WHERE m.prefix <> '' GROUP BY 1, 2""")
-def snapshot_files(spark, sf):
-    return catalog.group_files(catalog.parse_names(files(spark, sf)).filter("prefix is not null"), ["sensor", "prefix"])
-
-
-@query(f"""WITH {FILES} SELECT m.sensor AS sensor, CAST(m.start_date AS DATE) AS start_date, (m.row <> '') AS is_tile, count(*) AS n FROM parsed WHERE m.prefix <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1""")
-def ambiguous_rasters(spark, sf):
-    p = catalog.parse_names(files(spark, sf)).filter("prefix is not null")
-    return catalog.ambiguous(p, ["sensor", "start_date"], "is_tile")
-
-
-@query("""WITH f AS (SELECT o_custkey AS scene, CASE WHEN o_orderstatus = 'F' THEN 'model' WHEN o_orderstatus = 'O' THEN 'rules' ELSE 'other' END AS role, CAST(o_orderkey AS VARCHAR) AS path FROM orders),
-    p AS (SELECT scene, max(path) FILTER (WHERE role = 'model') AS model, max(path) FILTER (WHERE role = 'rules') AS rules FROM f GROUP BY 1)
-    SELECT *, CASE WHEN model IS NOT NULL AND rules IS NOT NULL THEN 'paired' WHEN model IS NOT NULL THEN 'no rules' ELSE 'no model' END AS status FROM p""")
-def scene_pairs(spark, sf):
-    f = b.table(spark, sf, "orders").select(F.col("o_custkey").alias("scene"), F.when(F.col("o_orderstatus") == "F", "model").when(F.col("o_orderstatus") == "O", "rules").otherwise("other").alias("role"), F.col("o_orderkey").cast("string").alias("path"))
-    return catalog.roles(f, "scene", "role", ["model", "rules"])
-
-
 @query("""SELECT o_orderkey FROM orders ANTI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) ON o_orderkey = l_orderkey""")
 def pending_exports(spark, sf):
     li = b.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
@@ -327,9 +275,9 @@ def response_transforms(spark, sf):
 
 
 @query("""SELECT c_custkey, lower(regexp_replace(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug,
-    CASE WHEN floor(c_acctbal) < 1024 THEN printf('%.1f B', floor(c_acctbal)) ELSE printf('%.1f KB', floor(floor(c_acctbal) / 102.4 + 0.5) / 10) END AS size, (c_mktsegment IS NULL OR lower(trim(c_mktsegment)) IN ('', 'nan', 'none', 'null', 'nat')) AS blank FROM customer WHERE c_acctbal >= 0""")
+    CASE WHEN abs(floor(c_acctbal)) < 1024 THEN printf('%.0f B', floor(c_acctbal)) ELSE printf('%.2f KB', floor(c_acctbal) / 1024) END AS size, (c_mktsegment IS NULL OR trim(c_mktsegment) IN ('', 'nan', 'None')) AS blank FROM customer""")
 def text_helpers(spark, sf):
-    c = b.table(spark, sf, "customer").filter("c_acctbal >= 0")
+    c = b.table(spark, sf, "customer")
     return c.select("c_custkey", fn.slug(F.concat("c_name", F.lit(" / "), "c_mktsegment")).alias("slug"), fn.byte_text(F.floor("c_acctbal")).alias("size"), fn.is_blank(F.col("c_mktsegment")).alias("blank"))
 
 
