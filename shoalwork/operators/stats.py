@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -122,25 +123,6 @@ def bh_fdr(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
     return q.unionByName(df.filter(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
-def month_blocks(months: DataFrame, block: int, replicates: int, seed: int = 0, month: str = "month") -> DataFrame:
-    """Calendar-block bootstrap: for each replicate the months drawn, as runs of `block` months, with repeats.
-
-    Starts come from a hash of (seed, replicate, draw), so a replicate is the same on any cluster.
-    """
-    span = months.agg(F.min(month_index(F.col(month))).alias("_a"), F.max(month_index(F.col(month))).alias("_b"))
-    draws = F.ceil((F.col("_b") - F.col("_a") + 1) / block).cast("int")
-    plan = span.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), draws - 1)))
-    start = F.col("_a") + F.pmod(F.xxhash64(F.lit(seed), "replicate", "draw"), F.greatest(F.col("_b") - F.col("_a") + 2 - block, F.lit(1)))
-    return plan.withColumn("mi", F.explode(F.sequence(start, start + block - 1))).select("replicate", "draw", "mi")
-
-
-def bootstrap_mean(df: DataFrame, value: str, block: int, replicates: int, seed: int = 0, month: str = "month") -> DataFrame:
-    """Mean and its 95 % interval by calendar blocks: months' sums are resampled, not rows."""
-    sums = df.groupBy(month_index(F.col(month)).alias("mi")).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    reps = month_blocks(df, block, replicates, seed, month).join(F.broadcast(sums), "mi").groupBy("replicate").agg((F.sum("_s") / F.sum("_n")).alias("m"))
-    return reps.agg(F.count("*").alias("replicates"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("std_error"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-
-
 def aicc(log_likelihood: float, k: int, n: int) -> float:
     """Corrected information criterion; infinite where the correction is undefined."""
     return 2 * k - 2 * log_likelihood + (2 * k * (k + 1) / (n - k - 1) if n - k - 1 > 0 else math.inf)
@@ -160,74 +142,91 @@ def ar_roots(coefficients: list[float]) -> list[float]:
     return sorted((float(abs(r)) for r in np.linalg.eigvals(companion)), reverse=True)
 
 
-def ar_regression(df: DataFrame, keys: list[str], y: str, xs: list[str], order: int = 1, rounds: int = 20, month: str = "month") -> tuple[DataFrame, list[float]]:
-    """Regression with autoregressive errors by iterated Cochrane-Orcutt; lags are calendar lags by key.
+def slopes_up_to(x: np.ndarray, y: np.ndarray, slope: float) -> int:
+    """How many pairs of points (x ascending, no two alike in x counted) have at most this slope.
 
-    Each round fits the coefficients on quasi-differenced rows and the error's lags on residuals; only sums
-    of products reach the driver.
+    Those are the pairs whose order turns or stays level when the points are put by y - slope * x, counted by merging, n log n.
     """
-    rows = complete(df, [y, *xs]).withColumn("_mi", month_index(F.col(month)))
-    cols = [y, *xs]
-    for h in range(1, order + 1):
-        w = Window.partitionBy(*keys).orderBy("_mi").rangeBetween(-h, -h)
-        rows = rows.withColumns({f"{c}_l{h}": F.first(c).over(w) for c in cols})
-    lagged = rows.dropna(subset=[f"{y}_l{h}" for h in range(1, order + 1)]).persist()
-    rho, beta = [0.0] * order, None
-    for _ in range(rounds):
-        quasi = lagged.select(*((F.col(c) - sum((r * F.col(f"{c}_l{h}") for h, r in enumerate(rho, 1)), F.lit(0.0))).alias(c) for c in cols))
-        g, names, n = gram(quasi, y, xs)
-        beta = solve(g, list(range(len(xs) + 1)))[0]
-        level = float(beta[0]) / max(1e-9, 1 - sum(rho))
-        def residual(suffix: str):
-            return F.col(y + suffix) - F.lit(level) - sum((float(b) * F.col(x + suffix) for b, x in zip(beta[1:], xs)), F.lit(0.0))
-        e = lagged.select(residual("").alias("e0"), *(residual(f"_l{h}").alias(f"e{h}") for h in range(1, order + 1)))
-        ge, _, _ = gram(e, "e0", [f"e{h}" for h in range(1, order + 1)])
-        new = list(np.linalg.lstsq(ge[1:-1, 1:-1], ge[1:-1, -1], rcond=None)[0])
-        change = max(abs(a - b) for a, b in zip(new, rho)) if order else 0
-        rho = [float(min(0.99, max(-0.99, r))) for r in new]
-        if change < 1e-8:
-            break
-    lagged.unpersist()
-    out = df.sparkSession.createDataFrame([*((n, float(b)) for n, b in zip(["one", *xs], beta)), *((f"rho{h}", r) for h, r in enumerate(rho, 1))], "term string, estimate double")
-    return out, ar_roots(rho)
-
-
-def theil_sen(df: DataFrame, x: str, y: str, most: int = 2000) -> DataFrame:
-    """Median slope over pairs of a hash-ordered sample of at most `most` rows, and the median intercept.
-
-    A bounded sample, as the number of pairs is its square.
+    z = y - slope * x
+    rank = np.unique(z, return_inverse=True)[1]
+    place = np.unique(x, return_inverse=True)[1]
+    n, turned, width = len(x), 0, 1
+    order = np.lexsort((rank, place))  # of equal x by rank, so that they turn none
+    rank = rank[order]
+    top = int(rank.max()) + 2 if n else 1
+    # pairs i < j with rank[i] >= rank[j]: block against block, all blocks of one width at a time
+    while width < n:
+        block = np.arange(n) // (2 * width)
+        left = (np.arange(n) // width) % 2 == 0
+        keys = block * top + rank
+        sorted_left = np.sort(keys[left])
+        upper = np.searchsorted(sorted_left, (block[~left] + 1) * top, "left")
+        below = np.searchsorted(sorted_left, keys[~left], "left")
+        turned += int((upper - below).sum())
+        width *= 2
+    same = np.unique(np.column_stack((place[order], rank)), axis=0, return_counts=True)[1]
+    return turned - int((same * (same - 1) // 2).sum())
+
+
+def median_slope(x: np.ndarray, y: np.ndarray) -> float:
+    """The median of the slopes of all pairs of points whose x differ; NaN if there is none. Large inputs by bisection on the number of smaller slopes."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    n, ties = len(x), np.unique(x, return_counts=True)[1]
+    pairs = n * (n - 1) // 2 - int((ties * (ties - 1) // 2).sum())
+    if not pairs:
+        return float("nan")
+    if n <= 2000:
+        i, j = np.triu_indices(n, 1)
+        dx = x[j] - x[i]
+        return float(np.median((y[j] - y[i])[dx != 0] / dx[dx != 0]))
+    step = np.diff(x)
+    most = float((np.ptp(y) + 1e-300) / step[step > 0].min())
+
+    def smallest(rank: int) -> float:
+        """The slope of that rank (from 1)."""
+        low, high = -most, most
+        while True:
+            middle = (low + high) / 2
+            if not low < middle < high:
+                return high
+            if slopes_up_to(x, y, middle) >= rank:
+                high = middle
+            else:
+                low = middle
+
+    return smallest((pairs + 1) // 2) if pairs % 2 else (smallest(pairs // 2) + smallest(pairs // 2 + 1)) / 2
+
+
+def theil_sen(df: DataFrame, x: str, y: str, most: int = 50_000) -> DataFrame:
+    """The median slope over all pairs of rows, the median intercept, and the number of rows: slope, intercept, n.
+
+    Rows without a finite value in both are passed over. A calibration, so fitted on at most `most` rows in the order of a hash (0.8 MB
+    on the driver); all pairs of those count.
     """
     few = complete(df, [x, y]).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).orderBy(F.xxhash64("x", "y"), "x", "y").limit(most)
-    pts = np.array([(r.x, r.y) for r in few.collect()])
-    i, j = np.triu_indices(len(pts), 1)
-    dx = pts[j, 0] - pts[i, 0]
-    slope = float(np.median((pts[j, 1] - pts[i, 1])[dx != 0] / dx[dx != 0]))
-    return df.sparkSession.createDataFrame([(slope, float(np.median(pts[:, 1] - slope * pts[:, 0])), len(pts))], "slope double, intercept double, n long")
+    pts = np.array([(r.x, r.y) for r in few.collect()]).reshape(-1, 2)
+    slope = median_slope(pts[:, 0], pts[:, 1])
+    level = float(np.median(pts[:, 1] - slope * pts[:, 0])) if len(pts) else float("nan")
+    return df.sparkSession.createDataFrame([(slope, level, len(pts))], "slope double, intercept double, n long")
+
+
+def coefficient_table(table: DataFrame, level: float = 0.95, drop: tuple[str, ...] = ("one",)) -> DataFrame:
+    """Coefficients with intervals, two-sided p and q (false discovery rate over the table) of a table with term, estimate and std_error.
+
+    For large samples: the normal distribution. Ordered by a table of terms, so small.
+    """
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    rows = [(r.term, r.estimate, r.std_error) for r in table.filter(~F.col("term").isin(*drop)).select("term", "estimate", "std_error").collect()]  # one row per term
+    out = []
+    for term, b, se in rows:
+        p = math.erfc(abs(b / se) / math.sqrt(2)) if se else None
+        out.append((term, b, se, b - z * se if se is not None else None, b + z * se if se is not None else None, b / se if se else None, p))
+    made = table.sparkSession.createDataFrame(out, "term string, estimate double, std_error double, low double, high double, t double, p double")
+    return bh_fdr(made.withColumn("_all", F.lit(0)), "p", ["_all"]).drop("_all")
 
 
 def mean_test(df: DataFrame, value: str, lags: int, month: str = "month") -> DataFrame:
     """Whether a monthly mean differs from zero, with Newey-West errors on calendar lags (paired losses, say)."""
     out = hac(df.withColumnRenamed(value, "_v"), "_v", [], lags, month)
     return out.select("estimate", "std_error", F.try_divide("estimate", F.nullif("std_error", F.lit(0.0))).alias("t"))
-
-
-def local_level(values: list[float | None], level_var: float, noise_var: float) -> tuple[list[float], list[float | None], float]:
-    """Kalman filter of a local level: filtered levels, standardized innovations (null at gaps) and log-likelihood.
-
-    For one short series; run by applyInPandas for many.
-    """
-    level, var, llf, levels, innovations = 0.0, 1e7, 0.0, [], []
-    for i, y in enumerate(values):
-        var += level_var
-        if y is None or y != y:
-            innovations.append(None)
-        else:
-            f = var + noise_var
-            v = y - level
-            if i:
-                llf -= 0.5 * (math.log(2 * math.pi * f) + v * v / f)
-            innovations.append(v / math.sqrt(f))
-            level += var / f * v
-            var *= 1 - var / f
-        levels.append(level)
-    return levels, innovations, llf

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalwork.functions import columns as fn
-from shoalwork.operators import areas, calendar, catalog, components, folds, metrics, panel, rules, stats, temporal, zonal
-from shoalwork.plans import catalog_queries, panel_queries, pixel_queries, region_queries, registry, scene_queries  # noqa: F401
+from shoalwork.operators import areas, calendar, catalog, components, folds, metrics, panel, panel_ar, rules, stats, temporal, zonal
+from shoalwork.plans import catalog_queries, panel_queries, pixel_queries, region_queries, registry, scene_queries, stats_queries  # noqa: F401
 
 DATA = os.environ.get("SHOALWORK_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -154,7 +154,7 @@ def test_hac_and_ar_recover_known_effects(spark):
             x = float(r.normal())
             rows.append((cell, months(m)[0], 1.0 + 0.8 * x + e, x))
     df = spark.createDataFrame(rows, "cell int, month date, y double, x double")
-    got = {t.term: t.estimate for t in stats.ar_regression(df, ["cell"], "y", ["x"])[0].collect()}
+    got = {t.term: t.estimate for t in panel_ar.panel_ar(df, "cell", "y", ["x"]).collect()}
     assert got["x"] == pytest.approx(0.8, abs=0.02) and got["rho1"] == pytest.approx(0.5, abs=0.06)
     h = {t.term: t for t in stats.hac(df, "y", ["x"], 3).collect()}
     assert abs(h["x"].estimate - 0.8) < 4 * h["x"].std_error
@@ -173,10 +173,5 @@ def test_folds_do_not_split_blocks(spark):
     assert out.count() == 600 and out.groupBy("block", "repeat").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
 
 
-def test_local_level_filter_passes_over_gaps():
-    levels, innovations, llf = stats.local_level([1.0, 1.1, None, 0.9, 1.0], 0.01, 0.1)
-    assert innovations[2] is None and levels[2] == levels[1] and llf < 10
-
-
 def test_ar_roots():
     assert stats.ar_roots([0.5]) == [0.5] and stats.ar_roots([]) == []
