@@ -154,3 +154,38 @@ def antecedent_sum(df: DataFrame, keys: list[str], day: str, value: str, days: i
 
 def mi(month: str = "month") -> Column:
     return month_index(F.col(month))
+
+
+def effective_depth(df: DataFrame, depth: str = "depth", level: str = "level") -> DataFrame:
+    """Adds `level_anomaly` (the level less its mean over all rows) and `effective_depth` (depth and anomaly)."""
+    mean = df.agg(F.avg(level).alias("_mean"))  # one row
+    out = df.join(F.broadcast(mean)).withColumn("level_anomaly", F.col(level) - F.col("_mean")).drop("_mean")
+    return out.withColumn("effective_depth", F.col(depth) + F.col("level_anomaly"))
+
+
+def climate_months(df: DataFrame, keys: list[str], means: list[str], sums: list[str]) -> DataFrame:
+    """Monthly means of some columns and sums of others."""
+    return df.groupBy(*keys).agg(*(F.avg(c).alias(f"{c}_mean") for c in means), *(F.sum(c).alias(f"{c}_sum") for c in sums))
+
+
+def merge_checked(base: DataFrame, extra: DataFrame, keys: list[str], same: list[str]) -> DataFrame:
+    """A left join that also tells whether both sides agree on where they come from: `agrees` (null without a partner)."""
+    other = extra.withColumnsRenamed({c: f"_o_{c}" for c in same})
+    agrees = F.lit(True)
+    for c in same:
+        agrees = agrees & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    out = base.join(other.withColumn("_there", F.lit(True)), keys, "left")
+    return out.withColumn("agrees", F.when(F.col("_there"), agrees)).drop("_there", *(f"_o_{c}" for c in same))
+
+
+def synthetic_months(spark, n: int, effect: float = 0.8, seed: int = 42) -> DataFrame:
+    """A monthly series with a known effect of a driver: month, driver, season, y. Noise comes from hashes, so it is the same on any cluster."""
+
+    def noise(name: str) -> Column:
+        """About normal: six even numbers, centred."""
+        even = [F.pmod(F.xxhash64("id", F.lit(f"{name}{i}{seed}")), F.lit(1 << 32)) / float(1 << 32) for i in range(6)]
+        return (sum(even[1:], even[0]) - 3) * (2.0**0.5)
+
+    rows = spark.range(n).withColumn("month", F.add_months(F.lit("2015-01-01").cast("date"), F.col("id").cast("int")))
+    rows = rows.withColumns({"driver": noise("driver"), "season": F.sin(F.month("month") * 0.5235987755982988)})
+    return rows.select("month", "driver", "season", (1.0 + effect * F.col("driver") + 0.5 * F.col("season") + 0.2 * noise("error")).alias("y"))

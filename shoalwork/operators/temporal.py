@@ -81,3 +81,29 @@ def wet_days(df: DataFrame, keys: list[str], rain: str, wet: float = 1.0, spike:
     """Monthly totals, largest day, wet days, spikes, and the total by wet day (0 without one)."""
     n = F.count_if(F.col(rain) >= wet)
     return df.groupBy(*keys).agg(F.sum(rain).alias("total"), F.max(rain).alias("largest_day"), n.alias("wet_days"), F.count_if(F.col(rain) >= spike).alias("spikes"), F.coalesce(F.try_divide(F.sum(rain), F.nullif(n, F.lit(0)).cast("double")), F.lit(0.0)).alias("intensity"))
+
+
+def ddof_check(df: DataFrame, keys: list[str], day: str, value: str, reference: str, days: int, least: int = 3) -> DataFrame:
+    """Which deviation a reference follows: for sample and population deviations over the last `days` days the pairs, bias and RMSE against it, and the nearer one chosen."""
+    out = None
+    for ddof in (0, 1):
+        got = lookback(df.select(*keys, day, value, reference), keys, day, value, days, least, ddof=ddof)
+        d = F.col("std") - F.col(reference)
+        row = got.agg(F.lit(ddof).alias("ddof"), F.count(d).alias("n"), F.avg(d).alias("bias"), F.sqrt(F.avg(d * d)).alias("rmse"))
+        out = row if out is None else out.unionByName(row)
+    best = out.agg(F.min_by("ddof", F.struct("rmse", "ddof")).alias("_best"))  # of two rows
+    return out.join(F.broadcast(best)).withColumn("chosen", F.col("ddof") == F.col("_best")).drop("_best")
+
+
+def support_agreement(df: DataFrame, keys: list[str], count: str, reference: str, least: int = 3) -> DataFrame:
+    """Whether enough observations and a value in the reference go together: both, only_local, only_reference, neither, and the share that agrees."""
+    local, other = F.coalesce(F.col(count) >= least, F.lit(False)), F.col(reference).isNotNull()
+    both, neither = F.count_if(local & other), F.count_if(~local & ~other)
+    return df.groupBy(*keys).agg(both.alias("both"), F.count_if(local & ~other).alias("only_local"), F.count_if(~local & other).alias("only_reference"), neither.alias("neither"), ((both + neither) / F.count("*")).alias("agreement"))
+
+
+def tail_agreement(df: DataFrame, keys: list[str], local: str, reference: str, cuts: list[float]) -> DataFrame:
+    """How many values lie above each cut on either side and on both: keys, cut, n_local, n_reference, n_both."""
+    rows = df.withColumn("cut", F.explode(F.array(*(F.lit(float(c)) for c in cuts))))
+    a, b = F.coalesce(F.col(local) > F.col("cut"), F.lit(False)), F.coalesce(F.col(reference) > F.col("cut"), F.lit(False))
+    return rows.groupBy(*keys, "cut").agg(F.count_if(a).alias("n_local"), F.count_if(b).alias("n_reference"), F.count_if(a & b).alias("n_both"))

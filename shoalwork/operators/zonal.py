@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import cell_of
 from .components import connected_components
 
 ROOK = [(0, 1), (1, 0), (0, -1), (-1, 0)]
@@ -85,3 +86,47 @@ def moran(values: DataFrame, edges: DataFrame, value: str, cell: str = "cell") -
     pairs = edges.join(d, edges[cell] == d["_k"]).withColumnRenamed("_d", "_a").drop("_k").join(d, F.col("neighbor") == F.col("_k")).agg(F.sum(F.col("_a") * F.col("_d")).alias("_x"), F.count("*").alias("n_edges"))
     return pairs.join(F.broadcast(total)).select("n", "n_edges", (F.col("n") / F.col("n_edges") * F.try_divide(F.col("_x"), F.nullif("_ss", F.lit(0.0)))).alias("moran"))
 
+
+def within(points: DataFrame, polygons: DataFrame, size: float, point: str = "point", polygon: str = "polygon") -> DataFrame:
+    """point and polygon of every point (x, y) inside a polygon (ring: array of structs x, y; closed or not).
+
+    Both sides are dealt to square cells of that size (about a polygon's extent), a polygon to all that its bounds meet, so
+    only those of one cell are held against each other; crossings of the ring's edges decide.
+    """
+    ring = F.col("ring")
+    box = polygons.select(polygon, "ring", *(f(F.transform(ring, lambda p: p[c])).alias(f"_{n}{c}") for c in "xy" for f, n in ((F.array_min, "low"), (F.array_max, "high"))))
+    cells = box.withColumn("_cx", F.explode(F.sequence(cell_of(F.col("_lowx"), 0.0, size), cell_of(F.col("_highx"), 0.0, size)))).withColumn("_cy", F.explode(F.sequence(cell_of(F.col("_lowy"), 0.0, size), cell_of(F.col("_highy"), 0.0, size))))
+    own = points.select(point, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("x is not null and y is not null")
+    own = own.withColumns({"_cx": cell_of(F.col("x"), 0.0, size), "_cy": cell_of(F.col("y"), 0.0, size)})
+    near = own.join(cells, ["_cx", "_cy"]).filter((F.col("x") >= F.col("_lowx")) & (F.col("x") <= F.col("_highx")) & (F.col("y") >= F.col("_lowy")) & (F.col("y") <= F.col("_highy")))
+    x, y = F.col("x"), F.col("y")
+
+    def crossing(i):
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % F.size(ring))
+        spans = (a["y"] > y) != (b["y"] > y)
+        return F.when(spans & (x < a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))), 1).otherwise(0)
+
+    crossings = F.aggregate(F.transform(F.sequence(F.lit(0), F.size(ring) - 1), crossing), F.lit(0), lambda s, c: s + c)
+    return near.filter(crossings % 2 == 1).select(point, polygon)
+
+
+def zones(blobs: DataFrame, distance: float, blob: str = "blob") -> DataFrame:
+    """blob and zone (its least blob) of blobs (x, y) that chains of steps of at most `distance` link. Candidates are those of the same or a touching cell."""
+    rows = blobs.select(F.col(blob).cast("long").alias("_b"), "x", "y", cell_of(F.col("x"), 0.0, distance).alias("_cx"), cell_of(F.col("y"), 0.0, distance).alias("_cy"))
+    shift = F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in [(0, 0), *QUEEN])))
+    sent = rows.select(F.col("_b").alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y"), "_cx", "_cy", shift.alias("_s")).select("_o", "_x", "_y", (F.col("_cx") + F.col("_s.dx")).alias("_cx"), (F.col("_cy") + F.col("_s.dy")).alias("_cy"))
+    step = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) <= distance * distance
+    links = rows.join(sent, ["_cx", "_cy"]).filter((F.col("_b") < F.col("_o")) & step).select(F.col("_b").alias("a"), F.col("_o").alias("b"))
+    found = connected_components(links)
+    return rows.select(F.col("_b").alias(blob)).join(found.withColumnsRenamed({"node": blob, "component": "zone"}), blob, "left").withColumn("zone", F.coalesce("zone", blob))
+
+
+def backfill_distance(df: DataFrame, computed: str, baked: str, tolerance: float) -> DataFrame:
+    """The baked distance where there is one, else the computed one: `distance`; and `disagrees` where both are there and differ by more than the tolerance."""
+    both = F.abs(F.col(baked) - F.col(computed)) > tolerance
+    return df.withColumns({"distance": F.coalesce(baked, computed), "disagrees": F.coalesce(both, F.lit(False))})
+
+
+def band_means(pixels: DataFrame, keys: list[str], value: str, total: str = "n") -> DataFrame:
+    """Mean of a band and the share of a cell's pixels that have it."""
+    return pixels.groupBy(*keys).agg(F.avg(value).alias(f"{value}_mean"), F.count("*").alias(total), (F.count(value) / F.count("*")).alias(f"{value}_fraction"))
