@@ -74,11 +74,15 @@ def rank_auc(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFram
 # --- correlation ----------------------------------------------------------
 
 def ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Average ranks within each key; partition by a key that splits the data."""
+    """Average ranks within each key, nulls first. Only distinct values are put in order, so of a coarse key with few values no task sorts the rows."""
     for c in columns:
-        w = Window.partitionBy(*keys).orderBy(c)
-        ties = F.count("*").over(Window.partitionBy(*keys, c))
-        df = df.withColumn(f"{c}_rank", F.rank().over(w) + (ties - 1) / 2.0)
+        counts = df.groupBy(*keys, c).agg(F.count("*").alias("_ties"))
+        before = F.coalesce(F.sum("_ties").over(Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(c).alias("_value"), (before + (F.col("_ties") + 1) / 2.0).alias(f"{c}_rank"))
+        same = F.col(c).eqNullSafe(F.col("_value"))
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        df = df.join(placed, same).drop("_value", *(f"_k{i}" for i in range(len(keys))))
     return df
 
 
@@ -111,12 +115,13 @@ def pooled(df: DataFrame, weight: str, means: list[str], rmse: str) -> DataFrame
 
 def autocorrelation(df: DataFrame, keys: list[str], value: str, lags: int, month: str = "month") -> DataFrame:
     """Autocorrelation from pairs exactly h months apart, over the whole series' sum of squares."""
-    w = Window.partitionBy(*keys)
+    w, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("mi")
     x = df.filter(F.col(value).isNotNull()).select(*keys, month_index(F.col(month)).alias("mi"), (F.col(value) - F.avg(value).over(w)).alias("d"))
-    total = x.groupBy(*keys).agg(F.sum(F.col("d") * F.col("d")).alias("_ss"), F.count("*").alias("n"))
-    ahead = x.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).select(*keys, (F.col("mi") + F.col("lag")).alias("mi"), "lag", F.col("d").alias("_before"))
-    pairs = x.join(ahead, [*keys, "mi"]).groupBy(*keys, "lag").agg(F.sum(F.col("d") * F.col("_before")).alias("_s"), F.count("*").alias("n_pairs"))
-    return pairs.join(total, keys).select(*keys, "lag", "n_pairs", "n", F.try_divide(F.col("_s"), F.nullif("_ss", F.lit(0.0))).alias("acf"))
+    x = x.withColumns({f"_b{h}": F.first("d").over(order.rangeBetween(-h, -h)) for h in range(1, lags + 1)})
+    sums = x.groupBy(*keys).agg(F.sum(F.col("d") * F.col("d")).alias("_ss"), F.count("*").alias("n"), *(a for h in range(1, lags + 1) for a in (F.sum(F.col("d") * F.col(f"_b{h}")).alias(f"_s{h}"), F.count(f"_b{h}").alias(f"_n{h}"))))
+    each = F.explode(F.array(*(F.struct(F.lit(h).alias("lag"), F.col(f"_n{h}").alias("n_pairs"), F.col(f"_s{h}").alias("s")) for h in range(1, lags + 1))))
+    pairs = sums.select(*keys, "n", "_ss", each.alias("_p")).filter("_p.n_pairs > 0")
+    return pairs.select(*keys, "_p.lag", "_p.n_pairs", "n", F.try_divide(F.col("_p.s"), F.nullif("_ss", F.lit(0.0))).alias("acf"))
 
 
 def ljung_box(acf: DataFrame, keys: list[str]) -> DataFrame:

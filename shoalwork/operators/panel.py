@@ -29,9 +29,9 @@ def validity_report(df: DataFrame, pixels: str, least_pixels: int) -> DataFrame:
 
 
 def coverage_audit(df: DataFrame, cell: str, area: str, least_cells: float = 0.9, least_area: float | None = None, month: str = "month") -> DataFrame:
-    """For each month: cells seen of all cells, area seen of all cells' largest areas, and whether it is kept, with the reason."""
+    """For each month: cells seen of all cells, area seen of all cells' largest areas, and whether it is kept, with the reason. One row per cell and month."""
     totals = df.groupBy(cell).agg(F.max(area).alias("_most")).agg(F.count("*").alias("n_eligible"), F.sum("_most").alias("area_eligible"))
-    months = df.groupBy(month).agg(F.countDistinct(cell).alias("n_cells"), F.sum(area).alias("area_seen"))
+    months = df.groupBy(month).agg(F.count(cell).alias("n_cells"), F.sum(area).alias("area_seen"))
     out = months.join(F.broadcast(totals)).withColumn("cell_fraction", ratio(F.col("n_cells"), F.col("n_eligible"))).withColumn("area_fraction", ratio(F.col("area_seen"), F.col("area_eligible")))
     few, small = F.col("cell_fraction") < least_cells, F.lit(False) if least_area is None else F.col("area_fraction") < least_area
     return out.withColumn("kept", ~(few | small)).withColumn("reason", F.when(few & small, "few cells; small area").when(few, "few cells").when(small, "small area").otherwise("kept"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ def choose_columns(df: DataFrame, preferences: dict[str, list[str]]) -> dict[str
 def merge_small(parts: list[dict], borders: list[tuple], features: list[str], least_cells: int, least_area: float, most_distance: float = float("inf")) -> dict:
     """Where each part ends up when small ones join the neighbour most like them, smallest first.
 
-    parts: id, n_cells, area and features of every part; borders: pairs of ids that touch. Merging depends on its own
-    order, so it runs on the driver over the table of parts, which is far smaller than that of cells. Ties: the
+    parts: id, n_cells, area and features of every part; borders: pairs of ids that touch. Each merge depends on those
+    before, so it runs on the driver over the table of parts, smallest first off a heap; build_regions bounds that table. Ties: the
     larger neighbour, then the lower id. A part without a neighbour within the distance stays.
     """
     own = {p["id"]: dict(p) for p in parts}
@@ -53,16 +55,16 @@ def merge_small(parts: list[dict], borders: list[tuple], features: list[str], le
     for a, b in borders:
         touch[a].add(b)
         touch[b].add(a)
-    into, stuck = {i: i for i in own}, set()
-    while True:
-        small = [p for p in own.values() if p["id"] not in stuck and (p["n_cells"] < least_cells or p["area"] < least_area)]
-        if not small:
-            break
-        p = min(small, key=lambda p: (p["n_cells"], p["id"]))
+    into, heap = {i: i for i in own}, [(p["n_cells"], p["id"]) for p in own.values()]
+    heapq.heapify(heap)
+    while heap:
+        n, i = heapq.heappop(heap)
+        p = own.get(i)
+        if p is None or p["n_cells"] != n or not (p["n_cells"] < least_cells or p["area"] < least_area):
+            continue  # merged since, or large enough
         near = [(sum((p[f] - own[n][f]) ** 2 for f in features) ** 0.5, -own[n]["n_cells"], n) for n in touch[p["id"]]]
         near = [x for x in near if x[0] <= most_distance]
         if not near:
-            stuck.add(p["id"])
             continue
         q = own[min(near)[2]]
         total = p["n_cells"] + q["n_cells"]
@@ -76,17 +78,27 @@ def merge_small(parts: list[dict], borders: list[tuple], features: list[str], le
                 touch[q["id"]].add(n)
         touch[q["id"]].discard(q["id"])
         own.pop(p["id"])
-        into = {i: q["id"] if t == p["id"] else t for i, t in into.items()}
+        into[p["id"]] = q["id"]
+        heapq.heappush(heap, (total, q["id"]))
+    for i in into:  # follow merges of merges to their end
+        end = i
+        while into[end] != end:
+            end = into[end]
+        while into[i] != end:
+            into[i], i = end, into[i]
     return into
 
 
-def build_regions(cells: DataFrame, label: str, features: list[str], area: str, least_cells: int, least_area: float, contiguity: str = "queen") -> DataFrame:
+def build_regions(cells: DataFrame, label: str, features: list[str], area: str, least_cells: int, least_area: float, contiguity: str = "queen", most_parts: int = 1_000_000) -> DataFrame:
     """cell, label and region of every cell: touching cells of a label, small parts merged, numbered by size.
 
-    cells has cell, ix, iy, the label, the features and the area.
+    cells has cell, ix, iy, the label, the features and the area. Parts (a row each) reach the driver; more than `most_parts`, as on a
+    speckled raster, are an error, to be met by zonal.drop_small_patches first.
     """
     p = patches(cells, label, contiguity=contiguity)
-    table = p.groupBy("patch").agg(F.count("*").alias("n_cells"), F.sum(area).alias("area"), *(F.avg(f).alias(f) for f in features)).collect()  # one row per part
+    table = p.groupBy("patch").agg(F.count("*").alias("n_cells"), F.sum(area).alias("area"), *(F.avg(f).alias(f) for f in features)).limit(most_parts + 1).collect()  # one row per part
+    if len(table) > most_parts:
+        raise ValueError(f"more than {most_parts} parts")
     borders = [(r.a, r.b) for r in adjacency(p, "patch").collect()]
     into = merge_small([{"id": r.patch, **{k: float(r[k]) if k != "n_cells" else r[k] for k in ("n_cells", "area", *features)}} for r in table], borders, features, least_cells, least_area)
     names = cells.sparkSession.createDataFrame([(int(a), int(b)) for a, b in into.items()] or [(0, 0)], "patch long, part long")

@@ -1,4 +1,4 @@
-"""Neighbourhood operators on tiles with a halo: co-occurrence texture and distance to a class.
+"""Neighbourhood operators: co-occurrence texture on tiles with a halo, distance to a class by columns and rows.
 
 Pixels are dealt to square tiles; a pixel near an edge goes to its neighbours' tiles too, so each tile is worked on
 alone and no task sees more than a tile.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,54 +21,97 @@ def with_halo(pixels: DataFrame, tile: int, halo: int) -> DataFrame:
     return out.withColumn("own", (F.floor(F.col("row") / tile) == F.col("tr")) & (F.floor(F.col("col") / tile) == F.col("tc")))
 
 
-def cooccurrence(window: np.ndarray, levels: int) -> tuple[float, float, float]:
-    """Inverse difference moment, entropy and contrast of a window's neighbours to the right, below and on both diagonals."""
-    glcm = np.zeros((levels, levels))
-    for dr, dc in ((0, 1), (1, 0), (1, 1), (1, -1)):
-        a = window[: window.shape[0] - dr, max(0, -dc) : window.shape[1] - max(0, dc)].ravel()
-        b = window[dr:, max(0, dc) : window.shape[1] + min(0, dc)].ravel()
-        ok = (a >= 0) & (b >= 0)
-        np.add.at(glcm, (a[ok], b[ok]), 1)
-    glcm = glcm + glcm.T
-    if not glcm.sum():
-        return (float("nan"),) * 3
-    p = glcm / glcm.sum()
-    i, j = np.indices(p.shape)
-    d = (i - j) ** 2
-    q = p[p > 0]
-    return float((p / (1 + d)).sum()), float(-(q * np.log(q)).sum()), float((p * d).sum())
+STEPS = ((0, 1), (1, 0), (1, 1), (1, -1))  # neighbours to the right, below and on both diagonals
+
+
+def cooccurrence(levels_grid: np.ndarray, width: int, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverse difference moment, entropy and contrast of the window about every pixel of a grid of levels (-1: no value).
+
+    Pairs of neighbours are numbered by their two levels, whichever comes first. All windows at once: a window's pairs are sorted, and the
+    lengths of their runs are the matrix' entries. NaN for windows without a pair.
+    """
+    r, (h, w) = width // 2, levels_grid.shape
+    g = np.full((h + 2 * r, w + 2 * r), -1, np.int32)
+    g[r : r + h, r : r + w] = levels_grid
+    parts = []
+    for dr, dc in STEPS:
+        a, b = g[: g.shape[0] - dr, max(0, -dc) : g.shape[1] - max(0, dc)], g[dr:, max(0, dc) : g.shape[1] + min(0, dc)]
+        code = np.where((a >= 0) & (b >= 0), np.minimum(a, b) * levels + np.maximum(a, b), -1)
+        parts.append(np.lib.stride_tricks.sliding_window_view(code, (width - dr, width - abs(dc))).reshape(h, w, -1))
+    code = np.sort(np.concatenate(parts, 2).reshape(h * w, -1), 1)
+    ok, d = code >= 0, (code % levels - code // levels) ** 2
+    n = ok.sum(1)
+    some = np.maximum(n, 1)
+    idm, contrast = (ok / (1 + d)).sum(1) / some, (ok * d).sum(1) / some
+    first = np.ones(code.shape, bool)
+    first[:, 1:] = code[:, 1:] != code[:, :-1]
+    at = np.flatnonzero(first)
+    runs = np.diff(np.append(at, code.size))
+    row, own = at // code.shape[1], code.ravel()[at]
+    share = np.where(own >= 0, runs / some[row], 0.0)
+    # a pair of two levels stands in the matrix twice, with half its share each
+    each = np.where(own // levels == own % levels, share, share / 2)
+    entropy = np.bincount(row, -share * np.log(np.where(each > 0, each, 1.0)), h * w)
+    return tuple(np.where(n > 0, v, np.nan).reshape(h, w) for v in (idm, entropy, contrast))
 
 
 def texture(pixels: DataFrame, value: str, low: float, high: float, width: int = 5, levels: int = 32, tile: int = 64) -> DataFrame:
-    """row, col, idm, entropy and contrast of the window of `width` pixels about each pixel; values are cut into levels."""
-    r = width // 2
+    """row, col, idm, entropy and contrast of the window of `width` pixels about each pixel; values are cut into levels. Nulls where no two neighbours have a value."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = pdf.row.min(), pdf.col.min()
-        grid = np.full((pdf.row.max() - r0 + 1, pdf.col.max() - c0 + 1), -1)
+        grid = np.full((pdf.row.max() - r0 + 1, pdf.col.max() - c0 + 1), -1, np.int32)
         ok = pdf[value].notna()
         grid[pdf.row[ok] - r0, pdf.col[ok] - c0] = np.clip(((pdf[value][ok] - low) / (high - low) * levels).astype(int), 0, levels - 1)
-        out = []
-        for row, col in pdf.loc[pdf.own, ["row", "col"]].itertuples(index=False):
-            i, j = row - r0, col - c0
-            out.append((row, col, *cooccurrence(grid[max(0, i - r) : i + r + 1, max(0, j - r) : j + r + 1], levels)))
-        return pd.DataFrame(out, columns=["row", "col", "idm", "entropy", "contrast"])
+        own = pdf[pdf.own]
+        at = (own.row.to_numpy() - r0, own.col.to_numpy() - c0)
+        return pd.DataFrame({"row": own.row.to_numpy(), "col": own.col.to_numpy(), **{n: v[at] for n, v in zip(("idm", "entropy", "contrast"), cooccurrence(grid, width, levels))}})
+
+    out = with_halo(pixels.select("row", "col", value), tile, width // 2).groupBy("tr", "tc").applyInPandas(work, "row long, col long, idm double, entropy double, contrast double")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("idm", "entropy", "contrast")})
+
+
+def envelope(heights: np.ndarray, places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Least of heights[i] + (x - places[i])**2 at every x of `at`; places ascending. The parabolas' lower envelope, in one sweep."""
+    keep, ends = [], []  # the parabolas of the envelope, and where each gives way to the next
+    for i, (h, p) in enumerate(zip(heights, places)):
+        while keep:
+            j = keep[-1]
+            meet = ((h + p * p) - (heights[j] + places[j] * places[j])) / (2 * (p - places[j]))
+            if ends and meet <= ends[-1]:
+                keep.pop()
+                ends.pop()
+                continue
+            ends.append(meet)
+            break
+        keep.append(i)
+    k = np.array(keep)[np.searchsorted(np.array(ends), at, "left")]
+    return heights[k] + (at - places[k]) ** 2
 
-    return with_halo(pixels.select("row", "col", value), tile, r).groupBy("tr", "tc").applyInPandas(work, "row long, col long, idm double, entropy double, contrast double")
 
+def distance_to_class(pixels: DataFrame, code: str, target: int) -> DataFrame:
+    """Exact distance in pixels to the nearest pixel of the target class, however far; null if there is none.
 
-def distance_to_class(pixels: DataFrame, code: str, target: int, most: int = 32, tile: int = 128) -> DataFrame:
-    """Distance in pixels to the nearest pixel of the target class, up to `most` (beyond: null)."""
+    Two passes: along each column the distance to the nearest target above or below, by windows; then along each row the least over
+    its columns, so a task holds one column or one row of the raster. Only pixels that are there count as places.
+    """
+    hit = F.when(F.col(code) == target, F.col("row"))
+    up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
+    near = F.least(F.col("row") - F.last(hit, True).over(up), F.first(hit, True).over(down) - F.col("row"))
+    # a row that lacks a pixel in a column would hide that column's targets, so each target column is also sent to all rows it lacks
+    columns = pixels.select("row", "col", near.cast("double").alias("_near"))
+    rows = pixels.select("row").distinct()
+    hits = pixels.filter(F.col(code) == target).groupBy("col").agg(F.sort_array(F.collect_set("row")).alias("_hits"))
+    gaps = rows.join(F.broadcast(hits)).join(pixels.select("row", "col"), ["row", "col"], "left_anti")
+    far = gaps.select("row", "col", F.array_min(F.transform("_hits", lambda r: F.abs(r - F.col("row")))).cast("double").alias("_near"), F.lit(False).alias("_own"))
+    every = columns.withColumn("_own", F.lit(True)).unionByName(far)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, hits = pdf[pdf.own], pdf.loc[pdf[code] == target, ["row", "col"]].to_numpy(float)
-        at = own[["row", "col"]].to_numpy(float)
-        best = np.full(len(at), np.inf)
-        for k in range(0, len(hits), 256):
-            h = hits[k : k + 256]
-            best = np.minimum(best, np.sqrt(((at[:, None, :] - h[None, :, :]) ** 2).sum(-1)).min(1))
-        best[best > most] = np.nan
+        own, seen = pdf[pdf._own], pdf[pdf._near.notna()].sort_values("col")
+        at = own.col.to_numpy(float)
+        best = np.sqrt(envelope(seen._near.to_numpy() ** 2, seen.col.to_numpy(float), at)) if len(seen) else np.full(len(at), np.nan)
         return pd.DataFrame({"row": own.row, "col": own.col, "distance": best})
 
-    out = with_halo(pixels.select("row", "col", code), tile, most).groupBy("tr", "tc").applyInPandas(work, "row long, col long, distance double")
+    out = every.groupBy("row").applyInPandas(work, "row long, col long, distance double")
     return out.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))

@@ -58,15 +58,20 @@ def focal_medians(spark, sf):
 
 @query("""WITH r AS (SELECT p_size::BIGINT AS row, p_partkey % 40 AS col, (avg(p_retailprice) > 1400)::INT AS code FROM part GROUP BY 1, 2),
     d AS (SELECT a.row, a.col, min(sqrt((a.row - c.row) ** 2 + (a.col - c.col) ** 2)) AS d FROM r a LEFT JOIN r c ON c.code = 1 GROUP BY 1, 2)
-    SELECT row, col, CASE WHEN d <= 8 THEN round(d, 6) END AS distance FROM d""")
+    SELECT row, col, round(d, 6) AS distance FROM d""")
 def distance_fields(spark, sf):
     r = raster(spark, sf).withColumn("code", (F.col("value") > 1400).cast("int"))
-    return rounded(texture.distance_to_class(r, "code", 1, 8, 16), distance=6)
+    return rounded(texture.distance_to_class(r, "code", 1), distance=6)
 
 
-@query()
+@query("""WITH l AS (SELECT p_size::BIGINT AS row, p_partkey % 40 AS col, greatest(0, least(31, CAST(trunc((avg(p_retailprice) - 900) / 1100 * 32) AS INT))) AS v FROM part GROUP BY 1, 2), s AS (SELECT * FROM (VALUES (0, 1), (1, 0), (1, 1), (1, -1)) t(dr, dc)),
+    pairs AS (SELECT a.row, a.col, dr, dc, least(a.v, q.v) AS lo, greatest(a.v, q.v) AS hi FROM l a CROSS JOIN s JOIN l q ON q.row = a.row + dr AND q.col = a.col + dc),
+    w AS (SELECT c.row, c.col, lo, hi FROM l c JOIN pairs p ON p.row >= c.row - 2 AND p.row + dr <= c.row + 2 AND p.col BETWEEN c.col - 2 AND c.col + 2 AND p.col + dc BETWEEN c.col - 2 AND c.col + 2),
+    g AS (SELECT row, col, lo, hi, count(*) AS k FROM w GROUP BY 1, 2, 3, 4), n AS (SELECT *, sum(k) OVER (PARTITION BY row, col) AS n FROM g),
+    t AS (SELECT row, col, sum(k / n / (1 + (hi - lo) ** 2)) AS idm, sum(-k / n * ln(k / n / CASE WHEN lo = hi THEN 1 ELSE 2 END)) AS entropy, sum(k / n * (hi - lo) ** 2) AS contrast FROM n GROUP BY 1, 2)
+    SELECT l.row, l.col, round(idm, 6) AS idm, round(entropy, 6) AS entropy, round(contrast, 6) AS contrast FROM l LEFT JOIN t ON t.row = l.row AND t.col = l.col""")
 def textures(spark, sf):
-    return texture.texture(raster(spark, sf), "value", 900.0, 2000.0, tile=16)
+    return rounded(texture.texture(raster(spark, sf), "value", 900.0, 2000.0, tile=16), idm=6, entropy=6, contrast=6)
 
 
 @query(f"""WITH {PIXELS}, o AS (SELECT pixel, layer, model, rule, row_number() OVER (PARTITION BY pixel ORDER BY layer DESC, model, rule) AS k FROM pixels), l AS (SELECT pixel, model AS lr, rule AS rl FROM o WHERE k = 1)

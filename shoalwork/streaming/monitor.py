@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.panel import upsert
+from ..plans.storage import delete
 
 
 def monthly_totals(stream: DataFrame, keys: list[str], when: str, value: str) -> DataFrame:
@@ -14,29 +16,52 @@ def monthly_totals(stream: DataFrame, keys: list[str], when: str, value: str) ->
     return stream.filter(F.col(when).isNotNull()).groupBy(*keys, F.trunc(when, "MM").alias("month")).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
 
 
-def upsert_sink(spark: SparkSession, path: str, keys: list[str]):
-    """A foreachBatch function that keeps one row per key in versioned Parquet under `path`.
+def upsert_sink(spark: SparkSession, path: str, keys: list[str], buckets: int = 64):
+    """A foreachBatch function that keeps one row per key in Parquet under `path`, in `buckets` parts by a hash of the keys.
 
-    A batch that is replayed writes its own version again, so retries change nothing; readers take `latest`.
+    A batch reads and writes the buckets that it touches alone. Each bucket keeps its newest two versions: a batch that is replayed starts from the
+    version before its own and writes its own again, so retries change nothing. Of a batch's rows with one key the greatest (as a struct of the
+    other columns) counts. Readers take `latest`.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        old = latest(spark, path, before=epoch)
-        new = batch if old is None else upsert(old, batch, keys)
-        new.write.mode("overwrite").parquet(f"{path}/version={epoch:012d}")
+        rest = [c for c in batch.columns if c not in keys]
+        one = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else batch.distinct()
+        one = one.select(*batch.columns).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = {r[0] for r in one.select("_bucket").distinct().collect()}  # at most `buckets`
+        held = _versions(spark, path)
+        old = _read(spark, path, {b: max((v for v in held.get(b, []) if v < epoch), default=None) for b in touched})
+        new = one if old is None else upsert(old, one, keys)
+        new.withColumn("_version", F.lit(epoch)).repartition("_bucket").write.partitionBy("_bucket", "_version").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        one.unpersist()
+        for b in touched:
+            for v in sorted(v for v in held.get(b, []) if v < epoch)[:-1]:
+                delete(spark, f"{path}/_bucket={b}/_version={v}")
 
     return write
 
 
-def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of an upsert table (older than `before`); None if there is none."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    found = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("version="))
-    found = [v for v in found if before is None or v < before]
-    return spark.read.parquet(f"{path}/version={found[-1]:012d}") if found else None
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each bucket of an upsert table, by its folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = top.getFileSystem(conf), {}
+    for b in fs.listStatus(top) if fs.exists(top) else ():
+        if b.getPath().getName().startswith("_bucket="):
+            names = [v.getPath().getName() for v in fs.listStatus(b.getPath())]
+            out[int(b.getPath().getName().split("=")[1])] = [int(n.split("=")[1]) for n in names if n.startswith("_version=")]
+    return out
+
+
+def _read(spark: SparkSession, path: str, versions: dict[int, int | None]) -> DataFrame | None:
+    at = [f"{path}/_bucket={b}/_version={v}" for b, v in versions.items() if v is not None]
+    return spark.read.option("basePath", path).parquet(*at).drop("_version") if at else None
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of an upsert table as the last batch left them; None if there is none."""
+    table = _read(spark, path, {b: max(v, default=None) for b, v in _versions(spark, path).items()})
+    return table if table is None else table.drop("_bucket")
 
 
 def sessions(stream: DataFrame, key: str, when: str, gap: str, late: str = "10 minutes") -> DataFrame:
@@ -53,20 +78,27 @@ def daily_windows(stream: DataFrame, when: str, keys: list[str], value: str, lat
 def lookback_state(stream: DataFrame, key: str, day: str, value: str, days: int = 90, least: int = 3) -> DataFrame:
     """For each arriving observation the count, mean and deviation of its key's last `days` days.
 
-    State per key: the days and values still within the window of the newest day, so it is bounded by the window.
+    State per key: the days and values of two windows up to the newest day, so a row that is late by up to a window still finds its own window whole
+    (later rows count what is left of it), and the state stays bounded.
     """
 
     def step(k, batches, state):
-        kept = list(zip(*state.get)) if state.exists else []
+        old_days, old_values = state.get if state.exists else ([], [])
         rows = pd.concat(list(batches)).sort_values(day)
-        out = []
-        for d, v in zip(rows[day], rows[value]):
-            kept = [(a, b) for a, b in kept if a > d - days] + [(int(d), float(v))]
-            values = pd.Series([b for a, b in kept if a <= d]).dropna()
-            enough = len(values) >= least
-            out.append((k[0], int(d), len(values), values.mean() if enough else None, values.std() if enough else None))
-        state.update(([a for a, _ in kept], [b for _, b in kept]))
-        yield pd.DataFrame(out, columns=[key, day, "n_obs", "mean", "std"])
+        own = rows[day].to_numpy(np.int64)
+        at, values = np.concatenate((np.array(old_days, np.int64), own)), np.concatenate((np.array(old_values, float), rows[value].to_numpy(float)))
+        order = np.argsort(at, kind="stable")
+        at, values = at[order], values[order]
+        ok = ~np.isnan(values)
+        n, s = np.concatenate(([0], np.cumsum(ok))), np.concatenate(([0.0], np.cumsum(np.where(ok, values, 0.0))))
+        low, high = np.searchsorted(at, own - days, "right"), np.searchsorted(at, own, "right")
+        count = n[high] - n[low]
+        mean = (s[high] - s[low]) / np.maximum(count, 1)
+        std = [values[a:b][ok[a:b]].std(ddof=1) if c > 1 else np.nan for a, b, c in zip(low, high, count)]
+        enough = count >= least
+        keep = at > at[-1] - 2 * days
+        state.update((at[keep].tolist(), values[keep].tolist()))
+        yield pd.DataFrame({key: k[0], day: own, "n_obs": count, "mean": np.where(enough, mean, np.nan), "std": np.where(enough, std, np.nan)})
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {day} long, n_obs long, mean double, std double", "days array<long>, values array<double>", "append", "NoTimeout")

@@ -80,3 +80,76 @@ def test_calibrations(spark):
     assert fit.coefficients[0] == pytest.approx(2.0, abs=1e-6) and models.calibrate(df, "x", "y", "identity") is None
     assert len(models.elastic_net(df.withColumn("z", F.rand(3)), ["x", "z"], "y", 0.5, 0.01)) == 2
     assert models.calibrate(df, "x", "y").boundaries.size > 0
+
+
+def test_upsert_sink_replays_and_keeps_one_row_per_key(spark, tmp_path):
+    at = str(tmp_path / "t")
+    write = monitor.upsert_sink(spark, at, ["k"], 3)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k long, v long, w string")
+    for epoch, batch in enumerate((frame((1, 1, "a"), (2, 1, "a")), frame((1, 2, "b"), (1, 3, "c"), (3, 1, "x")), frame((2, 9, "z")), frame((2, 10, "y")))):
+        write(batch, epoch)
+        write(batch, epoch)  # a retry
+        if epoch == 1:
+            assert {(r.k, r.v) for r in monitor.latest(spark, at).collect()} == {(1, 3), (2, 1), (3, 1)}
+    assert {tuple(r) for r in monitor.latest(spark, at).select("k", "v", "w").collect()} == {(1, 3, "c"), (2, 10, "y"), (3, 1, "x")}
+    assert all(len(v) <= 2 for v in monitor._versions(spark, at).values())
+    assert monitor.latest(spark, str(tmp_path / "none")) is None
+
+
+def test_late_rows_find_their_window_whole(spark, tmp_path):
+    schema = "k string, day long, value double"
+    for i, rows in enumerate(([("a", d, float(d)) for d in range(1, 11)], [("a", 5, 100.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    got = []
+    for i in (0, 1):  # two runs of one query: the second brings a row that is late
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in" / str(i)) if i == 0 else str(tmp_path / "in"))
+        monitor.run_to_end(monitor.lookback_state(stream, "k", "day", "value", 6, 1), "append", spark, str(tmp_path / f"cp{i}"), lambda df, _: got.extend(df.collect()))
+    late = [r for r in got if r.day == 5]
+    assert {r.n_obs for r in late} >= {5, 6}
+
+
+def test_texture_of_one_window_and_distance_over_gaps(spark):
+    import numpy as np
+
+    from shoalwork.operators import texture
+
+    r = np.random.default_rng(2)
+    grid = r.integers(-1, 4, (7, 9)).astype(np.int32)
+    got = texture.cooccurrence(grid, 3, 4)
+    for i, j in ((0, 0), (3, 4), (6, 8), (2, 7)):
+        w = np.full((3, 3), -1)
+        for a in range(3):
+            for b in range(3):
+                if 0 <= i + a - 1 < 7 and 0 <= j + b - 1 < 9:
+                    w[a, b] = grid[i + a - 1, j + b - 1]
+        m = np.zeros((4, 4))
+        for a in range(3):
+            for b in range(3):
+                for da, db in texture.STEPS:
+                    if 0 <= a + da < 3 and 0 <= b + db < 3 and w[a, b] >= 0 and w[a + da, b + db] >= 0:
+                        m[w[a, b], w[a + da, b + db]] += 1
+                        m[w[a + da, b + db], w[a, b]] += 1
+        if not m.sum():
+            assert np.isnan(got[0][i, j])
+            continue
+        p = m / m.sum()
+        d = (np.subtract.outer(np.arange(4), np.arange(4))) ** 2
+        want = ((p / (1 + d)).sum(), -(p[p > 0] * np.log(p[p > 0])).sum(), (p * d).sum())
+        assert [v[i, j] for v in got] == pytest.approx(list(want))
+    places = [(int(a), int(b), int(r.random() < 0.04)) for a in range(40) for b in range(60) if r.random() < 0.7]
+    found = {(x.row, x.col): x.distance for x in texture.distance_to_class(spark.createDataFrame(places, "row long, col long, code int"), "code", 1).collect()}
+    hits = np.array([p[:2] for p in places if p[2]])
+    assert len(found) == len(places)
+    for a, b, _ in places:
+        assert found[a, b] == pytest.approx(np.sqrt(((hits - [a, b]) ** 2).sum(1)).min())
+    assert texture.distance_to_class(spark.createDataFrame(places[:5], "row long, col long, code int"), "code", 9).filter("distance is not null").count() == 0
+
+
+def test_merging_is_that_of_one_at_a_time():
+    from shoalwork.operators.regions import merge_small
+
+    parts = [{"id": i, "n_cells": n, "area": float(n), "f": f} for i, n, f in ((1, 9, 0.0), (2, 1, 0.2), (3, 2, 1.0), (4, 8, 1.1), (5, 1, 5.0))]
+    assert merge_small(parts, [(1, 2), (2, 3), (3, 4)], ["f"], 4, 0.0) == {1: 1, 2: 1, 3: 4, 4: 4, 5: 5}
+    chain = [{"id": i, "n_cells": 1, "area": 1.0, "f": float(i)} for i in range(6)]
+    into = merge_small(chain, [(i, i + 1) for i in range(5)], ["f"], 3, 0.0)
+    assert all(into[v] == v for v in into.values()) and min(list(into.values()).count(v) for v in set(into.values())) >= 3
