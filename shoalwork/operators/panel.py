@@ -85,11 +85,14 @@ def climatology(train: DataFrame, target: DataFrame, value: str, cell: str = "ce
     """Expected value of each target row: the mean of its cell in that calendar month (from `least` rows on), else of its
     cell, else of the calendar month, else of all. The level used is recorded."""
     t = train.filter(F.col(value).isNotNull()).withColumn("_m", F.month(month))
+    sums = t.groupBy(cell, "_m").agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))  # the other levels are sums of these
+
     def mean(keys: list[str], name: str, rows: int = 1) -> DataFrame:
-        return t.groupBy(*keys).agg(F.avg(value).alias(name), F.count("*").alias("_n")).filter(F.col("_n") >= rows).drop("_n")
+        return sums.groupBy(*keys).agg((F.sum("_s") / F.sum("_n")).alias(name), F.sum("_n").alias("_n")).filter(F.col("_n") >= rows).drop("_n")
+
     out = target.withColumn("_m", F.month(month))
     out = out.join(mean([cell, "_m"], "_c2", least), [cell, "_m"], "left").join(mean([cell], "_c1"), cell, "left").join(F.broadcast(mean(["_m"], "_c0")), "_m", "left")
-    out = out.join(F.broadcast(t.agg(F.avg(value).alias("_all"))))
+    out = out.join(F.broadcast(sums.agg((F.sum("_s") / F.sum("_n")).alias("_all"))))
     level = F.when(F.col("_c2").isNotNull(), "cell_month").when(F.col("_c1").isNotNull(), "cell").when(F.col("_c0").isNotNull(), "month").otherwise("global")
     return out.withColumn("climatology", F.coalesce("_c2", "_c1", "_c0", "_all")).withColumn("climatology_level", level).drop("_m", "_c2", "_c1", "_c0", "_all")
 

@@ -209,7 +209,7 @@ def _skill(spark, sf):
     from ..operators import calendar
 
     clim = split_panel(spark, sf)[2]
-    lag = calendar.calendar_lag(b.panel(spark, sf).select("cell", "month", "cover"), ["cell"], ["cover"]).select("cell", "month", F.col("cover_lag1").alias("persistence"))
+    lag = calendar.calendar_lag(b.panel_table(spark, sf).select("cell", "month", "cover"), ["cell"], ["cover"]).select("cell", "month", F.col("cover_lag1").alias("persistence"))
     return clim.join(lag, ["cell", "month"]).filter("persistence is not null").select("cell", "month", "valid", F.col("cover").alias("observed"), "climatology", "persistence")
 
 
