@@ -40,6 +40,11 @@ def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def spaced_out(text: str) -> bool:
+    """Whether spaces or line ends stand side by side, or at an end of the text."""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1] in " \n"
+
+
 class WordCache:
     """Encodes texts with a public tokenizer, keeping the ids of words already met.
 
@@ -69,7 +74,7 @@ class WordCache:
     def parts(self, text: str) -> list[str]:
         if self.keep_space:
             if "\0" in text:
-                return [""]
+                return ["\0"]  # a rare part, so the text is encoded whole
             return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return text.replace("\n", " ").split(" ")
 
@@ -84,8 +89,10 @@ class WordCache:
         fresh = every.difference(self.seen)
         if self.keep_space:
             self.rare.update(p for p in fresh if not PLAIN_PART.fullmatch(p))
-            if not self.rare.isdisjoint(every):
-                parts = [p if self.rare.isdisjoint(p) else self.rare_parts(t) for p, t in zip(parts, texts)]
+            odd = self.rare & every
+            if odd:
+                special = odd - {"", " "}
+                parts = [self.rare_parts(t) if spaced_out(t) or special and not special.isdisjoint(p) else p for p, t in zip(parts, texts)]
                 every = set(itertools.chain.from_iterable(parts))
                 before, fresh = fresh, every.difference(self.seen)
                 self.rare.update(p for p in fresh.difference(before) if not PLAIN_PART.fullmatch(p))
@@ -152,10 +159,11 @@ class WordCache:
 _caches: dict = {}
 
 
-def word_cache(path: str, keep_space: bool) -> WordCache:
-    """One cache for each tokenizer and Python worker, kept from task to task."""
+def word_cache(path: str, keep_space: bool, limit: int = 350_000) -> WordCache:
+    """One cache for each tokenizer and Python worker, kept from task to task; a word takes about 250 bytes."""
     if (path, keep_space) not in _caches:
         _caches[path, keep_space] = WordCache(path, keep_space)
+    _caches[path, keep_space].limit = limit
     return _caches[path, keep_space]
 
 

@@ -217,10 +217,10 @@ def predict(docs: DataFrame, model: Languages, columns: tuple[str, ...] = ("doc_
     """The columns named, lang_pred, lang_score and lang_unlike of every row; `und` and 0 where the text is
     null or has no letter. lang_unlike is above 1 where the text is less like lang_pred than any training row was.
 
-    With no language learnt every text is `und`. A row that repeats another gets the same result.
+    With no language learnt every text is `und`. A row that repeats another gets the same result. Columns that bear a result's name are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most a few rows of weights for each pair of languages
+    names = [c for c in columns if c not in ("lang_pred", "lang_score", "lang_unlike")]
     rows = small_batches(docs).select(*names, F.col("text").alias("_text"))
     schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_unlike", T.DoubleType())])
 

@@ -8,6 +8,7 @@ their rank within their length. Ranks are counted in salted groups of bounded si
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -74,11 +75,11 @@ def intervals(patterns: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.nda
     return np.array(keys, np.int64)[order], np.array(seqs, np.int64)[order], np.array(offsets, np.int64)[order]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 2) -> DataFrame:
-    """One row per piece of a document: its place, length and the crc32 of its ids."""
+def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 2, remembered: int = 350_000) -> DataFrame:
+    """One row per piece of a document: its place, length and the crc32 of its ids. remembered: words whose ids a worker keeps at hand, at most, and as many from before."""
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = word_cache(tokenizer, False), np.array([end_id], "<u4").tobytes()
+        cache, end = word_cache(tokenizer, False, remembered), np.array([end_id], "<u4").tobytes()
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
@@ -95,10 +96,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: i
 def pack(pieces: DataFrame, max_len: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, start and length (1 to max_len).
 
-    Any further columns are kept. Rows that are wholly alike get places of their own. An empty table
-    gives an empty one; null lengths are an error.
+    Any further columns are kept, but for those named sequence_id and offset, which are replaced. Rows of one doc_id and start are told apart by
+    all their columns; rows that are wholly alike get places of their own. An empty table gives an empty one; null lengths are an error.
     """
-    spark = pieces.sparkSession
+    spark, given = pieces.sparkSession, [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    held = F.struct(*(F.col(f"`{c}`") for c in given))
+    pieces = pieces.select("doc_id", "start", "length", F.xxhash64(F.to_json(held)).alias("_tie"), held.alias("_row"))
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most max_len rows
     keys, seqs, offsets = intervals(spfhp(histogram, max_len))
     group = max(256, -(-sum(histogram.values()) // 200_000))  # rows of a length ranked together; so at most 200,000 + max_len groups
@@ -109,32 +112,33 @@ def pack(pieces: DataFrame, max_len: int = 4096) -> DataFrame:
         .withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop("count")
     )
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start"))).join(before, ["length", "_salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "_tie"))).join(before, ["length", "_salt"])
+    own = next(n for n in itertools.chain(["_rank"], (f"_rank{i}" for i in itertools.count())) if n not in given)
+    ranked = ranked.select("_row.*", (F.col("_before") + F.col("_rank") - 1).alias(own))
     tables = spark.sparkContext.broadcast((keys, seqs, offsets))
     names = ranked.columns
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, seqs, offsets = tables.value
         for batch in it:
-            length, rank = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            length, rank = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("length", own))
             key = (length << SHIFT) + rank
             at = np.searchsorted(keys, key, "right") - 1
-            columns = [batch.column(i) for i, c in enumerate(names) if c != "_rank"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(seqs[at] + key - keys[at]), pa.array(offsets[at])], names=[*(c for c in names if c != "_rank"), "sequence_id", "offset"])
+            columns = [batch.column(i) for i, c in enumerate(names) if c != own]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(seqs[at] + key - keys[at]), pa.array(offsets[at])], names=[*(c for c in names if c != own), "sequence_id", "offset"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*(f for f in ranked.schema if f.name != "_rank"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*(f for f in ranked.schema if f.name != own), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 2, remembered: int = 350_000) -> DataFrame:
     """Packs whole documents (null text: empty, so the end id alone) into sequences.
 
     A document longer than max_len is cut at multiples of max_len; nothing else is cut. Returns one
     row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Rows that repeat
     a doc_id are packed each for itself.
     """
-    pieces = materialize(token_pieces(docs, tokenizer, max_len, end_id), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer, max_len, end_id, remembered), "pieces")
     return pack(pieces, max_len)

@@ -168,7 +168,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts count as empty; empty texts are scored like any other.
     """
-    stats = statistics(F.coalesce("text", F.lit("")))
-    named = Model(model.bias, tuple(Rule(tuple((f"_quality_{n}", b, c) for n, b, c in r.tests), r.weight) for r in model.rules))
-    rows = docs.select("*", *(c.alias(f"_quality_{n}") for n, c in stats.items()))
-    return rows.withColumn("score", compile_rules(named)).drop(*(f"_quality_{n}" for n in stats))
+    stats, given = statistics(F.coalesce("text", F.lit(""))), [c for c in docs.columns if c != "score"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in given)).alias("_row"), *(c.alias(n) for n, c in stats.items()))
+    return rows.select("_row", compile_rules(model).alias("_score")).select("_row.*", F.col("_score").alias("score"))

@@ -11,6 +11,9 @@ from . import bagminhash, fingerprints, hamming, language, licenses, packing, pi
 from ._common import delete, materialize, read_table, table_path
 
 
+REMEMBERED = 700_000  # words; a worker of op2 or op7 alone has memory for twice the default
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -23,7 +26,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = table_path(spark, "tokens")
-    token_codec.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path)
+    token_codec.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path, remembered=REMEMBERED)
     out = materialize(token_codec.read_tokens(spark, path), "token-rows")
     delete(spark, path)
     return out
@@ -40,17 +43,17 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rows = language.predict(docs, language.train(docs))
-    return rows.select("doc_id", (language.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return rows.select("doc_id", F.coalesce(language.fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rows = quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
-    return rows.select("doc_id", (quality.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(quality.fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

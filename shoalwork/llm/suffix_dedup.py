@@ -258,5 +258,5 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with the repeated bytes taken out of text; bytes left of a character cut in two go as well."""
     new = repeats(docs, length, keep=True).select(F.col("uid").alias("_uid"), F.col("kept").alias("_text")).dropDuplicates(["_uid"])
-    joined = docs.withColumn("_uid", uid()).join(new, "_uid", "left")
-    return joined.select(*(F.coalesce("_text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), uid().alias("_uid"))
+    return rows.join(new, "_uid", "left").select(*(F.coalesce("_text", "_row.text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -256,17 +256,17 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
     return np.cumsum(np.frombuffer(table, "<i8", n_docs)), np.frombuffer(table, "<u4", n_docs, 8 * n_docs), ids, before
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS, remembered: int = 350_000) -> None:
     """Encodes every text (null: empty), appends end_id, and writes blocks and manifest to the folder `path`.
 
     The folder must not hold tokens already. Documents are dealt by ranges of doc_id (and text hash, so that rows of one doc_id can be parted), so the
     text is what is shuffled, once. A document lies in one block; a block ends with the document that brings it to
     block_ids. Repeated doc_ids follow one another in the order of their texts' hashes. A null doc_id comes first, and is
-    null again when read. An empty table gives a manifest without rows.
+    null again when read. An empty table gives a manifest without rows. remembered: words whose ids a worker keeps at hand, at most, and as many from before.
     """
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = word_cache(tokenizer, True), np.array([end_id], "<u4").tobytes()
+        cache, end = word_cache(tokenizer, True, remembered), np.array([end_id], "<u4").tobytes()
         vocab = max(cache.n_ids, end_id + 1)
         file_no, block_no, held, size, before = TaskContext.get().partitionId(), 0, [], 0, 0
 

@@ -374,6 +374,22 @@ def test_packing_places_every_token(spark, edge_docs):
         assert at <= 256
 
 
+def test_packing_keeps_columns_of_any_name(spark):
+    rows = [(i % 3, 0, 5 + i % 4, i, 7, 8, 9) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, start long, length long, _rank int, _salt int, sequence_id int, offset int")
+    got = packing.pack(df, 16).collect()
+    assert sorted((r.doc_id, r.length, r._rank) for r in got) == sorted((r[0], r[2], r[3]) for r in rows) and {r._salt for r in got} == {7}
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for p in places.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 16
+
+
 def test_packing_empty(empty_docs):
     assert packing.pack_documents(empty_docs, WORD).count() == 0
 

@@ -102,3 +102,25 @@ def test_pack_holds_every_token(spark, corpus, steps):
             want[r.doc_id, s, zlib.crc32(ids[s : s + 4096].tobytes())] += 1
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in steps[5].collect()) == want
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in corpus_pipeline.run(spark, corpus).collect()) == want
+
+
+def test_extra_columns_and_repeated_ids(spark, tmp_path):
+    """Columns of any name stay as they are; of two texts under one doc_id a near-duplicate goes."""
+    base, other = prose(1, 90), prose(2, 90)
+    docs = [(1, base), (1, base + " more"), (2, other), (3, base), (None, other + " end"), (None, prose(5, 60)), (7, None)]
+    names = ["score", "_first", "_hash", "_own", "row", "lang_pred", "lang_score", "_uid", "_text", "_row", "_quality_words", "sequence_id", "_rank"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    df = spark.createDataFrame([(i, t, "en", "s", 5, *range(len(names))) for i, t in docs], schema)
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns and all(tuple(r)[5:] == tuple(range(len(names))) for r in out.collect()), name
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
+    assert {i for i, _ in kept} == {1, 2, None, 7} and len(kept) == 4 and len({t for i, t in kept if i == 1}) == 1
+
+
+def test_no_documents(spark, tmp_path):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
