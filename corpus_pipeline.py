@@ -14,23 +14,29 @@ LEAST_LANGUAGE = 0.2  # a score under this is a toss-up among the languages lear
 MOST_UNLIKE = 1.0  # above this a text is in no language that was learnt
 
 
+def whole(docs: DataFrame, *more) -> DataFrame:
+    """Every row in one column, beside its text and more, so that no name of its columns can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", *more)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score is 0.3 or more."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.score(whole(docs), model).filter(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are in a language: with letters, and like one of those learnt."""
-    return language.predict(docs, language.train(docs), tuple(docs.columns)).filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE) & (F.col("lang_unlike") <= MOST_UNLIKE)).select(*docs.columns)
+    told = language.predict(whole(docs), language.train(docs), ("row",))
+    return told.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE) & (F.col("lang_unlike") <= MOST_UNLIKE)).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates, that of the least doc_id (and text hash, where texts share it); of equal rows one."""
     first = bagminhash.near_duplicates(docs).filter("leads").select(F.col("doc_id").alias("_first"), F.col("text_hash").alias("_hash")).distinct()
-    text = F.coalesce("text", F.lit(""))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    rows = whole(docs, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_own"))
+    kept = rows.join(first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["_id", "_own"]).select("row.*")
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
