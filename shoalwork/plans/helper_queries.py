@@ -16,7 +16,7 @@ from .registry import query, rounded
 from .storage import delete, materialize, table_path
 
 
-@query("""SELECT event_id, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(ts AS DATE) + CAST(floor((event_id % 9) / 2) AS INT) AS middle, CASE WHEN value IS NOT NULL AND value <> 50 THEN value END AS cleaned, coalesce(value IS NOT NULL AND value <> 50 AND user_id IS NOT NULL, false) AS valid,
+@query("""SELECT event_id, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(ts AS DATE) + CAST(floor((event_id % 9) / 2) AS INT) AS middle, CASE WHEN value IS NOT NULL AND value <> 50 THEN value END AS cleaned, coalesce(value <> 50 AND user_id <> 50, false) AS valid,
     least(greatest(value, 10.0), 60.0) AS clipped, CASE WHEN value IS NULL THEN 'N/A' ELSE printf('%.4f', value) END AS shown, CAST(round_even((event_id - 250) / 500.0, 0) AS BIGINT) AS place, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}') AS print FROM events""")
 def value_helpers(spark, sf):
     e = b.table(spark, sf, "events")
@@ -231,16 +231,16 @@ def tail_agreement(spark, sf):
     return temporal.tail_agreement(d, [], "std", "reference", [5.0, 15.0, 25.0])
 
 
-@query(f"""WITH {LINES} SELECT cell, month, round(avg(l_discount), 6) AS l_discount_mean, round(avg(l_extendedprice), 7) AS l_extendedprice_mean, round(sum(l_quantity), 4) AS l_quantity_sum FROM lines GROUP BY 1, 2""")
+@query(f"""WITH {LINES} SELECT cell, month, round(avg(l_discount), 12) AS l_discount_mean, round(sum(l_extendedprice), 2) AS l_extendedprice_sum, round(sum(l_quantity), 2) AS l_quantity_sum FROM lines GROUP BY 1, 2""")
 def climate_months(spark, sf):
-    got = panel.climate_months(b.lines(spark, sf), ["cell", "month"], ["l_discount", "l_extendedprice"], ["l_quantity"])
-    return rounded(got, l_discount_mean=6, l_extendedprice_mean=7, l_quantity_sum=4)
+    got = panel.climate_months(b.lines(spark, sf), ["cell", "month"], ["l_discount"], ["l_extendedprice", "l_quantity"])
+    return rounded(got, l_discount_mean=12, l_extendedprice_sum=2, l_quantity_sum=2)
 
 
-@query(f"""WITH {LINES} SELECT cell, round(avg(CASE WHEN l_tax > 0 THEN l_tax END), 6) AS depth_mean, count(*) AS n, round(count(*) FILTER (WHERE l_tax > 0) / count(*), 6) AS depth_fraction FROM lines GROUP BY 1""")
+@query(f"""WITH {LINES} SELECT cell, round(avg(CASE WHEN l_tax > 0 THEN l_tax END), 12) AS depth_mean, count(*) AS n, round(count(*) FILTER (WHERE l_tax > 0) / count(*), 6) AS depth_fraction FROM lines GROUP BY 1""")
 def bathymetry_means(spark, sf):
     p = b.lines(spark, sf).withColumn("depth", F.when(F.col("l_tax") > 0, F.col("l_tax")))
-    return rounded(zonal.band_means(p, ["cell"], "depth"), depth_mean=6, depth_fraction=6)
+    return rounded(zonal.band_means(p, ["cell"], "depth"), depth_mean=12, depth_fraction=6)
 
 
 # --- training tables ---------------------------------------------------------------------------------------------

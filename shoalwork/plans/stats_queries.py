@@ -156,4 +156,4 @@ def innovation_checks(spark, sf):
 
 @query()
 def rolling_null_forecasts(spark, sf):
-    return state_space.rolling_forecasts(regression_rows(spark, sf).filter("cell < 2"), ["cell"], "y", [], "ar1", 70)
+    return state_space.rolling_forecasts(regression_rows(spark, sf).filter("cell < 2"), ["cell"], "y", [], "ar1", 30)

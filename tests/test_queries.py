@@ -175,3 +175,18 @@ def test_folds_do_not_split_blocks(spark):
 
 def test_ar_roots():
     assert stats.ar_roots([0.5]) == [0.5] and stats.ar_roots([]) == []
+
+
+def test_regions_of_a_small_lattice(spark):
+    """Two halves by label, a speck of two cells within the left one that joins the right: regions numbered by size."""
+    from shoalwork.operators import regions
+
+    cells = [(10 * x + y, x, y, "left" if x < 2 else "right", float(x), 1.0) for x in range(5) for y in range(4)]
+    cells[0] = (0, 0, 0, "right", 0.0, 1.0)
+    df = spark.createDataFrame(cells, "cell long, ix long, iy long, side string, f double, area double")
+    got = {r.cell: r.region for r in regions.build_regions(df, "side", ["f"], "area", 2, 0.0).collect()}
+    assert len(got) == 20 and {got[c] for c in got if c >= 20} == {"R01"} and {got[c] for c in got if c < 20} == {"R02"}
+    alone = regions.build_regions(df, "side", ["f"], "area", 1, 0.0).groupBy("region").count().collect()
+    assert sorted((r.region, r["count"]) for r in alone) == [("R01", 12), ("R02", 7), ("R03", 1)]
+    with pytest.raises(ValueError):
+        regions.build_regions(df, "side", ["f"], "area", 2, 0.0, most_parts=2)
