@@ -4,7 +4,8 @@ A code's bits (the signs of a vector) are cut into m segments of about log2(n) b
 every segment's value. Round r looks up the values that differ from a query's in exactly r bits, in
 every segment. After it, every code at a distance of up to m * (r + 1) - 1 has been met, since a farther
 one alone can differ by more than r bits in all segments. A query is done once its kth distance lies within
-that; so results are exact, and nothing is scanned.
+that; so results are exact. A round that would look up more values for a query than there are codes is replaced by a scan of the codes for the
+queries that are left, which is exact too.
 
 Equal codes are one index entry, which carries the k + 1 smallest ids (more can't be among a query's k),
 so copies of one vector never meet in one task.
@@ -15,12 +16,14 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, release
 
+BLOCK, LEAST_SCAN = 1024, 4096  # queries held against all codes at a time; values looked up for a query in a round that are never too many
 WORD = 32  # bits of a code kept in one long; segments lie within one
 
 
@@ -71,6 +74,18 @@ def smallest_ids(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     return few.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("id")), 1, most).alias("ids"))
 
 
+def scan(index: DataFrame, pending: DataFrame, k: int, words: int) -> list[DataFrame]:
+    """The k nearest of all codes to each pending query, BLOCK queries at a time: for queries so far from all codes that a round would look up more
+    values than there are codes."""
+    blocks, d, out = max(1, -(-pending.count() // BLOCK)), distance("q", "c", words), []
+    for b in range(blocks):
+        some = F.broadcast(pending.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))  # about BLOCK rows
+        met = index.join(some, d <= F.col("kth")).select("query_id", d.alias("distance"), F.explode("ids").alias("neighbor_id")).filter("query_id <> neighbor_id")
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))).filter(F.col("rank") <= k)
+        out.append(materialize(ranked.drop("rank"), "scanned"))
+    return out
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows of each query by Hamming distance of signs, ties by id, the query's own id left out.
 
@@ -91,10 +106,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     most = index.agg(F.sum(F.size("ids"))).first()[0] or 0
     by_segment = index.select("*", F.explode(segment_values("c", bounds)).alias("s")).select("*", "s.segment", "s.value").drop("s")
     pending = materialize(asked.select("*", F.lit(dims).cast("int").alias("kth")), "queries")
-    best, done = None, None
+    best, done, written = None, None, [index, pending]
     for radius in range(max(b for _, b in bounds) + 1):
         covered, before = len(bounds) * (radius + 1) - 1, len(bounds) * radius - 1
         lists = [(j, size) for j, (_, size) in enumerate(bounds) if size >= radius]
+        if sum(math.comb(size, radius) for _, size in lists) > max(n, LEAST_SCAN):
+            rest = scan(index, pending, k, words)
+            written += rest
+            done = reduce(DataFrame.unionByName, rest, done) if done is not None else reduce(DataFrame.unionByName, rest)
+            break
         choice = F.lit(None).cast("array<bigint>")
         for size in sorted({s for _, s in lists}):
             choice = F.when(F.col("s.segment").isin([j for j, s in lists if s == size]), masks(size, radius)).otherwise(choice)
@@ -112,10 +132,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         if best is not None:
             met = met.unionByName(best)
         ranked = met.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))).filter(F.col("rank") <= k)
-        best = materialize(ranked.drop("rank"), "nearest")
+        best = nearest = materialize(ranked.drop("rank"), "nearest")
         kth = best.groupBy("query_id").agg(F.count("*").alias("_n"), F.max("distance").alias("_far"))
         after = pending.join(kth, "query_id", "left").select("query_id", *own, F.when(F.col("_n") >= k, F.col("_far")).otherwise(F.lit(dims)).cast("int").alias("kth"), F.coalesce("_n", F.lit(0)).alias("_n"))
         after = materialize(after, "queries")
+        written += [nearest, after]
         open_ = after.filter((F.col("kth") > covered) & (F.col("_n") < F.lit(most))).drop("_n")
         closed = best.join(after.filter(~((F.col("kth") > covered) & (F.col("_n") < F.lit(most)))).select("query_id"), "query_id", "left_semi")
         done = closed if done is None else done.unionByName(closed)
@@ -124,4 +145,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         if covered >= dims or pending.isEmpty():
             break
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return done.select("query_id", F.row_number().over(order).alias("rank"), "neighbor_id", "distance")
+    out = materialize(done.select("query_id", F.row_number().over(order).alias("rank"), "neighbor_id", "distance"), "top-k")
+    release(vectors.sparkSession, *written)
+    return out

@@ -549,8 +549,10 @@ def test_near_duplicate_edges(edge_docs, empty_docs):
 
 # --- 10 -------------------------------------------------------------------
 
-@pytest.mark.parametrize("dims,n", [(64, 400), (8, 60), (70, 150), (64, 5)])
-def test_top_k_equals_brute_force(spark, dims, n):
+@pytest.mark.parametrize("dims,n,least_scan", [(64, 400, 4096), (8, 60, 4096), (70, 150, 4096), (64, 5, 4096), (64, 400, 0)])
+def test_top_k_equals_brute_force(spark, monkeypatch, dims, n, least_scan):
+    monkeypatch.setattr(hamming, "LEAST_SCAN", least_scan)
+    monkeypatch.setattr(hamming, "BLOCK", 20)
     r = np.random.default_rng(dims + n)
     vectors = r.normal(size=(n, dims))
     vectors[n // 3 : 2 * n // 3] = vectors[0]  # a third are copies
