@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwork.llm import bagminhash, language, packing, quality, suffix_dedup
-from shoalwork.llm._common import materialize, read_table
+from shoalwork.llm._common import materialize, read_table, release
 from shoalwork.llm.queries import tokenizer_path
 
 LEAST_QUALITY = 0.3
@@ -62,8 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read by the next."""
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """All stages over documents, each written to the shared folder and read by the next, after which it is deleted there."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        release(spark, *before)
+        before = [docs]
+    return docs
