@@ -223,7 +223,8 @@ def repeats(docs: DataFrame, length: int = 200, keep: bool = False) -> DataFrame
     mixed = materialize(mixed.select("anchor", F.lit(True).alias("several")), "mixed")  # a table again, for the same reason
     whole = F.col("c") > 1
     edge = F.coalesce("several", F.lit(False)) & ((F.col("c") == 1) | (place == F.col("first")))
-    told = found.join(contexts.join(mixed, "anchor", "left"), ["anchor", "context"]).filter(whole | edge)
+    # by merging even where `mixed` is small: a broadcast would leave contexts dealt as they were counted, and the next join could not split a hot one
+    told = found.join(contexts.join(mixed.hint("merge"), "anchor", "left"), ["anchor", "context"]).filter(whole | edge)
     runs = told.groupBy("uid").agg(F.collect_set(F.when(whole, F.col("run"))).alias("whole"), F.collect_set(F.when(edge, F.col("run"))).alias("edges"))
     runs = materialize(runs, "runs")  # a document's own anchors, each once, so no longer than the document
     release(spark, found, mixed)
