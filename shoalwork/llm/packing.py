@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import batches, doc_texts, materialize, word_cache
+from ._common import batches, doc_texts, materialize, release, word_cache
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SHIFT = 40  # a rank has at most so many bits
@@ -141,4 +141,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id:
     a doc_id are packed each for itself.
     """
     pieces = materialize(token_pieces(docs, tokenizer, max_len, end_id, remembered), "pieces")
-    return pack(pieces, max_len)
+    out = materialize(pack(pieces, max_len), "packed")
+    release(docs.sparkSession, pieces)
+    return out

@@ -11,7 +11,7 @@ from . import bagminhash, fingerprints, hamming, language, licenses, packing, pi
 from ._common import delete, materialize, read_table, table_path
 
 
-REMEMBERED = 700_000  # words; a worker of op2 or op7 alone has memory for twice the default
+REMEMBERED = 1_000_000  # words; a worker of op2 or op7 alone has memory for twice so many (about 500 MB)
 
 
 def tokenizer_path(name: str) -> str:
