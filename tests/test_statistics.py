@@ -221,6 +221,17 @@ def test_tokens_must_agree():
         catalog.check_tokens({"S1": "site_s1_scc"}, {})
 
 
+def test_halves_go_to_the_even_digit(spark):
+    """1152 is 1.125 KB and 1408 is 1.375 KB; 1.015 lies below the half as a double. Texts equal Python's."""
+    sizes = spark.createDataFrame([(1152, "1.12 KB"), (-1152, "-1.12 KB"), (1408, "1.38 KB"), (3 * 2**17, "384.00 KB"), (1179648, "1.12 MB"), (None, None)], "n long, t string")
+    assert [r.n for r in sizes.filter(~fn.byte_text(F.col("n")).eqNullSafe(F.col("t"))).collect()] == []
+    values = [0.5, 1.5, 2.5, -0.4, 0.125, 0.375, 1.015, 2.675, 0.03125, 1e6, float("nan"), float("inf"), -float("inf")]
+    for digits in (0, 2, 4):
+        got = spark.createDataFrame([(v,) for v in values], "v double").select("v", fn.fixed(F.col("v"), digits).alias("t")).collect()
+        assert [r.t for r in got] == [f"{r.v:.{digits}f}" for r in got]
+    assert spark.range(1).select(fn.metric_text(F.lit(None).cast("double"))).first()[0] == "N/A"
+
+
 def test_sizes_blanks_and_zenith(spark):
     df = spark.createDataFrame([(5.0, "5 B"), (1024.0, "1.00 KB"), (1385126953.0, "1.29 GB"), (2.0**50, "1024.00 TB"), (-2048.0, "-2.00 KB")], "n double, t string")
     assert df.filter(fn.byte_text(F.col("n")) != F.col("t")).count() == 0
