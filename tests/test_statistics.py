@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shoalwork.functions import columns as fn
 from shoalwork.operators import catalog, metrics, panel_ar, resampling, smooth, state_space, stats
+from shoalwork.plans import helper_queries
 
 
 def month(i):
@@ -232,6 +233,26 @@ def test_halves_go_to_the_even_digit(spark):
     assert spark.range(1).select(fn.metric_text(F.lit(None).cast("double"))).first()[0] == "N/A"
 
 
+def test_exact_mean_stays_on_the_threshold(spark):
+    """100 times 10.11 and 100 times 19.89 have the mean 15, in any order and any tasks; sums of doubles stray from it."""
+    df = spark.range(200, numPartitions=1).select(F.when(F.col("id") < 100, 10.11).otherwise(19.89).alias("v"))
+    assert df.agg(F.avg("v")).first()[0] > 15.0
+    assert df.repartition(3).agg(fn.exact_mean("v")).first()[0] == 15.0
+    assert df.agg(fn.exact_mean("v")).first()[0] == 15.0
+    odd = {"tiny": [2.0**-70, 3 * 2.0**-70], "huge": [1e300, 2e300], "none": [None, None], "nan": [1.0, float("nan")], "some": [1.5, None]}
+    rows = spark.createDataFrame([(k, v) for k, vs in odd.items() for v in vs], "k string, v double")
+    got = {r.k: r.m for r in rows.groupBy("k").agg(fn.exact_mean("v").alias("m")).collect()}
+    assert (got["tiny"], got["huge"], got["none"], got["some"]) == (2.0**-69, 1.5e300, None, 1.5) and math.isnan(got["nan"])
+
+
+def test_tail_agreement_at_a_cut(spark, tmp_path):
+    """Days whose mean is 15, a third of which is the cut of 5, are not above it, however many rows they have."""
+    rows = [(i, dt.datetime(2024, 1, 1 + d), p, "view", 10.11 if i < 100 else 19.89, "{}") for p in range(3) for d in range(4) for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.cut: r.n_reference for r in helper_queries.tail_agreement(spark, str(tmp_path)).collect()}
+    assert got == {5.0: 0, 15.0: 0, 25.0: 0}
+
+
 def test_sizes_blanks_and_zenith(spark):
     df = spark.createDataFrame([(5.0, "5 B"), (1024.0, "1.00 KB"), (1385126953.0, "1.29 GB"), (2.0**50, "1024.00 TB"), (-2048.0, "-2.00 KB")], "n double, t string")
     assert df.filter(fn.byte_text(F.col("n")) != F.col("t")).count() == 0
