@@ -180,21 +180,21 @@ def change_skill(df: DataFrame, observed: str, predicted: str, before: str) -> D
 
 def boyce_windows(df: DataFrame, truth: str, score: str, bins: int = 10, window: float = 0.1) -> DataFrame:
     """Share of presences in every window of scores from 0 to 1 over their share of all rows. Windows are open above, but
-    for one that reaches 1; those without a row have no enrichment."""
+    for one that reaches 1; those without a row have no enrichment, and without a presence anywhere it is NaN."""
     step = (1 - window) / (bins - 1)
     plan = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), (F.col("id") * step).alias("low"), (F.col("id") * step + window).alias("high"))
     rate = df.agg(F.avg(truth).alias("_rate"))
     s = F.col("_s")
     inside = (s >= F.col("low")) & ((s < F.col("high")) | ((F.col("high") >= 1 - 1e-12) & (s <= F.col("high") + 1e-12)))
-    got = df.select(F.col(truth).alias("_t"), F.col(score).alias("_s")).join(F.broadcast(plan), inside).groupBy("bin").agg(F.avg("_t").alias("_share"), F.count("*").alias("n"))
+    got = df.select(F.col(truth).alias("_t"), F.col(score).alias("_s")).join(F.broadcast(plan), inside).groupBy("bin").agg(F.avg("_t").alias("_share"), F.count("_t").alias("n"))
     out = plan.join(got, "bin", "left").join(F.broadcast(rate))
-    return out.select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"), F.when((F.col("_rate") > 0) & (F.col("_rate") < 1), F.col("_share") / F.col("_rate")).alias("enrichment"))
+    return out.select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("_rate") > 0, F.col("_share") / F.col("_rate")).when(F.col("_share").isNotNull(), float("nan")).alias("enrichment"))
 
 
 def boyce(df: DataFrame, truth: str, score: str, bins: int = 10, window: float = 0.1) -> DataFrame:
-    """The Boyce index: rank correlation of window midpoints with enrichment; null under three windows."""
+    """The Boyce index: rank correlation of window midpoints with enrichment, and n, the windows with rows. Always one row; null under three windows, or where all rows or none are presences."""
     w = boyce_windows(df, truth, score, bins, window).withColumn("middle", (F.col("low") + F.col("high")) / 2).withColumn("_all", F.lit(1))
-    return spearman(w, ["_all"], "middle", "enrichment").select("n", F.col("spearman").alias("boyce"))
+    return spearman(w, ["_all"], "middle", "enrichment").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("spearman").alias("boyce"))
 
 
 def residual_correlation(df: DataFrame, cell: str, observed: str, predicted: str, baseline: str, least_months: int = 4, least_distinct: int = 3, month: str = "month") -> DataFrame:

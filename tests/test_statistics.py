@@ -253,6 +253,19 @@ def test_tail_agreement_at_a_cut(spark, tmp_path):
     assert got == {5.0: 0, 15.0: 0, 25.0: 0}
 
 
+def test_boyce_index_has_a_row_where_it_is_undefined(spark):
+    """Three windows with rows; presences nowhere, everywhere, or in no row at all leave n and no index."""
+    rows = [(0, 0.05), (0, 0.35), (1, 0.35), (1, 0.95), (None, 0.65)]
+    df = spark.createDataFrame(rows, "t int, s double")
+    index = lambda d: tuple(metrics.boyce(d, "t", "s").collect()[0])
+    assert index(df) == (3, pytest.approx(1.0))
+    assert index(df.withColumn("t", F.col("t") * 0)) == (3, None)
+    assert index(df.withColumn("t", F.col("t") * 0 + 1)) == (3, None)
+    assert index(df.limit(0)) == (0, None)
+    got = {r.bin: (r.n, r.enrichment) for r in metrics.boyce_windows(df.withColumn("t", F.col("t") * 0), "t", "s").collect()}
+    assert math.isnan(got[3][1]) and got[3][0] == 2 and got[6] == (0, None) and got[1] == (0, None)
+
+
 def test_sizes_blanks_and_zenith(spark):
     df = spark.createDataFrame([(5.0, "5 B"), (1024.0, "1.00 KB"), (1385126953.0, "1.29 GB"), (2.0**50, "1024.00 TB"), (-2048.0, "-2.00 KB")], "n double, t string")
     assert df.filter(fn.byte_text(F.col("n")) != F.col("t")).count() == 0
