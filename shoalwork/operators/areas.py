@@ -53,9 +53,10 @@ def zonal_soft(pixels: DataFrame, keys: list[str], code: str, probability: str,
     return pixels.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(code) == target, conf)), F.lit(0.0)).alias("soft_target"), F.count(code).alias("n_valid")).withColumn("soft_cover", ratio(F.col("soft_target"), F.col("n_valid")))
 
 
-def mosaic(tiles: DataFrame, pixel: list[str], value: str, order: str, nodata: int = 255) -> DataFrame:
-    """The first tile's value that is no nodata, by pixel."""
-    return tiles.groupBy(*pixel).agg(F.coalesce(F.min_by(F.when(F.col(value) != nodata, F.col(value)), F.when(F.col(value) != nodata, F.col(order))), F.lit(nodata)).alias(value))
+def mosaic(tiles: DataFrame, pixel: list[str], value: str, order: list[str], nodata: int = 255) -> DataFrame:
+    """The first tile's value that is no nodata, by pixel. Where tiles tie in `order`, any of theirs may come, so the columns should tell all apart."""
+    valid = (F.col(value) != nodata) & F.col(order[0]).isNotNull()
+    return tiles.groupBy(*pixel).agg(F.coalesce(F.min_by(value, F.when(valid, F.struct(*order))), F.lit(nodata)).alias(value))
 
 
 def wide_areas(df: DataFrame, rows: list[str], names: list[str], column: str, value: str) -> DataFrame:

@@ -55,8 +55,8 @@ def zonal_counts(spark, sf):
 @query(f"""WITH {PIXELS}, t AS (SELECT pixel, layer, CASE WHEN model = 1 THEN 255 ELSE model END AS model FROM pixels)
     SELECT pixel, coalesce(arg_min(CASE WHEN model <> 255 THEN model END, CASE WHEN model <> 255 THEN layer END), 255)::INT AS model FROM t GROUP BY 1""")
 def mosaic_tiles(spark, sf):
-    t = b.pixels(spark, sf).withColumn("model", F.when(F.col("model") == 1, 255).otherwise(F.col("model")))
-    return areas.mosaic(t, ["pixel"], "model", "layer")
+    t = b.pixels(spark, sf, placed=True).withColumn("model", F.when(F.col("model") == 1, 255).otherwise(F.col("model")))
+    return areas.mosaic(t, ["pixel"], "model", ["layer", "file", "row"])  # layers repeat within a pixel; the first row of the table is first
 
 
 @query(f"""WITH {PIXELS} SELECT month, sum(CASE WHEN sensor = 'S1' THEN 0.09 END)::DOUBLE AS "S1", sum(CASE WHEN sensor = 'S2' THEN 0.09 END)::DOUBLE AS "S2" FROM pixels WHERE model = 2 GROUP BY 1""".replace("sum(CASE WHEN sensor = 'S1' THEN 0.09 END)::DOUBLE", "round(sum(CASE WHEN sensor = 'S1' THEN 0.09 END), 4)::DOUBLE").replace("sum(CASE WHEN sensor = 'S2' THEN 0.09 END)::DOUBLE", "round(sum(CASE WHEN sensor = 'S2' THEN 0.09 END), 4)::DOUBLE"))

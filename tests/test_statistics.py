@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shoalwork.functions import columns as fn
 from shoalwork.operators import catalog, metrics, panel_ar, resampling, smooth, state_space, stats
-from shoalwork.plans import helper_queries
+from shoalwork.plans import helper_queries, pixel_queries
 
 
 def month(i):
@@ -266,6 +266,18 @@ def test_boyce_index_has_a_row_where_it_is_undefined(spark):
     assert math.isnan(got[3][1]) and got[3][0] == 2 and got[6] == (0, None) and got[1] == (0, None)
 
 
+def test_mosaic_takes_the_first_row_of_a_layer(spark, tmp_path):
+    """Both files hold layer 1 of the pixel; the first by name counts, although the second is larger and read first."""
+    when = dt.datetime(2020, 1, 1)
+    pd.DataFrame({"c_custkey": [1], "c_nationkey": [2]}).to_parquet(tmp_path / "customer.parquet")
+    pd.DataFrame({"o_orderkey": [7], "o_custkey": [1], "o_orderdate": pd.Series([when]).astype("datetime64[us]"), "o_orderpriority": ["1-URGENT"], "o_orderstatus": ["F"]}).to_parquet(tmp_path / "orders.parquet")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, flag, n in (("a", "R", 1), ("b", "N", 5000)):
+        rows = {"l_orderkey": 7, "l_linenumber": 1, "l_quantity": np.arange(n) * 1.0, "l_tax": np.arange(n) / 7, "l_discount": 0.1, "l_returnflag": flag}
+        pd.DataFrame(rows).to_parquet(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    assert [tuple(r) for r in pixel_queries.mosaic_tiles(spark, str(tmp_path)).collect()] == [(7, 2)]
+
+
 def test_sizes_blanks_and_zenith(spark):
     df = spark.createDataFrame([(5.0, "5 B"), (1024.0, "1.00 KB"), (1385126953.0, "1.29 GB"), (2.0**50, "1024.00 TB"), (-2048.0, "-2.00 KB")], "n double, t string")
     assert df.filter(fn.byte_text(F.col("n")) != F.col("t")).count() == 0
