@@ -35,6 +35,8 @@ NO_ID = -(2**63)  # stands for a null doc_id
 ORDER0_BITS, MIX_BITS, HASH_BITS, ID_BITS = 19, 9, 16, 18
 TOTAL = np.uint64(ORDER0_BITS + MIX_BITS)
 BOTTOM, HALF, LOW = np.uint64(1 << 32), np.uint64(32), np.uint64((1 << 32) - 1)
+PAIRS = [(i, k) for i in range(4) for k in range(4) if i != k]
+BEHIND = np.int32(1 << ID_BITS)  # above all ids
 EARLY = (1, 2, 4, 8, 16)  # steps after which the model is rebuilt, besides every 32nd
 BLOCKS = "file_no int, block_no int, n_docs long, n_tokens long, block binary"
 DOCS = "doc_id long, file_no int, _in_file long, n_tokens long, ids_crc32 long"
@@ -78,7 +80,7 @@ class Mixer:
             raise ValueError(f"ids must be under {1 << ID_BITS}")
         self.vocab, self.decode = vocab, decode
         self.order1, self.order2 = np.zeros(vocab, np.int64), np.zeros(1 << HASH_BITS, np.int64)
-        self.entries = np.zeros((2, lanes), np.int64)
+        self.entries, self.ids, self.weight = np.zeros((2, lanes), np.int64), np.zeros((4, lanes), np.int32), np.zeros((5, lanes), np.int32)
         self.counts = np.zeros(vocab, np.int64)
         self.credit = np.tile(np.array([[1], [1], [1], [1], [16]], np.int64), (1, 256))
         self.step, self.unforeseen, self.foreseen = 0, [], []
@@ -101,9 +103,10 @@ class Mixer:
         self.order2.take(self.slot, out=self.entries[1], mode="clip")
         halves = self.entries.view(np.int32).reshape(2, -1, 2)
         self.sure = halves[:, :, 0] & 15
-        self.ids = np.concatenate((halves[:, :, 0] >> 4, halves[:, :, 1]))
+        np.right_shift(halves[:, :, 0], 4, out=self.ids[:2])
+        self.ids[2:] = halves[:, :, 1]
         self.context = (self.sure[1] << 4) | self.sure[0]
-        self.weight = self.weights.take(self.context, axis=1, mode="clip")
+        self.weights.take(self.context, axis=1, out=self.weight, mode="clip")
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the mixture's cumulative sum stands before each id, and the id's share."""
@@ -120,13 +123,15 @@ class Mixer:
         of order 0 alone, unless it lies in the interval of the least successor that is not behind it.
         """
         ids, weight = self.ids, self.weight
-        ends = weight[4] * self.cum0.take(ids + 1, mode="clip")
-        for k in range(4):
-            ends += weight[k] * (ids >= ids[k])
+        ends = self.cum0[1:].take(ids, mode="clip")
+        ends *= weight[4]
+        ends += weight[:4]
+        for i, k in PAIRS:
+            ends[i] += weight[k] * (ids[i] >= ids[k])
         behind = ends <= value
         inner = value - (weight[:4] * behind).sum(0, dtype=np.int32)
         x = self.inverse.take((inner / weight[4]).astype(np.int64), mode="clip")  # exact: under 2**28 by under 2**9
-        return np.minimum(x, np.where(behind, np.int32(self.vocab), ids).min(0))
+        return np.minimum(x, (ids + behind * BEHIND).min(0))
 
     def learn(self, x: np.ndarray) -> None:
         hit = self.hit.view(np.uint8)
