@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, fingerprints, hamming, language, licenses, packing, piece_codec, quality, suffix_dedup, token_codec
-from ._common import delete, materialize, read_table, table_path
+from . import bagminhash, fingerprints, hamming, language, licenses, mixing, packing, piece_codec, quality, suffix_dedup, token_codec, vector_codes, whitening
+from ._common import delete, materialize, read_table, release, table_path
 
 
 REMEMBERED = 1_000_000  # words; a worker of op2 or op7 alone has memory for twice so many (about 500 MB)
@@ -69,6 +69,25 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(rows, rows.filter("vec_id % 50 = 0"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    out = materialize(mixing.taken(mixed).select("doc_id", "size", "source_size", "target", "taken"), "taken")
+    release(spark, *mixed)
+    return out
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model) if model else None
+    return whitening.whiten(rows, model).withColumns({"deviation": F.expr("try_cast(deviation AS bigint)"), "identity_error": F.lit(error).cast("double")})
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return vector_codes.encode(rows, vector_codes.fit(rows)).withColumns({c: F.expr(f"try_cast({c} AS bigint)") for c in ("error", "label_error")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_output": op2_token_output,
@@ -80,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_topk": op10_topk,
+    "op11_mixing": op11_mixing,
+    "op12_whitening": op12_whitening,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -109,6 +131,31 @@ def _license_sql() -> str:
         FROM w LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 
+def _codes_sql(rounds: int = 4) -> str:
+    """Every part against every entry, round by round; vectors of one length that 4 divides."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+            SELECT vec_id, label, p, q, min({{'d': list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS m
+            FROM parts JOIN c{r} USING (p) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (
+            SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS c FROM (
+                SELECT p, m.e AS e, i, CAST(sum(v) AS DOUBLE) AS total, count(*) AS n
+                FROM (SELECT p, m, unnest(q) AS v, generate_subscripts(q, 1) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+        c{r + 1} AS (SELECT p, e, coalesce(s.c, o.c) AS c FROM c{r} o LEFT JOIN s{r} s USING (p, e))""")
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT vec_id, label, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] AS q FROM v, range(4) AS r(p)),
+        c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, q AS c FROM parts QUALIFY e < 256),
+        {", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)},
+        books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+        coded AS (SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op4_suffix_dedup": """
@@ -147,4 +194,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, rank::INT AS rank, neighbor_id, distance
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
         WHERE rank <= 10""",
+    "op13_vector_codes": _codes_sql(),
 }
