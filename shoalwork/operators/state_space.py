@@ -216,7 +216,9 @@ def innovation_checks(df: DataFrame, keys: list[str], y: str, xs: list[str], str
 
 
 def rolling_forecasts(df: DataFrame, keys: list[str], y: str, xs: list[str], structure: str = "ar1", least_months: int = 24, month: str = "month") -> DataFrame:
-    """One-month-ahead forecasts from every origin with least_months observed months behind it: keys, target (month), observed, forecast. No regressors: the null forecast."""
+    """One-month-ahead forecasts from every origin with least_months observed months behind it: keys, target (month), observed, forecast. No regressors: the null forecast.
+
+    A series without a forecast has one row with nulls."""
     rows = _rows(df, keys, y, xs, month)
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +230,7 @@ def rolling_forecasts(df: DataFrame, keys: list[str], y: str, xs: list[str], str
             own = SeriesFit(values[: i + 1], x[: i + 1], structure)
             if own.usable:
                 out.append((*key, int(months[i + 1]), float(values[i + 1]), own.ahead(x[i + 1])))
-        return pd.DataFrame(out, columns=[*keys, "mi", "observed", "forecast"])
+        return pd.DataFrame(out or [(*key, None, None, None)], columns=[*keys, "mi", "observed", "forecast"])
 
     got = rows.groupBy(*keys).applyInPandas(fit, _schema(rows, keys, "mi int, observed double, forecast double"))
     return got.select(*keys, month_of_index(F.col("mi")).alias("target"), "observed", "forecast")

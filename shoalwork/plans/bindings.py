@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import cached
+from ..sources.files import cached, fingerprint
 from .storage import shared_dir
 
 LEAST_FRACTION = 0.4  # a cell-month is valid with so much of its cell's largest number of lines; the rest are gaps
@@ -50,13 +50,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel as a table, for queries that read it more than once: lines are scanned and joined once in a session, as long as the tables stay what they are."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    made_of = [spark.sparkContext.applicationId]
-    for name in ("lineitem", "orders", "customer"):
-        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        state = path.getFileSystem(conf).getFileStatus(path)
-        made_of.append(f"{path}:{state.getModificationTime()}:{state.getLen()}")
+    """The panel as a table, for queries that read it more than once: lines are scanned and joined once in a session, as long as the tables' files
+    stay what they are. The table goes when the session ends."""
+    made_of = [spark.sparkContext.applicationId, *(fingerprint(spark, f"{sf_dir}/{name}.parquet") for name in ("lineitem", "orders", "customer"))]
     key = uuid.uuid5(uuid.NAMESPACE_OID, "|".join(made_of)).hex
     return cached(spark, f"{shared_dir(spark)}/panel", key, lambda: panel(spark, sf_dir))
 

@@ -129,6 +129,30 @@ def one_month_forecasts(spark, sf):
     return rounded(got.select("target", "region", "observed", "plain", "full", "persistence", "seasonal"), observed=6, plain=6, full=6, persistence=6, seasonal=6)
 
 
+def _ar1_sql(rounds: int = 20) -> str:
+    """Rounds of least squares on differenced rows within cells and of the autoregression of what they leave, one after the other."""
+    steps = ["r0 AS (SELECT 0.0::DOUBLE AS rho)"]
+    for k in range(rounds):
+        steps += [
+            f"d{k} AS (SELECT *, y - rho * ly AS dy, x - rho * lx AS dx FROM s, r{k})",
+            f"w{k} AS (SELECT *, avg(dy) OVER (PARTITION BY cell) AS my, avg(dx) OVER (PARTITION BY cell) AS mx FROM d{k})",
+            f"b{k} AS (SELECT sum((dx - mx) * (dy - my)) / sum((dx - mx) ** 2) AS b FROM w{k})",
+            f"u{k} AS (SELECT deep, y - b * x - (my - b * mx) / (1 - rho) AS u, ly - b * lx - (my - b * mx) / (1 - rho) AS lu FROM w{k}, b{k})",
+            f"r{k + 1} AS (SELECT sum(u * lu) / sum(lu * lu) AS rho FROM u{k} WHERE deep)",
+        ]
+    last = rounds - 1
+    return f"""WITH {REG}, one AS (SELECT cell, mi, y, x1 AS x FROM z), s AS MATERIALIZED (
+        SELECT o.*, p.y AS ly, p.x AS lx, q.y IS NOT NULL AS deep FROM one o JOIN one p ON p.cell = o.cell AND p.mi = o.mi - 1 LEFT JOIN one q ON q.cell = o.cell AND q.mi = o.mi - 2),
+        {", ".join(t.replace(" AS (", " AS MATERIALIZED (", 1) for t in steps)}
+        SELECT 'x1' AS term, round(b, 5) AS estimate, (SELECT count(*) FROM s) AS n FROM b{last} UNION ALL SELECT 'rho1', round(rho, 5), (SELECT count(*) FROM s) FROM r{rounds}"""
+
+
+@query(_ar1_sql())
+def panel_ar1(spark, sf):
+    got = par.panel_ar(regression_rows(spark, sf), "cell", "y", ["x1"], 1, harmonics=0, trend=False).filter("kind in ('driver', 'errors')")
+    return rounded(got.select("term", "estimate", "n"), estimate=5)
+
+
 @query()
 def ar_regression(spark, sf):
     return par.panel_ar(regression_rows(spark, sf), "cell", "y", ["x1", "x2"], 1)
@@ -146,14 +170,14 @@ def additive_splines(spark, sf):
 
 @query()
 def state_space_fits(spark, sf):
-    return state_space.state_space(regression_rows(spark, sf).filter("cell < 5"), ["cell"], "y", ["x1"], "ar1")
+    return state_space.state_space(regression_rows(spark, sf), ["cell"], "y", ["x1"], "ar1")
 
 
 @query()
 def innovation_checks(spark, sf):
-    return state_space.innovation_checks(regression_rows(spark, sf).filter("cell < 5"), ["cell"], "y", [], "level", 6)
+    return state_space.innovation_checks(regression_rows(spark, sf), ["cell"], "y", [], "level", 6)
 
 
 @query()
 def rolling_null_forecasts(spark, sf):
-    return state_space.rolling_forecasts(regression_rows(spark, sf).filter("cell < 2"), ["cell"], "y", [], "ar1", 30)
+    return state_space.rolling_forecasts(regression_rows(spark, sf), ["cell"], "y", [], "ar1", 30)

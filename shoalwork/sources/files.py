@@ -59,10 +59,22 @@ def rings(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.posexplode("g.features").alias("feature", "f")).filter("f.geometry.type = 'Polygon'").select("feature", F.col("f.geometry.coordinates")[0].alias("ring"))
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Of a file or of all files below a folder: how many there are, and a hash of their paths, lengths and times of change. Contents are not read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    state = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    if state.isFile():
+        return f"{path}:{state.getModificationTime()}:{state.getLen()}"
+    own = F.xxhash64("path", "size", F.col("modificationTime").cast("double"))
+    row = scan_files(spark, path).agg(F.count("*").alias("n"), F.sum(F.pmod(own, F.lit(1 << 40))).alias("a"), F.bit_xor(own).alias("b")).first()
+    return f"{path}:{row.n}:{row.a}:{row.b}"
+
+
 def cached(spark: SparkSession, path: str, key: str, build) -> DataFrame:
-    """A table kept under a fingerprint of what it was made from; built once."""
+    """A table kept under a fingerprint of what it was made from until the session ends; built once."""
     at = f"{path}/{key}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    p, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS"), spark.sparkContext._jsc.hadoopConfiguration()
+    if not p.getFileSystem(conf).exists(p):
         build().write.mode("overwrite").parquet(at)
+        p.getFileSystem(conf).deleteOnExit(p.getParent())
     return spark.read.parquet(at)

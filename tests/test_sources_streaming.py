@@ -1,6 +1,7 @@
 """Sources, sinks, models and streams."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,28 @@ def test_merging_is_that_of_one_at_a_time():
     chain = [{"id": i, "n_cells": 1, "area": 1.0, "f": float(i)} for i in range(6)]
     into = merge_small(chain, [(i, i + 1) for i in range(5)], ["f"], 3, 0.0)
     assert all(into[v] == v for v in into.values()) and min(list(into.values()).count(v) for v in set(into.values())) >= 3
+
+
+def test_panel_follows_a_rewritten_part_file(spark, tmp_path):
+    """Tables as folders: a part file rewritten in place, under its name, makes another panel."""
+    import glob
+    import shutil
+
+    from shoalwork.plans import bindings
+
+    data = os.environ.get("SHOALWORK_TESTDATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no tables")
+    for name in ("lineitem", "orders", "customer"):
+        spark.read.parquet(f"{data}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    total = lambda f: f(spark, str(tmp_path)).agg(F.sum("valid")).first()[0]
+    before = total(bindings.panel_table)
+    assert before == pytest.approx(total(bindings.panel)) and total(bindings.panel_table) == before
+    spark.read.parquet(f"{data}/lineitem.parquet").withColumn("l_extendedprice", F.col("l_extendedprice") * 2).coalesce(1).write.parquet(f"{tmp_path}/new")
+    part, = glob.glob(f"{tmp_path}/lineitem.parquet/part-*")
+    for crc in glob.glob(f"{tmp_path}/lineitem.parquet/.*.crc"):
+        os.remove(crc)
+    shutil.copyfile(glob.glob(f"{tmp_path}/new/part-*")[0], part)
+    spark.catalog.clearCache()
+    after = total(bindings.panel_table)
+    assert after == pytest.approx(2 * before) and after == pytest.approx(total(bindings.panel))

@@ -12,6 +12,8 @@ from shoalwork.functions import columns as fn
 from shoalwork.operators import catalog, metrics, panel_ar, resampling, smooth, state_space, stats
 from shoalwork.plans import helper_queries, pixel_queries
 
+from .panel_fit import PanelFit
+
 
 def month(i):
     return dt.date(2000 + i // 12, i % 12 + 1, 1)
@@ -52,7 +54,7 @@ def test_median_slope_by_counting_equals_all_pairs():
 
 def test_panel_without_lags_is_least_squares():
     rows = panel_rows()
-    fit = panel_ar.PanelFit(rows, ["x"], 0)
+    fit = PanelFit(rows, ["x"], 0)
     d = rows.sort_values(["region", "mi"])
     turn = 2 * np.pi * (d.mi % 12 + 1) / 12
     x = np.column_stack([*((d.region == r).astype(float) for r in sorted(d.region.unique())), *(f(k * turn) for k in (1, 2) for f in (np.sin, np.cos)), (d.mi - 24000) / 12, d.x])
@@ -66,7 +68,7 @@ def test_panel_without_lags_is_least_squares():
 
 def test_panel_lags_are_calendar_lags():
     rows = panel_rows(regions=2, months=8, skip=4)
-    fit = panel_ar.PanelFit(rows, [], 1, harmonics=0, trend=False)
+    fit = PanelFit(rows, [], 1, harmonics=0, trend=False)
     known = {(r, m): i for i, (r, m) in enumerate(zip(fit.region, fit.mi))}
     assert fit.back[1].tolist() == [known.get((r, m - 1), -1) for r, m in zip(fit.region, fit.mi)]
     assert (fit.back[1][fit.sample] >= 0).all()
@@ -74,7 +76,7 @@ def test_panel_lags_are_calendar_lags():
 
 def test_panel_errors_and_forecast():
     rows = panel_rows(regions=6, months=120)
-    fit = panel_ar.PanelFit(rows, ["x"], 1)
+    fit = PanelFit(rows, ["x"], 1)
     assert fit.rho[0] == pytest.approx(0.6, abs=0.08) and fit.beta[-1] == pytest.approx(0.8, abs=0.03)
     ahead = pd.DataFrame({"region": ["r0", "r1", "new"], "mi": [24120] * 3, "x": [0.0, 1.0, 0.0]})
     got, used = fit.forecast(ahead)
