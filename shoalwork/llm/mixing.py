@@ -125,7 +125,10 @@ def placed(units: DataFrame, n_rows: int) -> DataFrame:
     words = units.filter("size > 0").withColumn("_hash", own).withColumn("_chunk", F.shiftrightunsigned("_hash", 1) % F.greatest(F.lit(1), F.ceil(F.col("_rows") / chunk)))
     total = F.col("size") * F.col("_n")
     sums = words.groupBy("_source", "_chunk").agg(F.sum(total).alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_chunk")) - F.col("_sum")).drop("_sum")
+    sums = sums.withColumn("_group", F.shiftrightunsigned("_chunk", 8))  # so that the chunks of a large source are not in one task
+    groups = sums.groupBy("_source", "_group").agg(F.sum("_sum").alias("_all")).withColumn("_base", F.sum("_all").over(Window.partitionBy("_source").orderBy("_group")) - F.col("_all")).drop("_all")
+    within = F.sum("_sum").over(Window.partitionBy("_source", "_group").orderBy("_chunk")) - F.col("_sum")
+    before = sums.withColumn("_before", within).join(groups, ["_source", "_group"]).select("_source", "_chunk", (F.col("_before") + F.col("_base")).alias("_before"))
     order = Window.partitionBy("_source", "_chunk").orderBy("_hash", "text_hash", "doc_id", "_part").rowsBetween(Window.unboundedPreceding, 0)
     run = words.withColumn("_upto", F.sum(total).over(order)).withColumn("_own", total).join(before, ["_source", "_chunk"])
     return run.withColumn("start", F.col("_before") + F.col("_upto") - F.col("_own")).drop("_before", "_upto", "_own", "_hash", "_chunk")

@@ -2,7 +2,7 @@
 
 Documents are cut into pieces of at most `max_len` ids. Only the histogram of piece lengths (at most
 max_len rows) reaches the driver, where lengths are placed longest first, each into the packing
-patterns with the most room, whole pattern counts at a time. Patterns then go back to the pieces by
+patterns with the most room, whole pattern counts at a time; sequences that a length opens take as many of it as fit. Patterns then go back to the pieces by
 their rank within their length. Ranks are counted in salted groups of bounded size.
 """
 
@@ -23,56 +23,69 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SHIFT = 40  # a rank has at most so many bits
 
 
-def spfhp(histogram: dict[int, int], max_len: int) -> list[tuple[list[int], int]]:
-    """Packing patterns (lengths, how many sequences follow it) for a histogram of lengths.
+def spfhp(histogram: dict[int, int], max_len: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Packing patterns (runs of a length and its copies, how many sequences follow it) for a histogram of lengths.
 
     Lengths go longest first into the pattern with the least filled sequences; a pattern that is
-    taken only in part is split. Equal room: the pattern opened last.
+    taken only in part is split. Equal room: the pattern opened last. Where no pattern has room, new sequences are opened one by one, and each
+    takes as many of the length as fit before the next is. So a sequence is opened only by a length that no earlier one has room for, and the contents
+    of no two sequences fit in one.
     """
     room: dict[int, list[tuple[tuple, int]]] = {}  # free space: patterns as linked lists, newest last
     largest = 0
+
+    def add(items, length: int, copies: int, count: int, free: int) -> None:
+        nonlocal largest
+        if items and items[0][0] == length:
+            items, copies = items[1], copies + items[0][1]
+        room.setdefault(free, []).append((((length, copies), items), count))
+        largest = max(largest, free)
+
     for length in sorted(histogram, reverse=True):
-        left = histogram[length]
+        left, fit = histogram[length], max_len // length
         while left > 0:
             while largest and not room.get(largest):
                 largest -= 1
             if largest >= length:
-                items, count = room[largest].pop()
+                free = largest
+                items, count = room[free].pop()
                 take = min(left, count)
                 if count > take:
-                    room[largest].append((items, count - take))
-                free = largest - length
+                    room[free].append((items, count - take))
+                add(items, length, 1, take, free - length)
+                left -= take
             else:
-                items, take, free = None, left, max_len - length
-            room.setdefault(free, []).append(((length, items), take))
-            largest = max(largest, free)
-            left -= take
+                for copies, count in ((fit, left // fit), (left % fit, 1)):
+                    if copies and count:
+                        add(None, length, copies, count, max_len - copies * length)
+                left = 0
     out = []
     for free in sorted(room):
         for items, count in room[free]:
-            lengths = []
+            runs = []
             while items:
-                length, items = items
-                lengths.append(length)
-            out.append((lengths[::-1], count))
+                run, items = items
+                runs.append(run)
+            out.append((runs[::-1], count))
     return out
 
 
-def intervals(patterns: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys (length, first rank), and the sequence and offset that the first rank gets."""
-    keys, seqs, offsets, used, base = [], [], [], {}, 0
-    for lengths, count in patterns:
+def intervals(patterns: list[tuple[list[tuple[int, int]], int]]) -> tuple[np.ndarray, ...]:
+    """Sorted keys (length, first rank), the sequence and offset that the first rank gets, and how many ranks in a row share a sequence."""
+    keys, seqs, offsets, copied, used, base = [], [], [], [], {}, 0
+    for runs, count in patterns:
         at = 0
-        for length in lengths:
+        for length, copies in runs:
             lo = used.get(length, 0)
             keys.append((length << SHIFT) + lo)
             seqs.append(base)
             offsets.append(at)
-            used[length] = lo + count
-            at += length
+            copied.append(copies)
+            used[length] = lo + count * copies
+            at += length * copies
         base += count
     order = np.argsort(np.array(keys, np.int64), kind="stable")
-    return np.array(keys, np.int64)[order], np.array(seqs, np.int64)[order], np.array(offsets, np.int64)[order]
+    return tuple(np.array(c, np.int64)[order] for c in (keys, seqs, offsets, copied))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 2, remembered: int = 350_000) -> DataFrame:
@@ -103,7 +116,7 @@ def pack(pieces: DataFrame, max_len: int = 4096) -> DataFrame:
     held = F.struct(*(F.col(f"`{c}`") for c in given))
     pieces = pieces.select("doc_id", "start", "length", F.xxhash64(F.to_json(held)).alias("_tie"), held.alias("_row"))
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # at most max_len rows
-    keys, seqs, offsets = intervals(spfhp(histogram, max_len))
+    plan = intervals(spfhp(histogram, max_len))
     group = max(256, -(-sum(histogram.values()) // 200_000))  # rows of a length ranked together; so at most 200,000 + max_len groups
     salts = spark.createDataFrame([(n, -(-c // group)) for n, c in histogram.items()] or [(0, 1)], "length long, _salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("_salts"))).drop("_salts")
@@ -115,17 +128,18 @@ def pack(pieces: DataFrame, max_len: int = 4096) -> DataFrame:
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "_tie"))).join(before, ["length", "_salt"])
     own = next(n for n in itertools.chain(["_rank"], (f"_rank{i}" for i in itertools.count())) if n not in given)
     ranked = ranked.select("_row.*", (F.col("_before") + F.col("_rank") - 1).alias(own))
-    tables = spark.sparkContext.broadcast((keys, seqs, offsets))
+    tables = spark.sparkContext.broadcast(plan)
     names = ranked.columns
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, seqs, offsets = tables.value
+        keys, seqs, offsets, copied = tables.value
         for batch in it:
             length, rank = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("length", own))
             key = (length << SHIFT) + rank
             at = np.searchsorted(keys, key, "right") - 1
+            nth = key - keys[at]
             columns = [batch.column(i) for i, c in enumerate(names) if c != own]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(seqs[at] + key - keys[at]), pa.array(offsets[at])], names=[*(c for c in names if c != own), "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(seqs[at] + nth // copied[at]), pa.array(offsets[at] + nth % copied[at] * length)], names=[*(c for c in names if c != own), "sequence_id", "offset"])
 
     from pyspark.sql import types as T
 

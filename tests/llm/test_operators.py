@@ -340,17 +340,31 @@ def test_rules_compile_to_what_they_say(spark):
 
 # --- 7 --------------------------------------------------------------------
 
+def sequences_of(patterns):
+    return [sum(([length] * copies for length, copies in runs), []) for runs, count in patterns for _ in range(count)]
+
+
 def test_spfhp_uses_every_length_once():
     r = random.Random(1)
-    for _ in range(20):
+    for _ in range(60):
         histogram = {r.randint(1, 64): r.randint(1, 40) for _ in range(r.randint(1, 30))}
-        patterns = packing.spfhp(histogram, 64)
-        used = Counter()
-        for lengths, count in patterns:
-            assert sum(lengths) <= 64
-            for n in lengths:
-                used[n] += count
-        assert used == Counter(histogram)
+        sequences = sequences_of(packing.spfhp(histogram, 64))
+        assert Counter(length for s in sequences for length in s) == histogram and all(sum(s) <= 64 for s in sequences)
+        least = sorted(map(sum, sequences))[:2]
+        assert len(least) < 2 or sum(least) > 64  # no two fit in one
+
+
+@pytest.mark.parametrize("histogram,most", [({1000: 3000}, 750), ({2000: 50, 1000: 10}, 28), ({500: 10_000}, 1250), ({1: 5000}, 2), ({4096: 3, 1: 1}, 4), ({1366: 10}, 5), ({3000: 4, 1000: 9}, 6)])
+def test_spfhp_fills_sequences_of_few_lengths(histogram, most):
+    patterns = packing.spfhp(histogram, 4096)
+    sequences = sequences_of(patterns)
+    assert len(sequences) == most and Counter(length for s in sequences for length in s) == histogram and sum(len(runs) for runs, _ in patterns) <= 8
+
+
+def test_packing_documents_of_one_length(spark):
+    got = packing.pack(spark.range(3001).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(1000).cast("long").alias("length")))
+    places = got.groupBy("sequence_id").agg(F.sort_array(F.collect_list("offset")).alias("o")).collect()
+    assert sorted(r.sequence_id for r in places) == list(range(751)) and sorted(r.o for r in places) == [[0]] + [[0, 1000, 2000, 3000]] * 750
 
 
 def test_packing_places_every_token(spark, edge_docs):
