@@ -8,9 +8,12 @@ stop once they pass the largest slot. Bands of slots give candidates, and every
 overlap is counted out before it links two texts.
 
 Equal texts are one node from the start. All pairs of a bucket are compared, each pair once over all its
-buckets. Those of small buckets are rows. Nodes of a large bucket are dealt into blocks, and two
+buckets. Those of small buckets are rows. Each node of large buckets has the largest of them for its home, and two nodes of one home are
+compared there alone. So a bucket whose nodes are at home in one other bucket is passed over, and one where few are not has only
+those held against the rest. Nodes to be compared are dealt into blocks, at most 4 in a bucket of under 16,384 nodes and one for 4,096 above, and two
 blocks at a time are compared by products of matrices, which puts out one row for each node (how many links it has, and
-the least node that it reaches), so rows grow with the nodes of a bucket and not with their pairs. No link
+a node that all it reaches share). A node is sent once to each block of its bucket, with its elements, so rows are at most 4 times the nodes of buckets of that
+size and grow by the nodes over 4,096 above, as n links a node take n comparisons to count. No link
 between different texts is lost but by banding (under 1e-5 for a similarity of 0.8, less above) and by the comparison of
 bit sketches that goes before small buckets' counts (six standard deviations, under 1e-8). Overlaps are counted on 32-bit hashes of the occurrences: in
 a text of n words about n^2 / 2^33 of them fall together (one in a text of 90,000 words), which can tip a similarity that lies that close to the threshold.
@@ -35,7 +38,9 @@ SLOTS = BANDS * ROWS
 WORD = re.compile(r"\w+")
 TABLE_BITS = 16
 LARGE = 32  # nodes of a bucket above which its pairs are not rows
-BLOCK_NODES, BLOCK_ELEMENTS = 1024, 1 << 20  # of a large bucket, in a block, about
+LEAST_BLOCK, BLOCK_NODES, BLOCK_ELEMENTS = 512, 4096, 1 << 22  # nodes of a large bucket in a block, about, at least and at most; elements at most
+TILE = 1024  # nodes of a block in one matrix
+MAJOR = 1 << 30  # added to the numbers of blocks of nodes that are not held against one another
 NO_ID = 2**63 - 1  # stands for a null doc_id
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SIGNED = "doc_id long, node long, bands array<long>, s0 long, s1 long, s2 long, size int, elements array<int>"
@@ -205,45 +210,106 @@ def _common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def _links_of_part(table: pa.Table, threshold: float) -> pa.Table:
-    """node, n (its links to nodes of this part of a bucket) and root (the least node it reaches by them).
-
-    A part is one block, or two of which only pairs across count. A pair that shares several large buckets counts in the one of least key.
-    """
-    key, crossed = table["key"][0].as_py(), table["low"][0].as_py() != table["high"][0].as_py()
-    table = table.sort_by("node")
-    nodes, block = table["node"].to_numpy(), table["block"].to_numpy()
+def _linked(table: pa.Table, threshold: float, key: int, crossed: bool) -> np.ndarray:
+    """Which pairs of a part's nodes are links that this bucket (key) counts: of one home in that bucket alone, others in the least bucket that they share."""
+    block = table["block"].to_numpy()
     sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in table["elements"]]
     size, both = np.array([len(s) for s in sets], np.float64), _common_counts(sets).astype(np.float64)
     linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
     np.fill_diagonal(linked, False)
     if crossed:
         linked &= block[:, None] != block[None, :]
+    home = table["home"].to_numpy()
+    alike = home[:, None] == home[None, :]
+    met = np.zeros(linked.shape, bool)  # in a bucket of lesser key
     before = [[k for k in keys if k < key] for keys in table["large"].to_pylist()]
     names = {k: i for i, k in enumerate(sorted({k for keys in before for k in keys}))}
     for low in range(0, len(names), 512):
-        x = np.zeros((len(nodes), min(512, len(names) - low)), np.float32)
+        x = np.zeros((len(sets), min(512, len(names) - low)), np.float32)
         for i, keys in enumerate(before):
             for k in keys:
                 if low <= names[k] < low + 512:
                     x[i, names[k] - low] = 1
-        linked &= x @ x.T == 0
+        met |= x @ x.T > 0
+    return linked & np.where(alike, (home == key)[:, None], ~met)
+
+
+def _links_of_part(table: pa.Table, threshold: float) -> pa.Table:
+    """node, n (its links to nodes of this part of a bucket) and root (the first of those it reaches by them).
+
+    A part is one block, or two of which only pairs across count. Tiles of its nodes are compared two at a time.
+    """
+    key, crossed = table["key"][0].as_py(), table["low"][0].as_py() != table["high"][0].as_py()
+    table = table.sort_by([("block", "ascending"), ("node", "ascending")]) if crossed else table.sort_by("node")
+    nodes, block = table["node"].to_numpy(), table["block"].to_numpy()
+    count, pairs = np.zeros(len(nodes), np.int64), []
+    edges = np.flatnonzero(np.diff(block)) + 1 if crossed else []
+    tiles = [(a, min(a + TILE, z)) for low, z in zip([0, *edges], [*edges, len(nodes)]) for a in range(low, z, TILE)]
+    for i, (a, b) in enumerate(tiles):
+        for c, d in tiles[i:]:
+            if crossed and block[a] == block[c]:
+                continue
+            own = np.arange(a, b) if a == c else np.concatenate((np.arange(a, b), np.arange(c, d)))
+            linked = _linked(table.take(pa.array(own)), threshold, key, crossed)
+            if a != c:  # pairs within a tile have their own turn
+                linked[: b - a, : b - a] = False
+                linked[b - a :, b - a :] = False
+            count[own] += linked.sum(1)
+            x, y = np.nonzero(np.triu(linked))
+            root = np.arange(len(own))
+            while len(x):  # each node's least neighbour's least neighbour and so on
+                new = root.copy()
+                np.minimum.at(new, x, root[y])
+                np.minimum.at(new, y, root[x])
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+            moved = np.flatnonzero(root != np.arange(len(own)))
+            pairs.append((own[moved], own[root[moved]]))
     root = np.arange(len(nodes))
+    x, y = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, int) for k in (0, 1))
     while True:
-        new = np.minimum(root, np.where(linked, root[None, :], len(nodes)).min(1))
+        new = root.copy()
+        np.minimum.at(new, x, root[y])
+        np.minimum.at(new, y, root[x])
         new = new[new]
         if (new == root).all():
             break
         root = new
-    return pa.table({"node": nodes, "n": linked.sum(1).astype(np.int64), "root": nodes[root]})
+    return pa.table({"node": nodes, "n": count, "root": nodes[root]})
+
+
+def _homes(hot: DataFrame) -> DataFrame:
+    """node, large (the keys of its large buckets) and home (that of the largest)."""
+    return hot.groupBy("node").agg(F.collect_list("key").alias("large"), F.max_by("key", F.struct("n", "key")).alias("home"))
+
+
+def _dealt(hot: DataFrame, held: DataFrame) -> DataFrame:
+    """Parts of large buckets that nodes are sent to: key, low, high, block, node. hot: key, node, size."""
+    kinds = hot.select("key", "node", "size").join(held.select("node", "home"), "node")
+    amounts = kinds.groupBy("key", "home").agg(F.count("*").alias("c"), F.sum("size").alias("e"))
+    of = amounts.groupBy("key").agg(F.sum("c").alias("_c"), F.sum("e").alias("_e"), F.max(F.struct("c", "home", "e")).alias("m"))
+    few = (F.col("_c") - F.col("m.c"), F.col("_e") - F.col("m.e"))
+    blocks = lambda c, e: F.ceil(F.greatest(F.least(c / LEAST_BLOCK, F.lit(4.0)), c / BLOCK_NODES, e / BLOCK_ELEMENTS)).cast("int")
+    whole = F.col("m.home") == F.col("key")  # most are at home here: all pairs, else all but those among most
+    of = of.select("key", F.col("m.home").alias("_most"), whole.alias("_whole"), few[0].alias("_few"), blocks(F.col("_c"), F.col("_e")).alias("_blocks"), blocks(*few).alias("_few_blocks")).filter("_whole or _few > 0")
+    rows = kinds.join(of, "key")
+    own = lambda n: F.pmod(F.xxhash64("node", "key"), F.greatest(n, F.lit(1))).cast("int")
+    numbers = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
+    every, apart = own(F.col("_blocks")), own(F.col("_few_blocks"))
+    part = lambda low, high, block: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), block.cast("int").alias("block"))
+    among = lambda mine, n: F.transform(numbers(n), lambda o: part(F.least(mine, o), F.greatest(mine, o), mine))
+    across = F.transform(numbers(F.col("_blocks")), lambda o: part(apart, o + MAJOR, apart))
+    faced = F.transform(numbers(F.col("_few_blocks")), lambda o: part(o, every + MAJOR, every + MAJOR))
+    sent = F.when(F.col("_whole"), among(every, F.col("_blocks"))).when(F.col("home") == F.col("_most"), faced).otherwise(F.concat(among(apart, F.col("_few_blocks")), across))
+    return rows.select("key", "node", F.explode(sent).alias("_p")).select("key", "_p.*", "node")
 
 
-def _compare_large(rows: DataFrame, threshold: float) -> DataFrame:
-    """Compares all nodes of each bucket: rows has key, blocks (how many the bucket is dealt into), node, elements and large (the keys of the node's large buckets)."""
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "node", "elements", "large")
-    dealt = dealt.repartition("key", "low", "high")  # else rows dealt by key before would stay together, with all blocks of a bucket in one task
-    return dealt.groupBy("key", "low", "high").applyInArrow(lambda table: _links_of_part(table, threshold), "node long, n long, root long")
+def _compare_large(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Compares the nodes of each part; sets has node, elements, large and home."""
+    rows = dealt.join(sets, "node").repartition("key", "low", "high")  # else rows dealt by key before would stay together, with all parts of a bucket in one task
+    return rows.groupBy("key", "low", "high").applyInArrow(lambda table: _links_of_part(table, threshold), "node long, n long, root long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -263,9 +329,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
     light = texts.select("node", "s0", "s1", "s2", "size")
     buckets = texts.select("node", "size", F.explode("bands").alias("key"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("size") / BLOCK_ELEMENTS)).cast("int")
-    company = buckets.groupBy("key").agg(F.count("*").alias("n"), blocks.alias("blocks")).filter("n > 1")
-    shared = materialize(buckets.select("node", "key").join(company, "key"), "buckets")  # buckets with company
+    company = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(buckets.join(company, "key"), "buckets")  # buckets with company
     release(spark)
 
     def possible(pairs: DataFrame) -> DataFrame:
@@ -278,7 +343,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         return signed.select("node", "doc_id", "elements").join(firsts, ["node", "doc_id"]).groupBy("node").agg(*(F.first(c).alias(c) for c in ("s0", "s1", "s2", "size", "elements")))
 
     hot = shared.filter(F.col("n") > LARGE)
-    held = hot.groupBy("node").agg(F.collect_list("key").alias("large"))
+    held = _homes(hot)
     x, y = (shared.filter(F.col("n") <= LARGE).join(held, "node", "left").alias(side) for side in "xy")
     apart = F.coalesce(F.arrays_overlap("x.large", "y.large"), F.lit(False))  # such pairs are compared in their large bucket
     small = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & ~apart)
@@ -290,7 +355,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     edges, counts = links, links.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
     if not hot.isEmpty():
         sets = materialize(with_sets(held.select("node")).select("node", "elements").join(held, "node"), "sets")
-        parts = materialize(_compare_large(hot.select("key", "blocks", "node").join(sets, "node"), threshold), "parts")
+        parts = materialize(_compare_large(_dealt(hot, held), sets, threshold), "parts")
         edges = links.unionByName(parts.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         counts = counts.unionByName(parts.select("node", "n"))
         release(spark, sets)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -531,10 +532,11 @@ def test_near_duplicate_classes_equal_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("large,block_nodes", [(32, 1024), (4, 5)])
-def test_near_duplicate_links_equal_brute_force(spark, monkeypatch, large, block_nodes):
+@pytest.mark.parametrize("large,least,block_nodes", [(32, 512, 4096), (4, 2, 5), (2, 1, 1)])
+def test_near_duplicate_links_equal_brute_force(spark, monkeypatch, large, least, block_nodes):
     """Groups of a dozen and of forty near-copies; large buckets whole, and dealt into many blocks."""
     monkeypatch.setattr(bagminhash, "LARGE", large)
+    monkeypatch.setattr(bagminhash, "LEAST_BLOCK", least)
     monkeypatch.setattr(bagminhash, "BLOCK_NODES", block_nodes)
     r, docs = random.Random(8), near_docs()
     for g, copies, edits in ((50, 12, 1), (51, 40, 1), (52, 40, 4)):
@@ -554,6 +556,45 @@ def test_near_duplicate_links_equal_brute_force(spark, monkeypatch, large, block
     assert got == {i: links[t or ""] for i, t in docs} and max(got.values()) >= 30
 
 
+@pytest.mark.parametrize("tile", [7, 1024])
+@pytest.mark.parametrize("crossed", [False, True])
+def test_links_of_a_part_in_tiles(monkeypatch, tile, crossed):
+    """Links of one home in its bucket alone, others in the least bucket that they share, whatever the tiles."""
+    monkeypatch.setattr(bagminhash, "TILE", tile)
+    r = np.random.default_rng(6)
+    n, base = 60, np.arange(100) * 7
+    sets = [np.unique(np.concatenate((base[r.random(100) > 0.08], r.integers(1000, 2000, 4)))).astype(np.int32) for _ in range(n)]
+    homes, large, block = r.choice([5, 9], n), [[5, 7, 9] if x else [7, 9] for x in r.random(n) > 0.5], r.choice([1, 1 << 30], n) if crossed else np.zeros(n, int)
+    table = pa.table({"key": [9] * n, "low": [0] * n, "high": [int(crossed)] * n, "block": pa.array(block, pa.int32()), "node": pa.array(r.permutation(n) - 20, pa.int64()), "home": homes, "large": large,
+                      "elements": pa.array([s.tolist() for s in sets], pa.list_(pa.int32()))})
+    got = {g["node"]: g for g in bagminhash._links_of_part(table, 0.8).to_pylist()}
+    links, node = defaultdict(set), table["node"].to_pylist()
+    for i in range(n):
+        for j in range(n):
+            own = homes[i] == 9 if homes[i] == homes[j] else not {5, 7} & set(large[i]) & set(large[j])
+            if i != j and own and (not crossed or block[i] != block[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])):
+                links[node[i]].add(node[j])
+    assert {k: g["n"] for k, g in got.items()} == {k: len(links[k]) for k in node} and sum(map(len, links.values())) > 50
+    for k in node:
+        reach, todo = {k}, [k]
+        while todo:
+            todo += [x for x in links[todo.pop()] - reach if not reach.add(x)]
+        assert got[k]["root"] in reach and {got[x]["root"] for x in reach} == {got[k]["root"]}
+
+
+def test_near_duplicate_rows_of_large_buckets(spark):
+    """5,000 near copies: one class, every link counted, and few rows sent for each node of a bucket."""
+    r, base = random.Random(4), prose(77, 200).split()
+    docs = [(i, " ".join([*base[:k], f"w{i}", *base[k + 1 :]])) for i in range(5000) for k in [r.randrange(200)]]
+    df = spark.createDataFrame(rows_of(docs), SCHEMA)
+    signed = bagminhash.sign(df).select("node", "size", F.explode("bands").alias("key"))
+    hot = signed.join(signed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bagminhash.LARGE), "key").cache()
+    rows, dealt = hot.count(), bagminhash._dealt(hot, bagminhash._homes(hot)).count()
+    assert rows > 50_000 and dealt < 4 * rows, (rows, dealt)
+    hot.unpersist()
+    assert bagminhash.near_duplicates(df).groupBy("class_id", "n_links").count().collect() == [(0, 4999, 5000)]
+
+
 def test_near_duplicate_edges(edge_docs, empty_docs):
     docs = edge_docs
     got = Counter((r.doc_id, r.class_id) for r in bagminhash.near_duplicates(docs).collect())
