@@ -1,16 +1,18 @@
-"""Neighbourhood operators: co-occurrence texture on tiles with a halo, distance to a class by columns and rows.
+"""Neighbourhood operators: co-occurrence texture on tiles with a halo, distance to a class by tiles that send one another their frontiers.
 
 Pixels are dealt to square tiles; a pixel near an edge goes to its neighbours' tiles too, so each tile is worked on
-alone and no task sees more than a tile.
+alone and no task sees more than a tile and what it is sent.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import delete, materialize
+
 
 def with_halo(pixels: DataFrame, tile: int, halo: int) -> DataFrame:
     """Pixels (row, col, ...) by tile (tr, tc), and whether they are the tile's own."""
@@ -71,47 +73,92 @@ def texture(pixels: DataFrame, value: str, low: float, high: float, width: int =
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("idm", "entropy", "contrast")})
 
 
-def envelope(heights: np.ndarray, places: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Least of heights[i] + (x - places[i])**2 at every x of `at`; places ascending. The parabolas' lower envelope, in one sweep."""
-    keep, ends = [], []  # the parabolas of the envelope, and where each gives way to the next
-    for i, (h, p) in enumerate(zip(heights, places)):
-        while keep:
-            j = keep[-1]
-            meet = ((h + p * p) - (heights[j] + places[j] * places[j])) / (2 * (p - places[j]))
-            if ends and meet <= ends[-1]:
-                keep.pop()
-                ends.pop()
-                continue
-            ends.append(meet)
+def nearest_points(at: tuple[np.ndarray, np.ndarray], points: tuple[np.ndarray, np.ndarray], most: int = 1 << 22) -> np.ndarray:
+    """Squared distance from each place (rows, cols) to the nearest of the points: in every column of points the nearest above or below
+    each row, then the least over columns. most: numbers held at a time."""
+    rows, row = np.unique(at[0], return_inverse=True)
+    cols, of = np.unique(points[1], return_inverse=True)
+    base = min(rows.min(), points[0].min())
+    span = int(max(rows.max(), points[0].max()) - base + 1)
+    keys = np.unique(of * span + (points[0] - base))  # by column, then row
+    asked = np.arange(len(cols))[None, :] * span + (rows - base)[:, None]
+    place = np.searchsorted(keys, asked)
+    gap = np.full(asked.shape, np.inf)
+    for k in (place, place - 1):
+        k = np.clip(k, 0, len(keys) - 1)
+        own = keys[k] // span == np.arange(len(cols))
+        gap = np.where(own, np.minimum(gap, np.abs(keys[k] - asked)), gap)
+    out, step = np.empty(len(row)), max(1, most // len(cols))
+    for i in range(0, len(row), step):
+        part = slice(i, i + step)
+        out[part] = (gap[row[part]] ** 2 + (at[1][part, None] - cols[None, :]) ** 2).min(1)
+    return out
+
+
+def _reach(tiles: DataFrame) -> DataFrame:
+    """tr, tc and reach of every tile: in how many steps between tiles one with a target is surely met. Blocks of tiles twice as wide are looked through in each
+    round for the tiles that the rounds before left; rows (with _hit, whether the tile has a target) without any target anywhere have none."""
+    spark, wide = tiles.sparkSession, 1
+    pending, done, written = tiles.select("tr", "tc"), None, []
+    hits = tiles.filter("_hit").select("tr", "tc")
+    if hits.isEmpty():
+        return tiles.select("tr", "tc", F.lit(0).alias("reach")).limit(0)
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    while True:
+        block = lambda c, w=wide: F.floor(F.col(c) / w)
+        near = hits.select(block("tr").alias("_r"), block("tc").alias("_c")).distinct().select(around.alias("_s"), "_r", "_c").select((F.col("_r") + F.col("_s.a")).alias("_r"), (F.col("_c") + F.col("_s.b")).alias("_c")).distinct()
+        found = pending.withColumns({"_r": block("tr"), "_c": block("tc")}).join(near.withColumn("_near", F.lit(True)), ["_r", "_c"], "left")
+        found = materialize(found.select("tr", "tc", F.coalesce("_near", F.lit(False)).alias("_near")), "tiles")
+        written.append(found)
+        here = found.filter("_near").select("tr", "tc", F.lit(2 * wide - 1).alias("reach"))
+        done = here if done is None else done.unionByName(here)
+        pending = found.filter("not _near").select("tr", "tc")
+        if pending.isEmpty():
             break
-        keep.append(i)
-    k = np.array(keep)[np.searchsorted(np.array(ends), at, "left")]
-    return heights[k] + (at - places[k]) ** 2
+        wide *= 2
+    out = materialize(done, "tiles")
+    for t in written:
+        delete(spark, t._table_path)
+    return out
 
 
-def distance_to_class(pixels: DataFrame, code: str, target: int) -> DataFrame:
+def distance_to_class(pixels: DataFrame, code: str, target: int, tile: int = 128) -> DataFrame:
     """Exact distance in pixels to the nearest pixel of the target class, however far; null if there is none.
 
-    Two passes: along each column the distance to the nearest target above or below, by windows; then along each row the least over
-    its columns, so a task holds one column or one row of the raster. Only pixels that are there count as places.
+    Pixels are worked on tile by tile. What of a tile can be nearest to a pixel outside is its frontier on that side: of each row the first or last
+    target, or of each column the topmost or lowest, so a tile has at most as many as it is wide for each side. Every tile first learns how far a tile with a target is at most,
+    then is sent the frontiers of the tiles that can hold a nearer one than all others must; joins are on tiles' places. A task holds one tile with those frontiers.
+    Only pixels that are there count as places; rows without a place are passed over.
     """
-    hit = F.when(F.col(code) == target, F.col("row"))
-    up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
-    near = F.least(F.col("row") - F.last(hit, True).over(up), F.first(hit, True).over(down) - F.col("row"))
-    # a row that lacks a pixel in a column would hide that column's targets, so each target column is also sent to all rows it lacks
-    columns = pixels.select("row", "col", near.cast("double").alias("_near"))
-    rows = pixels.select("row").distinct()
-    hits = pixels.filter(F.col(code) == target).groupBy("col").agg(F.sort_array(F.collect_set("row")).alias("_hits"))
-    gaps = rows.join(F.broadcast(hits)).join(pixels.select("row", "col"), ["row", "col"], "left_anti")
-    far = gaps.select("row", "col", F.array_min(F.transform("_hits", lambda r: F.abs(r - F.col("row")))).cast("double").alias("_near"), F.lit(False).alias("_own"))
-    every = columns.withColumn("_own", F.lit(True)).unionByName(far)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, seen = pdf[pdf._own], pdf[pdf._near.notna()].sort_values("col")
-        at = own.col.to_numpy(float)
-        best = np.sqrt(envelope(seen._near.to_numpy() ** 2, seen.col.to_numpy(float), at)) if len(seen) else np.full(len(at), np.nan)
-        return pd.DataFrame({"row": own.row, "col": own.col, "distance": best})
-
-    out = every.groupBy("row").applyInPandas(work, "row long, col long, distance double")
+    place = {"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)}
+    own = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.coalesce(F.col(code) == target, F.lit(False)).alias("_hit")).filter("row is not null and col is not null")
+    own = own.withColumns(place)
+    tiles = own.groupBy("tr", "tc").agg(F.max("_hit").alias("_hit"))
+    hits = own.filter("_hit")
+    point = lambda r, c: F.struct(F.col(r).alias("r"), F.col(c).alias("c"))
+    by_row = hits.groupBy("tr", "tc", "row").agg(F.min("col").alias("_a"), F.max("col").alias("_z")).groupBy("tr", "tc").agg(F.collect_list(point("row", "_a")).alias("left"), F.collect_list(point("row", "_z")).alias("right"))
+    by_col = hits.groupBy("tr", "tc", "col").agg(F.min("row").alias("_a"), F.max("row").alias("_z")).groupBy("tr", "tc").agg(F.collect_list(point("_a", "col")).alias("top"), F.collect_list(point("_z", "col")).alias("bottom"))
+    reach = _reach(tiles)
+    # no target is farther than sqrt(2) * (reach + 1) tiles, so none nearer is over most steps away
+    most = F.floor(F.lit(2.0**0.5) * (F.col("reach") + 1) + 1).cast("int")
+    step = lambda n: F.explode(F.sequence(-n, n))
+    pairs = reach.withColumn("_dr", step(most)).withColumn("_dc", step(most)).select(F.col("tr").alias("_r"), F.col("tc").alias("_c"), (F.col("tr") + F.col("_dr")).alias("tr"), (F.col("tc") + F.col("_dc")).alias("tc"), "_dr", "_dc").join(tiles.filter("_hit").select("tr", "tc"), ["tr", "tc"])
+    far = F.pow(F.abs("_dr") + 1, 2) + F.pow(F.abs("_dc") + 1, 2)
+    near = F.pow(F.greatest(F.abs("_dr") - 1, F.lit(0)), 2) + F.pow(F.greatest(F.abs("_dc") - 1, F.lit(0)), 2)
+    bound = pairs.groupBy("_r", "_c").agg(F.min(far).alias("_far"))
+    pairs = pairs.join(bound, ["_r", "_c"]).filter((near <= F.col("_far")) & ((F.col("_dr") != 0) | (F.col("_dc") != 0)))
+    side = F.when(F.col("_dr") > 0, F.col("top")).when(F.col("_dr") < 0, F.col("bottom")).when(F.col("_dc") > 0, F.col("left")).otherwise(F.col("right"))
+    sent = pairs.join(by_row, ["tr", "tc"]).join(by_col, ["tr", "tc"]).select(F.col("_r").alias("tr"), F.col("_c").alias("tc"), side.alias("points"))
+
+    def work(key, mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        own = mine[mine._hit]
+        rows, cols = [own.row.to_numpy(np.int64)], [own.col.to_numpy(np.int64)]
+        for points in others.points:
+            rows.append(np.array([p["r"] for p in points], np.int64))
+            cols.append(np.array([p["c"] for p in points], np.int64))
+        points, at = (np.concatenate(rows), np.concatenate(cols)), (mine.row.to_numpy(np.int64), mine.col.to_numpy(np.int64))
+        best = np.sqrt(nearest_points(at, points)) if len(points[0]) and len(mine) else np.full(len(mine), np.nan)
+        return pd.DataFrame({"row": mine.row, "col": mine.col, "distance": best})
+
+    out = own.groupBy("tr", "tc").cogroup(sent.groupBy("tr", "tc")).applyInPandas(work, "row long, col long, distance double")
     return out.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))

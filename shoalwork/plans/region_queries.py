@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import catalog, folds, metrics, panel, regions, rules, temporal, texture, zonal
+from ..operators import catalog, folds, metrics, panel, polygons, regions, rules, temporal, texture, zonal
 from . import bindings as b
 from .bindings import OBS, PANEL, PIXELS, REGIONS
 from .panel_queries import lattice
@@ -64,6 +64,32 @@ def distance_fields(spark, sf):
     return rounded(texture.distance_to_class(r, "code", 1), distance=6)
 
 
+ORDER_RASTER = """o AS (SELECT l_orderkey AS cell, l_orderkey // 128 AS row, l_orderkey % 128 AS col, avg(l_quantity) AS q FROM lineitem GROUP BY 1)"""
+
+
+def order_raster(spark, sf):
+    """Orders as a raster of 128 columns that grows by rows with the table, with the mean quantity of their lines. Orders without lines are gaps."""
+    key = F.col("l_orderkey")
+    return b.table(spark, sf, "lineitem").groupBy(key.alias("cell")).agg(F.avg("l_quantity").alias("q")).withColumns({"row": F.floor(F.col("cell") / 128), "col": F.col("cell") % 128})
+
+
+@query(f"""WITH {ORDER_RASTER} SELECT a.row, a.col, round(min(sqrt((a.row - c.row) ** 2 + (a.col - c.col) ** 2)), 6) AS distance FROM o a LEFT JOIN (SELECT * FROM o WHERE q > 42) c ON true GROUP BY 1, 2""")
+def order_distances(spark, sf):
+    r = order_raster(spark, sf).withColumn("code", (F.col("q") > 42).cast("int"))
+    return rounded(texture.distance_to_class(r, "code", 1), distance=6)
+
+
+@query(f"""WITH RECURSIVE {ORDER_RASTER}, m AS (SELECT cell, row AS y, col AS x FROM o WHERE q > 28),
+    near AS (SELECT a.cell AS a, c.cell AS c FROM m a JOIN m c ON (a.y = c.y AND c.x IN (a.x - 1, a.x + 1)) OR (a.x = c.x AND c.y IN (a.y - 1, a.y + 1))),
+    reach AS (SELECT cell AS a, cell AS c FROM m UNION SELECT r.a, n.c FROM reach r JOIN near n ON n.a = r.c), p AS (SELECT a AS cell, min(c) AS polygon FROM reach GROUP BY 1),
+    own AS (SELECT polygon, count(*) AS n FROM p GROUP BY 1), pairs AS (SELECT polygon, count(*) / 2 AS e FROM near JOIN p ON cell = near.a GROUP BY 1),
+    squares AS (SELECT polygon, count(*) AS s FROM m a JOIN p USING (cell) WHERE EXISTS (SELECT 1 FROM m WHERE y = a.y AND x = a.x + 1) AND EXISTS (SELECT 1 FROM m WHERE y = a.y + 1 AND x = a.x) AND EXISTS (SELECT 1 FROM m WHERE y = a.y + 1 AND x = a.x + 1) GROUP BY 1)
+    SELECT polygon, CAST(n AS DOUBLE) AS area, CAST(4 * n - 2 * coalesce(e, 0) AS BIGINT) AS length, CAST(1 - (n - coalesce(e, 0) + coalesce(s, 0)) AS BIGINT) AS n_holes FROM own LEFT JOIN pairs USING (polygon) LEFT JOIN squares USING (polygon)""")
+def mask_polygons(spark, sf):
+    mask = order_raster(spark, sf).filter("q > 28").select("cell", F.col("col").alias("ix"), F.col("row").alias("iy"), F.lit(1).alias("label"))
+    return polygons.polygons(mask, "label").select("polygon", "area", F.col("length").cast("long").alias("length"), F.col("n_holes").cast("long").alias("n_holes"))
+
+
 @query("""WITH l AS (SELECT p_size::BIGINT AS row, p_partkey % 40 AS col, greatest(0, least(31, CAST(trunc((avg(p_retailprice) - 900) / 1100 * 32) AS INT))) AS v FROM part GROUP BY 1, 2), s AS (SELECT * FROM (VALUES (0, 1), (1, 0), (1, 1), (1, -1)) t(dr, dc)),
     pairs AS (SELECT a.row, a.col, dr, dc, least(a.v, q.v) AS lo, greatest(a.v, q.v) AS hi FROM l a CROSS JOIN s JOIN l q ON q.row = a.row + dr AND q.col = a.col + dc),
     w AS (SELECT c.row, c.col, lo, hi FROM l c JOIN pairs p ON p.row >= c.row - 2 AND p.row + dr <= c.row + 2 AND p.col BETWEEN c.col - 2 AND c.col + 2 AND p.col + dc BETWEEN c.col - 2 AND c.col + 2),

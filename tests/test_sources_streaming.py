@@ -3,10 +3,11 @@
 import datetime as dt
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoalwork.operators import models
+from shoalwork.operators import models, polygons, texture
 from shoalwork.sources import files
 from shoalwork.streaming import monitor
 
@@ -110,9 +111,7 @@ def test_late_rows_find_their_window_whole(spark, tmp_path):
 
 
 def test_texture_of_one_window_and_distance_over_gaps(spark):
-    import numpy as np
 
-    from shoalwork.operators import texture
 
     r = np.random.default_rng(2)
     grid = r.integers(-1, 4, (7, 9)).astype(np.int32)
@@ -146,6 +145,69 @@ def test_texture_of_one_window_and_distance_over_gaps(spark):
     assert texture.distance_to_class(spark.createDataFrame(places[:5], "row long, col long, code int"), "code", 9).filter("distance is not null").count() == 0
 
 
+@pytest.mark.parametrize("share", [0.002, 0.05, 1.0])
+def test_distance_across_tiles(spark, share, capsys):
+    """Tiles with and without targets, gaps, places below zero; few targets are many tiles away."""
+    r = np.random.default_rng(9)
+    places = [(int(a), int(b), int(r.random() < share)) for a in range(-40, 50) for b in range(-30, 90) if r.random() < 0.6 and not (0 < a < 20 and 10 < b < 50)] + [(400, 300, 0), (-41, 0, 1)]
+    df = spark.createDataFrame([(*p, 7, 8) for p in places] + [(None, 1, 1, 7, 8), (1, None, 1, 7, 8), (500, 1, None, 7, 8)], "row long, col long, code int, tr int, _hit int")
+    got = texture.distance_to_class(df, "code", 1, tile=8)
+    found = {(x.row, x.col): x.distance for x in got.collect()}
+    hits = np.array([p[:2] for p in places if p[2]])
+    assert len(found) == len(places) + 1
+    for a, b in [p[:2] for p in places] + [(500, 1)]:
+        assert found[a, b] == pytest.approx(np.sqrt(((hits - [a, b]) ** 2).sum(1)).min())
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def traced(label):
+    """Area, length and holes of each patch of a small lattice {(x, y): label}, by filling."""
+    todo, out = set(label), {}
+    while todo:
+        patch, stack = set(), [todo.pop()]
+        while stack:
+            x, y = stack.pop()
+            patch.add((x, y))
+            near = [(x + a, y + b) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))]
+            stack += [p for p in near if p in todo and label[p] == label[x, y] and not todo.discard(p)]
+        xs, ys = [p[0] for p in patch], [p[1] for p in patch]
+        free = {(x, y) for x in range(min(xs) - 1, max(xs) + 2) for y in range(min(ys) - 1, max(ys) + 2)} - patch
+        parts = 0
+        while free:
+            parts += 1
+            stack = [free.pop()]
+            while stack:
+                x, y = stack.pop()
+                stack += [p for p in ((x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)) if p in free and not free.discard(p)]
+        sides = sum((x + a, y + b) not in patch for x, y in patch for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)))
+        out[min(patch)] = (len(patch), sides, parts - 1)
+    return out
+
+
+def test_polygons(spark):
+    r = np.random.default_rng(3)
+    label = {(x, y): int(r.random() < 0.75) for x in range(-6, 14) for y in range(-5, 12) if r.random() < 0.95}
+    number = {p: i for i, p in enumerate(sorted(label))}
+    cells = spark.createDataFrame([(number[p], *p, v) for p, v in label.items()] + [(9999, 50, 50, None)], "cell long, ix int, iy int, label int")
+    got = polygons.polygons(cells, "label").collect()
+    where = {i: p for p, i in number.items()}
+    assert {where[g.polygon]: (g.area, g.length, g.n_holes) for g in got} == traced(label) and max(g.n_holes for g in got) >= 2
+    every = polygons.rings(cells, "label").collect()
+    assert all(sum(not x.is_hole for x in every if x.polygon == g.polygon) == 1 for g in got) and sum(x.area for x in every) == len(label)
+    corners = {}
+    for v in sorted(polygons.vertices(cells, "label").collect(), key=lambda v: (v.ring, v.seq)):
+        corners.setdefault(v.ring, []).append((v.x, v.y))
+    assert set(corners) == {x.ring for x in every}
+    for x in every:
+        c = corners[x.ring]
+        steps = list(zip(c, c[1:] + c[:1]))
+        assert all((a[0] == b[0]) != (a[1] == b[1]) for a, b in steps) and sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for a, b in steps) == x.length
+        assert sum(a[0] * b[1] - b[0] * a[1] for a, b in steps) / 2 == x.area
+    assert polygons.polygons(cells.limit(0), "label").collect() == []
+
+
 def test_merging_is_that_of_one_at_a_time():
     from shoalwork.operators.regions import merge_small
 
