@@ -188,5 +188,3 @@ def test_regions_of_a_small_lattice(spark):
     assert len(got) == 20 and {got[c] for c in got if c >= 20} == {"R01"} and {got[c] for c in got if c < 20} == {"R02"}
     alone = regions.build_regions(df, "side", ["f"], "area", 1, 0.0).groupBy("region").count().collect()
     assert sorted((r.region, r["count"]) for r in alone) == [("R01", 12), ("R02", 7), ("R03", 1)]
-    with pytest.raises(ValueError):
-        regions.build_regions(df, "side", ["f"], "area", 2, 0.0, most_parts=2)

@@ -208,16 +208,39 @@ def test_polygons(spark):
     assert polygons.polygons(cells.limit(0), "label").collect() == []
 
 
-def test_merging_is_that_of_one_at_a_time():
+def merged_in_rounds(spark, parts, borders, least_cells, least_area, most_distance=float("inf")):
     from shoalwork.operators.regions import merge_small
 
+    table = spark.createDataFrame([(p["id"], p["n_cells"], p["area"], p["f"]) for p in parts], "id long, n_cells long, area double, f double")
+    edges = spark.createDataFrame(borders, "a long, b long")
+    return {r.part: r.into for r in merge_small(table, edges, ["f"], least_cells, least_area, most_distance).collect()}
+
+
+def test_merging_is_that_of_one_at_a_time(spark):
+    from .merge_one_at_a_time import merge_small
+
     parts = [{"id": i, "n_cells": n, "area": float(n), "f": f} for i, n, f in ((1, 9, 0.0), (2, 1, 0.2), (3, 2, 1.0), (4, 8, 1.1), (5, 1, 5.0))]
-    assert merge_small(parts, [(1, 2), (2, 3), (3, 4)], ["f"], 4, 0.0) == {1: 1, 2: 1, 3: 4, 4: 4, 5: 5}
+    assert merge_small(parts, [(1, 2), (2, 3), (3, 4)], ["f"], 4, 0.0) == {1: 1, 2: 1, 3: 4, 4: 4, 5: 5} == merged_in_rounds(spark, parts, [(1, 2), (2, 3), (3, 4)], 4, 0.0)
     chain = [{"id": i, "n_cells": 1, "area": 1.0, "f": float(i)} for i in range(6)]
     into = merge_small(chain, [(i, i + 1) for i in range(5)], ["f"], 3, 0.0)
     assert all(into[v] == v for v in into.values()) and min(list(into.values()).count(v) for v in set(into.values())) >= 3
 
 
+@pytest.mark.parametrize("seed,most_distance", [(1, float("inf")), (2, 0.4)])
+def test_merging_in_rounds(spark, seed, most_distance):
+    """Parts on a lattice, of unlike sizes, some with others inside; ties in size and in likeness."""
+    from .merge_one_at_a_time import merge_small
+
+    r = np.random.default_rng(seed)
+    parts = [{"id": i, "n_cells": int(r.integers(1, 9)), "area": float(r.integers(1, 30)), "f": round(float(r.random()), 1)} for i in range(36)]
+    borders = [(i, j) for i in range(36) for j in (i + 1, i + 6) if j < 36 and (j != i + 1 or j % 6) and r.random() < 0.7]
+    parts += [{"id": 100 + i, "n_cells": int(r.integers(1, 4)), "area": 2.0, "f": 0.5} for i in range(20)]
+    borders += [(int(r.integers(0, 4)), 100 + i) for i in range(16)] + [(116, 117)]
+    want = merge_small(parts, borders, ["f"], 7, 8.0, most_distance)
+    assert merged_in_rounds(spark, parts, borders, 7, 8.0, most_distance) == want and len(set(want.values())) < 40
+    assert merged_in_rounds(spark, parts, borders, 1, 0.0) == {p["id"]: p["id"] for p in parts} and merged_in_rounds(spark, [], [], 7, 8.0) == {}
+
+
 def test_panel_follows_a_rewritten_part_file(spark, tmp_path):
     """Tables as folders: a part file rewritten in place, under its name, makes another panel."""
     import glob
