@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_index
+from ..plans.storage import delete, materialize
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -142,30 +145,30 @@ def ar_roots(coefficients: list[float]) -> list[float]:
     return sorted((float(abs(r)) for r in np.linalg.eigvals(companion)), reverse=True)
 
 
-def slopes_up_to(x: np.ndarray, y: np.ndarray, slope: float) -> int:
-    """How many pairs of points (x ascending, no two alike in x counted) have at most this slope.
-
-    Those are the pairs whose order turns or stays level when the points are put by y - slope * x, counted by merging, n log n.
-    """
-    z = y - slope * x
+def turned(place: np.ndarray, z: np.ndarray, weight: np.ndarray) -> int:
+    """How many pairs (by weight) have a lower place and no lower z: blocks are merged two at a time, all of one width at once, n log n."""
     rank = np.unique(z, return_inverse=True)[1]
-    place = np.unique(x, return_inverse=True)[1]
-    n, turned, width = len(x), 0, 1
-    order = np.lexsort((rank, place))  # of equal x by rank, so that they turn none
-    rank = rank[order]
-    top = int(rank.max()) + 2 if n else 1
-    # pairs i < j with rank[i] >= rank[j]: block against block, all blocks of one width at a time
+    order = np.lexsort((rank, place))  # of one place by rank, so that only equal ranks count, which are taken off again
+    place, rank, weight = place[order], rank[order], weight[order].astype(np.int64)
+    n, count, width, top = len(place), 0, 1, int(rank.max()) + 2 if len(rank) else 1
     while width < n:
-        block = np.arange(n) // (2 * width)
-        left = (np.arange(n) // width) % 2 == 0
+        block, left = np.arange(n) // (2 * width), (np.arange(n) // width) % 2 == 0
         keys = block * top + rank
-        sorted_left = np.sort(keys[left])
-        upper = np.searchsorted(sorted_left, (block[~left] + 1) * top, "left")
-        below = np.searchsorted(sorted_left, keys[~left], "left")
-        turned += int((upper - below).sum())
+        by_key = np.argsort(keys[left], kind="stable")
+        ordered, upto = keys[left][by_key], np.concatenate(([0], np.cumsum(weight[left][by_key])))
+        upper, below = np.searchsorted(ordered, (block[~left] + 1) * top), np.searchsorted(ordered, keys[~left])
+        count += int(((upto[upper] - upto[below]) * weight[~left]).sum())
         width *= 2
-    same = np.unique(np.column_stack((place[order], rank)), axis=0, return_counts=True)[1]
-    return turned - int((same * (same - 1) // 2).sum())
+    if n:
+        first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (rank[1:] != rank[:-1]))))
+        sums, squares = np.add.reduceat(weight, first), np.add.reduceat(weight * weight, first)
+        count -= int(((sums * sums - squares) // 2).sum())
+    return count
+
+
+def slopes_up_to(x: np.ndarray, y: np.ndarray, slope: float) -> int:
+    """How many pairs of points (no two alike in x counted) have at most this slope: those whose order turns or stays level when the points are put by y - slope * x."""
+    return turned(x, y - slope * x, np.ones(len(x), np.int64))
 
 
 def median_slope(x: np.ndarray, y: np.ndarray) -> float:
@@ -198,17 +201,147 @@ def median_slope(x: np.ndarray, y: np.ndarray) -> float:
     return smallest((pairs + 1) // 2) if pairs % 2 else (smallest(pairs // 2) + smallest(pairs // 2 + 1)) / 2
 
 
-def theil_sen(df: DataFrame, x: str, y: str, most: int = 50_000) -> DataFrame:
+AT_ONCE, BLOCK_ROWS, SLOPES = 50_000, 200_000, 12  # points fitted on the driver, at most; points of a block, about; slopes counted in a job
+
+
+def count_slopes(blocks: DataFrame, n_blocks: int, slopes: list[float], sample: np.ndarray) -> list[int]:
+    """For each slope how many pairs of points have at most that slope. blocks: x, y, w (how many points) and block, which rises with x and holds all points of an x.
+
+    Pairs within a block are counted block by block. Those across blocks are told apart by buckets of z = y - slope * x: pairs of different buckets by a table of counts
+    by block and bucket, pairs of one bucket bucket by bucket. Bounds of buckets are z of the sample; what equals a bound is a bucket of its own, so ties need no counting.
+    """
+    bounds = [np.unique(sample[:, 1] - s * sample[:, 0]) for s in slopes]
+    kept = [b[np.unique(np.linspace(0, len(b) - 1, min(len(b), 2 * n_blocks)).astype(int))] for b in bounds]
+
+    def bucketed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for k, (s, edges) in enumerate(zip(slopes, kept)):
+                z = pdf.y.to_numpy() - s * pdf.x.to_numpy()
+                at = np.searchsorted(edges, z)
+                on = (at < len(edges)) & (edges[np.minimum(at, len(edges) - 1)] == z)
+                yield pd.DataFrame({"k": k, "block": pdf.block, "x": pdf.x, "z": z, "w": pdf.w, "bucket": 2 * at + on})
+
+    schema = "k int, block int, x double, z double, w long, bucket int"
+    rows = blocks.select("block", "x", "y", "w").mapInPandas(bucketed, schema)
+    within = blocks.groupBy("block").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a < b").select("block")  # a block of one x has no pairs
+
+    def inside(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(k, turned(pdf.x.to_numpy(), pdf.y.to_numpy() - s * pdf.x.to_numpy(), pdf.w.to_numpy())) for k, s in enumerate(slopes)], columns=["k", "n"])
+
+    def across(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], turned(pdf.block.to_numpy(), pdf.z.to_numpy(), pdf.w.to_numpy()))], columns=["k", "n"])
+
+    own = blocks.join(within, "block", "left_semi").groupBy("block").applyInPandas(inside, "k int, n long")
+    met = rows.filter("bucket % 2 = 0").groupBy("k", "bucket").applyInPandas(across, "k int, n long")
+    total = [0] * len(slopes)
+    for r in own.unionByName(met).groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row for each slope
+        total[r.k] += r.n
+    table = [np.zeros((n_blocks, 2 * len(e) + 1), np.int64) for e in kept]
+    for r in rows.groupBy("k", "block", "bucket").agg(F.sum("w").alias("w")).collect():  # blocks times about 4 * blocks
+        table[r.k][r.block, r.bucket] += r.w
+    for k, t in enumerate(table):
+        before = np.vstack((np.zeros((1, t.shape[1]), np.int64), np.cumsum(t, 0)[:-1]))  # in lower blocks
+        above = np.cumsum(before[:, ::-1], 1)[:, ::-1]
+        total[k] += int((t * (above - before)).sum()) + int((t[:, 1::2] * before[:, 1::2]).sum())
+    return total
+
+
+def _slope_of_rank(count, rank: int, low: float, high: float, below: int, upto: int) -> tuple[float, int]:
+    """The least slope that has so many pairs up to it, and how many: low has too few (below), high enough (upto)."""
+    while True:
+        gap = high - low
+        share = (rank - below) / max(1, upto - below)
+        near = [share + d for d in (-0.02, -0.002, 0.0, 0.002, 0.02)] if upto - below > 1000 else []  # where the count grows evenly; few pairs lie anywhere
+        even = [(k + 1) / (SLOPES - len(near) + 1) for k in range(SLOPES - len(near))]
+        guesses = sorted({g for g in (low + gap * v for v in near + even) if low < g < high})
+        if not guesses:
+            return high, upto
+        for g, n in zip(guesses, count(guesses)):
+            if n >= rank:
+                high, upto = g, n
+                break
+            low, below = g, n
+
+
+def distributed_median_slope(points: DataFrame, n_points: int) -> float:
+    """The median slope of all pairs of points (x, y) whose x differ; NaN if there is none. Points that are alike are one with a weight."""
+    spark = points.sparkSession
+    n_blocks = max(2, -(-n_points // BLOCK_ROWS))
+    weighted = points.groupBy("x", "y").agg(F.count("*").alias("w"))
+    blocks = materialize(weighted.repartitionByRange(n_blocks, "x").withColumn("block", F.spark_partition_id()), "slope-points")  # n_blocks at most
+    alike = blocks.groupBy("x").agg(F.sum("w").alias("n")).agg(F.sum(F.expr("CAST(n AS DECIMAL(38,0)) * (n - 1) / 2"))).first()[0]
+    pairs = n_points * (n_points - 1) // 2 - int(alike)
+    try:
+        if not pairs:
+            return float("nan")
+        few = blocks.orderBy(F.xxhash64("x", "y")).limit(2000).collect()  # only to know where to look
+        sample = np.array([(r.x, r.y) for r in few])
+        i, j = np.triu_indices(len(sample), 1)
+        dx = sample[j, 0] - sample[i, 0]
+        seen = np.sort(((sample[j, 1] - sample[i, 1])[dx != 0] / dx[dx != 0])) if (dx != 0).any() else np.zeros(1)
+        spread = blocks.agg(F.max("y").alias("a"), F.min("y").alias("b")).first()
+        after = F.lead("x").over(Window.partitionBy("block").orderBy("x"))
+        steps = blocks.select("block", "x").distinct().withColumn("_d", after - F.col("x")).agg(F.min("_d")).first()[0]
+        edges = blocks.groupBy("block").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("block").collect()  # one row for each block
+        steps = min([d for d in [steps, *(q.a - p.b for p, q in zip(edges, edges[1:]))] if d])
+        most = (spread.a - spread.b + 1e-300) / steps
+        count = lambda slopes: count_slopes(blocks, n_blocks, slopes, sample)
+
+        def found(rank: int) -> tuple[float, int]:
+            share = rank / pairs
+            around = [float(np.quantile(seen, min(max(share + d, 0), 1))) for d in (-0.05, -0.01, 0.01, 0.05)]
+            low, high, below, upto = -most * 2 - 1, most * 2 + 1, 0, pairs
+            for g, n in zip(around, count(around)):
+                if n < rank:
+                    low, below = max(low, g), max(below, n)
+                elif g < high:
+                    high, upto = g, n
+            return _slope_of_rank(count, rank, low, high, below, upto)
+
+        value, upto = found((pairs + 1) // 2)
+        if pairs % 2 or upto > pairs // 2:
+            return value
+        return (value + found(pairs // 2 + 1)[0]) / 2
+    finally:
+        delete(spark, blocks._table_path)
+
+
+def exact_median(values: DataFrame, value: str, n: int) -> float:
+    """The median of a column of n numbers: ranges are counted, and only those that hold the middle are put in order."""
+    ranges = materialize(values.select(F.col(value).alias("v")).groupBy("v").agg(F.count("*").alias("w")).repartitionByRange(max(1, -(-n // BLOCK_ROWS)), "v").withColumn("part", F.spark_partition_id()), "median")
+    sizes = ranges.groupBy("part").agg(F.sum("w").alias("w")).orderBy("part").collect()  # one row for each range
+    out, wanted, before = [], {(n - 1) // 2, n // 2}, 0
+    for r in sizes:
+        here = [k - before for k in wanted if before <= k < before + r.w]
+        if here:
+            upto = F.sum("w").over(Window.orderBy("v"))
+            part = ranges.filter(F.col("part") == r.part).withColumn("_upto", upto)
+            out += [part.filter(F.col("_upto") > k).agg(F.min("v")).first()[0] for k in here]
+        before += r.w
+    delete(values.sparkSession, ranges._table_path)
+    return sum(out) / len(out) if out else float("nan")
+
+
+def theil_sen(df: DataFrame, x: str, y: str, most: int | None = None) -> DataFrame:
     """The median slope over all pairs of rows, the median intercept, and the number of rows: slope, intercept, n.
 
-    Rows without a finite value in both are passed over. A calibration, so fitted on at most `most` rows in the order of a hash (0.8 MB
-    on the driver); all pairs of those count.
+    Rows without a finite value in both are passed over. All rows count; most, if given, is the number of rows, in the order of a hash, that it is fitted on. Up to
+    50,000 rows are fitted at once; more stay where they are, and the slope is found by counting the pairs of smaller slope again and again,
+    so that no task holds more than a block of rows (or of ties).
     """
-    few = complete(df, [x, y]).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).orderBy(F.xxhash64("x", "y"), "x", "y").limit(most)
-    pts = np.array([(r.x, r.y) for r in few.collect()]).reshape(-1, 2)
-    slope = median_slope(pts[:, 0], pts[:, 1])
-    level = float(np.median(pts[:, 1] - slope * pts[:, 0])) if len(pts) else float("nan")
-    return df.sparkSession.createDataFrame([(slope, level, len(pts))], "slope double, intercept double, n long")
+    rows = complete(df, [x, y]).select((F.col(x).cast("double") + 0.0).alias("x"), (F.col(y).cast("double") + 0.0).alias("y"))
+    if most is not None:
+        rows = rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(most)
+    few = rows.limit(AT_ONCE + 1).collect()
+    if len(few) <= AT_ONCE:
+        pts = np.array([(r.x, r.y) for r in few]).reshape(-1, 2)
+        slope, n = median_slope(pts[:, 0], pts[:, 1]), len(pts)
+        level = float(np.median(pts[:, 1] - slope * pts[:, 0])) if n else float("nan")
+    else:
+        n = rows.count()
+        slope = distributed_median_slope(rows, n)
+        level = exact_median(rows.select((F.col("y") - F.lit(slope) * F.col("x")).alias("e")), "e", n) if slope == slope else float("nan")
+    return df.sparkSession.createDataFrame([(slope, level, n)], "slope double, intercept double, n long")
 
 
 def coefficient_table(table: DataFrame, level: float = 0.95, drop: tuple[str, ...] = ("one",)) -> DataFrame:

@@ -52,6 +52,41 @@ def test_median_slope_by_counting_equals_all_pairs():
     assert math.isnan(stats.median_slope(np.ones(4), np.arange(4.0)))
 
 
+def test_turned_pairs_by_weight():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 40):
+        place, z, w = r.integers(0, 6, n), r.integers(0, 5, n), r.integers(1, 4, n)
+        assert stats.turned(place, z, w) == sum(w[i] * w[j] for i in range(n) for j in range(n) if place[i] < place[j] and z[i] >= z[j])
+
+
+@pytest.mark.parametrize("kind", ["ties", "one x"])
+def test_median_slope_over_blocks(spark, monkeypatch, kind):
+    """Many blocks, against all pairs at once; repeated points, an x that holds a third of the rows, levels that many points share."""
+    monkeypatch.setattr(stats, "AT_ONCE", 50)
+    monkeypatch.setattr(stats, "BLOCK_ROWS", 60)
+    r = np.random.default_rng(7)
+    x, y = r.normal(size=250), r.normal(size=250)
+    if kind == "ties":
+        x, y = np.round(x, 1), np.round(y + x, 0)
+        x[:85], y[100:120], x[100:120] = 0.5, 1.0, 0.7
+    else:
+        x[:] = 2.0
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (1.0, float("nan"))], "x double, y double").repartition(3)
+    got = stats.theil_sen(df, "x", "y").first()
+    want = stats.median_slope(x, y)
+    assert got.n == 250
+    if kind == "one x":
+        assert math.isnan(got.slope) and math.isnan(got.intercept)
+    else:
+        assert got.slope == pytest.approx(want, rel=1e-9, abs=1e-12) and got.intercept == pytest.approx(np.median(y - want * x), rel=1e-9)
+        assert stats.theil_sen(df, "x", "y", most=30).first().n == 30
+
+
+def test_exact_median(spark):
+    for values in ([3.0], [1.0, 2.0], [5.0] * 7 + [1.0, 9.0], list(map(float, range(101)))):
+        assert stats.exact_median(spark.createDataFrame([(v,) for v in values], "v double"), "v", len(values)) == np.median(values)
+
+
 def test_panel_without_lags_is_least_squares():
     rows = panel_rows()
     fit = PanelFit(rows, ["x"], 0)
