@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -40,18 +41,24 @@ def pipeline(estimator, predictors: list[str]) -> Pipeline:
 
 
 def cross_validate(df: DataFrame, predictors: list[str], models: dict, fold: str = "fold") -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold predictions of every model, and their metrics by model and fold. Folds are few, so a loop over them."""
-    parts = []
+    """Out-of-fold predictions of every model, and their metrics by model and fold. Folds are few; their fits run side by side."""
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    for name, estimator in models.items():
-        for f in folds:
-            fit = pipeline(estimator, predictors).fit(balanced(df.filter(F.col(fold) != f)))
-            parts.append(fit.transform(df.filter(F.col(fold) == f)).select(*df.columns, F.col("prediction").cast("int").alias("predicted"), F.lit(name).alias("model")))
-    out = reduce(DataFrame.unionByName, parts)
+
+    def held_out(name: str, f) -> DataFrame:
+        fit = pipeline(models[name], predictors).fit(balanced(df.filter(F.col(fold) != f)))
+        return fit.transform(df.filter(F.col(fold) == f)).select(*df.columns, F.col("prediction").cast("int").alias("predicted"), F.lit(name).alias("model"))
+
+    out = reduce(DataFrame.unionByName, side_by_side(held_out, [(name, f) for name in models for f in folds]))
     classes = sorted(int(r[0]) for r in df.select("label").distinct().collect())
     return out, metric_suite(out, ["model", fold], "label", "predicted", classes)
 
 
+def side_by_side(fit, tasks: list[tuple], at_once: int = 4) -> list:
+    """Calls of fit, several at a time, as each waits for Spark jobs of its own."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda t: fit(*t), tasks))
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Predicted class and the winner's probability in whole percent."""
     got = model.transform(df)

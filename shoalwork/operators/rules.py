@@ -104,3 +104,27 @@ def assert_none(names: list[str], fragments: list[str], what: str) -> None:
 def ratio_violations(df: DataFrame, value: str, part: str, whole: str, tolerance: float = 1e-9) -> DataFrame:
     """Rows whose value is not part / whole."""
     return df.filter(F.abs(F.col(value) - ratio(F.col(part), F.col(whole))) > tolerance)
+
+
+def guarded_columns(df: DataFrame, responses: list[str], confidence: list[str], allowed: list[str] = ()) -> DataFrame:
+    """column and reason of every column of df: response (a name that matches one of those patterns), confidence (one of those) or ok. Patterns are regular expressions
+    over whole lower-case names; allowed names are ok whatever they match. A row for each column of the schema."""
+    spark = df.sparkSession
+    names = spark.createDataFrame([(c,) for c in df.columns], "column string")
+    low = F.lower("column")
+    matches = lambda patterns: low.rlike("^(" + "|".join(patterns) + ")$") if patterns else F.lit(False)
+    return names.select("column", ladder([(F.col("column").isin(*allowed) if allowed else F.lit(False), "ok"), (matches(responses), "response"), (matches(confidence), "confidence")], "ok").alias("reason"))
+
+
+def refuse(guarded: DataFrame, reasons: list[str], what: str) -> None:
+    """Raises if a column has one of the reasons."""
+    bad = [r.column for r in guarded.filter(F.col("reason").isin(*reasons)).orderBy("column").collect()]  # columns of a schema
+    if bad:
+        raise ValueError(f"{what}: {', '.join(bad)}")
+
+
+def provenance_reasons(files: DataFrame, size: str, tag: str, version: str, least_size: float, run_tags: list[str], least_version: int) -> DataFrame:
+    """files with reason, the first that holds: unreadable (no size), too small, no tag, other run, old version (or none); else ok."""
+    none = F.col(tag).isNull() | (F.trim(F.col(tag)) == "")
+    steps = [(F.col(size).isNull(), "unreadable"), (F.col(size) < least_size, "too small"), (none, "no tag"), (~F.col(tag).isin(*run_tags), "other run"), (F.col(version).isNull() | (F.col(version) < least_version), "old version")]
+    return files.withColumn("reason", ladder(steps, "ok"))

@@ -80,12 +80,13 @@ def random_split(df: DataFrame, keys: list[str], train: float = 0.7, seed: int =
 
 def scope_ablation(df: DataFrame, predictors: list[str], model: str, arms: dict[str, Column], test: Column, fold: str = "fold", seed: int = 42) -> DataFrame:
     """Scores of one model trained on different parts of the rows, always tested on the same rows of the same folds: arm, fold and the metrics."""
-    estimator, parts = models.candidates(seed)[model], []
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    for arm, scope in arms.items():
-        for f in folds:
-            fit = models.pipeline(estimator, predictors).fit(models.balanced(df.filter((F.col(fold) != f) & scope)))
-            parts.append(fit.transform(df.filter((F.col(fold) == f) & test)).select("label", fold, F.col("prediction").cast("int").alias("predicted"), F.lit(arm).alias("arm")))
+
+    def held_out(arm: str, f) -> DataFrame:
+        fit = models.pipeline(models.candidates(seed)[model], predictors).fit(models.balanced(df.filter((F.col(fold) != f) & arms[arm])))
+        return fit.transform(df.filter((F.col(fold) == f) & test)).select("label", fold, F.col("prediction").cast("int").alias("predicted"), F.lit(arm).alias("arm"))
+
+    parts = models.side_by_side(held_out, [(arm, f) for arm in arms for f in folds])
     classes = sorted(int(r[0]) for r in df.select("label").distinct().collect())
     return models.metric_suite(reduce(DataFrame.unionByName, parts), ["arm", fold], "label", "predicted", classes)
 

@@ -207,6 +207,9 @@ DAILY = OBS + ", daily AS (SELECT point, day, avg(value) AS value FROM obs WHERE
 LOOK = DAILY + ", look AS (SELECT *, count(value) OVER w AS n_obs, stddev_samp(value) OVER w AS s1, stddev_pop(value) OVER w AS s0 FROM daily WINDOW w AS (PARTITION BY point ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))"
 
 
+EXACT_LOOK = LOOK.replace("avg(value) AS value", "CAST(sum(CAST(value AS DECIMAL(28,12))) AS DOUBLE) / count(value) AS value")  # sums of doubles differ by the order of rows, which tips values at a cut
+
+
 def daily(spark, sf):
     return b.observations(spark, sf).filter("point is not null").groupBy("point", "day").agg(fn.exact_mean("value").alias("value"))
 
@@ -225,7 +228,7 @@ def support_agreement(spark, sf):
     return rounded(temporal.support_agreement(d, ["grp"], "n_obs", "reference"), agreement=6)
 
 
-@query(f"""WITH {LOOK}, c AS (SELECT CASE WHEN n_obs >= 3 THEN s1 END AS a, value / 3 AS b, cut FROM look, (VALUES (5.0::DOUBLE), (15.0), (25.0)) t(cut)) SELECT cut, count(*) FILTER (WHERE a > cut) AS n_local, count(*) FILTER (WHERE b > cut) AS n_reference, count(*) FILTER (WHERE a > cut AND b > cut) AS n_both FROM c GROUP BY 1""")
+@query(f"""WITH {EXACT_LOOK}, c AS (SELECT CASE WHEN n_obs >= 3 THEN s1 END AS a, value / 3 AS b, cut FROM look, (VALUES (5.0::DOUBLE), (15.0), (25.0)) t(cut)) SELECT cut, count(*) FILTER (WHERE a > cut) AS n_local, count(*) FILTER (WHERE b > cut) AS n_reference, count(*) FILTER (WHERE a > cut AND b > cut) AS n_both FROM c GROUP BY 1""")
 def tail_agreement(spark, sf):
     d = temporal.lookback(daily(spark, sf), ["point"], "day", "value", 7).withColumn("reference", F.col("value") / 3)
     return temporal.tail_agreement(d, [], "std", "reference", [5.0, 15.0, 25.0])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from ..operators import areas, metrics, rules
 from . import bindings as b
-from .bindings import PIXELS
+from .bindings import LINES, PIXELS
 from .panel_queries import CLIMATOLOGY, PANEL, BY_SENSOR, _by_sensor, split_panel
 from .registry import query, rounded
 
@@ -52,11 +52,12 @@ def zonal_counts(spark, sf):
     return rounded(areas.zonal_counts(b.pixels(spark, sf), SCENE, fn.cell_of(F.col("pixel"), 0, 500), "model", 2), cover_percent=6)
 
 
-@query(f"""WITH {PIXELS}, t AS (SELECT pixel, layer, CASE WHEN model = 1 THEN 255 ELSE model END AS model FROM pixels)
-    SELECT pixel, coalesce(arg_min(CASE WHEN model <> 255 THEN model END, CASE WHEN model <> 255 THEN layer END), 255)::INT AS model FROM t GROUP BY 1""")
+@query(f"""WITH {LINES}, t AS (SELECT l_orderkey AS pixel, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 255 ELSE 0 END AS model, {{'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey, 'd': l_returnflag}} AS place FROM lines)
+    SELECT pixel, coalesce(arg_min(model, place) FILTER (WHERE model <> 255), 255)::INT AS model FROM t GROUP BY 1""")
 def mosaic_tiles(spark, sf):
-    t = b.pixels(spark, sf, placed=True).withColumn("model", F.when(F.col("model") == 1, 255).otherwise(F.col("model")))
-    return areas.mosaic(t, ["pixel"], "model", ["layer", "file", "row"])  # layers repeat within a pixel; the first row of the table is first
+    model = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 255).otherwise(0)
+    t = b.lines(spark, sf).withColumnRenamed("l_orderkey", "pixel").withColumn("model", model)
+    return areas.mosaic(t, ["pixel"], "model", ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"])  # line numbers repeat within an order
 
 
 @query(f"""WITH {PIXELS} SELECT month, sum(CASE WHEN sensor = 'S1' THEN 0.09 END)::DOUBLE AS "S1", sum(CASE WHEN sensor = 'S2' THEN 0.09 END)::DOUBLE AS "S2" FROM pixels WHERE model = 2 GROUP BY 1""".replace("sum(CASE WHEN sensor = 'S1' THEN 0.09 END)::DOUBLE", "round(sum(CASE WHEN sensor = 'S1' THEN 0.09 END), 4)::DOUBLE").replace("sum(CASE WHEN sensor = 'S2' THEN 0.09 END)::DOUBLE", "round(sum(CASE WHEN sensor = 'S2' THEN 0.09 END), 4)::DOUBLE"))

@@ -264,3 +264,16 @@ def test_panel_follows_a_rewritten_part_file(spark, tmp_path):
     spark.catalog.clearCache()
     after = total(bindings.panel_table)
     assert after == pytest.approx(2 * before) and after == pytest.approx(total(bindings.panel))
+
+
+def test_guards_refuse_columns_and_tell_reasons(spark):
+    from shoalwork.operators import rules
+
+    df = spark.createDataFrame([(1, 2, 3, 4)], "Cover_Target int, mean_confidence int, rain int, cover_lag1 int")
+    got = rules.guarded_columns(df, ["cover.*"], [".*confidence"], ["cover_lag1"])
+    assert {r.column: r.reason for r in got.collect()} == {"Cover_Target": "response", "mean_confidence": "confidence", "rain": "ok", "cover_lag1": "ok"}
+    rules.refuse(got.filter("column = 'rain'"), ["response", "confidence"], "predictors")
+    with pytest.raises(ValueError, match="Cover_Target, mean_confidence"):
+        rules.refuse(got, ["response", "confidence"], "predictors")
+    files = spark.createDataFrame([(None, "a", 3), (1.0, "a", 3), (50.0, None, 3), (50.0, " ", 3), (50.0, "b", 3), (50.0, "a", None), (50.0, "a", 1), (50.0, "a", 2)], "size double, tag string, version int")
+    assert [r.reason for r in rules.provenance_reasons(files, "size", "tag", "version", 10, ["a"], 2).collect()] == ["unreadable", "too small", "no tag", "no tag", "other run", "old version", "old version", "ok"]
