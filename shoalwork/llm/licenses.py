@@ -3,8 +3,8 @@
 Blocks (the sentences of every line) match a template when they hold at least `threshold` of its
 distinct words. So do windows of consecutive words, whatever lines and stops part them, that are as long as
 the template and as many words more as may be missing. Words are ordered by how many documents of the corpus hold them, rarest first. A
-block can only match if it holds one of a template's first |T| - o + 1 words in that order, where o is
-the least overlap (prefix filter), and if it has o words at all (length filter). That enough words of the
+block or window can only match if it holds one of a template's first |T| - o + 1 words in that order, where o is
+the least overlap (prefix filter), and if it has o words at all (length filter). Windows are tried around the places of such words alone (positional filter). For blocks, that enough words of the
 template remain from the place of its hit on is asked too, but any place in the prefix leaves o. What passes is counted
 out, so no match is lost and none is estimated.
 
@@ -15,8 +15,6 @@ all that reaches the driver is one count per template word. Everything runs in S
 from __future__ import annotations
 
 import math
-import operator
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,29 +107,26 @@ def match_blocks(docs: DataFrame, index: list[dict]) -> DataFrame:
 def match_windows(docs: DataFrame, index: list[dict]) -> DataFrame:
     """_row, label and containment of every window of words that matches a template; docs as for match_blocks.
 
-    Words are cut into stretches of twice the longest window, each half over the next, so every window lies
-    whole in one of them; the windows of a stretch are tried where the stretch itself holds words enough.
+    A window that matches holds a word of the template's prefix, and lies whole among the words up to a window before and after it. So the words
+    around each place of a prefix word are held against the templates that have that word in their prefix, found by the word; a text without such a word is passed over.
     """
     spark = docs.sparkSession
     step = max(t["span"] for t in index)
-    known = F.array(*(F.lit(w) for w in sorted({w for t in index for w in t["words"]})))
+    known = F.array(*(F.lit(w) for w in sorted({w for t in index for w in t["prefix"]})))
     words = F.split(F.trim("spaced"), " ")
-    held = F.array_intersect(F.split("spaced", " "), known)
 
-    def enough(h: Column) -> Column:
-        each = [F.size(F.array_intersect(h, F.array(*map(F.lit, t["words"])))) >= t["least"] for t in index]
-        return reduce(operator.or_, each)
+    def around(w: Column) -> Column:
+        places = F.filter(F.transform(w, lambda token, i: F.when(F.array_contains(known, token), F.struct(token.alias("token"), i.alias("i")))), lambda h: h.isNotNull())
+        return F.array_distinct(F.transform(places, lambda h: F.struct(h["token"].alias("token"), F.slice(w, F.greatest(h["i"] + 2 - step, F.lit(1)), 2 * step - 1).alias("tokens"))))
 
-    def cut(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - step, F.lit(1)), F.lit(step)), lambda i: F.slice(w, i, 2 * step))
-
-    # as lambda variables, the words of a text are taken once and not anew for every use
-    stretches = docs.filter(F.exists(F.array(held), enough)).select("_row", F.explode(F.transform(F.array(words), cut)[0]).alias("tokens"))
-    templates = spark.createDataFrame([(t["words"], t["least"], t["span"], t["label"]) for t in index], "words array<string>, least int, span int, label string")
+    # as a lambda variable, the words of a text are taken once and not anew for every use
+    hits = docs.filter(F.arrays_overlap(F.split("spaced", " "), known)).select("_row", F.explode(F.transform(F.array(words), around)[0]).alias("_h")).select("_row", "_h.*")
+    templates = spark.createDataFrame([(w, t["words"], t["least"], t["span"], t["label"]) for t in index for w in t["prefix"]], "token string, words array<string>, least int, span int, label string")
     last = F.greatest(F.size("tokens") - F.col("span") + 1, F.lit(1))
     overlaps = F.transform(F.sequence(F.lit(1), last), lambda i: F.size(F.array_intersect(F.slice("tokens", i, F.col("span")), F.col("words"))))
     return (
-        stretches.join(F.broadcast(templates), F.size(F.array_intersect("tokens", "words")) >= F.col("least"))
+        hits.join(F.broadcast(templates), "token")  # a few rows for each template
+        .filter(F.size(F.array_intersect("tokens", "words")) >= F.col("least"))
         .withColumn("overlap", F.array_max(overlaps))
         .filter(F.col("overlap") >= F.col("least"))
         .select("_row", "label", (F.col("overlap") / F.size("words")).alias("containment"))

@@ -54,6 +54,46 @@ def test_license_base_equals_brute_force(spark):
     assert got[8].labels == "cc-by-nc,gpl" and got[9].labels == "mit" and got[9].base_labels == ""
 
 
+def test_license_windows_of_many_templates(spark, capsys):
+    """300 templates against brute force over all windows of all texts; candidates come by their words, so no plan holds all against all."""
+    r = random.Random(12)
+    known = [f"w{i}" for i in range(400)]
+    templates = tuple((" ".join(r.choice(known) for _ in range(r.randint(3, 14))), f"label{k % 40}") for k in range(300))
+    texts = []
+    for k in range(60):
+        words = [r.choice(known) for _ in range(r.choice([0, 3, 40, 200]))]
+        for _ in range(r.randint(0, 3)):
+            held = r.choice(templates)[0].split()
+            if r.random() < 0.6 and len(held) > 10:
+                held[r.randrange(len(held))] = "changed"
+            if r.random() < 0.3:
+                held.insert(r.randrange(len(held)), "put-in" if r.random() < 0.5 else "in")
+            at = r.randint(0, len(words))
+            words[at:at] = held
+        texts.append(r.choice([" ", "\n", ".\n"]).join(words))
+    df = spark.createDataFrame(rows_of(list(enumerate(texts))), SCHEMA)
+    got = licenses.scan(df, templates, (("not there", "none"),), 0.9)
+    found = {x.doc_id: (x.labels, x.score) for x in got.collect()}
+    index = licenses.template_index(templates, 0.9, {})
+    want = {}
+    for i, text in enumerate(texts):
+        words, labels, best = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), set(), 0.0
+        blocks = [set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", b)) for b in re.split(r"\n|[.!?]+(?=\s|$)", text.lower())]
+        for t in index:
+            own = set(t["words"])
+            n = max([len(own & b) for b in blocks] + [len(own & set(words[p : p + t["span"]])) for p in range(max(1, len(words) - t["span"] + 1))])
+            if n >= t["least"]:
+                labels.add(t["label"])
+                best = max(best, n / len(own))
+        want[i] = (",".join(sorted(labels)), best)
+    assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in want.items()} and all(found[k][1] == pytest.approx(want[k][1]) for k in want)
+    assert sum(bool(v[0]) for v in want.values()) > 20
+    capsys.readouterr()
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_license_edges(edge_docs, empty_docs, spark):
     rows = licenses.scan(edge_docs).collect()
     assert len(rows) == edge_docs.count() and all(r.labels == "" and r.score == 0 for r in rows)
