@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -120,6 +121,28 @@ def event_stream(spark, sf):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
 
 
+BATCHES = 5
+
+
+@contextmanager
+def event_batches(spark, sf, late: bool):
+    """Events as a stream of files that come one after another, each a fifth of the time, and the time by which rows may be late. late: a tenth of the rows come one file later.
+    A last row of a far time lets the watermark pass all others."""
+    at, e = table_path(spark, "event-files"), b.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).filter("ts is not null")
+    low, high = e.agg(F.unix_date(F.min("ts").cast("date")), F.unix_date(F.max("ts").cast("date"))).first()
+    days = max(1, -(-(high - low + 1) // BATCHES)) if low is not None else 1
+    batch = F.floor((F.unix_date(F.col("ts").cast("date")) - F.lit(low or 0)) / days) + (F.when(F.col("event_id") % 10 == 3, 1).otherwise(0) if late else 0)
+    dealt = materialize(e.withColumn("_batch", batch), "event-batches")
+    for k in range(BATCHES + late):  # files are read in the order in which they came
+        dealt.filter(F.col("_batch") == k).drop("_batch").coalesce(1).write.mode("append").parquet(at)
+    last = [F.lit(-1).cast(f.dataType).alias(f.name) if f.name == "event_id" else (F.date_add(F.date_from_unix_date(F.lit(high or 0)), 3650).cast("timestamp") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in e.schema]
+    for _ in range(2):
+        spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(at)
+    yield spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(at), f"{(1 + late) * days + 1} days"
+    delete(spark, at)
+    delete(spark, dealt._table_path)
+
+
 def finished(spark, frame, mode, keys=None):
     """What a stream leaves behind: the rows of an upsert table, or all rows put out."""
     at = table_path(spark, "stream")
@@ -148,14 +171,29 @@ def stream_keep_better(spark, sf):
 @query(f"""WITH {OBS}, s AS (SELECT point, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY point ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS b FROM obs), g AS (SELECT point, ts, sum(b) OVER (PARTITION BY point ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
     SELECT point, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM g GROUP BY point, k""")
 def session_table(spark, sf):
-    o = b.observations(spark, sf)
-    return monitor.sessions(o, "point", "ts", "12 hours")
+    """Rows late by a file; sessions come out once the watermark has passed them."""
+    with event_batches(spark, sf, True) as (stream, late):
+        got = finished(spark, monitor.sessions(stream.filter("user_id is not null or event_id = -1").withColumnRenamed("user_id", "point"), "point", "ts", "12 hours", late), "append")
+        return got.select("point", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
 
 
 @query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, round(sum(value), 4) AS total, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
 def daily_window_totals(spark, sf):
-    got = monitor.daily_windows(b.table(spark, sf, "events"), "ts", ["event_type"], "value")
-    return rounded(got.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "total", "n"), total=4)
+    """Rows late by a file; days come out once the watermark has passed them."""
+    with event_batches(spark, sf, True) as (stream, late):
+        got = finished(spark, monitor.daily_windows(stream, "ts", ["event_type"], "value", late), "append")
+        return rounded(got.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "total", "n"), total=4)
+
+
+@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS d, CAST(floor(value * 100) AS BIGINT) AS v FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    w AS (SELECT user_id, d, count(v) OVER w AS n, avg(v) OVER w AS m, stddev_samp(v) OVER w AS s FROM e WINDOW w AS (PARTITION BY user_id ORDER BY d RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))
+    SELECT user_id, date_diff('day', DATE '1970-01-01', d) AS day, n AS n_obs, CASE WHEN n >= 3 THEN round(m, 4) END AS mean, CASE WHEN n >= 3 THEN round(s, 4) END AS std FROM w""")
+def stream_lookback(spark, sf):
+    """Each observation against its user's last seven days, from state that goes once the watermark has passed what it is for."""
+    with event_batches(spark, sf, False) as (stream, late):
+        rows = stream.filter("user_id is not null").select("user_id", "ts", F.unix_date(F.col("ts").cast("date")).cast("long").alias("day"), F.floor(F.col("value") * 100).cast("double").alias("value"))
+        got = finished(spark, monitor.lookback_state(rows, "user_id", "day", "value", 7, when="ts", late=late), "append")
+        return rounded(got.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("mean", "std")}), mean=4, std=4)
 
 
 # --- sources and sinks ---------------------------------------------------------------------------------------

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.panel import upsert
 from ..plans.storage import delete
 
+DAY_MS = 86_400_000
+
 
 def monthly_totals(stream: DataFrame, keys: list[str], when: str, value: str) -> DataFrame:
     """Sums and counts by key and calendar month, for update or complete mode (a month is no fixed window)."""
@@ -75,14 +77,18 @@ def daily_windows(stream: DataFrame, when: str, keys: list[str], value: str, lat
     return out.select(F.col("window.start").alias("day"), *keys, "total", "n")
 
 
-def lookback_state(stream: DataFrame, key: str, day: str, value: str, days: int = 90, least: int = 3) -> DataFrame:
+def lookback_state(stream: DataFrame, key: str, day: str, value: str, days: int = 90, least: int = 3, when: str | None = None, late: str = "1 day") -> DataFrame:
     """For each arriving observation the count, mean and deviation of its key's last `days` days.
 
+    With when (a time column) a key's state goes once the watermark, `late` behind the newest time, has passed all that it could still be asked for; without, it stays.
     State per key: the days and values of two windows up to the newest day, so a row that is late by up to a window still finds its own window whole
     (later rows count what is left of it), and the state stays bounded.
     """
 
     def step(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         old_days, old_values = state.get if state.exists else ([], [])
         rows = pd.concat(list(batches)).sort_values(day)
         own = rows[day].to_numpy(np.int64)
@@ -98,10 +104,14 @@ def lookback_state(stream: DataFrame, key: str, day: str, value: str, days: int
         enough = count >= least
         keep = at > at[-1] - 2 * days
         state.update((at[keep].tolist(), values[keep].tolist()))
+        if when:
+            state.setTimeoutTimestamp(max(int(at[-1] + 2 * days + 1) * DAY_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], day: own, "n_obs": count, "mean": np.where(enough, mean, np.nan), "std": np.where(enough, std, np.nan)})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {day} long, n_obs long, mean double, std double", "days array<long>, values array<double>", "append", "NoTimeout")
+    if when:
+        stream = stream.withWatermark(when, late)
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {day} long, n_obs long, mean double, std double", "days array<long>, values array<double>", "append", "EventTimeTimeout" if when else "NoTimeout")
 
 
 def keep_better(stream: DataFrame, keys: list[str], rank: str) -> DataFrame:
@@ -110,7 +120,8 @@ def keep_better(stream: DataFrame, keys: list[str], rank: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_b")).select(*keys, "_b.*")
 
 
-def run_to_end(query_frame: DataFrame, mode: str, spark: SparkSession, checkpoint: str, sink) -> None:
-    """Processes all that is there, in micro-batches, and stops."""
+def run_to_end(query_frame: DataFrame, mode: str, spark: SparkSession, checkpoint: str, sink) -> list:
+    """Processes all that is there, in micro-batches, and stops. Returns the progress of the last batches."""
     q = query_frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q.recentProgress

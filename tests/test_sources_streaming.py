@@ -277,3 +277,19 @@ def test_guards_refuse_columns_and_tell_reasons(spark):
         rules.refuse(got, ["response", "confidence"], "predictors")
     files = spark.createDataFrame([(None, "a", 3), (1.0, "a", 3), (50.0, None, 3), (50.0, " ", 3), (50.0, "b", 3), (50.0, "a", None), (50.0, "a", 1), (50.0, "a", 2)], "size double, tag string, version int")
     assert [r.reason for r in rules.provenance_reasons(files, "size", "tag", "version", 10, ["a"], 2).collect()] == ["unreadable", "too small", "no tag", "no tag", "other run", "old version", "old version", "ok"]
+
+
+def test_lookback_state_goes_with_the_watermark(spark, tmp_path):
+    """Keys that stop have no state once later times have passed; rows that come late still see their own window."""
+    first = dt.datetime(2024, 1, 1)
+    batches = [[("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 5.0)], [("a", 3, 4.0), ("a", 2, 3.0)], [("c", 200, 1.0)], [("c", 201, 1.0)]]
+    day0 = (first.date() - dt.date(1970, 1, 1)).days
+    for k, rows in enumerate(batches):
+        data = [(key, first + dt.timedelta(days=d), day0 + d, v) for key, d, v in rows]
+        spark.createDataFrame(data, "k string, ts timestamp, day long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp, day long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = []
+    progress = monitor.run_to_end(monitor.lookback_state(stream, "k", "day", "value", 7, 1, when="ts", late="10 days"), "append", spark, str(tmp_path / "cp"), lambda df, _: got.extend(df.collect()))
+    assert {(r.k, r.day - day0): (r.n_obs, r["mean"]) for r in got} == {("a", 0): (1, 1.0), ("a", 1): (2, 1.5), ("b", 0): (1, 5.0), ("a", 2): (3, 2.0), ("a", 3): (4, 2.5), ("c", 200): (1, 1.0), ("c", 201): (2, 1.0)}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert len(held) >= 4 and max(held) == 3 and held[-1] == 1
