@@ -311,20 +311,25 @@ def fit(df: DataFrame, y: str, smooth: dict[str, int], linear: list[str] = (), f
             got = totals(by_level, eliminated, 2 * size * size + 2)
             c, q, small = got[:size * size].reshape(size, size), got[size * size:-2].reshape(size, size), got[-2:]
         h = g - c
-        s = sum((a * m for a, (_, m, _) in zip(lam, penalties)), np.zeros((p, p)))
-        inverse = np.linalg.pinv(h[:p, :p] + s, hermitian=True)
-        new = inverse @ h[:p, p]
-        around = np.append(-new, 1.0)
-        effects2 = float(around @ q @ around)
-        loss = float(around @ h @ around) - lam_g * effects2 if group else float(around @ g @ around)  # of the rows alone
-        trace_g = float(small[0] + np.trace(inverse @ q[:p, :p])) if group else 0.0
-        edf_g = float(small[1] - lam_g * trace_g) if group else 0.0
-        edf = p - sum(a * float(np.trace(inverse @ m)) for a, (_, m, _) in zip(lam, penalties)) + edf_g
-        scale = max(loss, 1e-300) / max(1.0, n - edf) if family.name != "beta" else 1.0
-        step_l = []
-        for a, (_, m, rank) in zip(lam, penalties):
-            bend = float(new @ m @ new)
-            step_l.append(min(1e9, max(1e-9, a * scale * max(1e-12, rank / a - float(np.trace(inverse @ m))) / max(bend, 1e-300))))
+        for _ in range(100):  # penalties of the smooth terms settle on these products, without another pass over the rows
+            s = sum((a * m for a, (_, m, _) in zip(lam, penalties)), np.zeros((p, p)))
+            inverse = np.linalg.pinv(h[:p, :p] + s, hermitian=True)
+            new = inverse @ h[:p, p]
+            around = np.append(-new, 1.0)
+            effects2 = float(around @ q @ around)
+            loss = float(around @ h @ around) - lam_g * effects2 if group else float(around @ g @ around)  # of the rows alone
+            trace_g = float(small[0] + np.trace(inverse @ q[:p, :p])) if group else 0.0
+            edf_g = float(small[1] - lam_g * trace_g) if group else 0.0
+            edf = p - sum(a * float(np.trace(inverse @ m)) for a, (_, m, _) in zip(lam, penalties)) + edf_g
+            scale = max(loss, 1e-300) / max(1.0, n - edf) if family.name != "beta" else 1.0
+            step_l = []
+            for a, (_, m, rank) in zip(lam, penalties):
+                bend = float(new @ m @ new)
+                step_l.append(min(1e9, max(1e-9, a * scale * max(1e-12, rank / a - float(np.trace(inverse @ m))) / max(bend, 1e-300))))
+            if not len(lam) or np.abs(np.log(np.array(step_l) / lam)).max() < 1e-3:
+                break
+            lam = np.array(step_l)
+        moved = float(np.abs(new - beta).max() / (np.abs(new).max() + 1e-12))
         if group:
             old = levels
             solve = [float(b) for b in new]
@@ -332,10 +337,9 @@ def fit(df: DataFrame, y: str, smooth: dict[str, int], linear: list[str] = (), f
             effect = (v[p + 1] - sum((F.lit(b) * v[i + 1] for i, b in enumerate(solve)), F.lit(0.0))) / (v[0] + lam_g)
             levels = materialize(by_level.select("_g", effect.alias("_effect")), "gam-effects")
             release(spark, by_level, *([old] if old is not None else []))
-        moved = max(float(np.abs(new - beta).max() / (np.abs(new).max() + 1e-12)), *(abs(np.log(b / a)) * 1e-5 for a, b in zip(lam, step_l)), 0.0)
         if group:
             next_g = min(1e9, max(1e-9, lam_g * scale * max(1e-12, small[1] / lam_g - trace_g) / max(effects2, 1e-300)))
-            moved = max(moved, abs(np.log(next_g / lam_g)) * 1e-5)
+            moved = max(moved, abs(np.log(next_g / lam_g)) * tolerance * 10)
         if family.name == "beta":
             jump = float(np.clip(score[0] / max(score[1], 1e-300) / family.precision, -1, 1))
             family = Family("beta", family.power, family.precision * float(np.exp(jump)), family.edge)
@@ -343,7 +347,6 @@ def fit(df: DataFrame, y: str, smooth: dict[str, int], linear: list[str] = (), f
         beta, used_l, used_g = new, lam, lam_g
         if moved < tolerance or turn == rounds - 1:
             break
-        lam = np.array(step_l)
         if group:
             lam_g = next_g
     def last(b: pd.DataFrame) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shoalwork.functions import columns as fn
 from shoalwork.operators import areas, calendar, catalog, components, folds, metrics, panel, panel_ar, rules, stats, temporal, zonal
-from shoalwork.plans import audit_queries, catalog_queries, helper_queries, panel_queries, pixel_queries, region_queries, registry, scene_queries, stats_queries  # noqa: F401
+from shoalwork.plans import additive_queries, audit_queries, catalog_queries, helper_queries, panel_queries, pixel_queries, region_queries, registry, scene_queries, stats_queries  # noqa: F401
 
 DATA = os.environ.get("SHOALWORK_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
