@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize, release
+from ..plans.storage import delete, materialize, release
 from .models import side_by_side
 
 UNIT = 1 << 20
@@ -153,7 +153,7 @@ def fit(df: DataFrame, y: str, predictors: list[str], loss: Loss | None = None,
         fitted.append(Tree({k: (predictors[int(c[2:])], ends[predictors[int(c[2:])]][int(cut) - 1] if cut else None) for k, (c, cut) in tree.splits.items()}, tree.leaves))
         if len(fresh) == refresh and turn + 1 < trees:
             new = materialize(base.withColumn("_score", sum((t.value() for t in fresh), F.col("_score"))), "boosting")
-            release(spark, old)
+            delete(spark, old._table_path)
             base = old = new
             fresh = []
     release(spark, old)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize, release
+from ..plans.storage import delete, materialize, release
 from .stats import complete
 
 DEGREE = 3
@@ -232,7 +232,7 @@ def prepare(df: DataFrame, y: str, smooth: dict[str, int], linear: list[str], gr
 
 
 def fit(df: DataFrame, y: str, smooth: dict[str, int], linear: list[str] = (), family: Family | None = None, group: str | None = None, series: list[str] = (),
-        month: str | None = None, rho: float = 0.0, select: bool = False, rounds: int = 40, tolerance: float = 1e-6) -> Fit | None:
+        month: str | None = None, rho: float = 0.0, select: bool = False, rounds: int = 40, tolerance: float = 1e-4) -> Fit | None:
     """Fits y on smooth terms (term: number of splines, 5 at least), linear terms and a random intercept for each level of `group`.
 
     With `month` (a month index, once in each series) errors follow an AR(1) with coefficient rho within a series; a row whose month before is missing starts
@@ -329,17 +329,19 @@ def fit(df: DataFrame, y: str, smooth: dict[str, int], linear: list[str] = (), f
             if not len(lam) or np.abs(np.log(np.array(step_l) / lam)).max() < 1e-3:
                 break
             lam = np.array(step_l)
-        moved = float(np.abs(new - beta).max() / (np.abs(new).max() + 1e-12))
+        step = new - beta  # how far fitted values move against the noise; what is left after a step is of the order of its square
+        moved = math.sqrt(max(0.0, float(step @ g[:p, :p] @ step)) / (n * scale + 1e-9 * g[p, p] + 1e-300))
         if group:
             old = levels
             solve = [float(b) for b in new]
             v = F.col("v")
             effect = (v[p + 1] - sum((F.lit(b) * v[i + 1] for i, b in enumerate(solve)), F.lit(0.0))) / (v[0] + lam_g)
             levels = materialize(by_level.select("_g", effect.alias("_effect")), "gam-effects")
-            release(spark, by_level, *([old] if old is not None else []))
+            for done in [by_level, *([old] if old is not None else [])]:
+                delete(spark, done._table_path)
         if group:
             next_g = min(1e9, max(1e-9, lam_g * scale * max(1e-12, small[1] / lam_g - trace_g) / max(effects2, 1e-300)))
-            moved = max(moved, abs(np.log(next_g / lam_g)) * tolerance * 10)
+            moved = max(moved, abs(np.log(next_g / lam_g)) * 0.01 * edf_g / small[1])  # levels that have all but vanished move nothing
         if family.name == "beta":
             jump = float(np.clip(score[0] / max(score[1], 1e-300) / family.precision, -1, 1))
             family = Family("beta", family.power, family.precision * float(np.exp(jump)), family.edge)

@@ -35,7 +35,7 @@ def tweedie_levels(spark, sf):
 def smooth_counts(spark, sf):
     """Counts on smooth terms with an intercept for each supplier: the expected add up to the observed, as the intercept has no penalty."""
     rows = b.table(spark, sf, "lineitem")
-    got = gam.fit(rows, "l_linenumber", {"l_extendedprice": 8, "l_quantity": 6}, [], gam.Family("poisson"), group="l_suppkey", tolerance=1e-7)
+    got = gam.fit(rows, "l_linenumber", {"l_extendedprice": 8, "l_quantity": 6}, [], gam.Family("poisson"), group="l_suppkey")
     out = got.predict(rows).agg(F.count("*").alias("n"), F.avg("l_linenumber").alias("observed"), F.avg("predicted").alias("expected"), F.count_if(F.col("predicted") <= 0).alias("n_out"))
     return rounded(out.crossJoin(got.levels.agg(F.count("*").alias("n_levels"))), observed=4, expected=4)  # one row with one row
 
@@ -65,7 +65,7 @@ def best_split(spark, sf):
 def boosted_out_of_fold(spark, sf):
     """Every line is scored once by each model, by the fit that left its fold out, above zero."""
     rows = returns(spark, sf).withColumn("fold", (F.col("l_orderkey") % 2).cast("int"))
-    got = boosting.held_out(rows, "y", ["l_quantity", "l_discount", "l_tax"], "fold", {"tweedie": boosting.Loss("tweedie", 1.3)}, trees=6, depth=3, rate=0.3)
+    got = boosting.held_out(rows, "y", ["l_quantity", "l_discount", "l_tax"], "fold", {"tweedie": boosting.Loss("tweedie", 1.3)}, trees=4, depth=2, rate=0.3)
     out = got.groupBy("model", "fold").agg(F.count("*").alias("n"), F.avg("y").alias("observed"), F.count_if(F.col("predicted").isNull() | (F.col("predicted") <= 0)).alias("n_out"))
     return rounded(out, observed=4)
 
@@ -75,7 +75,7 @@ def boosted_skill(spark, sf):
     """Deviance of each model out of fold, and of the mean of all lines."""
     rows = returns(spark, sf).withColumn("fold", (F.col("l_orderkey") % 2).cast("int"))
     loss = boosting.Loss("tweedie", 1.3)
-    got = boosting.held_out(rows, "y", ["l_quantity", "l_discount", "l_tax"], "fold", {"tweedie": loss}, trees=6, depth=3, rate=0.3)
+    got = boosting.held_out(rows, "y", ["l_quantity", "l_discount", "l_tax"], "fold", {"tweedie": loss}, trees=4, depth=2, rate=0.3)
     mean = F.lit(rows.agg(F.avg("y")).first()[0])
     y = F.col("y")
     return got.groupBy("model").agg(F.count("*").alias("n"), F.avg(loss.deviance(y, F.col("predicted"))).alias("deviance"), F.avg(loss.deviance(y, mean)).alias("deviance_of_mean"))
