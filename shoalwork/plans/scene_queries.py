@@ -258,7 +258,7 @@ def response_transforms(spark, sf):
     CASE WHEN abs(floor(c_acctbal)) < 1024 THEN printf('%.0f B', floor(c_acctbal)) ELSE printf('%.2f KB', floor(c_acctbal) / 1024) END AS size, (c_mktsegment IS NULL OR trim(c_mktsegment) IN ('', 'nan', 'None')) AS blank FROM customer""")
 def text_helpers(spark, sf):
     c = b.table(spark, sf, "customer")
-    return c.select("c_custkey", fn.slug(F.concat("c_name", F.lit(" / "), "c_mktsegment")).alias("slug"), fn.byte_text(F.floor("c_acctbal")).alias("size"), fn.is_blank(F.col("c_mktsegment")).alias("blank"))
+    return c.select("c_custkey", fn.slug(F.concat("c_name", F.lit(" / "), "c_mktsegment")).alias("slug"), fn.byte_text(fn.whole(F.col("c_acctbal"))).alias("size"), fn.is_blank(F.col("c_mktsegment")).alias("blank"))
 
 
 @query("""WITH c AS (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) SELECT k, c_custkey, CAST(place AS INT) AS place FROM c WHERE place > 1""")

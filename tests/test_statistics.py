@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shoalwork.functions import columns as fn
 from shoalwork.operators import catalog, metrics, panel_ar, resampling, smooth, state_space, stats
-from shoalwork.plans import helper_queries, pixel_queries
+from shoalwork.plans import helper_queries, pixel_queries, registry, scene_queries
 
 from .panel_fit import PanelFit
 
@@ -270,6 +270,18 @@ def test_halves_go_to_the_even_digit(spark):
     assert spark.range(1).select(fn.metric_text(F.lit(None).cast("double"))).first()[0] == "N/A"
 
 
+def test_zero_keeps_its_sign(spark, tmp_path):
+    """A balance of -0.0 is '-0 B', as printf has it; the SQL agrees."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = pd.DataFrame({"c_custkey": range(7), "c_name": "a", "c_mktsegment": "b", "c_acctbal": [-0.0, 0.0, 0.4, -0.4, -1024.0, 1151.5, None]})
+    rows.to_parquet(tmp_path / "customer.parquet")
+    got = scene_queries.text_helpers(spark, str(tmp_path)).orderBy("c_custkey").collect()
+    assert [r["size"] for r in got] == ["-0 B", "0 B", "0 B", "-1 B", "-1.00 KB", "1.12 KB", None]
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from read_parquet('{tmp_path}/customer.parquet')")
+    assert [tuple(r) for r in got] == con.execute(registry.ORACLE_SQL["text_helpers"] + " ORDER BY c_custkey").fetchall()
+
+
 def test_exact_mean_stays_on_the_threshold(spark):
     """100 times 10.11 and 100 times 19.89 have the mean 15, in any order and any tasks; sums of doubles stray from it."""
     df = spark.range(200, numPartitions=1).select(F.when(F.col("id") < 100, 10.11).otherwise(19.89).alias("v"))
