@@ -2,7 +2,9 @@
 
 import datetime as dt
 import os
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,34 @@ def test_regions_of_a_small_lattice(spark):
     assert len(got) == 20 and {got[c] for c in got if c >= 20} == {"R01"} and {got[c] for c in got if c < 20} == {"R02"}
     alone = regions.build_regions(df, "side", ["f"], "area", 1, 0.0).groupBy("region").count().collect()
     assert sorted((r.region, r["count"]) for r in alone) == [("R01", 12), ("R02", 7), ("R03", 1)]
+
+
+@pytest.mark.parametrize("lattice", [False, True])
+def test_zones_of_crowded_cells(spark, lattice):
+    """Against all pairs: clumps with bridges and near misses, blobs at one place, at no place and at two; links grow with cells, not with pairs of blobs."""
+    r = np.random.default_rng(5)
+    at = r.uniform(0, 6, (12, 2))
+    xy = np.concatenate([c + r.uniform(-0.35, 0.35, (40, 2)) for c in at] + [r.uniform(0, 6, (40, 2)), np.array([[3.0, 9.0]] * 3)])
+    xy = np.round(xy, 1 if lattice else 6)
+    rows = [(int(i), float(x), float(y)) for i, (x, y) in zip(r.permutation(len(xy)), xy)] + [(900, None, 1.0), (901, float("nan"), 1.0), (902, 8.0, 9.0), (902, 3.0, 9.05)]
+    got = {q.blob: q.zone for q in zonal.zones(spark.createDataFrame(rows, "blob long, x double, y double"), 0.25).collect()}
+    zone = {i: i for i, *_ in rows}
+    links = [(a, c) for a, x, y in rows for c, u, v in rows if None not in (x, u) and (x - u) ** 2 + (y - v) ** 2 <= 0.25 * 0.25]
+    moved = True
+    while moved:
+        moved = False
+        for a, c in links:
+            if zone[a] != zone[c]:
+                zone[a] = zone[c] = min(zone[a], zone[c])
+                moved = True
+    assert got == zone and 5 < len(set(zone.values())) < 200
+
+
+def test_zones_of_many_blobs_in_few_cells(spark, monkeypatch):
+    """20,000 blobs in one zone: the components see links of cells, not the millions of pairs of blobs."""
+    seen, real = [], zonal.connected_components
+    monkeypatch.setattr(zonal, "connected_components", lambda edges: seen.append(edges.count()) or real(edges))
+    blobs = spark.range(20000).select(F.col("id").alias("blob"), (F.pmod(F.col("id") * 7919, F.lit(10007)) / 10007.0 * 10).alias("x"), (F.col("id") % 25 * 0.3).alias("y"))
+    assert zonal.zones(blobs, 0.4).select("zone").distinct().count() == 1
+    assert sum(seen) < 20000
+    assert zonal.zones(blobs.limit(0), 0.4).count() == 0
