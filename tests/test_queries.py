@@ -221,3 +221,13 @@ def test_zones_of_many_blobs_in_few_cells(spark, monkeypatch):
     assert zonal.zones(blobs, 0.4).select("zone").distinct().count() == 1
     assert sum(seen) < 20000
     assert zonal.zones(blobs.limit(0), 0.4).count() == 0
+
+
+def test_nearest_matches_days_not_points(spark):
+    """20,000 points of a day and 20,000 scenes of one period: a match for the day, not 400 million; equal periods go to the least id."""
+    points = spark.range(20000).select(F.lit("a").alias("sensor"), "id", F.when(F.col("id") < 19990, F.lit(dt.date(2024, 1, 5))).otherwise(F.lit(dt.date(2025, 1, 1))).alias("day"))
+    scenes = spark.range(20000).select(F.lit("a").alias("sensor"), (19999 - F.col("id")).alias("scene"), F.lit(dt.date(2024, 1, 3)).alias("s"), F.when(F.col("id") % 2 == 0, F.lit(dt.date(2024, 1, 4))).alias("e"))
+    began = time.time()
+    got = temporal.nearest(points, scenes, ["sensor"], "id", "day", "s", "e", "scene", 3)
+    assert [tuple(r) for r in got.groupBy("scene", "days_off").count().collect()] == [(1, 1.5, 19990)]
+    assert time.time() - began < 40
