@@ -1,6 +1,7 @@
-"""Boosted trees grown level by level from histograms, for any loss with a gradient and a second derivative.
+"""Boosted trees grown level by level from histograms, for losses whose first and second derivatives are linear in the response.
 
-A level is one aggregate of gradients by (node, feature, bin), added up within tasks before it is shuffled, so it deals nodes x features x bins rows whatever
+Rows that share all their bins have one score, so a model reads the rows once: their number and sum of responses by bins (exact, in multiples of 2^-20) hold all
+that any level needs. A level is one aggregate of gradients by (node, feature, bin), added up within tasks before it is shuffled, so it deals nodes x features x bins rows whatever
 the data. Gradients are whole multiples of 2^-20: sums are exact, so a level made again after the loss of an executor splits alike. A fitted model is a
 Column: scoring is a projection without Python.
 """
@@ -39,7 +40,7 @@ class Loss:
         return 1 / (1 + F.exp(-score)) if self.name == "logistic" else F.exp(score)
 
     def slopes(self, y: Column, score: Column) -> tuple[Column, Column]:
-        """First and second derivative of the loss by the score."""
+        """First and second derivative of the loss by the score, both linear in y: those of a mean response are the means of the rows'."""
         if self.name == "squared":
             return score - y, F.lit(1.0)
         mu = self.mean(score)
@@ -130,15 +131,16 @@ def fit(df: DataFrame, y: str, predictors: list[str], loss: Loss | None = None,
     """Boosts `trees` trees of a depth; a split needs `least_rows` rows on each side and a gain above 0, ties go to the earlier predictor and smaller cut.
 
     Predictors may hold nulls and NaN, which share a bin of their own; rows without a finite response are left out. None where no row is left. Scores are
-    written every `refresh` trees, so that no plan grows with their number. Gradients must stay below 2^43 over the number of rows in a node.
+    written every `refresh` trees, so that no plan grows with their number. Responses and gradients must stay below 2^43 over the number of rows in a node.
     """
     loss, spark = loss or Loss(), df.sparkSession
     v = F.col(y).cast("double")
     # one column of bins for each predictor; cuts are on bins, so a tree is grown without the values
     ends = edges(df, predictors, bins)
     names = [f"_x{i}" for i in range(len(predictors))]
-    rows = materialize(df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(v.alias("_y"), *(bin_of(p, ends[p]).alias(c) for p, c in zip(predictors, names))), "boosting")
-    first = rows.agg(F.count("*").alias("n"), F.avg("_y").alias("y")).first()
+    rows = materialize(df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(F.round(v * UNIT).cast("long").alias("_s"), *(bin_of(p, ends[p]).alias(c) for p, c in zip(predictors, names)))
+                       .groupBy(*names).agg(F.count("*").alias("_n"), F.sum("_s").alias("_s")), "boosting")
+    first = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), (F.sum("_s") / UNIT / F.sum("_n")).alias("y")).first()
     if not first.n:
         release(spark, rows)
         return None
@@ -147,8 +149,8 @@ def fit(df: DataFrame, y: str, predictors: list[str], loss: Loss | None = None,
     fresh: list[Tree] = []
     for turn in range(trees):
         score = sum((t.value() for t in fresh), F.col("_score"))
-        g, h = loss.slopes(F.col("_y"), score)
-        tree = grow(base, names, F.round(g * UNIT).cast("long"), F.round(h * UNIT).cast("long"), depth, rate, ridge, least_rows, gains, predictors)
+        g, h = (F.round(d * F.col("_n") * UNIT).cast("long") for d in loss.slopes(F.col("_s") / UNIT / F.col("_n"), score))
+        tree = grow(base, names, g, h, depth, rate, ridge, least_rows, gains, predictors)
         fresh.append(tree)
         fitted.append(Tree({k: (predictors[int(c[2:])], ends[predictors[int(c[2:])]][int(cut) - 1] if cut else None) for k, (c, cut) in tree.splits.items()}, tree.leaves))
         if len(fresh) == refresh and turn + 1 < trees:
@@ -161,14 +163,14 @@ def fit(df: DataFrame, y: str, predictors: list[str], loss: Loss | None = None,
 
 
 def grow(rows: DataFrame, names: list[str], g: Column, h: Column, depth: int, rate: float, ridge: float, least_rows: int, gains: dict[str, float], predictors: list[str]) -> Tree:
-    """One tree; each level reads the rows once, and the driver gets a row for each node, feature and bin."""
+    """One tree; each level reads the table of bins once, and the driver gets a row for each node, feature and bin."""
     tree, totals = Tree({}, {}), {}
     for level in range(depth):
         live = [n for n in range(1 << level, 2 << level) if level == 0 or n // 2 in tree.splits]
         if not live:
             break
-        cells = rows.select(tree.place().alias("_node"), g.alias("_g"), h.alias("_h"), F.posexplode(F.array(*names)).alias("_f", "_b"))
-        got = cells.filter(F.col("_node").isin(live)).groupBy("_node", "_f", "_b").agg(F.count("*").alias("n"), F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
+        cells = rows.select(tree.place().alias("_node"), "_n", g.alias("_g"), h.alias("_h"), F.posexplode(F.array(*names)).alias("_f", "_b"))
+        got = cells.filter(F.col("_node").isin(live)).groupBy("_node", "_f", "_b").agg(F.sum("_n").alias("n"), F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
         cuts: dict[tuple[int, int], list] = {}
         for r in sorted(got, key=lambda r: (r["_node"], r["_f"], r["_b"])):
             cuts.setdefault((r["_node"], r["_f"]), []).append((r["_b"], r.n, r.g / UNIT, r.h / UNIT))

@@ -71,3 +71,24 @@ def test_odd_input(spark):
     assert boosting.fit(df.withColumn("y", F.lit(2.0)), "y", ["a"], trees=1, least_rows=1).trees[0].leaves == {1: 0.0}
     nothing = boosting.hurdle(df.limit(0), df, "y", ["a"])
     assert nothing.filter("predicted IS NULL").count() == 4
+
+
+def test_trees_grow_from_rows_added_up_by_bins(spark, monkeypatch):
+    """20,000 rows of 30 different predictors: levels read their 30 sums, and splits are those of single rows."""
+    seen, real = [], boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda rows, *a: seen.append(rows.count()) or real(rows, *a))
+    df = spark.range(20000).select((F.col("id") % 6).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("b"), F.when(F.col("id") % 7 > 2, F.pmod(F.hash("id"), F.lit(1000)) / 100 + F.col("id") % 6).otherwise(0.0).alias("y"))
+    for loss in (Loss("tweedie"), Loss("poisson"), Loss("squared")):
+        got = boosting.fit(df, "y", ["a", "b"], loss, trees=2, depth=2)
+        p, score = df.toPandas(), got.start
+        for tree in got.trees:  # leaves by Newton's step over single rows
+            node = np.ones(len(p), int)
+            for k, (x, cut) in sorted(tree.splits.items()):
+                left = p[x].isna() if cut is None else p[x].isna() | (p[x] <= cut)
+                node = np.where(node == k, np.where(left, 2 * k, 2 * k + 1), node)
+            up, down = np.exp(0.7 * score), p.y * np.exp(-0.3 * score)
+            g, h = {"tweedie": (up - down, 0.7 * up + 0.3 * down), "poisson": (np.exp(score) - p.y, np.exp(score) + 0 * p.y), "squared": (score - p.y, 1 + 0 * p.y)}[loss.name]
+            for k, value in tree.leaves.items():
+                assert value == pytest.approx(-0.1 * g[node == k].sum() / (h[node == k].sum() + 1), abs=1e-5)
+            score = score + np.array([tree.leaves[k] for k in node])
+    assert max(seen) <= 30
