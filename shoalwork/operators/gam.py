@@ -242,7 +242,10 @@ def fit(df: DataFrame, y: str, smooth: dict[str, int], linear: list[str] = (), f
     """
     family, linear = family or Family(), list(linear)
     spark, names = df.sparkSession, [*smooth]
-    rows = materialize(prepare(df, y, smooth, linear, group, list(series), month), "gam")
+    rows = prepare(df, y, smooth, linear, group, list(series), month)
+    if group:  # rows of a level lie together, so a batch holds few levels; ranges go on within a level, so a large one fills no task
+        rows = rows.repartitionByRange("_g", *names, *linear).sortWithinPartitions("_g")
+    rows = materialize(rows, "gam")
     first = rows.agg(F.count("*").alias("n"), F.avg("_y").alias("y"), *(f(t).alias(f"{c}{i}") for i, t in enumerate(names) for c, f in (("l", F.min), ("h", F.max)))).first()
     n = first.n
     if not n or (family.name not in ("gaussian", "beta") and first.y <= 0):
@@ -281,35 +284,48 @@ def fit(df: DataFrame, y: str, smooth: dict[str, int], linear: list[str] = (), f
 
     size, edf_g = p + 1, 0.0
     for turn in range(rounds):
-        def products(b: pd.DataFrame, beta=beta) -> np.ndarray:
-            v, _ = scaled(b, beta)
+        def products(b: pd.DataFrame, beta=beta, v=None) -> np.ndarray:
+            v = scaled(b, beta)[0] if v is None else v
             extra = np.zeros(2)
             if family.name == "beta":
                 x = design.columns(b) @ beta + (b["_effect"].to_numpy(float) if group else 0.0)
                 extra = np.array(family.precision_score(family.response(b["_y"].to_numpy(float)), family.mean(x)))
             return np.concatenate([(v.T @ v).ravel(), extra])
 
-        got = totals(with_effect(), products, size * size + 2)
-        g, score = got[:-2].reshape(size, size), got[-2:]
         by_level, c, q, small = None, 0.0, np.zeros((size, size)), np.zeros(2)
         if group:
             def by_group(batches, beta=beta):
+                """One pass: the products of a level in each batch, and of all rows of the task under no level."""
+                total = None
                 for b in batches:
-                    v, ones = scaled(b, beta)
-                    got = pd.DataFrame(np.column_stack([ones**2, ones[:, None] * v])).groupby(b["_g"].to_numpy()).sum()
-                    yield pd.DataFrame({"_g": got.index, "v": list(got.to_numpy())})
-
-            kind = rows.schema["_g"].dataType.simpleString()
-            made = with_effect().mapInPandas(by_group, f"_g {kind}, v array<double>").groupBy("_g").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(size + 1))).alias("v"))
+                    if len(b):
+                        v, ones = scaled(b, beta)
+                        got = pd.DataFrame(np.column_stack([ones**2, ones[:, None] * v])).groupby(b["_g"].to_numpy()).sum()
+                        yield pd.DataFrame({"_g": got.index, "v": list(got.to_numpy())})
+                        more = products(b, beta, v)
+                        total = more if total is None else total + more
+                if total is not None:
+                    yield pd.DataFrame({"_g": pd.Series([None], dtype=object), "v": [total]})
+
+            kind, v = rows.schema["_g"].dataType.simpleString(), F.col("v")
+            parts = materialize(with_effect().mapInPandas(by_group, f"_g {kind}, v array<double>"), "gam-parts")
+            got = np.zeros(size * size + 2)
+            for r in parts.filter("_g is null").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():  # one row for each product
+                got[r.i] = r.v
+            made = parts.filter("_g is not null").groupBy("_g").agg(F.array(*(F.sum(v[i]) for i in range(size + 1))).alias("v"))
             by_level = materialize(made, "gam-levels")
+            delete(spark, parts._table_path)
 
             def eliminated(b: pd.DataFrame) -> np.ndarray:
                 v = np.stack(b["v"].to_numpy())
                 d, u = v[:, 0] + lam_g, v[:, 1:]
                 return np.concatenate([(u.T @ (u / d[:, None])).ravel(), (u.T @ (u / d[:, None] ** 2)).ravel(), [(1 / d).sum(), len(b)]])
 
-            got = totals(by_level, eliminated, 2 * size * size + 2)
-            c, q, small = got[:size * size].reshape(size, size), got[size * size:-2].reshape(size, size), got[-2:]
+            less = totals(by_level, eliminated, 2 * size * size + 2)
+            c, q, small = less[:size * size].reshape(size, size), less[size * size:-2].reshape(size, size), less[-2:]
+        else:
+            got = totals(rows, products, size * size + 2)
+        g, score = got[:-2].reshape(size, size), got[-2:]
         h = g - c
         for _ in range(100):  # penalties of the smooth terms settle on these products, without another pass over the rows
             s = sum((a * m for a, (_, m, _) in zip(lam, penalties)), np.zeros((p, p)))

@@ -122,3 +122,15 @@ def test_odd_input(spark):
     assert flat.terms.isEmpty() and flat.stats["n"] == 4 and flat.beta[0] == pytest.approx(9 / 4)
     got = gam.fit(df, "y", {"x": 6})
     assert got.stats["n"] == 4 and got.predict(df).filter("predicted IS NULL").count() == 1
+
+
+def test_levels_are_added_up_within_tasks(spark, monkeypatch):
+    """20,000 rows dealt at random over 500 levels, one of them half of all: a round reads them once and puts out about a row for each level."""
+    seen, real = [], gam.materialize
+    monkeypatch.setattr(gam, "materialize", lambda df, name: (out := real(df, name), name == "gam-parts" and seen.append(out.count()))[0])
+    df = spark.range(20000).select((F.when(F.col("id") % 2 == 0, 0).otherwise(F.pmod(F.hash("id"), F.lit(500)))).alias("g"), (F.pmod(F.hash("id", F.lit(1)), F.lit(1000)) / 1000).alias("x"))
+    df = df.withColumn("y", F.col("x") * F.col("x") + F.col("g") % 3).repartition(4, "x")
+    got = gam.fit(df, "y", {"x": 6}, [], gam.Family("gaussian"), group="g", rounds=2)
+    assert seen and max(seen) < 800 and got.levels.count() == df.select("g").distinct().count()
+    effect = {r.g: r.effect for r in got.levels.collect()}
+    assert effect[1] - effect[0] == pytest.approx(1.0, abs=0.05) and effect[2] - effect[0] == pytest.approx(2.0, abs=0.1)
