@@ -77,6 +77,20 @@ def daily_windows(stream: DataFrame, when: str, keys: list[str], value: str, lat
     return out.select(F.col("window.start").alias("day"), *keys, "total", "n")
 
 
+def deviations(values: np.ndarray, low: np.ndarray, high: np.ndarray, at_once: int = 1_000_000) -> np.ndarray:
+    """Sample deviation of each stretch values[low:high] in two passes, NaN under two values; windows are laid out side by side, about at_once values at a time."""
+    out, count = np.full(len(low), np.nan), high - low
+    rows = np.flatnonzero(count > 1)
+    parts = (np.cumsum(count[rows]) - 1) // at_once
+    for at in np.split(rows, np.flatnonzero(np.diff(parts)) + 1) if len(rows) else ():
+        k = count[at]
+        first = np.cumsum(k) - k
+        x = values[np.arange(k.sum()) + np.repeat(low[at] - first, k)]
+        d = x - np.repeat(np.add.reduceat(x, first) / k, k)
+        out[at] = np.sqrt(np.add.reduceat(d * d, first) / (k - 1))
+    return out
+
+
 def lookback_state(stream: DataFrame, key: str, day: str, value: str, days: int = 90, least: int = 3, when: str | None = None, late: str = "1 day") -> DataFrame:
     """For each arriving observation the count, mean and deviation of its key's last `days` days.
 
@@ -90,9 +104,9 @@ def lookback_state(stream: DataFrame, key: str, day: str, value: str, days: int
             state.remove()
             return
         old_days, old_values = state.get if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values(day)
-        own = rows[day].to_numpy(np.int64)
-        at, values = np.concatenate((np.array(old_days, np.int64), own)), np.concatenate((np.array(old_values, float), rows[value].to_numpy(float)))
+        got = [(b[day].to_numpy(np.int64), b[value].to_numpy(float)) for b in batches]
+        own, new = (np.concatenate(c) for c in zip(*got))
+        at, values = np.concatenate((np.array(old_days, np.int64), own)), np.concatenate((np.array(old_values, float), new))
         order = np.argsort(at, kind="stable")
         at, values = at[order], values[order]
         ok = ~np.isnan(values)
@@ -100,7 +114,7 @@ def lookback_state(stream: DataFrame, key: str, day: str, value: str, days: int
         low, high = np.searchsorted(at, own - days, "right"), np.searchsorted(at, own, "right")
         count = n[high] - n[low]
         mean = (s[high] - s[low]) / np.maximum(count, 1)
-        std = [values[a:b][ok[a:b]].std(ddof=1) if c > 1 else np.nan for a, b, c in zip(low, high, count)]
+        std = deviations(values[ok], n[low], n[high])
         enough = count >= least
         keep = at > at[-1] - 2 * days
         state.update((at[keep].tolist(), values[keep].tolist()))

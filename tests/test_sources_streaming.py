@@ -293,3 +293,17 @@ def test_lookback_state_goes_with_the_watermark(spark, tmp_path):
     assert {(r.k, r.day - day0): (r.n_obs, r["mean"]) for r in got} == {("a", 0): (1, 1.0), ("a", 1): (2, 1.5), ("b", 0): (1, 5.0), ("a", 2): (3, 2.0), ("a", 3): (4, 2.5), ("c", 200): (1, 1.0), ("c", 201): (2, 1.0)}
     held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
     assert len(held) >= 4 and max(held) == 3 and held[-1] == 1
+
+
+def test_deviations_of_windows_side_by_side():
+    """Against each window by itself, in one part and in parts smaller than a window; large values keep their small deviations."""
+    from shoalwork.streaming import monitor
+
+    r = np.random.default_rng(2)
+    values = 1e9 + r.normal(size=400)
+    low = r.integers(0, 400, 300)
+    high = np.minimum(400, low + r.integers(0, 40, 300))
+    want = [values[a:b].std(ddof=1) if b - a > 1 else np.nan for a, b in zip(low, high)]
+    for at_once in (7, 1_000_000):
+        np.testing.assert_allclose(monitor.deviations(values, low, high, at_once), want, rtol=1e-6)
+    assert len(monitor.deviations(values, low[:0], high[:0])) == 0
