@@ -38,10 +38,11 @@ def neighbour_lag(panel: DataFrame, edges: DataFrame, value: str, cell: str = "c
 
 def patches(cells: DataFrame, label: str, cell: str = "cell", contiguity: str = "queen") -> DataFrame:
     """Each cell's patch: the least cell of those of its label that touch one another."""
-    e = neighbours(cells, cell, contiguity)
-    l = cells.select(F.col(cell).alias("_k"), F.col(label).alias("_l"))
-    same = e.join(l, e[cell] == l["_k"]).withColumnRenamed("_l", "_la").drop("_k").join(l, F.col("neighbor") == F.col("_k")).filter("_la = _l")
-    found = connected_components(same.select(F.col(cell).alias("a"), F.col("neighbor").alias("b")).filter("a < b"))
+    steps = [s for s in (QUEEN if contiguity == "queen" else ROOK) if s > (0, 0)]  # each pair once
+    shift = F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in steps)))
+    own = cells.select(F.col(cell).alias("a"), "ix", "iy", F.col(label).alias("_l"))
+    moved = own.select("a", "_l", "ix", "iy", shift.alias("_s")).select("a", "_l", (F.col("ix") + F.col("_s.dx")).alias("ix"), (F.col("iy") + F.col("_s.dy")).alias("iy"))
+    found = connected_components(moved.join(own.withColumnRenamed("a", "b"), ["ix", "iy", "_l"]).select("a", "b"))
     return cells.join(found.withColumnsRenamed({"node": cell, "component": "patch"}), cell, "left").withColumn("patch", F.coalesce("patch", cell))
 
 

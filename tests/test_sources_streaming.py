@@ -208,6 +208,43 @@ def test_polygons(spark):
     assert polygons.polygons(cells.limit(0), "label").collect() == []
 
 
+def test_polygons_across_tiles(spark):
+    """Patches over several tiles, two labels, places below 0; the cells are read once, and only stretches that leave a tile are linked between tiles."""
+    r = np.random.default_rng(5)
+    label = {(x, y): "pq"[int(r.random() < 0.45)] for x in range(-70, 75) for y in range(-9, 70) if r.random() < 0.97}
+    number = {p: i for i, p in enumerate(sorted(label))}
+    read, linked = spark.sparkContext.accumulator(0), []
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    made = spark.createDataFrame([(number[p], *p, v) for p, v in label.items()], "cell int, ix int, iy int, label string")
+    ring_of = polygons.ring_of
+    polygons.ring_of = lambda links: linked.append(links.count()) or ring_of(links)
+    try:
+        got = polygons.polygons(made.mapInArrow(seen, made.schema), "label").collect()
+    finally:
+        polygons.ring_of = ring_of
+    where = {i: p for p, i in number.items()}
+    assert {where[g.polygon]: (g.area, g.length, g.n_holes) for g in got} == traced(label) and all(g.label == label[where[g.polygon]] for g in got)
+    assert read.value == len(label) and 0 < linked[0] < sum(g.length for g in got) / 10
+
+
+def test_whole_tiles():
+    """Tables of whole tiles, whatever batches they come in."""
+    import pyarrow as pa
+
+    tx = np.repeat(np.arange(9), [1, 5, 2, 7, 1, 1, 12, 3, 4]).astype("int64")
+    rows = pa.table({"tx": tx, "ty": tx // 3, "n": np.arange(len(tx))})
+    for size in (1, 3, 10, 50):
+        got = list(polygons._whole_tiles(iter(rows.to_batches(max_chunksize=size)), 4))
+        assert pa.concat_tables(got).equals(rows) and len(got) > 1 - (size == 50)
+        tiles = [set(t["tx"].to_pylist()) for t in got]
+        assert sum(map(len, tiles)) == 9
+
+
 def merged_in_rounds(spark, parts, borders, least_cells, least_area, most_distance=float("inf")):
     from shoalwork.operators.regions import merge_small
 
