@@ -7,14 +7,17 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import delete, materialize
 from .metrics import metric_suite
 
+ROWS = "_rows"  # of rows alike, how many they are
+
 
 def candidates(seed: int = 42) -> dict:
     """Estimators by name; class weights are taken from the column `weight`."""
@@ -27,9 +30,9 @@ def candidates(seed: int = 42) -> dict:
     }
 
 
-def balanced(df: DataFrame, label: str = "label") -> DataFrame:
-    """Adds `weight`: rows over classes times rows of the class."""
-    n = df.groupBy(label).agg(F.count("*").alias("_n"))
+def balanced(df: DataFrame, label: str = "label", count: str | None = None) -> DataFrame:
+    """Adds `weight`: rows over classes times rows of the class. count: a column that tells how many rows each stands for."""
+    n = df.groupBy(label).agg((F.sum(count) if count else F.count("*")).alias("_n"))
     total = n.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     return df.join(F.broadcast(n.join(F.broadcast(total))), label).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
 
@@ -40,16 +43,62 @@ def pipeline(estimator, predictors: list[str]) -> Pipeline:
     return Pipeline(stages=[Imputer(strategy="median", inputCols=predictors, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), estimator])
 
 
+def alike(df: DataFrame, predictors: list[str], *more: str, label: str = "label") -> DataFrame:
+    """Rows with the same predictors, label and further columns as one, `_rows` of them, as a table: what fits by sums over rows need of df."""
+    return materialize(df.groupBy(*more, label, *predictors).agg(F.count("*").alias(ROWS)), "rows-alike")
+
+
+def lacking(predictors: list[str]) -> Column:
+    """Whether a predictor is null or not a number."""
+    return reduce(lambda a, b: a | b, (F.col(p).isNull() | F.isnan(F.col(p).cast("double")) for p in predictors))
+
+
+def by_counts(estimator) -> bool:
+    """Whether the estimator's fit to rows is that to rows alike with their number as a weight: logistic regression, with class weights or none."""
+    return isinstance(estimator, LogisticRegression) and (not estimator.isSet("weightCol") or estimator.getWeightCol() == "weight") and (estimator.getLabelCol(), estimator.getFeaturesCol()) == ("label", "features")
+
+
+def fitted(estimator, predictors: list[str], rows: DataFrame, counted: DataFrame | None = None, complete: bool = False) -> PipelineModel:
+    """The pipeline fitted to rows with `balanced` weights.
+
+    Logistic regression is fitted to rows alike (`counted`, which is made if it is not given), weighted by their number: the same sums, from
+    as many rows as there are different ones. Predictors are scaled here by their deviation under the weights of single rows, as the regression does
+    itself, whose penalty is then on them as they are. complete: no predictor is lacking, here or in what is predicted, so no medians are needed.
+    """
+    if not by_counts(estimator):
+        return pipeline(estimator, predictors).fit(balanced(rows))
+    every = balanced((alike(rows, predictors) if counted is None else counted).filter("label is not null"), count=ROWS)
+    middle = {} if complete else Imputer(strategy="median", inputCols=[f"_f{i}" for i in range(len(predictors))], outputCols=[f"_g{i}" for i in range(len(predictors))]).fit(
+        rows.filter("label is not null").select(*(F.col(p).cast("double").alias(f"_f{i}") for i, p in enumerate(predictors)))).surrogateDF.first().asDict()
+    value = [f"CAST(`{p}` AS DOUBLE)" if complete else f"coalesce(nanvl(CAST(`{p}` AS DOUBLE), NULL), {middle[f'_f{i}']!r}D)" for i, p in enumerate(predictors)]
+    single = F.col("weight") if estimator.isSet("weightCol") else F.lit(1.0)
+    w = F.col(ROWS) * single
+    first = every.agg(F.sum(w).alias("w"), F.sum(w * single).alias("ww"), *(F.sum(w * F.expr(v)).alias(f"m{i}") for i, v in enumerate(value))).first()
+    mean = [first[f"m{i}"] / first["w"] for i in range(len(value))]
+    square = every.agg(*(F.sum(w * F.pow(F.expr(v) - F.lit(m), 2)).alias(f"s{i}") for i, (v, m) in enumerate(zip(value, mean)))).first()
+    free = first["w"] - first["ww"] / first["w"]
+    scale = [(free / s) ** 0.5 if free > 0 and s > 0 else 0.0 for s in square]
+    scaled = ", ".join(f"({v} - ({m!r}D)) * {c!r}D AS `{p}_scaled`" for v, m, c, p in zip(value, mean, scale, predictors))
+    ready = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), VectorAssembler(inputCols=[f"{p}_scaled" for p in predictors], outputCol="features")]
+    known = PipelineModel(ready).transform(every.withColumn("_weight", w))
+    return PipelineModel([*ready, estimator.copy({estimator.weightCol: "_weight", estimator.standardization: False} if estimator.getStandardization() else {estimator.weightCol: "_weight"}).fit(known)])
+
+
 def cross_validate(df: DataFrame, predictors: list[str], models: dict, fold: str = "fold") -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold predictions of every model, and their metrics by model and fold. Folds are few; their fits run side by side."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    """Out-of-fold predictions of every model, and their metrics by model and fold. Folds are few; their fits run side by side, those of logistic regression from one table of rows alike."""
+    counted = alike(df, predictors, fold) if any(map(by_counts, models.values())) else None
+    known = df if counted is None else counted
+    complete = counted is not None and counted.filter(lacking(predictors)).isEmpty()
+    folds = sorted(r[0] for r in known.select(fold).distinct().collect())
 
     def held_out(name: str, f) -> DataFrame:
-        fit = pipeline(models[name], predictors).fit(balanced(df.filter(F.col(fold) != f)))
+        fit = fitted(models[name], predictors, df.filter(F.col(fold) != f), None if counted is None else counted.filter(F.col(fold) != f), complete)
         return fit.transform(df.filter(F.col(fold) == f)).select(*df.columns, F.col("prediction").cast("int").alias("predicted"), F.lit(name).alias("model"))
 
     out = reduce(DataFrame.unionByName, side_by_side(held_out, [(name, f) for name in models for f in folds]))
-    classes = sorted(int(r[0]) for r in df.select("label").distinct().collect())
+    classes = sorted(int(r[0]) for r in known.select("label").distinct().collect())
+    if counted is not None:
+        delete(df.sparkSession, counted._table_path)
     return out, metric_suite(out, ["model", fold], "label", "predicted", classes)
 
 

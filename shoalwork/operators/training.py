@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import block_id, point_of_json
+from ..plans.storage import delete
 from . import models
 from .rules import label_code
 
@@ -80,14 +81,22 @@ def random_split(df: DataFrame, keys: list[str], train: float = 0.7, seed: int =
 
 def scope_ablation(df: DataFrame, predictors: list[str], model: str, arms: dict[str, Column], test: Column, fold: str = "fold", seed: int = 42) -> DataFrame:
     """Scores of one model trained on different parts of the rows, always tested on the same rows of the same folds: arm, fold and the metrics."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    estimator, names = models.candidates(seed)[model], list(arms)
+    within = {f"_arm{i}": arms[arm] for i, arm in enumerate(names)}
+    counted = models.alike(df.withColumns(within), predictors, fold, *within) if models.by_counts(estimator) else None
+    known = df if counted is None else counted
+    complete = counted is not None and counted.filter(models.lacking(predictors)).isEmpty()
+    folds = sorted(r[0] for r in known.select(fold).distinct().collect())
 
     def held_out(arm: str, f) -> DataFrame:
-        fit = models.pipeline(models.candidates(seed)[model], predictors).fit(models.balanced(df.filter((F.col(fold) != f) & arms[arm])))
+        own = None if counted is None else counted.filter((F.col(fold) != f) & F.col(f"_arm{names.index(arm)}"))
+        fit = models.fitted(estimator, predictors, df.filter((F.col(fold) != f) & arms[arm]), own, complete)
         return fit.transform(df.filter((F.col(fold) == f) & test)).select("label", fold, F.col("prediction").cast("int").alias("predicted"), F.lit(arm).alias("arm"))
 
     parts = models.side_by_side(held_out, [(arm, f) for arm in arms for f in folds])
-    classes = sorted(int(r[0]) for r in df.select("label").distinct().collect())
+    classes = sorted(int(r[0]) for r in known.select("label").distinct().collect())
+    if counted is not None:
+        delete(df.sparkSession, counted._table_path)
     return models.metric_suite(reduce(DataFrame.unionByName, parts), ["arm", fold], "label", "predicted", classes)
 
 

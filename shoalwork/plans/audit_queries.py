@@ -97,7 +97,7 @@ def out_of_fold_rows(spark, sf):
 def scored_pixels(spark, sf):
     """Pixels scored by a classifier fitted on one fold: the winner's share of three classes is a third at least, and the same pixel scores alike."""
     rows = labelled(spark, sf)
-    fit = models.pipeline(models.candidates()["weighted_logistic"], PREDICTORS).fit(models.balanced(rows.filter("fold = 0")))
+    fit = models.fitted(models.candidates()["weighted_logistic"], PREDICTORS, rows.filter("fold = 0"))
     got = models.score(fit, rows)
     alike = got.groupBy(*PREDICTORS).agg((F.countDistinct("class", "probability") > 1).alias("unlike"))
     return got.join(alike, PREDICTORS).groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("probability").between(33, 100)).alias("n_sure"), F.count_if("unlike").alias("n_unlike"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoalwork.operators import models, polygons, texture
+from shoalwork.operators import models, polygons, texture, training
 from shoalwork.sources import files
 from shoalwork.streaming import monitor
 
@@ -76,6 +76,25 @@ def test_models_learn_and_score(spark):
     assert models.score(fit, df).filter("class = label").count() > 220
 
 
+def test_logistic_fits_read_rows_alike_once(spark, monkeypatch):
+    """Fits to rows with their number are those to the rows, with class weights, gaps and a constant; a fit has as many rows as there are different ones."""
+    r = np.random.default_rng(2)
+    rows = [(int(r.integers(3)), int(r.integers(2)), float(a := r.integers(5)), float(r.integers(4) + 90 * a), 7.0) for _ in range(1500)]
+    df = spark.createDataFrame([(min(2, label + (a > 3)), fold, a, b if b % 4 else None, c) for label, fold, a, b, c in rows], "label int, fold int, a double, b double, c double")
+    given, fit = [], models.LogisticRegression.fit
+    monkeypatch.setattr(models.LogisticRegression, "fit", lambda self, rows, *more: given.append(rows.count()) or fit(self, rows, *more))
+    predictors, names = ["a", "b", "c"], ("logistic", "weighted_logistic")
+    got, scores = models.cross_validate(df, predictors, {n: models.candidates()[n] for n in names})
+    most = df.select("label", *predictors).distinct().count()
+    assert len(given) == 4 and max(given) <= most < 70 and got.count() == 3000
+    for name in names:
+        whole = models.pipeline(models.candidates()[name], predictors).fit(models.balanced(df))
+        shares = [sorted(map(tuple, m.transform(df).select(*predictors, models.vector_to_array("probability").alias("p")).distinct().collect()), key=str) for m in (whole, models.fitted(models.candidates()[name], predictors, df))]
+        assert all(x[:3] == y[:3] and np.allclose(x[3], y[3], atol=1e-4) for x, y in zip(*shares)) and len(shares[0]) == len(shares[1])
+    arms = training.scope_ablation(df.filter("b is not null"), predictors, "logistic", {"all": F.lit(True), "few": F.col("a") < 3}, F.col("label") > 0)
+    assert arms.count() == 4 and max(given[-4:]) <= most
+
+
 def test_calibrations(spark):
     df = spark.range(100).select((F.col("id") / 100).alias("x"), (F.col("id") / 50 + 1).alias("y"))
     fit = models.calibrate(df, "x", "y", "linear").stages[-1]
