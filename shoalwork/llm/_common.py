@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
+import string
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +18,9 @@ from ..plans.storage import delete, materialize, release, shared_dir, table_path
 
 DOC_SPLIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-END_MARKS, SEPARATOR = ".,;:!?", "\x01"
+END_MARKS, SEPARATOR = string.punctuation, "\x01"
 PLAIN_PART = re.compile(r" ?[^\s\0]+|\n")  # what may stand beside others on a line
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +45,15 @@ def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def spaced_out(text: str) -> bool:
-    """Whether spaces or line ends stand side by side, or at an end of the text."""
-    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1] in " \n"
+def is_plain(part: str) -> bool:
+    return (part[:1].isalpha() or part[:1] == " ") and part[1:].isalpha() or PLAIN_PART.fullmatch(part) is not None
+
+
+def byte_names() -> dict[int, str]:
+    """What byte-level models call each byte, with a blank before the name of a space."""
+    same = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    names = {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in same)}
+    return names | {32: " " + names[32]}
 
 
 class WordCache:
@@ -55,13 +66,19 @@ class WordCache:
     """
 
     def __init__(self, path: str, keep_space: bool, limit: int = 350_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keep_space, self.limit, self.seen, self.old, self.rare = keep_space, limit, {}, {}, set()
         self.tokenizer.model._resize_cache(0)  # words come here once
+        given = json.loads(self.tokenizer.to_str())
+        self.model, self.byte_names = None, {}
+        if keep_space and given["normalizer"] is None and given["pre_tokenizer"] == BYTE_LEVEL:  # words of letters are single pre-tokens
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.byte_names = byte_names()
         vocabulary = self.tokenizer.get_vocab()
         self.n_ids = max(vocabulary.values(), default=0) + 1
         own_edge, self.gap_edge = np.zeros(self.n_ids, bool), np.zeros(self.n_ids, bool)
@@ -69,14 +86,22 @@ class WordCache:
         self.plain_line = ("" if keep_space else " ", own_edge)
         self.bare_line = ("\n" if keep_space else f" {SEPARATOR} ", self.gap_edge)
         self.gap_edge[self.ids(["\n" if keep_space else SEPARATOR])[0]] = True
-        self.marks = {mark: ids.tobytes() for mark, ids in zip(END_MARKS, self.ids(list(END_MARKS)))}
 
-    def parts(self, text: str) -> list[str]:
-        if self.keep_space:
-            if "\0" in text:
-                return ["\0"]  # a rare part, so the text is encoded whole
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return text.replace("\n", " ").split(" ")
+    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words, the number of the word at each place, the first place of each text (and the end), and texts with line ends side by side.
+
+        Words are cut as byte ranges, before a space and around a line end, and told apart by Arrow; only distinct ones become strings.
+        """
+        rows = pa.array(texts, pa.large_string())
+        ends = np.frombuffer(rows.buffers()[1], np.int64)[: len(texts) + 1]
+        data = np.frombuffer(rows.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        lines, first = np.flatnonzero(data == 10), data == 32
+        for at in (lines, lines + 1, ends) if self.keep_space else (lines, ends):
+            first[at[at < len(data)]] = True
+        at = np.flatnonzero(first)
+        words = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        doubled = np.searchsorted(ends, lines[1:][np.diff(lines) == 1], "right") - 1
+        return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), np.searchsorted(at, ends), doubled
 
     def rare_parts(self, text: str) -> list[str]:
         """The parts of a text with runs of white space, or white space of other kinds."""
@@ -84,52 +109,82 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self.parts(t) for t in texts]
+        words, place, begins, doubled = self.split(texts)
+        odd, unlike = set(), []
+        if not self.keep_space:
+            words = [w[1:] if w[0] in " \n" else w for w in words]
+        known = list(map(self.seen.get, words))
+        fresh = {w for w, ids in zip(words, known) if ids is None}
+        if self.keep_space:
+            self.rare.update(w for w in fresh if not is_plain(w))
+            odd = self.rare.intersection(words)
+            if odd or len(doubled):
+                has_odd = np.fromiter((w in odd for w in words), bool, len(words))
+                unlike = np.union1d(np.searchsorted(begins, np.flatnonzero(has_odd[place]), "right") - 1, doubled).tolist()
+                fresh -= odd
+        if fresh:
+            self.admit(fresh, [w for w in words if w not in odd] if odd else words)
+        known = [(b"" if w in odd else self.seen[w]) if ids is None else ids for w, ids in zip(words, known)]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        pool = np.frombuffer(b"".join(known), "<u4")
+        count = sizes[place]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        shift = (np.cumsum(sizes) - sizes)[place] - ends[:-1]  # from an id's place in the texts to its place among the distinct words' ids
+        kind = np.int32 if max(ends[-1], len(pool)) < 2**31 else np.int64
+        at = np.repeat(shift.astype(kind), count)
+        at += np.arange(len(at), dtype=kind)
+        data = pool[at].tobytes()
+        edges = (4 * ends[begins]).tolist()
+        out = [data[a:b] for a, b in zip(edges, edges[1:])]
+        for k, ids in zip(unlike, self.encode_parts([self.rare_parts(texts[k]) for k in unlike])):
+            out[k] = ids
+        return out
+
+    def encode_parts(self, parts: list[list[str]]) -> list[bytes]:
+        """Ids of texts that are cut already."""
         every = set(itertools.chain.from_iterable(parts))
         fresh = every.difference(self.seen)
-        if self.keep_space:
-            self.rare.update(p for p in fresh if not PLAIN_PART.fullmatch(p))
-            odd = self.rare & every
-            if odd:
-                special = odd - {"", " "}
-                parts = [self.rare_parts(t) if spaced_out(t) or special and not special.isdisjoint(p) else p for p, t in zip(parts, texts)]
-                every = set(itertools.chain.from_iterable(parts))
-                before, fresh = fresh, every.difference(self.seen)
-                self.rare.update(p for p in fresh.difference(before) if not PLAIN_PART.fullmatch(p))
+        self.rare.update(p for p in fresh if not is_plain(p))
         if fresh:
             self.admit(fresh, every)
         get = self.seen.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
-    def admit(self, fresh: set[str], every: set[str]) -> None:
+    def admit(self, fresh: set[str], every) -> None:
         """Takes the fresh words of `every` into `seen`: carried over from `old`, or encoded."""
         if self.seen and len(self.seen) + len(fresh) > self.limit:
-            self.old, self.seen, fresh = self.seen, {}, every
-            self.rare.intersection_update(every)  # a word that is not here is looked at afresh when it is met
-        known = [word for word in fresh if word in self.old]
-        self.seen.update(zip(known, map(self.old.__getitem__, known)))
-        fresh = fresh.difference(known)
+            self.old, self.seen, fresh = self.seen, {}, set(every)
+            self.rare.intersection_update(fresh)  # a word that is not here is looked at afresh when it is met
+        if self.old:
+            known = {word: ids for word in fresh if (ids := self.old.get(word)) is not None}
+            self.seen.update(known)
+            fresh = fresh.difference(known)
         if fresh:
             self.learn(fresh)
 
     def learn(self, words) -> None:
         """Encodes words many to a line, which costs less than one by one; their first or last ids tell them apart.
 
-        A mark at a word's end, after a letter, is always encoded by itself, so such words share their stem's ids.
+        Marks at a word's end, after a letter, are always encoded by themselves, so such words share their stem's ids.
         """
-        marked = [w for w in words if w[-1:] in END_MARKS and w[-2:-1].isalpha() and w not in self.rare]
+        stems = {w: w.rstrip(END_MARKS) for w in words if w[-1:] in END_MARKS and w not in self.rare}
+        stems = {w: stem for w, stem in stems.items() if stem[-1:].isalpha()}
+        shared = {*stems.values(), *(w[len(stem) :] for w, stem in stems.items())}
+        words = shared.difference(self.seen).union(words.difference(stems))
+        letters = [w for w in words if w[:1] == " " and w[1:].isalpha() and len(w) <= 100] if self.model else []
         plain, bare, alone = [], [], []
-        for word in {w[:-1] for w in marked}.difference(self.seen).union(words.difference(marked)):
+        for word in words.difference(letters):
             if len(word) > 100 or word == "\n" or word in self.rare or not self.keep_space and (SEPARATOR in word or not PLAIN_PART.fullmatch(word)):
                 alone.append(word)
             else:
                 (plain if (word[0] == " " if self.keep_space else word.isalpha()) else bare).append(word)
-        for group, gap, edge in ((plain, *self.plain_line), (bare, *self.bare_line)):
+        ascii_letters, other_letters = [w for w in letters if w.isascii()], [w for w in letters if not w.isascii()]
+        for group, gap, edge in ((ascii_letters, None, self.plain_line[1]), (other_letters, None, self.plain_line[1]), (plain, *self.plain_line), (bare, *self.bare_line)):
             for i in range(0, len(group), 8192):
                 self.learn_lines([group[j : j + 256] for j in range(i, min(i + 8192, len(group)), 256)], gap, edge)
         self.learn_alone(alone)
-        for word in marked:
-            self.seen[word] = self.seen[word[:-1]] + self.marks[word[-1]]
+        for word, stem in stems.items():
+            self.seen[word] = self.seen[stem] + self.seen[word[len(stem) :]]
 
     def ids(self, lines: list[str]) -> list[np.ndarray]:
         return [np.array(got.ids, "<u4") for got in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)] if lines else []
@@ -138,9 +193,15 @@ class WordCache:
         for word, ids in zip(words, self.ids(words)):
             self.seen[word] = ids.tobytes()
 
-    def learn_lines(self, lines: list[list[str]], gap: str, edge: np.ndarray) -> None:
-        """Lines of words with a gap between them. edge: ids that only a word's first or last id, or a gap, can be."""
-        for words, ids in zip(lines, self.ids([gap.join(words) for words in lines])):
+    def letter_ids(self, lines: list[list[str]]) -> list[np.ndarray]:
+        """Ids of lines of words of letters, each after a space; they go to the library's model as the pre-tokens that they are."""
+        named = ["".join(words) for words in lines]
+        named = [line.replace(" ", self.byte_names[32]) if line.isascii() else line.encode().decode("latin-1").translate(self.byte_names) for line in named]
+        return [np.array(got.ids, "<u4") for got in self.model.encode_batch_fast(named, add_special_tokens=False)]
+
+    def learn_lines(self, lines: list[list[str]], gap: str | None, edge: np.ndarray) -> None:
+        """Lines of words with a gap between them (None: words of letters). edge: ids that only a word's first or last id, or a gap, can be."""
+        for words, ids in zip(lines, self.letter_ids(lines) if gap is None else self.ids([gap.join(words) for words in lines])):
             at = np.flatnonzero(edge[ids])
             gaps = edge is self.gap_edge
             if len(at) != len(words) - gaps:  # some word has white space or letters of a kind of its own
@@ -177,3 +238,18 @@ def batches(rows: list[str], most: int = 2_000_000):
             begin, size = i + 1, 0
     if begin < len(rows):
         yield begin, len(rows)
+
+
+def text_runs(it: Iterator[pa.RecordBatch], most: int = 6_000_000) -> Iterator[tuple[list, list[str]]]:
+    """First and second column of rows in turn whose texts have about `most` characters together: enough that words recur, and bounded memory."""
+    ids, texts, size = [], [], 0
+    for batch in it:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids.append(doc)
+            texts.append(text)
+            size += len(text)
+            if size >= most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts

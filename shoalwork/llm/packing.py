@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import batches, doc_texts, materialize, release, word_cache
+from ._common import doc_texts, materialize, release, text_runs, word_cache
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SHIFT = 40  # a rank has at most so many bits
@@ -93,15 +93,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: i
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, end = word_cache(tokenizer, False, remembered), np.array([end_id], "<u4").tobytes()
-        for batch in it:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for ids, texts in text_runs(it):
             rows = []
-            for a, b in batches(texts):
-                for doc, got in zip(ids[a:b], cache.encode(texts[a:b])):
-                    got += end
-                    n = len(got) // 4
-                    rows += [(doc, s, min(max_len, n - s), zlib.crc32(got[4 * s : 4 * (s + max_len)]), n) for s in range(0, n, max_len)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for doc, got in zip(ids, cache.encode(texts)):
+                got += end
+                n = len(got) // 4
+                rows += [(doc, s, min(max_len, n - s), zlib.crc32(got[4 * s : 4 * (s + max_len)]), n) for s in range(0, n, max_len)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return doc_texts(docs).mapInArrow(cut, PIECES)
 

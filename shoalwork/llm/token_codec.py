@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import batches, doc_texts, word_cache
+from ._common import doc_texts, text_runs, word_cache
 
 MAGIC = b"TCB2"
 FRAME = struct.Struct("<4sI")  # magic, crc32 of all bytes that follow
@@ -279,15 +279,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, bl
             rows = [[file_no], [block_no], [len(held)], [size], [encode_block(held, vocab, before)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["file_no", "block_no", "n_docs", "n_tokens", "block"])
 
-        for batch in it:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                for doc, got in zip(ids[a:b], cache.encode(texts[a:b])):
-                    held.append((doc, got + end))
-                    size += len(got) // 4 + 1
-                    if size >= block_ids:
-                        yield flush()
-                        block_no, held, size, before = block_no + 1, [], 0, before + size
+        for ids, texts in text_runs(it):
+            for doc, got in zip(ids, cache.encode(texts)):
+                held.append((doc, got + end))
+                size += len(got) // 4 + 1
+                if size >= block_ids:
+                    yield flush()
+                    block_no, held, size, before = block_no + 1, [], 0, before + size
         if held:
             yield flush()
 

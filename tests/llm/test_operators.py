@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalwork.llm import bagminhash, fingerprints, hamming, language, licenses, packing, piece_codec, quality, suffix_dedup, token_codec
-from shoalwork.llm._common import WordCache
+from shoalwork.llm._common import WordCache, text_runs
 from shoalwork.llm.queries import tokenizer_path
 
 from .conftest import SCHEMA, prose, rows_of
@@ -208,6 +208,39 @@ def test_word_cache_equals_the_library(path, keep):
             assert np.frombuffer(ids, "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("path, keep", [(BYTE, True), (WORD, False)])
+def test_words_with_marks_reach_the_library_as_stems(path, keep, monkeypatch):
+    """Whatever marks follow the letters, the stem is encoded once, and texts are those of the library."""
+    cache, sent = WordCache(path, keep), []
+    learn_lines, learn_alone = cache.learn_lines, cache.learn_alone
+    monkeypatch.setattr(cache, "learn_lines", lambda lines, *more: (sent.extend(w for line in lines for w in line), learn_lines(lines, *more)))
+    monkeypatch.setattr(cache, "learn_alone", lambda words: (sent.extend(words), learn_alone(words)))
+    texts = [f"a {stem}{tail} b\n{stem}{tail} {stem}'s{tail}" for stem in ("ertiat", "Éinß", "it's", "日本") for tail in ("", "***", "!!", ".&&&", "'", "|>", "_-", ";")]
+    for text, ids in zip(texts, cache.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert len(sent) == len(set(sent)) and not [w for w in sent if w[-1] in "*!.&'|>_-;" and any(c.isalpha() for c in w)]
+
+
+def test_runs_of_texts_cross_batches():
+    """Rows come whole and in order, many batches to a run, and a run ends with the text that fills it."""
+    texts = ["x" * (i % 7) for i in range(50)]
+    rows = [pa.RecordBatch.from_arrays([pa.array(range(i, min(i + 3, 50))), pa.array(texts[i : i + 3])], names=["doc_id", "text"]) for i in range(0, 50, 3)]
+    runs = list(text_runs(iter(rows), 40))
+    assert [x for ids, _ in runs for x in ids] == list(range(50)) and [t for _, run in runs for t in run] == texts
+    assert all(40 <= sum(map(len, run)) < 47 for _, run in runs[:-1]) and list(text_runs(iter([]))) == []
+
+
+def test_line_ends_and_copies_in_one_run():
+    """Texts that end or begin with line ends or are empty stand beside others; only their own white space counts."""
+    cache, r = WordCache(BYTE, True), random.Random(2)
+    texts = ["", "a\n", "\nb", "", "\n\nc d", " e ", "f\n\n", "g  h", "", "i\u00a0j", "k l", "k l", "\n", " ", "m\0n o", "p\r\nq", ""]
+    for _ in range(20):
+        for text, ids in zip(texts, cache.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids, text
+        r.shuffle(texts)
+    assert cache.encode([]) == [] and cache.encode([""]) == [b""]
+
+
 # --- 3 --------------------------------------------------------------------
 
 def test_long_texts_stream_in_parts(monkeypatch):
